@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["market"]
+_MODULES = ["market", "serving"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}

@@ -120,3 +120,36 @@ def hour_sql(t: str = "t") -> str:
 
 def weekday_sql(t: str = "t") -> str:
     return f"['Sun','Mon','Tue','Wed','Thu','Fri','Sat'][CAST((floor({t} / 86400) + 4) AS BIGINT) % 7 + 1]"
+
+VIEWS.update({
+    "req": (
+        ["ev"],
+        """SELECT 'load-' || CAST(1 + user_id % 8 AS VARCHAR) AS test_id, CAST(1 + user_id % 8 AS INTEGER) AS level,
+             event_id, t AS sent_at, 'w' || CAST(user_id % 10 AS VARCHAR) AS worker_id,
+             20.0 + value * CAST(1 + user_id % 8 AS INTEGER) / 10.0 AS latency_ms,
+             (event_type = 'error' AND k % 25 = 0) AS failed,
+             CAST(CASE WHEN event_type = 'error' AND k % 25 = 0 THEN 500 + k % 4
+                  WHEN event_type = 'error' AND k % 25 = 5 THEN NULL
+                  WHEN event_type = 'click' AND k % 10 = 0 THEN 429 ELSE 200 END AS INTEGER) AS status,
+             k % 7 = 0 AS rerouted, CAST(k AS BIGINT) AS tokens
+           FROM ev""",
+    ),
+    "scrape": (
+        ["ev"],
+        """SELECT 'fleet-0' AS fleet, CAST(tick * 3600 AS DOUBLE) AS ts, worker_id, bad = 0 AS ok,
+             tick // 168 AS counter_epoch, d_requests, d_tokens, d_gen, in_flight
+           FROM (SELECT t_us // 3600000000 AS tick, 'w' || CAST(user_id % 10 AS VARCHAR) AS worker_id,
+                   count(*) AS d_requests, CAST(sum(k) AS BIGINT) AS d_tokens, sum(value / 1000.0) AS d_gen,
+                   CAST(max(k % 5) AS INTEGER) AS in_flight,
+                   max(CASE WHEN event_type = 'error' AND k % 4 = 0 THEN 1 ELSE 0 END) AS bad
+                 FROM ev GROUP BY 1, 2) x""",
+    ),
+    "heartbeat": (
+        ["ev"],
+        """SELECT 'w' || CAST(user_id % 10 AS VARCHAR) AS worker_id,
+             CASE WHEN k % 13 = 0 THEN NULL ELSE '10.0.0.' || CAST(user_id % 10 AS VARCHAR) || ':8000' END AS addr,
+             'gpt2' AS model, CASE WHEN (user_id % 10) % 2 = 0 THEN 'spot' ELSE 'on-demand' END AS market,
+             event_id AS requests_served, t AS last_seen
+           FROM ev""",
+    ),
+})

@@ -198,3 +198,78 @@ def tick_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("type", F.lit("tick"))
         .withColumn("config_budget", F.lit(20) + (F.col("tick_id") % 3).cast("int"))
     )
+
+
+# --------------------------------------------------------------- serving --
+
+def request_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request-grain load results: one request per event.
+
+    test = load level ``1 + user_id % 8``; latency grows with the level;
+    failed = ``error`` events with ``k % 25 = 0`` (HTTP 500..503), a transport
+    error (no status) when ``k % 25 = 5``, 429 for some clicks."""
+    ev = events_base(spark, sf_dir)
+    level = (F.lit(1) + F.col("user_id") % 8).cast("int")
+    failed = (F.col("event_type") == "error") & (F.col("k") % 25 == 0)
+    transport = (F.col("event_type") == "error") & (F.col("k") % 25 == 5)
+    return ev.select(
+        F.concat(F.lit("load-"), _s(level)).alias("test_id"),
+        level.alias("level"),
+        "event_id",
+        F.col("t").alias("sent_at"),
+        F.concat(F.lit("w"), _s(F.col("user_id") % 10)).alias("worker_id"),
+        (F.lit(20.0) + F.col("value") * level / F.lit(10.0)).alias("latency_ms"),
+        failed.alias("failed"),
+        F.when(failed, F.lit(500) + F.col("k") % 4)
+        .when(transport, F.lit(None).cast("int"))
+        .when((F.col("event_type") == "click") & (F.col("k") % 10 == 0), F.lit(429))
+        .otherwise(F.lit(200))
+        .cast("int")
+        .alias("status"),
+        (F.col("k") % 7 == 0).alias("rerouted"),
+        F.col("k").cast("long").alias("tokens"),
+    )
+
+
+def scrape_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-worker counter samples, one per (hour, worker) with events.
+
+    Counters run from the start of each ISO-week-sized epoch (7 days) so they
+    reset; ``ok`` is false when the hour holds a ``k % 4 = 0`` error."""
+    ev = events_base(spark, sf_dir)
+    tick = (F.col("t_us") / F.lit(3_600_000_000)).cast("long")
+    return ev.groupBy(
+        tick.alias("tick"), F.concat(F.lit("w"), _s(F.col("user_id") % 10)).alias("worker_id")
+    ).agg(
+        F.count(F.lit(1)).alias("d_requests"),
+        F.sum("k").cast("long").alias("d_tokens"),
+        F.sum(F.col("value") / F.lit(1000.0)).alias("d_gen"),
+        F.max(F.col("k") % 5).cast("int").alias("in_flight"),
+        F.max(((F.col("event_type") == "error") & (F.col("k") % 4 == 0)).cast("int")).alias("bad"),
+    ).select(
+        F.lit("fleet-0").alias("fleet"),
+        (F.col("tick") * 3600).cast("double").alias("ts"),
+        "worker_id",
+        (F.col("bad") == 0).alias("ok"),
+        (F.col("tick") / 168).cast("long").alias("counter_epoch"),
+        "d_requests",
+        "d_tokens",
+        "d_gen",
+        "in_flight",
+    )
+
+
+def heartbeat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worker heartbeat documents: one per event; some lack an address."""
+    ev = events_base(spark, sf_dir)
+    wid = F.col("user_id") % 10
+    return ev.select(
+        F.concat(F.lit("w"), _s(wid)).alias("worker_id"),
+        F.when(F.col("k") % 13 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("10.0.0."), _s(wid), F.lit(":8000")))
+        .alias("addr"),
+        F.lit("gpt2").alias("model"),
+        F.when(wid % 2 == 0, F.lit("spot")).otherwise(F.lit("on-demand")).alias("market"),
+        F.col("event_id").alias("requests_served"),
+        F.col("t").alias("last_seen"),
+    )
