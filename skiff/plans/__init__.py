@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["market", "serving"]
+_MODULES = ["market", "serving", "telemetry"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}

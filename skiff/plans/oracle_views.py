@@ -153,3 +153,87 @@ VIEWS.update({
            FROM ev""",
     ),
 })
+
+_NODE = "CAST((user_id // 12) % 8 AS INTEGER)"
+_ATT = "CAST(user_id // 96 AS INTEGER)"
+_MEMBERS = "list_filter(range(0, 8), lambda i: ((({e}) * 37 + ({r}) * 11) % 256 >> i) & 1 = 1)"
+
+VIEWS.update({
+    "lifecycle": (
+        ["ev"],
+        f"""SELECT event_id, 'run-' || CAST(user_id % 12 AS VARCHAR) AS run_id,
+             CASE WHEN event_type <> 'purchase' THEN {_NODE} END AS node,
+             CASE WHEN event_type <> 'purchase' THEN {_ATT} END AS attempt,
+             t AS ts, {_STATE} AS state,
+             CASE WHEN event_type IN ('view', 'click') THEN CAST(k AS BIGINT) END AS step,
+             CASE WHEN event_type = 'purchase' THEN CAST(1 + k % 8 AS INTEGER) END AS world,
+             CASE WHEN event_type = 'purchase' THEN CAST(k % 3 AS INTEGER) END AS leader,
+             CASE WHEN event_type = 'purchase' THEN 'orch' ELSE 'sidecar' END AS by
+           FROM ev""",
+    ),
+    "steps": (
+        ["ev"],
+        f"""SELECT event_id, 'run-' || CAST(user_id % 12 AS VARCHAR) AS run_id, {_NODE} AS node, {_ATT} AS attempt,
+             CAST(CASE WHEN event_type = 'error' THEN greatest(event_id - 40, 0) ELSE event_id END AS BIGINT) AS step,
+             value / 50.0 AS loss, CAST(100 + k * 10 AS INTEGER) AS ms, CAST((100 + k * 10) * 3 AS INTEGER) AS tok_s,
+             CAST(CASE WHEN k % 4 = 0 THEN 0 ELSE 1 + k % 8 END AS INTEGER) AS ws, t
+           FROM ev WHERE event_type <> 'purchase'""",
+    ),
+    "ticks": (
+        ["ev"],
+        f"""SELECT event_id, 'run-' || CAST(user_id % 12 AS VARCHAR) AS run_id, t, t AS updated_at,
+             CAST(event_id // 500 AS INTEGER) AS epoch,
+             {_MEMBERS.format(e='event_id // 500', r='user_id % 12')} AS members,
+             CAST(CASE WHEN event_id < 40 THEN -1 ELSE event_id // 2 END AS BIGINT) AS ckpt_step,
+             false AS done, k, user_id % 12 AS run_no
+           FROM ev WHERE event_type = 'purchase'""",
+    ),
+    "tick_nodes": (
+        ["ticks"],
+        """SELECT run_id, t, i AS node, epoch % 3 AS attempt,
+             'i-' || lpad(CAST(run_no * 1000 + i * 10 + epoch % 3 AS VARCHAR), 8, '0') AS instance_id,
+             CASE WHEN list_contains(members, i) THEN 'running' WHEN (k + i) % 3 = 0 THEN 'pending'
+                  WHEN (k + i) % 3 = 1 THEN 'shutting-down' ELSE 'terminated' END AS aws_state
+           FROM ticks, range(0, 8) r(i)""",
+    ),
+    "epoch_log": (
+        ["ev"],
+        f"""SELECT 'run-' || CAST(run_no AS VARCHAR) AS run_id, epoch,
+             {_MEMBERS.format(e='epoch', r='run_no')} AS members,
+             coalesce(list_min({_MEMBERS.format(e='epoch', r='run_no')}), 0) AS master
+           FROM (SELECT DISTINCT user_id % 12 AS run_no, CAST(event_id // 500 AS INTEGER) AS epoch
+                 FROM ev WHERE event_type = 'purchase') d WHERE epoch % 7 <> 3""",
+    ),
+    "terminations": (
+        ["ev"],
+        f"""SELECT 'run-' || CAST(user_id % 12 AS VARCHAR) AS run_id, event_id AS pos, {_NODE} AS node,
+             'i-' || lpad(CAST((user_id % 12) * 1000 + {_NODE} * 10 + {_ATT} AS VARCHAR), 8, '0') AS instance_id
+           FROM ev WHERE event_type = 'error'""",
+    ),
+    "ledger": (
+        [],
+        """SELECT 'run-' || CAST(o_custkey % 12 AS VARCHAR) AS run_id,
+             'i-' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS instance_id,
+             CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'spot' ELSE 'on-demand' END AS market,
+             'region-' || CAST(o_custkey % 3 AS VARCHAR) || 'a' AS az,
+             CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_totalprice / 100000.0 END AS hourly_usd,
+             1704067200.0 + (epoch_us(o_orderdate) / 1e6 - 788918400.0) / 80.0 AS started_at,
+             CASE WHEN l.last_ship > o_orderdate THEN 1704067200.0 + (epoch_us(l.last_ship) / 1e6 - 788918400.0) / 80.0 END AS stopped_at
+           FROM orders o LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS last_ship FROM lineitem GROUP BY 1) l
+             ON o.o_orderkey = l.l_orderkey""",
+    ),
+})
+
+VIEWS.update({
+    "evals": (
+        ["ev"],
+        """SELECT 'run-' || CAST(user_id % 12 AS VARCHAR) AS run_id, CAST(event_id + 5 AS BIGINT) AS step, value / 60.0 AS loss
+           FROM ev, (SELECT 1 AS c UNION ALL SELECT 2) x WHERE event_type = 'signup' AND (c = 1 OR k % 5 = 0)""",
+    ),
+    "rank_lines": (
+        ["ev"],
+        f"""SELECT event_id, 'run-' || CAST(user_id % 12 AS VARCHAR) AS run_id, {_NODE} AS slot, {_ATT} AS gen,
+             CAST(event_id + 3 AS BIGINT) AS step, CASE WHEN k % 2 = 0 THEN t END AS t
+           FROM ev WHERE event_type = 'click'""",
+    ),
+})

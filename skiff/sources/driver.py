@@ -273,3 +273,179 @@ def heartbeat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("requests_served"),
         F.col("t").alias("last_seen"),
     )
+
+
+# ------------------------------------------------------------- telemetry --
+
+TARGET_WORLD = 8
+TOKENS_PER_STEP = 480 * 1024  # fixed value of the reference's run recipe
+LEDGER_T0 = 1_704_067_200.0   # 2024-01-01: orders are replayed into January
+ORDERS_T0 = 788_918_400.0     # 1995-01-01, the first order date
+LEDGER_SCALE = 80.0
+
+
+def _run_id(uid: Column) -> Column:
+    return F.concat(F.lit("run-"), _s(uid % 12))
+
+
+def lifecycle_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``[event]`` lifecycle records, one per event: node events carry
+    node/attempt (and a step when training or stalled); ``epoch`` events
+    are the orchestrator's, with world size and leader."""
+    ev = events_base(spark, sf_dir)
+    is_epoch = F.col("event_type") == "purchase"
+    state = _case("event_type", NODE_STATES)
+    return ev.select(
+        "event_id",
+        _run_id(F.col("user_id")).alias("run_id"),
+        F.when(~is_epoch, F.expr("CAST((user_id div 12) % 8 AS INT)")).alias("node"),
+        F.when(~is_epoch, F.expr("CAST(user_id div 96 AS INT)")).alias("attempt"),
+        F.col("t").alias("ts"),
+        state.alias("state"),
+        F.when(F.col("event_type").isin("view", "click"), F.col("k").cast("long")).alias("step"),
+        F.when(is_epoch, (F.lit(1) + F.col("k") % 8).cast("int")).alias("world"),
+        F.when(is_epoch, (F.col("k") % 3).cast("int")).alias("leader"),
+        F.when(is_epoch, F.lit("orch")).otherwise(F.lit("sidecar")).alias("by"),
+    )
+
+
+def step_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank-0 step lines: every non-epoch event; error events roll the step
+    back by 40 (a restore from an older checkpoint); ``ws = 0`` stands for
+    the older log format without a world size."""
+    ev = events_base(spark, sf_dir).filter(F.col("event_type") != "purchase")
+    ms = (F.lit(100) + F.col("k") * 10).cast("int")
+    return ev.select(
+        "event_id",
+        _run_id(F.col("user_id")).alias("run_id"),
+        F.expr("CAST((user_id div 12) % 8 AS INT)").alias("node"),
+        F.expr("CAST(user_id div 96 AS INT)").alias("attempt"),
+        F.when(F.col("event_type") == "error", F.greatest(F.col("event_id") - 40, F.lit(0)))
+        .otherwise(F.col("event_id"))
+        .cast("long")
+        .alias("step"),
+        (F.col("value") / F.lit(50.0)).alias("loss"),
+        ms.alias("ms"),
+        (ms * 3).alias("tok_s"),
+        F.when(F.col("k") % 4 == 0, F.lit(0)).otherwise(F.lit(1) + F.col("k") % 8).cast("int").alias("ws"),
+        "t",
+    )
+
+
+def _members(epoch: Column, run_no: Column) -> Column:
+    mask = ((epoch * 37 + run_no * 11) % 256).cast("int")
+    return F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: mask.bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0)
+
+
+def tick_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status ticks (the supervisor's document), one per epoch event:
+    epoch every 500 events, members a function of (run, epoch), node
+    entries for all eight slots with an AWS state."""
+    ev = events_base(spark, sf_dir).filter(F.col("event_type") == "purchase")
+    run_no = F.col("user_id") % 12
+    epoch = F.expr("CAST(event_id div 500 AS INT)")
+    members = _members(epoch, run_no)
+    nodes = F.transform(
+        F.sequence(F.lit(0), F.lit(7)),
+        lambda i: F.struct(
+            i.alias("node"),
+            (epoch % 3).alias("attempt"),
+            F.concat(F.lit("i-"), F.lpad(_s(run_no * 1000 + i * 10 + epoch % 3), 8, "0")).alias("instance_id"),
+            F.when(F.array_contains(members, i), F.lit("running"))
+            .when((F.col("k") + i) % 3 == 0, F.lit("pending"))
+            .when((F.col("k") + i) % 3 == 1, F.lit("shutting-down"))
+            .otherwise(F.lit("terminated"))
+            .alias("aws_state"),
+        ),
+    )
+    return ev.select(
+        "event_id",
+        _run_id(F.col("user_id")).alias("run_id"),
+        "t",
+        F.col("t").alias("updated_at"),
+        epoch.alias("epoch"),
+        members.alias("members"),
+        F.when(F.col("event_id") < 40, F.lit(-1)).otherwise(F.expr("event_id div 2")).cast("long").alias("ckpt_step"),
+        F.lit(False).alias("done"),
+        nodes.alias("nodes"),
+    )
+
+
+def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decision-log ``published epoch`` lines: one per (run, epoch) seen in
+    the ticks, except epochs with ``epoch % 7 = 3`` (never logged)."""
+    ev = events_base(spark, sf_dir).filter(F.col("event_type") == "purchase")
+    run_no = F.col("user_id") % 12
+    d = ev.select(run_no.alias("run_no"), F.expr("CAST(event_id div 500 AS INT)").alias("epoch")).distinct()
+    d = d.filter(F.col("epoch") % 7 != 3)
+    members = _members(F.col("epoch"), F.col("run_no"))
+    return d.select(
+        _run_id(F.col("run_no")).alias("run_id"),
+        "epoch",
+        members.alias("members"),
+        F.coalesce(F.array_min(members), F.lit(0)).alias("master"),
+    )
+
+
+def termination_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decision-log ``terminated node N (i-…)`` lines: one per error event
+    (lines repeat: the log is re-appended)."""
+    ev = events_base(spark, sf_dir).filter(F.col("event_type") == "error")
+    run_no = F.col("user_id") % 12
+    node = F.expr("CAST((user_id div 12) % 8 AS INT)")
+    attempt = F.expr("CAST(user_id div 96 AS INT)")
+    return ev.select(
+        _run_id(run_no).alias("run_id"),
+        F.col("event_id").alias("pos"),
+        node.alias("node"),
+        F.concat(F.lit("i-"), F.lpad(_s(run_no * 1000 + node * 10 + attempt), 8, "0")).alias("instance_id"),
+    )
+
+
+def instance_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost ledger: one machine per order, replayed into January 2024; the
+    machine stops at the order's last ship date when that is later, else it
+    is still open; priority 5-LOW has no known rate."""
+    o = table(spark, sf_dir, "orders")
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last_ship"))
+    j = o.join(li, o.o_orderkey == li.l_orderkey, "left")
+    scale = lambda c: F.lit(LEDGER_T0) + (epoch_us(c) / F.lit(1e6) - F.lit(ORDERS_T0)) / F.lit(LEDGER_SCALE)
+    return j.select(
+        _run_id(F.col("o_custkey")).alias("run_id"),
+        F.concat(F.lit("i-"), F.lpad(_s(F.col("o_orderkey")), 8, "0")).alias("instance_id"),
+        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit("spot")).otherwise(F.lit("on-demand")).alias("market"),
+        F.concat(F.lit("region-"), _s(F.col("o_custkey") % 3), F.lit("a")).alias("az"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None).cast("double"))
+        .otherwise(F.col("o_totalprice") / F.lit(100000.0))
+        .alias("hourly_usd"),
+        scale(F.col("o_orderdate")).alias("started_at"),
+        F.when(F.col("last_ship") > F.col("o_orderdate"), scale(F.col("last_ship"))).alias("stopped_at"),
+    )
+
+
+def eval_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``eval step S: val_loss X`` lines: one per signup event at step
+    ``event_id + 5`` (between logged steps); lines with ``k % 5 = 0`` are
+    replayed twice (a replacement box re-reads its predecessor's log)."""
+    ev = events_base(spark, sf_dir).filter(F.col("event_type") == "signup")
+    copies = F.explode(F.array(F.lit(1), F.when(F.col("k") % 5 == 0, F.lit(2)))).alias("copy")
+    return ev.select(
+        _run_id(F.col("user_id")).alias("run_id"),
+        (F.col("event_id") + 5).cast("long").alias("step"),
+        (F.col("value") / F.lit(60.0)).alias("loss"),
+        copies,
+    ).filter(F.col("copy").isNotNull()).drop("copy")
+
+
+def rank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``[rank r] step S | ... | ws W [| t T]`` lines of the other nodes: one
+    per click event; half carry no wall clock."""
+    ev = events_base(spark, sf_dir).filter(F.col("event_type") == "click")
+    return ev.select(
+        "event_id",
+        _run_id(F.col("user_id")).alias("run_id"),
+        F.expr("CAST((user_id div 12) % 8 AS INT)").alias("slot"),
+        F.expr("CAST(user_id div 96 AS INT)").alias("gen"),
+        (F.col("event_id") + 3).cast("long").alias("step"),
+        F.when(F.col("k") % 2 == 0, F.col("t")).alias("t"),
+    )
