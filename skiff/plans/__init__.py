@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["market", "serving", "telemetry"]
+_MODULES = ["market", "serving", "telemetry", "corpus"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
