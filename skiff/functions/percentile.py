@@ -65,9 +65,9 @@ def kth_values(
         *[F.struct(F.lit(n).alias("name"), ranks[n](F.col("__n")).cast("long").alias("r")) for n in names]
     )
     targets = (
-        hist.select(*keys, "__b", "__n", "__cum", "__prev", F.explode(rank_arr).alias("__rk"))
-        .filter((F.col("__rk.r") > F.col("__prev")) & (F.col("__rk.r") <= F.col("__cum")))
-        .select(*keys, "__b", F.col("__rk.name").alias("__name"), (F.col("__rk.r") - F.col("__prev")).alias("__off"))
+        hist.select(*keys, "__b", "__n", "__cum", "__prev", F.explode(rank_arr).alias("__rkx"))
+        .filter((F.col("__rkx.r") > F.col("__prev")) & (F.col("__rkx.r") <= F.col("__cum")))
+        .select(*keys, "__b", F.col("__rkx.name").alias("__name"), (F.col("__rkx.r") - F.col("__prev")).alias("__off"))
     )
     counts = hist.groupBy(*keys).agg(F.first("__n").alias("n"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["market", "serving", "telemetry", "corpus", "experiments"]
+_MODULES = ["market", "serving", "telemetry", "corpus", "experiments", "fleet"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}

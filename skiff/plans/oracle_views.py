@@ -237,3 +237,24 @@ VIEWS.update({
            FROM ev WHERE event_type = 'click'""",
     ),
 })
+
+VIEWS.update({
+    "node_obs": (
+        ["tick_nodes", "ticks"],
+        """SELECT n.run_id, n.t, t.event_id, t.epoch, t.members, n.node, n.attempt, n.aws_state,
+             (t.k + n.node) % 7 <> 0 AS registered,
+             CASE WHEN (t.k + n.node) % 5 = 0 THEN NULL ELSE CAST((t.k * 3 + n.node * 17) % 200 AS DOUBLE) END AS log_age_s
+           FROM tick_nodes n JOIN ticks t USING (run_id, t)""",
+    ),
+    "ckpt_listing": (
+        [],
+        """SELECT run_id, CASE WHEN tier = 'local' THEN rnk END AS rank, tier,
+             'runs/' || run_id || '/ckpt/' || tier || CASE WHEN tier = 'local' THEN '/rank' || CAST(rnk AS VARCHAR) ELSE '' END
+               || '/ckpt-' || lpad(CAST(step AS VARCHAR), 12, '0') || '.pt' || CASE WHEN l_suppkey % 17 = 0 THEN '.tmp' ELSE '' END AS path,
+             CAST(l_quantity * 1000 AS BIGINT) AS size
+           FROM (SELECT *, 'run-' || CAST(l_orderkey % 12 AS VARCHAR) AS run_id,
+                        CASE WHEN l_partkey % 3 = 0 THEN 'local' ELSE 'durable' END AS tier,
+                        CAST(l_linenumber % 4 AS INTEGER) AS rnk,
+                        CAST((l_orderkey // 12) * 10 + l_linenumber AS BIGINT) AS step FROM lineitem) x""",
+    ),
+})

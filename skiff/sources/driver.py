@@ -449,3 +449,37 @@ def rank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") + 3).cast("long").alias("step"),
         F.when(F.col("k") % 2 == 0, F.col("t")).alias("t"),
     )
+
+
+# ----------------------------------------------------------------- fleet --
+
+def node_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per status tick and slot: what the supervisor observed — AWS state,
+    registration (no IP when ``(k + node) % 7 = 0``) and log heartbeat age
+    (no log yet when ``(k + node) % 5 = 0``)."""
+    t = tick_docs(spark, sf_dir)
+    e = events_base(spark, sf_dir).select("event_id", "k")
+    x = t.join(e, on="event_id").select("run_id", "t", "event_id", "epoch", "members", "k", F.explode("nodes").alias("n"))
+    nk = F.col("k") + F.col("n.node")
+    return x.select(
+        "run_id", "t", "event_id", "epoch", "members",
+        F.col("n.node").alias("node"), F.col("n.attempt").alias("attempt"), F.col("n.aws_state").alias("aws_state"),
+        (nk % 7 != 0).alias("registered"),
+        F.when(nk % 5 == 0, F.lit(None).cast("double")).otherwise(((F.col("k") * 3 + F.col("n.node") * 17) % 200).cast("double")).alias("log_age_s"),
+    )
+
+
+def checkpoint_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoint object listing: one object per line item; a few are
+    in-flight temporaries; the local tier belongs to one rank."""
+    li = table(spark, sf_dir, "lineitem")
+    run = _run_id(F.col("l_orderkey"))
+    tier = F.when(F.col("l_partkey") % 3 == 0, F.lit("local")).otherwise(F.lit("durable"))
+    rank = (F.col("l_linenumber") % 4).cast("int")
+    step = ((F.col("l_orderkey") / 12).cast("long") * 10 + F.col("l_linenumber")).cast("long")
+    name = F.concat(F.lit("ckpt-"), F.lpad(_s(step), 12, "0"), F.lit(".pt"), F.when(F.col("l_suppkey") % 17 == 0, F.lit(".tmp")).otherwise(F.lit("")))
+    prefix = F.concat(F.lit("runs/"), run, F.lit("/ckpt/"), tier, F.when(tier == "local", F.concat(F.lit("/rank"), _s(rank))).otherwise(F.lit("")))
+    return li.select(
+        run.alias("run_id"), F.when(tier == "local", rank).alias("rank"), tier.alias("tier"),
+        F.concat(prefix, F.lit("/"), name).alias("path"), (F.col("l_quantity") * 1000).cast("long").alias("size"),
+    )
