@@ -31,6 +31,23 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared checkpoint folder
+    (``spark.checkpoint.dir``) and continue from the written copy.  Reliable
+    checkpoints survive executor loss, unlike ``localCheckpoint``."""
+    from skiff.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _has_scan(df: DataFrame) -> bool:
+    # a two-level scan reads its input twice (rows and per-bucket partials);
+    # chaining scans would double the plan at every level, so an input that
+    # already contains a scan is materialised first
+    return _B in df._jdf.queryExecution().logical().toString()
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -57,11 +74,14 @@ def scan(
     order = [F.col(time)] + [F.col(c) for c in tiebreak]
     ostruct = F.struct(*order)
 
-    base = df.withColumn(_B, F.floor(F.col(time) / F.lit(float(width))).cast("long"))
     # materialise the expressions once so both levels read the same values
+    if _has_scan(df):
+        df = materialize(df)
+    exprs = {_B: F.floor(F.col(time) / F.lit(float(width))).cast("long")}
     for prefix, spec in (("__sc_s_", sums), ("__sc_x_", maxes), ("__sc_m_", mins), ("__sc_l_", lasts), ("__sc_p_", prevs), ("__sc_n_", nexts)):
         for name, expr in spec.items():
-            base = base.withColumn(prefix + name, _col(expr))
+            exprs[prefix + name] = _col(expr)
+    base = df.withColumns(exprs)
 
     w_in = Window.partitionBy(*keys, _B).orderBy(*order)
     w_run = w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -99,38 +119,39 @@ def scan(
 
     carry = base.groupBy(*keys, _B).agg(*parts).select(*keys, _B, *carry_cols)
 
-    out = base
+    within = {}
     if prevs:
-        out = out.withColumn(_RN, F.row_number().over(w_in))
+        within[_RN] = F.row_number().over(w_in)
     for n in sums:
-        out = out.withColumn("__sc_rs_" + n, F.sum("__sc_s_" + n).over(w_run))
+        within["__sc_rs_" + n] = F.sum("__sc_s_" + n).over(w_run)
     for n in maxes:
-        out = out.withColumn("__sc_rx_" + n, F.max("__sc_x_" + n).over(w_run))
+        within["__sc_rx_" + n] = F.max("__sc_x_" + n).over(w_run)
     for n in mins:
-        out = out.withColumn("__sc_rm_" + n, F.min("__sc_m_" + n).over(w_run))
+        within["__sc_rm_" + n] = F.min("__sc_m_" + n).over(w_run)
     for n in lasts:
-        out = out.withColumn("__sc_rl_" + n, F.last("__sc_l_" + n, ignorenulls=True).over(w_run))
+        within["__sc_rl_" + n] = F.last("__sc_l_" + n, ignorenulls=True).over(w_run)
     for n in prevs:
-        out = out.withColumn("__sc_rp_" + n, F.lag("__sc_p_" + n).over(w_in))
+        within["__sc_rp_" + n] = F.lag("__sc_p_" + n).over(w_in)
     for n in nexts:
-        out = out.withColumn("__sc_rn_" + n, F.lead("__sc_n_" + n).over(w_in))
-        out = out.withColumn("__sc_rnz_" + n, F.lead(F.lit(1)).over(w_in))
+        within["__sc_rn_" + n] = F.lead("__sc_n_" + n).over(w_in)
+        within["__sc_rnz_" + n] = F.lead(F.lit(1)).over(w_in)
+    out = base.withColumns(within).join(carry, on=[*keys, _B], how="inner")
 
-    out = out.join(carry, on=[*keys, _B], how="inner")
+    final = {}
     for n in sums:
-        out = out.withColumn(n, F.col("__sc_cs_" + n) + F.col("__sc_rs_" + n))
+        final[n] = F.col("__sc_cs_" + n) + F.col("__sc_rs_" + n)
     for n in maxes:
-        out = out.withColumn(n, F.greatest("__sc_cx_" + n, "__sc_rx_" + n))
+        final[n] = F.greatest("__sc_cx_" + n, "__sc_rx_" + n)
     for n in mins:
-        out = out.withColumn(n, F.least("__sc_cm_" + n, "__sc_rm_" + n))
+        final[n] = F.least("__sc_cm_" + n, "__sc_rm_" + n)
     for n in lasts:
-        out = out.withColumn(n, F.coalesce("__sc_rl_" + n, "__sc_cl_" + n))
+        final[n] = F.coalesce("__sc_rl_" + n, "__sc_cl_" + n)
     for n in prevs:
-        out = out.withColumn(n, F.when(F.col(_RN) == 1, F.col("__sc_cp_" + n)).otherwise(F.col("__sc_rp_" + n)))
+        final[n] = F.when(F.col(_RN) == 1, F.col("__sc_cp_" + n)).otherwise(F.col("__sc_rp_" + n))
     for n in nexts:
-        out = out.withColumn(n, F.when(F.col("__sc_rnz_" + n).isNull(), F.col("__sc_cn_" + n)).otherwise(F.col("__sc_rn_" + n)))
-    drop = [c for c in out.columns if c.startswith("__sc_")]
-    return out.drop(*drop)
+        final[n] = F.when(F.col("__sc_rnz_" + n).isNull(), F.col("__sc_cn_" + n)).otherwise(F.col("__sc_rn_" + n))
+    keep = [c for c in df.columns if c not in final]
+    return out.select(*[F.col(c) for c in keep], *[v.alias(k) for k, v in final.items()])
 
 
 def islands(

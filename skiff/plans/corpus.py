@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skiff.functions.tokenize import char_ids, char_vocab
 from skiff.operators import corpus as C
+from skiff.operators.scan import materialize
 from skiff.sources.tables import table
 
 BLOCK = 1024        # context length of the evaluation windows
@@ -20,10 +21,12 @@ def _docs(spark, sf):
 
 
 def _tokens(spark, sf):
+    """Tokenized documents with their split, written once to the shared
+    checkpoint folder (the token cache every later stage reads)."""
     docs = _docs(spark, sf)
     split = C.holdout_split(docs)
-    vocab = char_vocab(docs)
-    return char_ids(split, vocab)
+    vocab = materialize(char_vocab(docs))
+    return materialize(char_ids(split, vocab))
 
 
 def _offsets(spark, sf):
