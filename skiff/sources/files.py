@@ -372,7 +372,7 @@ def metric_samples(spark: SparkSession, path: str, metric: str) -> DataFrame:
     per worker for one counter family."""
     d = spark.read.text(path).filter(F.col("value").startswith(metric + "{"))
     labels = F.regexp_extract("value", r"\{([^}]*)\}", 1)
-    lab_map = F.str_to_map(F.regexp_replace(labels, '"', ""), ",", "=")
+    lab_map = F.str_to_map(F.regexp_replace(labels, '"', ""), F.lit(","), F.lit("="))
     val = F.regexp_extract("value", r"\}\s+([0-9.eE+-]+)", 1).cast("double")
     w = d.select(F.element_at(lab_map, "worker_id").alias("worker_id"), val.alias("v")).filter(F.col("worker_id").isNotNull() & (F.col("worker_id") != ""))
     return w.groupBy("worker_id").agg(F.sum(F.floor("v")).cast("long").alias("value"))
