@@ -43,25 +43,28 @@ def holdout_split(docs: DataFrame, val_fraction: float = VAL_FRACTION, seed: int
     """CP-01: exactly ``ceil(n * val_fraction)`` documents go to ``val`` — the
     ones with the smallest ``(key, doc_id)`` — the rest to ``train``.
 
-    The cut-off key is found with the exact two-pass selection (no global
-    sort, no ``limit`` of millions of rows into one task); only documents
-    sharing the cut-off key are ranked by id (a handful at most)."""
-    d = docs.withColumn("__h", split_key(F.col("doc_id"), seed)).withColumn("__g", F.lit(0))
-    k_of = lambda n: F.ceil(n * F.lit(val_fraction))
-    cut = kth_values(d, ["__g"], "__h", {"cut": k_of}).select("n", "cut")
-    n = cut.select("n").scalar()
-    cutv = cut.select("cut").scalar()
-    k = F.ceil(n * F.lit(val_fraction))
-    below = d.filter(F.col("__h") < cutv).agg(F.count(F.lit(1))).scalar()
-    ties = d.filter(F.col("__h") == cutv).select("doc_id", "__h")
-    # ties at the cut-off key: a tiny set, ranked by doc_id
+    Works on the ids only: the cut-off key is found with the exact two-pass
+    selection (no global sort, no ``limit`` of millions of rows into one
+    task), the validation ids (a ``val_fraction`` share) are written once,
+    and documents are marked by a join on them; only ids sharing the cut-off
+    key are ranked (a handful at most)."""
     from pyspark.sql import Window
 
+    from skiff.operators.scan import materialize
+
+    ids = docs.select("doc_id").withColumn("__h", split_key(F.col("doc_id"), seed)).withColumn("__g", F.lit(0))
+    ids = materialize(ids)
+    k_of = lambda n: F.ceil(n * F.lit(val_fraction))
+    cut = materialize(kth_values(ids, ["__g"], "__h", {"cut": k_of}).select("__g", "n", "cut"))
+    j = ids.join(F.broadcast(cut), on="__g")  # one row
+    below = j.filter(F.col("__h") < F.col("cut"))
+    nb = below.groupBy("__g").agg(F.count(F.lit(1)).alias("__nb"))
+    ties = j.filter(F.col("__h") == F.col("cut")).join(nb, on="__g", how="left")
     ties = ties.withColumn("__r", F.row_number().over(Window.partitionBy("__h").orderBy("doc_id")))
-    tie_in = ties.filter(F.col("__r") <= k - below).select("doc_id", F.lit(True).alias("__tie"))
-    out = d.join(tie_in, on="doc_id", how="left")
-    is_val = (F.col("__h") < cutv) | F.coalesce(F.col("__tie"), F.lit(False))
-    return out.withColumn("split", F.when(is_val, F.lit("val")).otherwise(F.lit("train"))).drop("__h", "__g", "__tie")
+    ties = ties.filter(F.col("__r") <= F.ceil(F.col("n") * F.lit(val_fraction)) - F.coalesce(F.col("__nb"), F.lit(0)))
+    val_ids = below.select("doc_id").unionByName(ties.select("doc_id")).withColumn("__val", F.lit(True))
+    out = docs.join(val_ids, on="doc_id", how="left")
+    return out.withColumn("split", F.when(F.col("__val"), F.lit("val")).otherwise(F.lit("train"))).drop("__val")
 
 
 def prefix_offsets(tokens: DataFrame, keys: list[str], order: str = "doc_id", length: str = "len", width: float = 100_000.0) -> DataFrame:
