@@ -258,3 +258,16 @@ VIEWS.update({
                         CAST((l_orderkey // 12) * 10 + l_linenumber AS BIGINT) AS step FROM lineitem) x""",
     ),
 })
+
+VIEWS.update({
+    "marks": (
+        ["lifecycle"],
+        f"""SELECT run_id, 'launch' AS event, min(ts) AS t, CAST(-2 AS BIGINT) AS seq FROM lifecycle GROUP BY run_id
+           UNION ALL SELECT run_id, 'train_start', min(ts), CAST(-1 AS BIGINT) FROM lifecycle WHERE state = 'training' GROUP BY run_id
+           UNION ALL SELECT run_id, CASE WHEN state = 'killed' THEN 'kill' WHEN state = 'provisioning' AND attempt > 0 THEN 'relaunch'
+                                         WHEN state = 'epoch' AND world < 8 THEN 'shrink_resume' WHEN state = 'epoch' AND world = 8 THEN 'full_world' END,
+                            ts, event_id FROM lifecycle
+                     WHERE state = 'killed' OR (state = 'provisioning' AND attempt > 0) OR state = 'epoch'
+           UNION ALL SELECT run_id, 'metrics', max(ts), CAST({1 << 62} AS BIGINT) FROM lifecycle GROUP BY run_id""",
+    ),
+})

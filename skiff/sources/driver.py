@@ -483,3 +483,26 @@ def checkpoint_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         run.alias("run_id"), F.when(tier == "local", rank).alias("rank"), tier.alias("tier"),
         F.concat(prefix, F.lit("/"), name).alias("path"), (F.col("l_quantity") * 1000).cast("long").alias("size"),
     )
+
+
+def mark_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control-plane marks per run from the lifecycle records: launch (first
+    record), train_start (first training), kill, relaunch (a replacement's
+    provisioning), shrink_resume (an epoch below 8), full_world (an epoch at
+    8), metrics (last record).  ``seq`` orders marks at one time."""
+    ev = lifecycle_records(spark, sf_dir)
+    first = ev.groupBy("run_id").agg(F.min("ts").alias("t"), F.max("ts").alias("last_t"))
+    tstart = ev.filter(F.col("state") == "training").groupBy("run_id").agg(F.min("ts").alias("t"))
+    name = (
+        F.when(F.col("state") == "killed", F.lit("kill"))
+        .when((F.col("state") == "provisioning") & (F.col("attempt") > 0), F.lit("relaunch"))
+        .when((F.col("state") == "epoch") & (F.col("world") < TARGET_WORLD), F.lit("shrink_resume"))
+        .when((F.col("state") == "epoch") & (F.col("world") == TARGET_WORLD), F.lit("full_world"))
+    )
+    body = ev.select("run_id", name.alias("event"), F.col("ts").alias("t"), F.col("event_id").alias("seq")).filter(F.col("event").isNotNull())
+    return (
+        first.select("run_id", F.lit("launch").alias("event"), "t", F.lit(-2).cast("long").alias("seq"))
+        .unionByName(tstart.select("run_id", F.lit("train_start").alias("event"), "t", F.lit(-1).cast("long").alias("seq")))
+        .unionByName(body)
+        .unionByName(first.select("run_id", F.lit("metrics").alias("event"), F.col("last_t").alias("t"), F.lit(1 << 62).cast("long").alias("seq")))
+    )
