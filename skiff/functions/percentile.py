@@ -126,3 +126,16 @@ def median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median")
     """True median (mean of the two middle values for even counts)."""
     r = kth_values(df, keys, value, {"__lo": lower_median(), "__hi": upper_median()})
     return r.withColumn(out, (F.col("__lo") + F.col("__hi")) / 2).drop("__lo", "__hi")
+
+
+def rank_rule(name: str, p: float) -> Callable[[Column], Column]:
+    """UDF-05: the percentile flavour chosen by name: ``nearest_rank`` (load
+    generator), ``rounded_index`` (calibration script), ``upper_median``,
+    ``lower_median``."""
+    rules = {
+        "nearest_rank": lambda: nearest_rank(p),
+        "rounded_index": lambda: rounded_index(p),
+        "upper_median": upper_median,
+        "lower_median": lower_median,
+    }
+    return rules[name]()

@@ -334,3 +334,46 @@ def kill_drift(planned: DataFrame, fired: DataFrame, tolerance_s: float = 90.0)
         "run_id", "node", "ordinal", "planned_t", "fired_t", (F.col("fired_t") - F.col("planned_t")).alias("drift_s"),
         F.coalesce(F.abs(F.col("fired_t") - F.col("planned_t")) <= tolerance_s, F.lit(False)).alias("passed"),
     )
+
+
+def sample_grid(samples: DataFrame) -> DataFrame:
+    """JN-18: every prompt x run x step side by side; a missing completion
+    stays visible as null.  The prompt list is the evaluation set (small
+    and fixed) and enters each run as one array value, so the grid is built
+    by ``explode`` rather than a cross join."""
+    prompts = samples.agg(F.array_sort(F.collect_set("prompt"))).scalar()
+    steps = samples.select("run_id", "step").distinct().withColumn("__p", prompts)
+    grid = steps.select("run_id", "step", F.explode("__p").alias("prompt"))
+    first = samples.filter(F.col("sample_index") == 0).groupBy("run_id", "step", "prompt").agg(F.first("completion").alias("completion"))
+    return grid.join(first, ["run_id", "step", "prompt"], "left")
+
+
+def comparison_rows(summary: DataFrame, phases: DataFrame, cost: DataFrame) -> DataFrame:
+    """AG-52: the comparison table: summary facts, seconds per phase (one
+    column per phase) and dollars, one row per run."""
+    wide = phases.groupBy("run_id").pivot("phase").agg(F.first("seconds"))
+    return summary.join(wide, "run_id", "left").join(cost, "run_id", "left")
+
+
+def recovery_rounds(kills: DataFrame, epochs: DataFrame, full_world: int, width: float = 86400.0) -> DataFrame:
+    """AG-53: kill rounds (kills sharing one time) with nodes lost, the first
+    shrunken epoch after the round (detection, with its world size) and the
+    first epoch back at the full world (kill -> full world), each only
+    before the next round.  Forward as-of joins on negated time: no pairs."""
+    from skiff.operators.asof import asof_join
+
+    rounds = kills.groupBy("run_id", F.col("t").alias("kill_t")).agg(F.count(F.lit(1)).alias("nodes_lost"))
+    rounds = scan(rounds, ["run_id"], "kill_t", width=width, nexts={"next_kill": F.col("kill_t")})
+    e = epochs.select("run_id", F.col("t").alias("et"), F.size("members").alias("world"))
+    neg = rounds.withColumn("__nt", -F.col("kill_t")).withColumn("__id", F.col("kill_t"))
+    shr = e.filter(F.col("world") < full_world).withColumn("__nt", -F.col("et"))
+    ful = e.filter(F.col("world") >= full_world).withColumn("__nt", -F.col("et"))
+    j = asof_join(neg, shr, ["run_id"], "__nt", "__nt", ["et", "world"], prefix="s_", strict=True, left_tiebreak=["__id"], width=width)
+    j = asof_join(j, ful, ["run_id"], "__nt", "__nt", ["et"], prefix="f_", strict=True, left_tiebreak=["__id"], width=width)
+    before = lambda c: F.when(F.col("next_kill").isNull() | (F.col(c) <= F.col("next_kill")), F.col(c))
+    j = j.withColumn("shrink_t", before("s_et")).withColumn("full_t", before("f_et"))
+    return j.select(
+        "run_id", "kill_t", "nodes_lost", F.when(F.col("shrink_t").isNotNull(), F.col("s_world")).alias("shrunk_world"),
+        (F.col("shrink_t") - F.col("kill_t")).alias("detection_s"), (F.col("full_t") - F.col("kill_t")).alias("kill_to_full_s"),
+        (F.col("full_t") - F.col("shrink_t")).alias("degraded_s"),
+    )

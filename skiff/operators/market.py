@@ -434,3 +434,19 @@ def verdict(sps: DataFrame, threshold: float, home_region: str, home_type: str)
         best_hour_p.alias("best_hour_p"),
         avg_hour_p.alias("avg_hour_p"),
     )
+
+
+def record_envelope(df: DataFrame, kind: str, tick_id: Column, t: Column) -> DataFrame:
+    """PRJ-01: the common record envelope: type, tick id, ISO-8601 UTC time
+    and epoch seconds to 3 decimals."""
+    return df.select(
+        F.lit(kind).alias("type"), tick_id.alias("tick_id"),
+        F.date_format(F.timestamp_seconds(t), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
+        F.round(t, 3).alias("t"), *df.columns,
+    )
+
+
+def top_hours(hours: DataFrame, k: int = 6, weekday: bool = False) -> DataFrame:
+    """TK-01: the best hours (or weekday-hours) by odds, total tie order."""
+    keys = ["weekday", "hour"] if weekday else ["hour"]
+    return hours.orderBy(F.desc_nulls_last("p_good"), F.desc("ticks"), *keys).limit(k)

@@ -428,3 +428,13 @@ def recovery(per_sec: DataFrame, totals: DataFrame, kill_rel: float, ttl: float)
         F.col("dropped").alias("total_dropped"),
         ((F.col("failed") == 0) & F.col("recovery_s").isNotNull() & (F.col("recovery_s") <= ttl + 10)).alias("passed"),
     )
+
+
+def requests_per_node(before: DataFrame, after: DataFrame, placement: DataFrame) -> DataFrame:
+    """JN-12: requests served per node during a test: counter after minus
+    before per worker (full join: a worker missing before counts from 0),
+    only workers that served, then placed on their node."""
+    j = after.select("worker_id", F.col("value").alias("after")).join(
+        before.select("worker_id", F.col("value").alias("before")), "worker_id", "full")
+    d = j.select("worker_id", (F.coalesce(F.col("after"), F.lit(0)) - F.coalesce(F.col("before"), F.lit(0))).alias("requests"))
+    return d.filter(F.col("requests") > 0).join(placement, "worker_id", "left")

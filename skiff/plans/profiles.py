@@ -153,3 +153,13 @@ ORACLE = {
         "steps", "marks",
     ),
 }
+
+
+def q_recovery_rounds(spark, sf):
+    from skiff.operators.experiments import recovery_rounds
+
+    kills = D.lifecycle_records(spark, sf).filter(F.col("state") == "killed").select("run_id", F.col("ts").alias("t"))
+    return recovery_rounds(kills, _timeline(spark, sf), full_world=8)
+
+
+QUERIES["prof_recovery_rounds"] = q_recovery_rounds

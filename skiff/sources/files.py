@@ -402,3 +402,12 @@ def discover_runs(status: DataFrame, listing: DataFrame, now: float, heartbeat_t
     )
     extra = lst.join(from_status.select("run_id", "node", "attempt"), on=["run_id", "node", "attempt"], how="left_anti")
     return from_status.unionByName(extra)
+
+
+def tail_lines(lines: DataFrame, n: int) -> DataFrame:
+    """TK-03: the last ``n`` lines of each log file, in order (a window per
+    file: one file is one writer's output)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("file_path").orderBy(F.desc("block_start"), F.desc("seq"))
+    return lines.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")

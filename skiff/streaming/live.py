@@ -242,3 +242,21 @@ def hourly_best(sps: DataFrame, threshold: float, watermark: str = "2 hours") ->
     s = event_time(sps, "t").withWatermark("event_time", watermark)
     best = s.groupBy(F.window("event_time", "1 hour").alias("w"), "tick_id").agg(F.max("score").alias("best"))
     return best.groupBy("w").agg(F.count(F.lit(1)).alias("ticks"), F.avg((F.col("best") >= threshold).cast("double")).alias("p_good"))
+
+
+def log_stream(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-19: new bytes of growing logs as a file stream.  A file source
+    reads each finished file once, so producers roll their logs (one file
+    per segment); offsets live in the stream checkpoint."""
+    from skiff.sources import files as S
+
+    d = spark.readStream.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_name").alias("file_name"),
+    )
+    d = d.withColumn("run_id", F.regexp_extract("file_path", r"runs/([^/]+)/", 1)).withColumn(
+        "node", F.regexp_extract("file_name", S.NODE_RE, 1).cast("int")).withColumn(
+        "attempt", F.coalesce(F.nullif(F.regexp_extract("file_name", S.NODE_RE, 2), F.lit("")).cast("int"), F.lit(0)))
+    m = d.filter(F.col("line").rlike(S.STEP_RE_OLD))
+    return m.select("run_id", "node", "attempt",
+                    *S._extract("line", S.STEP_RE_OLD, {"step": (1, "long"), "loss": (2, "double"), "ms": (3, "int"), "tok_s": (4, "int"), "ws": (5, "int")}))
