@@ -17,7 +17,7 @@ step 30: loss 2.9000, 80ms/step, 15300 tok/s, ws 2, t 1700000210.000
 eval step 250: val_loss 2.1034
 eval step 250: val_loss 2.1034
 number of parameters: 123.69M
-DATASET=openwebtext N_LAYER=12 N_HEAD=12 N_EMBD=768
+DATASET=webtext N_LAYER=12 N_HEAD=12 N_EMBD=768
 num decayed parameter tensors: 50, with 124,318,464 parameters
 num non-decayed parameter tensors: 98, with 121,344 parameters
 [event] {"ts":152.0,"node":1,"state":"killed","cause":"scheduled-kill","by":"orch"}
@@ -93,7 +93,7 @@ def test_status_ticks_both_layouts(spark, tmpdir_path):
 
 
 def test_spot_shards_window_and_corruption(spark, tmpdir_path):
-    root = f"{tmpdir_path}/spotwatch"
+    root = f"{tmpdir_path}/capacity"
     base = {"tick_id": "t1", "ts": "2024-01-01T00:00:00Z", "region": "us-east-1", "az_id": "use1-az1",
             "instance_type": "g5.xlarge", "capacity": 8, "single_az": True, "score": 7}
     rows = [dict(base, type="sps", t=1000.0, scope="region"), dict(base, type="sps", t=1000.0, scope="global_top10"),
