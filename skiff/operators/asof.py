@@ -42,6 +42,8 @@ def asof_join(
     lcols = left.columns
     lt = left.withColumn("__t", F.col(left_t)).withColumn("__src", F.lit(1))
     for c in left_tiebreak:
+        if c in keys:
+            raise ValueError(f"tie-break column {c!r} is a join key")
         r = r.withColumn(c, F.lit(None).cast(left.schema[c].dataType))
     u = lt.unionByName(r, allowMissingColumns=True)
     s = scan(u, keys, "__t", ["__src", *left_tiebreak], width=width, lasts={"__m": F.col("__r")})

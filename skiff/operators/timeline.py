@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skiff.operators.asof import asof_join
 from skiff.operators.scan import islands, scan, spans
 
 # Node state -> timeline label (fixed values of the reference's reducer).
@@ -328,3 +329,92 @@ def generation_spans(rows: DataFrame, width: float = 1e6) -> DataFrame:
     end = F.greatest(start, F.col("end0"), F.coalesce(F.col("__prev_end"), start))
     name = F.concat(F.lit("node"), F.col("slot").cast("string"), F.when(F.col("gen") > 0, F.concat(F.lit("-r"), F.col("gen").cast("string"))).otherwise(F.lit("")))
     return g.select("run_id", "slot", "gen", name.alias("name"), start.alias("start"), end.alias("end"))
+
+
+# ---------------------------------------------------------------- occupancy --
+
+PROV_SCHEMA = "run_id string, slot int, a double, b double"
+BILLABLE = ["pending", "running"]
+
+
+def assign_replacements(downs: DataFrame, starts: DataFrame, lead_s: float = 180.0, pre_epoch_s: float = 60.0) -> DataFrame:
+    """JN-11: give each down period of a slot the first unused machine that
+    started in ``[t_out - 180 s, t_in)``, slots in ascending order, only
+    machines started after the first epoch - 60 s.  The assignment is
+    greedy and order-dependent, so it runs per run with ``applyInPandas``
+    (one run's down periods and machine starts: small, bounded groups)."""
+    d = downs.select("run_id", "slot", "t_out", "t_in", "first_epoch", F.lit(None).cast("double").alias("started_at"))
+    s = starts.select("run_id", F.lit(None).cast("int").alias("slot"), F.lit(None).cast("double").alias("t_out"),
+                      F.lit(None).cast("double").alias("t_in"), F.lit(None).cast("double").alias("first_epoch"), "started_at")
+    u = d.unionByName(s)
+
+    def greedy(pdf):
+        import pandas as pd
+
+        run_id = pdf["run_id"].iloc[0]
+        dn = pdf[pdf["slot"].notna()].sort_values(["slot", "t_out"])
+        st = sorted(pdf["started_at"].dropna().tolist())
+        run_start = (dn["first_epoch"].min() - pre_epoch_s) if len(dn) else 0.0
+        used, out = set(), []
+        for r in dn.itertuples(index=False):
+            t_in = r.t_in if pd.notna(r.t_in) else float("inf")
+            for k, x in enumerate(st):
+                if k not in used and r.t_out - lead_s <= x < t_in and x > run_start:
+                    used.add(k)
+                    out.append((run_id, int(r.slot), max(x, r.t_out), t_in))
+                    break
+        return pd.DataFrame(out, columns=["run_id", "slot", "a", "b"])
+
+    return u.groupBy("run_id").applyInPandas(greedy, PROV_SCHEMA)
+
+
+def occupancy(timeline: DataFrame, ticks: DataFrame, ledger: DataFrame, target: int, width: float = 86400.0) -> DataFrame:
+    """WN-26: per-slot state (leader / training / provisioning / down) at every
+    transition: epoch boundaries (preceded by the boot row of the first
+    poll), starts of replacement windows (JN-11) and polls where the set of
+    billable boxes changed; a down slot with a billable box or inside a
+    replacement window reads provisioning; unchanged rows are dropped."""
+    slots = F.sequence(F.lit(0), F.lit(target - 1))
+    base = timeline.select("run_id", "t", F.explode(slots).alias("slot"), "members", "master").select(
+        "run_id", "t", "slot",
+        F.when(F.array_contains("members", F.col("slot")), F.when(F.col("slot") == F.col("master"), F.lit("leader")).otherwise(F.lit("training")))
+        .otherwise(F.lit("down")).alias("state"), F.lit(1).alias("__ord"))
+    first_ep = timeline.groupBy("run_id").agg(F.min("t").alias("first_epoch"))
+    polls = ticks.select("run_id", "t", "event_id", F.explode("nodes").alias("n")).filter(
+        F.coalesce(F.col("n.aws_state"), F.lit("")).isin(BILLABLE)).groupBy("run_id", "t", "event_id").agg(
+        F.array_sort(F.collect_set(F.col("n.node"))).alias("boxed"))
+    allpolls = ticks.select("run_id", "t", "event_id").join(polls, ["run_id", "t", "event_id"], "left").withColumn(
+        "boxed", F.coalesce(F.col("boxed"), F.array().cast("array<int>")))
+    boot_t = ticks.groupBy("run_id").agg(F.min_by(F.struct("t", "event_id"), F.struct("t", "event_id")).alias("b")).select("run_id", "b.t", "b.event_id")
+    boot = boot_t.join(allpolls, ["run_id", "t", "event_id"]).join(first_ep, "run_id", "left").filter(
+        F.col("first_epoch").isNull() | (F.col("t") < F.col("first_epoch")))
+    boot = boot.select("run_id", "t", F.explode(slots).alias("slot"), "boxed").select(
+        "run_id", "t", "slot", F.when(F.array_contains("boxed", F.col("slot")), F.lit("provisioning")).otherwise(F.lit("down")).alias("state"),
+        F.lit(0).alias("__ord"))
+    base = boot.unionByName(base)
+    # down periods per slot: islands of consecutive base rows in state down
+    isl = islands(base.withColumn("__down", F.col("state") == "down"), ["run_id", "slot"], "t", ["__down"], ["__ord"], width=width, out="__i")
+    isl = scan(isl, ["run_id", "slot"], "t", ["__ord"], width=width, nexts={"__nt": F.col("t")})
+    downs = isl.filter("__down").groupBy("run_id", "slot", "__i").agg(
+        F.min("t").alias("t_out"), F.max_by("__nt", F.struct("t", "__ord")).alias("t_in")).join(first_ep, "run_id", "left")
+    prov = assign_replacements(downs, ledger.select("run_id", "started_at"))
+    # transition times
+    chg = scan(allpolls, ["run_id"], "t", ["event_id"], width=width, prevs={"__pb": F.col("boxed")})
+    chg = chg.filter(F.col("__pb").isNotNull() & (F.col("__pb") != F.col("boxed"))).select("run_id", "t")
+    t_first = base.groupBy("run_id").agg(F.min("t").alias("__tf"))
+    times = base.select("run_id", "t").unionByName(prov.select("run_id", F.col("a").alias("t"))).unionByName(
+        chg.join(t_first, "run_id").filter(F.col("t") >= F.col("__tf")).select("run_id", "t")).distinct()
+    grid = times.select("run_id", "t", F.explode(slots).alias("slot"))
+    g = asof_join(grid, base, ["run_id", "slot"], "t", "t", ["state", "__ord"], prefix="b_", width=width)
+    g = asof_join(g, allpolls.select("run_id", "t", "boxed"), ["run_id"], "t", "t", ["boxed"], prefix="p_", left_tiebreak=["slot"], width=width)
+    g = asof_join(g, prov.select("run_id", "slot", "a", "b"), ["run_id", "slot"], "t", "a", ["b"], prefix="w_", left_tiebreak=[], width=width)
+    st = F.coalesce(F.col("b_state"), F.lit("down"))
+    inwin = F.col("w_b").isNotNull() & (F.col("t") < F.col("w_b"))
+    boxed = F.coalesce(F.array_contains("p_boxed", F.col("slot")), F.lit(False))
+    state = F.when((st == "down") & (boxed | inwin), F.lit("provisioning")).otherwise(st)
+    rows = g.withColumn("state", state).groupBy("run_id", "t").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("slot", "state"))), lambda x: x["state"]).alias("slots"))
+    rows = scan(rows, ["run_id"], "t", width=width, prevs={"__ps": F.col("slots")})
+    rows = rows.filter(F.col("__ps").isNull() | (F.col("__ps") != F.col("slots")))
+    return rows.select("run_id", F.floor(F.col("t") * 1000).cast("long").alias("time"),
+                       *[F.col("slots")[i].alias(f"slot{i}") for i in range(target)])

@@ -441,3 +441,11 @@ SELECT run_id, slot, gen, 'node' || CAST(slot AS VARCHAR) || CASE WHEN gen > 0 T
        greatest(start0, coalesce(prev_end, start0)) AS start,
        greatest(greatest(start0, coalesce(prev_end, start0)), end0, coalesce(prev_end, start0)) AS "end"
 FROM g2"""
+
+
+def q_occupancy(spark, sf):
+    ticks = D.tick_docs(spark, sf)
+    return T.occupancy(_timeline(spark, sf), ticks, D.instance_ledger(spark, sf), TARGET)
+
+
+QUERIES["telemetry_occupancy"] = q_occupancy

@@ -94,3 +94,22 @@ def test_member_changes_and_survivors(spark):
     assert ch == [(2.0, "lost", 2), (3.0, "joined", 2)]
     sv = sorted((r.t, tuple(r.survivors)) for r in T.survivors(tl).collect())
     assert sv == [(2.0, (0, 1, 3)), (3.0, (0, 1, 3))]
+
+
+def test_occupancy_grid_with_replacement(spark):
+    tl = spark.createDataFrame(
+        [("r", 100.0, 1, 1, [0, 1], 0), ("r", 200.0, 2, 2, [1], 1), ("r", 400.0, 3, 3, [0, 1], 1)],
+        "run_id string, t double, event_id long, epoch int, members array<int>, master int")
+    def nodes(s0, s1):
+        return [(0, 0, "i-0", s0), (1, 0, "i-1", s1)]
+    ticks = spark.createDataFrame(
+        [("r", 50.0, 10, nodes("pending", "pending")), ("r", 150.0, 11, nodes("running", "running")),
+         ("r", 210.0, 12, nodes("terminated", "running")), ("r", 260.0, 13, nodes("pending", "running")),
+         ("r", 410.0, 14, nodes("running", "running"))],
+        "run_id string, t double, event_id long, nodes array<struct<node:int,attempt:int,instance_id:string,aws_state:string>>")
+    ledger = spark.createDataFrame([("r", 0.0), ("r", 0.0), ("r", 250.0)], "run_id string, started_at double")
+    rows = [(r.time, r.slot0, r.slot1) for r in T.occupancy(tl, ticks, ledger, 2).orderBy("time").collect()]
+    assert rows == [
+        (50000, "provisioning", "provisioning"), (100000, "leader", "training"), (200000, "provisioning", "leader"),
+        (210000, "down", "leader"), (250000, "provisioning", "leader"), (400000, "training", "leader"),
+    ]
