@@ -32,20 +32,27 @@ def _col(c) -> Column:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared checkpoint folder
+    """Cut the lineage: checkpoint ``df`` into the shared checkpoint folder
     (``spark.checkpoint.dir``) and continue from the written copy.  Reliable
-    checkpoints survive executor loss, unlike ``localCheckpoint``."""
+    checkpoints survive executor loss (never ``localCheckpoint``).  Measured
+    against a written parquet table and against persist-then-checkpoint on
+    sf0.1: the plain checkpoint was the fastest of the three."""
     from skiff.session import checkpoint_dir
 
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+# a two-level scan reads its input twice (rows and per-bucket partials);
+# chaining scans doubles the plan at every level, so once an input carries
+# more than this many scans it is materialised first (bounded plan size)
+MAX_NESTED_SCANS = 2
+
+
 def _has_scan(df: DataFrame) -> bool:
-    # a two-level scan reads its input twice (rows and per-bucket partials);
-    # chaining scans would double the plan at every level, so an input that
-    # already contains a scan is materialised first
-    return _B in df._jdf.queryExecution().logical().toString()
+    plan = df._jdf.queryExecution().logical().toString()
+    # every scan projects its bucket column once in its input projection
+    return plan.count(f"AS {_B}") > MAX_NESTED_SCANS
 
 
 def scan(
