@@ -261,5 +261,5 @@ def world_window_rates(ticks: DataFrame, width: float = 86400.0) -> DataFrame:
     ).withColumn("rate", F.when(F.col("end") > F.col("start"), F.col("steps") / (F.col("end") - F.col("start"))))
     full = w.groupBy("run_id").agg(F.max("world").alias("__fw"))
     fr = w.join(full, "run_id").filter(F.col("world") == F.col("__fw")).groupBy("run_id").agg(
-        (F.sum("steps") / F.sum(F.col("end") - F.col("start"))).alias("full_rate"))
-    return w.join(fr, "run_id", "left").withColumn("rate_vs_full", F.col("rate") / F.col("full_rate"))
+        F.try_divide(F.sum("steps").cast("double"), F.sum(F.col("end") - F.col("start"))).alias("full_rate"))
+    return w.join(fr, "run_id", "left").withColumn("rate_vs_full", F.try_divide(F.col("rate"), F.col("full_rate"))).drop("__i")

@@ -163,3 +163,74 @@ def q_recovery_rounds(spark, sf):
 
 
 QUERIES["prof_recovery_rounds"] = q_recovery_rounds
+
+
+def q_top_hours(spark, sf):
+    from skiff.operators import market as M
+    from skiff.plans.market import HOME_REGION, HOME_TYPE, THRESHOLD
+
+    return M.top_hours(M.hourly_odds(D.sps_records(spark, sf), THRESHOLD, HOME_REGION, HOME_TYPE, 8), 6)
+
+
+QUERIES["market_top_hours"] = q_top_hours
+
+_TLX = """tl0 AS (SELECT t.run_id, t.t, t.event_id, t.epoch FROM ticks t WHERE (t.run_id, t.epoch) IN (SELECT run_id, epoch FROM epoch_log)),
+tl1 AS (SELECT *, lag(epoch) OVER (PARTITION BY run_id ORDER BY t, event_id) AS pe FROM tl0),
+tl AS (SELECT tl1.run_id, tl1.t, tl1.event_id, tl1.epoch, l.members, l.master FROM tl1 JOIN epoch_log l USING (run_id, epoch)
+       WHERE pe IS NULL OR pe <> tl1.epoch),
+chg0 AS (SELECT *, lag(members) OVER (PARTITION BY run_id ORDER BY t, event_id) AS pm FROM tl),
+changes AS (SELECT run_id, t, 'lost' AS kind, unnest(list_filter(pm, lambda x: NOT list_contains(members, x))) AS node FROM chg0 WHERE pm IS NOT NULL
+            UNION ALL
+            SELECT run_id, t, 'joined', unnest(list_filter(members, lambda x: NOT list_contains(pm, x))) FROM chg0 WHERE pm IS NOT NULL)"""
+
+ORACLE["market_top_hours"] = with_views(
+    """SELECT hour, count(*) AS ticks, avg(CASE WHEN best >= 7.0 THEN 1.0 ELSE 0.0 END) AS p_good, avg(best) AS mean_best, max(best) AS max_best
+       FROM (SELECT CAST(floor(t / 3600) AS BIGINT) % 24 AS hour, tick_id, max(CAST(score AS DOUBLE)) AS best FROM sps
+             WHERE capacity = 8 AND score IS NOT NULL AND coalesce(scope, 'region') = 'region' AND coalesce(single_az, false) = true
+               AND region = 'region-0' AND instance_type = 'g5.xlarge' GROUP BY 1, 2) x
+       GROUP BY hour ORDER BY p_good DESC NULLS LAST, ticks DESC, hour LIMIT 6""",
+    "sps",
+)
+
+ORACLE["prof_run_summary"] = _ctes("steps", "ticks", "epoch_log", "evals", "ledger", extra=(_TLX,)) + """
+, s AS (SELECT run_id, max(t) AS end_t, last(step ORDER BY t, event_id) AS steps, sum(ms) / 1000.0 AS trained_s, min(t) AS fs FROM steps GROUP BY 1),
+la AS (SELECT s.run_id, coalesce(ft.ft, s.fs) AS launch FROM s LEFT JOIN (SELECT run_id, min(t) AS ft FROM ticks GROUP BY 1) ft USING (run_id)),
+v AS (SELECT run_id, last(loss ORDER BY step, loss) AS val_loss FROM evals GROUP BY 1),
+c AS (SELECT run_id, count(*) FILTER (WHERE kind = 'lost') AS nodes_lost, count(*) FILTER (WHERE kind = 'joined') AS replacements FROM changes GROUP BY 1),
+u AS (SELECT l.run_id, coalesce(sum(CASE WHEN hourly_usd IS NOT NULL THEN greatest(0.0, least(coalesce(stopped_at, s.end_t), s.end_t) - started_at) * hourly_usd / 3600.0 END), 0.0) AS usd
+      FROM ledger l JOIN s USING (run_id) GROUP BY 1)
+SELECT s.run_id, CAST(floor(la.launch * 1000) AS BIGINT) AS run_start_ms, CAST(floor(s.end_t * 1000) AS BIGINT) AS run_end_ms,
+       s.trained_s / CASE WHEN s.end_t - la.launch > 0 THEN s.end_t - la.launch ELSE 1.0 END AS goodput,
+       coalesce(c.nodes_lost, 0) AS nodes_lost, coalesce(c.replacements, 0) AS replacements, 0 AS whole_group_restarts,
+       s.steps, v.val_loss, coalesce(u.usd, 0.0) AS usd, (s.end_t - la.launch) / 3600.0 AS wall_hours
+FROM s JOIN la USING (run_id) LEFT JOIN v USING (run_id) LEFT JOIN c USING (run_id) LEFT JOIN u USING (run_id)"""
+
+ORACLE["prof_world_window_rates"] = with_views("""
+SELECT w2.*, fr.full_rate, w2.rate / nullif(fr.full_rate, 0) AS rate_vs_full FROM (
+  SELECT *, CASE WHEN "end" > start THEN steps / ("end" - start) END AS rate FROM (
+    SELECT run_id, win, first(world) AS world, min(t) AS start, max(t) AS "end", max(ckpt_step) - min(ckpt_step) AS steps FROM (
+      SELECT *, sum(chg) OVER (PARTITION BY run_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS win FROM (
+        SELECT run_id, t, event_id, ckpt_step, len(members) AS world,
+               CASE WHEN lag(len(members)) OVER w IS NOT DISTINCT FROM len(members) AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS chg
+        FROM ticks WINDOW w AS (PARTITION BY run_id ORDER BY t, event_id)) t1) t2 GROUP BY 1, 2) w) w2
+LEFT JOIN (SELECT w3.run_id, sum(steps) / nullif(sum("end" - start), 0) AS full_rate FROM (
+    SELECT run_id, win, first(world) AS world, min(t) AS start, max(t) AS "end", max(ckpt_step) - min(ckpt_step) AS steps FROM (
+      SELECT *, sum(chg) OVER (PARTITION BY run_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS win FROM (
+        SELECT run_id, t, event_id, ckpt_step, len(members) AS world,
+               CASE WHEN lag(len(members)) OVER w IS NOT DISTINCT FROM len(members) AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS chg
+        FROM ticks WINDOW w AS (PARTITION BY run_id ORDER BY t, event_id)) t1) t2 GROUP BY 1, 2) w3
+  JOIN (SELECT run_id, max(len(members)) AS fw FROM ticks GROUP BY 1) f ON f.run_id = w3.run_id AND w3.world = f.fw GROUP BY 1) fr
+ON fr.run_id = w2.run_id""", "ticks")
+
+ORACLE["prof_recovery_rounds"] = _ctes("lifecycle", "ticks", "epoch_log", extra=(_TLX,)) + """
+, r0 AS (SELECT run_id, ts AS kill_t, count(*) AS nodes_lost FROM lifecycle WHERE state = 'killed' GROUP BY 1, 2),
+r AS (SELECT *, lead(kill_t) OVER (PARTITION BY run_id ORDER BY kill_t) AS next_kill FROM r0),
+x AS (SELECT r.*,
+        (SELECT min(t) FROM tl WHERE tl.run_id = r.run_id AND tl.t > r.kill_t AND len(tl.members) < 8) AS s_et,
+        (SELECT first(len(members) ORDER BY t) FROM tl WHERE tl.run_id = r.run_id AND tl.t > r.kill_t AND len(tl.members) < 8) AS s_world,
+        (SELECT min(t) FROM tl WHERE tl.run_id = r.run_id AND tl.t > r.kill_t AND len(tl.members) >= 8) AS f_et
+      FROM r),
+y AS (SELECT *, CASE WHEN next_kill IS NULL OR s_et <= next_kill THEN s_et END AS shrink_t,
+                CASE WHEN next_kill IS NULL OR f_et <= next_kill THEN f_et END AS full_t FROM x)
+SELECT run_id, kill_t, nodes_lost, CASE WHEN shrink_t IS NOT NULL THEN s_world END AS shrunk_world,
+       shrink_t - kill_t AS detection_s, full_t - kill_t AS kill_to_full_s, full_t - shrink_t AS degraded_s FROM y"""
