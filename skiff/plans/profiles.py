@@ -234,3 +234,94 @@ y AS (SELECT *, CASE WHEN next_kill IS NULL OR s_et <= next_kill THEN s_et END A
                 CASE WHEN next_kill IS NULL OR f_et <= next_kill THEN f_et END AS full_t FROM x)
 SELECT run_id, kill_t, nodes_lost, CASE WHEN shrink_t IS NOT NULL THEN s_world END AS shrunk_world,
        shrink_t - kill_t AS detection_s, full_t - kill_t AS kill_to_full_s, full_t - shrink_t AS degraded_s FROM y"""
+
+
+# ------------------------------------------------- small report operators --
+
+CONTROL_RATE = 0.0208  # t3.small, the controller box
+
+
+def q_control_cost(spark, sf):
+    """PRJ-17: controller cost per run from its first status tick to AS_OF."""
+    t = D.tick_docs(spark, sf).groupBy("run_id").agg(F.min("t").alias("created_at"))
+    return t.select("run_id", P.control_plane_cost(F.col("created_at"), F.lit(CONTROL_RATE), F.lit(AS_OF)).alias("usd"))
+
+
+def q_prep_estimate(spark, sf):
+    """PRJ-15 + PRJ-16: readable corpus size and the prep job estimate for
+    one hour per GB of text on a c6i.4xlarge with a 500 GB gp3 volume."""
+    from skiff.functions.numeric import human_bytes, prep_estimate_usd
+    from skiff.sources.tables import table
+
+    docs = table(spark, sf, "documents")
+    size = docs.agg(F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+    hours = F.greatest(F.lit(1.0), F.col("bytes") / 1e9)
+    return size.select("bytes", human_bytes("bytes").alias("readable"),
+                       prep_estimate_usd(F.lit(0.68), hours, F.lit(500), F.lit(6000), F.lit(250)).alias("usd"))
+
+
+def q_requests_per_node(spark, sf):
+    """JN-12: requests per node between the first and the last day of the
+    scrape history (counter after minus before), workers placed on nodes."""
+    from skiff.operators import serving as S
+
+    s = S.cumulative_counters(D.scrape_records(spark, sf))
+    day = (F.col("ts") / 86400).cast("long")
+    first_day = s.agg(F.min(day)).scalar()
+    last_day = s.agg(F.max(day)).scalar()
+    before = s.filter(day == first_day).groupBy("worker_id").agg(F.max_by("requests", "ts").alias("value"))
+    after = s.filter(day == last_day).groupBy("worker_id").agg(F.max_by("requests", "ts").alias("value"))
+    placement = s.select("worker_id").distinct().withColumn(
+        "node", (F.substring("worker_id", 2, 5).cast("int") % 4).cast("int"))
+    return S.requests_per_node(before, after, placement)
+
+
+def q_sample_grid(spark, sf):
+    """JN-18 over ``conversations``: prompt x run x step side by side."""
+    from skiff.operators.experiments import sample_grid
+    from skiff.sources.tables import table
+
+    c = table(spark, sf, "conversations").select(
+        F.concat(F.lit("run-"), (F.col("conv_id") % 12).cast("string")).alias("run_id"),
+        (F.col("turn") / 2).cast("long").alias("step"),
+        F.concat(F.lit("p"), (F.col("conv_id") % 5).cast("string")).alias("prompt"),
+        (F.col("turn") % 2).cast("int").alias("sample_index"),
+        F.col("text").alias("completion"),
+    )
+    return sample_grid(c).select("run_id", "step", "prompt", F.length("completion").alias("completion_chars"))
+
+
+QUERIES.update({
+    "prof_control_plane_cost": q_control_cost,
+    "prof_prep_estimate": q_prep_estimate,
+    "serving_requests_per_node": q_requests_per_node,
+    "exp_sample_grid": q_sample_grid,
+})
+
+ORACLE["prof_control_plane_cost"] = with_views(
+    f"SELECT run_id, ({AS_OF} - min(t)) * {CONTROL_RATE} / 3600.0 AS usd FROM ticks GROUP BY 1", "ticks")
+ORACLE["prof_prep_estimate"] = f"""
+SELECT bytes,
+       CASE WHEN bytes >= 1099511627776 THEN printf('%.1f TB', bytes / 1099511627776.0)
+            WHEN bytes >= 1073741824 THEN printf('%.1f GB', bytes / 1073741824.0)
+            WHEN bytes >= 1048576 THEN printf('%.1f MB', bytes / 1048576.0)
+            WHEN bytes >= 1024 THEN printf('%.1f KB', bytes / 1024.0)
+            ELSE printf('%.1f B', bytes * 1.0) END AS readable,
+       0.68 * h + 500 * 0.08 * (h / 730.0) + greatest(0, 6000 - 3000) * 0.005 * (h / 730.0) + greatest(0, 250 - 125) * 0.04 * (h / 730.0) AS usd
+FROM (SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, greatest(1.0, sum(octet_length(encode(text))) / 1e9) AS h FROM documents) x"""
+ORACLE["exp_sample_grid"] = """
+WITH c AS (SELECT 'run-' || CAST(conv_id % 12 AS VARCHAR) AS run_id, CAST(turn // 2 AS BIGINT) AS step, 'p' || CAST(conv_id % 5 AS VARCHAR) AS prompt,
+                  CAST(turn % 2 AS INTEGER) AS sample_index, text AS completion FROM conversations),
+g AS (SELECT s.run_id, s.step, p.prompt FROM (SELECT DISTINCT run_id, step FROM c) s, (SELECT DISTINCT prompt FROM c) p),
+f AS (SELECT run_id, step, prompt, first(completion) AS completion FROM c WHERE sample_index = 0 GROUP BY 1, 2, 3)
+SELECT g.run_id, g.step, g.prompt, length(f.completion) AS completion_chars FROM g LEFT JOIN f USING (run_id, step, prompt)"""
+
+from skiff.plans.serving import _SAMPLES as _SERVING_SAMPLES  # noqa: E402
+
+ORACLE["serving_requests_per_node"] = _ctes("scrape", extra=(_SERVING_SAMPLES,)) + """
+, d AS (SELECT *, CAST(floor(ts / 86400) AS BIGINT) AS day FROM samples),
+b AS (SELECT worker_id, last(requests ORDER BY ts) AS value FROM d WHERE day = (SELECT min(day) FROM d) GROUP BY 1),
+a AS (SELECT worker_id, last(requests ORDER BY ts) AS value FROM d WHERE day = (SELECT max(day) FROM d) GROUP BY 1),
+j AS (SELECT coalesce(a.worker_id, b.worker_id) AS worker_id, coalesce(a.value, 0) - coalesce(b.value, 0) AS requests
+      FROM a FULL JOIN b ON a.worker_id = b.worker_id)
+SELECT j.worker_id, j.requests, CAST(CAST(substr(j.worker_id, 2) AS INTEGER) % 4 AS INTEGER) AS node FROM j WHERE requests > 0"""
