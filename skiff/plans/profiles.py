@@ -325,3 +325,35 @@ a AS (SELECT worker_id, last(requests ORDER BY ts) AS value FROM d WHERE day = (
 j AS (SELECT coalesce(a.worker_id, b.worker_id) AS worker_id, coalesce(a.value, 0) - coalesce(b.value, 0) AS requests
       FROM a FULL JOIN b ON a.worker_id = b.worker_id)
 SELECT j.worker_id, j.requests, CAST(CAST(substr(j.worker_id, 2) AS INTEGER) % 4 AS INTEGER) AS node FROM j WHERE requests > 0"""
+
+ORACLE["prof_threshold_marks"] = with_views("""
+WITH k AS (SELECT run_id, ts AS kill_t, event_id AS kill_id FROM lifecycle WHERE state = 'killed'),
+tk AS (SELECT run_id, t, event_id, ckpt_step, len(members) AS world FROM ticks),
+kb AS (SELECT k.run_id, k.kill_t, k.kill_id, tk.ckpt_step AS base_ckpt FROM k ASOF LEFT JOIN tk ON k.run_id = tk.run_id AND k.kill_t >= tk.t),
+cyc AS (SELECT tk.*, kb.kill_t, kb.kill_id, kb.base_ckpt FROM tk ASOF JOIN kb ON tk.run_id = kb.run_id AND tk.t > kb.kill_t),
+fw AS (SELECT run_id, max(len(members)) AS full FROM ticks GROUP BY 1)
+SELECT cyc.run_id, kill_id, kill_t,
+       min(t) FILTER (WHERE ckpt_step > coalesce(base_ckpt, -1)) AS shrink_resume_t,
+       min(t) FILTER (WHERE world >= fw.full) AS full_world_t
+FROM cyc JOIN fw USING (run_id) GROUP BY cyc.run_id, kill_id, kill_t""".replace("WITH k AS", ", k AS"), "lifecycle", "ticks")
+
+ORACLE["prof_data_checks"] = _ctes("lifecycle", "ticks", "epoch_log", "steps", extra=(_TLX,)) + """
+, tt AS (SELECT run_id, t, lead(t) OVER (PARTITION BY run_id ORDER BY t, event_id) AS b FROM ticks),
+gp AS (SELECT run_id, t AS start, b AS "end", b - t AS gap_s FROM tt WHERE b IS NOT NULL),
+med AS (SELECT run_id, count(*) AS n, list_sort(list(gap_s))[count(*) // 2 + 1] AS median_gap FROM gp GROUP BY 1),
+gaps AS (SELECT gp.* FROM gp JOIN med USING (run_id)
+         WHERE n >= 2 AND gap_s > greatest(CASE WHEN median_gap = 0 THEN 10.0 ELSE median_gap END * 3.0, 90.0)),
+k AS (SELECT run_id, count(*) AS kills FROM lifecycle WHERE state = 'killed' GROUP BY 1),
+e AS (SELECT run_id, count(*) AS epochs, coalesce(bool_and(pe IS NULL OR epoch >= pe), true) AS monotone
+      FROM (SELECT *, lag(epoch) OVER (PARTITION BY run_id ORDER BY t, event_id) AS pe FROM tl) x GROUP BY 1),
+g AS (SELECT run_id, count(*) AS outages FROM gaps GROUP BY 1),
+adv AS (SELECT s.run_id, count(*) AS steps_in_outage FROM steps s JOIN gaps g ON s.run_id = g.run_id AND s.t > g.start AND s.t < g."end" GROUP BY 1),
+j AS (SELECT r.run_id, coalesce(kills, 0) AS kills, coalesce(epochs, 0) AS epochs, monotone, coalesce(outages, 0) AS outages,
+             coalesce(steps_in_outage, 0) AS sio
+      FROM (SELECT DISTINCT run_id FROM steps) r LEFT JOIN k USING (run_id) LEFT JOIN e USING (run_id) LEFT JOIN g USING (run_id) LEFT JOIN adv USING (run_id))
+SELECT run_id, 'kills_fired' AS "check", kills > 0 AS passed FROM j
+UNION ALL SELECT run_id, 'epochs_reformed', epochs > 1 FROM j
+UNION ALL SELECT run_id, 'no_whole_group_restart', true FROM j
+UNION ALL SELECT run_id, 'outage_bands', outages <= 12 FROM j
+UNION ALL SELECT run_id, 'epochs_monotone', coalesce(monotone, true) FROM j
+UNION ALL SELECT run_id, 'steps_during_outage', outages = 0 OR sio > 0 FROM j"""
