@@ -195,13 +195,17 @@ def spans(
     """Merge equal consecutive samples into spans ``[start, end)`` (WN-05).
 
     A span ends where the next different sample starts; the last span of a
-    key ends at ``as_of`` (a column or a number)."""
+    key ends at ``as_of`` (a column or a number).  Two scans: neighbours
+    (previous value, next time) in one, the island number in the second."""
     value_cols = list(value_cols)
-    with_next = scan(df, keys, time, tiebreak, width=width, nexts={"__next_t": F.col(time)})
-    isl = islands(with_next, keys, time, value_cols, tiebreak, width=width, out="span_no")
+    cur = F.struct(*[F.col(c) for c in value_cols])
+    s = scan(df, keys, time, tiebreak, width=width,
+             nexts={"__next_t": F.col(time)}, prevs={"__prev_v": cur, "__has_prev": F.lit(True)})
+    chg = F.when(F.col("__has_prev").isNull(), 1).when(~F.col("__prev_v").eqNullSafe(cur), 1).otherwise(0)
+    s = scan(s.withColumn("__chg", chg), keys, time, tiebreak, width=width, sums={"span_no": "__chg"})
     ostruct = F.struct(F.col(time), *[F.col(c) for c in tiebreak])
     end_default = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    agg = isl.groupBy(*keys, "span_no").agg(
+    agg = s.groupBy(*keys, "span_no").agg(
         F.min(time).alias("start"),
         F.max_by("__next_t", ostruct).alias("__end"),
         F.count(F.lit(1)).alias("samples"),
