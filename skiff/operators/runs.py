@@ -195,37 +195,63 @@ def run_series(
     target_world: int,
     tokens_per_step: int,
     width: float = 3600.0,
+    t0: float = 1_704_067_200.0,
 ) -> DataFrame:
-    """SNK-01 step rows of the run series (the reference's 19 columns):
-
-    * WN-01 furthest step, JN-01 membership / durable step as of the step
-      (a tick at the same time counts as before; the step's own world wins),
-    * WN-04 steps at risk, PRJ-09 tokens, WN-02 cumulative losses and joins
-      (inclusive), degraded flag and band, AG-37 goodput, WN-03 typical
-      step time, JN-04 cost, JN-10 supervisor flag.
-    """
-    s = steps.select("run_id", "event_id", "step", "loss", "ms", "ws", "t")
-    s = scan(s, ["run_id"], "t", ["event_id"], width=width,
-             maxes={"furthest_step": "step"}, sums={"__idx": F.lit(1)}, mins={"__t0": "t"})
-    tk = ticks.select("run_id", "t", F.size("members").alias("members_n"), "ckpt_step")
-    s = asof_join(s, tk, ["run_id"], "t", "t", ["members_n", "ckpt_step"], prefix="tick_", left_tiebreak=["event_id"], width=width)
-    world = F.when(F.col("ws") != 0, F.col("ws")).otherwise(F.coalesce(F.col("tick_members_n"), F.col("ws")))
-    ckpt = F.coalesce(F.col("tick_ckpt_step"), F.lit(-1))
-    s = s.withColumn("nodes_training", world.cast("int")).withColumn("durable_step", F.greatest(ckpt, F.lit(0)))
-    # cumulative losses / joins at t (inclusive): change events first at ties
-    ch = changes.select(
-        "run_id", F.col("t"),
-        (F.col("kind") == "lost").cast("int").alias("__l"), (F.col("kind") == "joined").cast("int").alias("__j"),
-        F.lit(0).alias("__src"),
+    """SNK-01 step rows of the run series (the reference's 19 columns).
+
+    One union of five record kinds per run — status ticks, membership
+    changes and ledger breakpoints (ordered before a step at the same time),
+    the step lines, and outage starts (after, so an outage must start
+    strictly before a step) — and ONE bucketed scan computes, per step:
+
+    * WN-01 furthest step, the step index and the run's first step time,
+    * JN-01 membership and durable step of the latest tick at or before it,
+    * WN-02 cumulative losses and joins (inclusive),
+    * JN-04 dollars so far (two decimal running sums over ±rate breakpoints),
+    * JN-10 whether it lies inside an outage (latest outage start, strict).
+
+    Then WN-04 steps at risk, PRJ-09 tokens, degraded flag and band, AG-37
+    goodput and WN-03 typical step time are column expressions."""
+    tdec, ddec = "decimal(15,6)", "decimal(18,0)"
+    st = steps.select("run_id", "event_id", "step", "loss", "ms", "ws", "t", F.lit(1).alias("__src"))
+    tk = ticks.select("run_id", "t", "event_id", F.lit(0).alias("__src"),
+                      F.struct(F.size("members").alias("members_n"), F.col("ckpt_step")).alias("__tick"))
+    ch = changes.select("run_id", "t", F.lit(0).alias("__src"),
+                        (F.col("kind") == "lost").cast("int").alias("__l"), (F.col("kind") == "joined").cast("int").alias("__j"))
+    known = ledger.filter(F.col("hourly_usd").isNotNull())
+    rate = F.round(F.col("hourly_usd") * 1e7).cast(ddec)
+    bp = known.select("run_id", F.col("started_at").alias("t"), rate.alias("__d")).unionByName(
+        known.filter(F.col("stopped_at").isNotNull()).select("run_id", F.col("stopped_at").alias("t"), (-rate).alias("__d")))
+    bp = bp.withColumn("__src", F.lit(0))
+    gp = gaps.select("run_id", F.col("start").alias("t"), F.lit(2).alias("__src"), F.struct(F.col("end")).alias("__gap"))
+    u = st.unionByName(tk, allowMissingColumns=True).unionByName(ch, allowMissingColumns=True)
+    u = u.unionByName(bp, allowMissingColumns=True).unionByName(gp, allowMissingColumns=True)
+    u = u.withColumn("__td", (F.col("t") - t0).cast(tdec))
+    is_step = F.col("__src") == 1
+    s = scan(
+        u, ["run_id"], "t", ["__src", "event_id"], width=width,
+        maxes={"furthest_step": "step"},
+        mins={"__t0": F.when(is_step, F.col("t"))},
+        sums={
+            "__idx": F.when(is_step, F.lit(1)).otherwise(F.lit(0)),
+            "nodes_lost": F.coalesce(F.col("__l"), F.lit(0)),
+            "replacements": F.coalesce(F.col("__j"), F.lit(0)),
+            "__sd": F.coalesce(F.col("__d"), F.lit(0).cast(ddec)),
+            "__sdt": F.coalesce(F.col("__d") * F.col("__td"), F.lit(0).cast("decimal(34,6)")),
+        },
+        lasts={"__lt": F.col("__tick"), "__lg": F.col("__gap")},
     )
-    u = s.withColumn("__l", F.lit(0)).withColumn("__j", F.lit(0)).withColumn("__src", F.lit(1)).unionByName(ch, allowMissingColumns=True)
-    u = scan(u, ["run_id"], "t", ["__src", "event_id"], width=width, sums={"nodes_lost": "__l", "replacements": "__j"})
-    s = u.filter(F.col("__src") == 1).drop("__l", "__j", "__src")
+    s = s.filter(is_step)
+    world = F.when(F.col("ws") != 0, F.col("ws")).otherwise(F.coalesce(F.col("__lt.members_n"), F.col("ws")))
+    ckpt = F.coalesce(F.col("__lt.ckpt_step"), F.lit(-1))
+    usd = F.greatest((F.col("__td") * F.col("__sd").cast("decimal(22,0)") - F.col("__sdt")).cast("double") / 36_000_000_000.0, F.lit(0.0))
+    s = s.withColumns({
+        "nodes_training": world.cast("int"), "durable_step": F.greatest(ckpt, F.lit(0)), "usd": usd,
+        "supervisor_up": F.when(F.col("t") < F.col("__lg.end"), F.lit(0)).otherwise(F.lit(1)),
+    })
     trained = steps.groupBy("run_id").agg((F.sum("ms") / 1000.0).alias("__trained"))
     s = s.join(trained, "run_id", "left")
     s = rolling_upper_median(s, ["run_id"], "__idx", "ms", out="ms_per_step_typical")
-    s = cost_at(s, ledger, "t", t0=float(1_704_067_200.0), width=86400.0)
-    s = in_gap(s, gaps, "t")
     elapsed = F.col("t") - F.col("__t0")
     below = F.col("nodes_training") < target_world
     return s.select(
