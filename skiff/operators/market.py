@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skiff.functions.percentile import median
-from skiff.operators.scan import islands
+from skiff.operators.scan import flag_runs
 
 POOL = ["region", "az_id", "instance_type"]
 
@@ -177,7 +177,7 @@ def longest_good_run(rows: DataFrame, keys: list[str], threshold: float, width:
     """WN-09: longest unbroken run of samples >= threshold per key, in
     seconds and samples.  One sample is 0 s; ties take the later run."""
     flagged = rows.withColumn("__good", F.col("score") >= threshold)
-    isl = islands(flagged, keys, "t", ["__good"], width=width, out="__run")
+    isl = flag_runs(flagged, keys, "t", "__good", width=width, out="__run")
     runs = (
         isl.filter("__good")
         .groupBy(*keys, "__run")

@@ -182,6 +182,23 @@ def islands(
     return res.drop("__prev_v", "__has_prev", "__chg")
 
 
+def flag_runs(
+    df: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    flag: Column | str,
+    tiebreak: Sequence[str] = (),
+    *,
+    width: float = 3600.0,
+    out: str = "run",
+) -> DataFrame:
+    """Maximal runs of consecutive rows where ``flag`` holds, in one scan:
+    rows of one run share the running count of non-flag rows before them.
+    Adds ``out`` (meaningful on flagged rows only)."""
+    f = F.col(flag) if isinstance(flag, str) else flag
+    return scan(df, keys, time, tiebreak, width=width, sums={out: F.when(f, F.lit(0)).otherwise(F.lit(1))})
+
+
 def spans(
     df: DataFrame,
     keys: Sequence[str],

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skiff.operators.asof import asof_join
-from skiff.operators.scan import islands, scan, spans
+from skiff.operators.scan import flag_runs, islands, scan, spans
 
 # Node state -> timeline label (fixed values of the reference's reducer).
 STATE_LABEL = {
@@ -165,7 +165,7 @@ def degraded_windows(wspans: DataFrame, width: float = 86400.0) -> DataFrame:
     s = wspans.join(full, on="run_id").withColumn("__atfull", ((F.col("full") > 0) & (F.col("world") >= F.col("full"))).cast("int"))
     s = scan(s, ["run_id"], "start", ["span_no"], width=width, maxes={"__reached": "__atfull"})
     s = s.withColumn("__deg", (F.col("__reached") == 1) & (F.col("full") > 0) & (F.col("world") < F.col("full")))
-    isl = islands(s, ["run_id"], "start", ["__deg"], ["span_no"], width=width, out="__w")
+    isl = flag_runs(s, ["run_id"], "start", "__deg", ["span_no"], width=width, out="__w")
     return (
         isl.filter("__deg")
         .groupBy("run_id", "__w")
