@@ -357,3 +357,18 @@ UNION ALL SELECT run_id, 'no_whole_group_restart', true FROM j
 UNION ALL SELECT run_id, 'outage_bands', outages <= 12 FROM j
 UNION ALL SELECT run_id, 'epochs_monotone', coalesce(monotone, true) FROM j
 UNION ALL SELECT run_id, 'steps_during_outage', outages = 0 OR sio > 0 FROM j"""
+
+ORACLE["prof_restart_labels"] = _ctes("node_obs", "ticks", "epoch_log", extra=(_TLX,)) + """
+, ch AS (SELECT run_id, t AS change_t, event_id AS change_id, list_filter(members, lambda x: list_contains(pm, x)) AS survivors
+         FROM chg0 WHERE pm IS NOT NULL),
+base AS (SELECT ch.*, tk.ckpt_step AS at_ckpt FROM ch ASOF LEFT JOIN (SELECT run_id, t, ckpt_step FROM ticks) tk
+           ON ch.run_id = tk.run_id AND ch.change_t >= tk.t),
+o AS (SELECT n.run_id, n.t, n.event_id, n.node, n.aws_state, n.members, k.ckpt_step FROM node_obs n JOIN ticks k USING (run_id, event_id)),
+oc AS (SELECT o.*, b.change_t, b.survivors, b.at_ckpt FROM o ASOF LEFT JOIN base b ON o.run_id = b.run_id AND o.t >= b.change_t),
+lab AS (SELECT run_id, t, event_id, node,
+          CASE WHEN aws_state IN ('shutting-down', 'terminated', 'stopping', 'stopped') THEN 'down'
+               WHEN coalesce(list_contains(survivors, node), false) AND NOT (ckpt_step > coalesce(at_ckpt, -1))
+                    AND (t - change_t) <= 90.0 AND list_contains(members, node) THEN 'restart'
+               WHEN list_contains(members, node) THEN 'train' ELSE 'prov' END AS label FROM oc)
+SELECT run_id, t, event_id, node, label,
+       lag(label) OVER (PARTITION BY run_id, node ORDER BY t, event_id) = 'train' AND label = 'down' AS kill FROM lab"""
