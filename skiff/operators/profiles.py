@@ -42,10 +42,17 @@ ON_DEMAND_HOURLY_USD = [
 RESTART_CAP_S = 90.0
 
 
-def mark_segments(marks: DataFrame, width: float = 86400.0) -> DataFrame:
+# trainer stamps that split the final training block (fixed values)
+STAMP_PHASES = [("training", "train_s"), ("final_saves", "save_s"), ("evaluation", "eval_s"), ("sampling", "sample_s")]
+
+
+def mark_segments(marks: DataFrame, stamps: DataFrame | None = None, width: float = 86400.0) -> DataFrame:
     """WN-13 + JN-14 + WN-32: consecutive marks of a run mapped to phases by
-    a broadcast lookup on the pair (a literal table), with each segment's
-    start offset as the running sum of the previous segments."""
+    a broadcast lookup on the pair (a literal table); the final training
+    block (ending at ``metrics`` / ``timeout``) is replaced by the trainer's
+    exact stamps when the run has them (``stamps(run_id, train_s, save_s,
+    eval_s, sample_s)``); each segment's offset is the running sum of the
+    previous segments."""
     spark = marks.sparkSession
     lookup = spark.createDataFrame(MARK_PHASE, "a string, b string, phase string")
     m = scan(marks, ["run_id"], "t", ["seq"], width=width, nexts={"__n": F.struct(F.col("event").alias("e"), F.col("t").alias("t"))})
@@ -53,8 +60,18 @@ def mark_segments(marks: DataFrame, width: float = 86400.0) -> DataFrame:
         "run_id", "seq", F.col("event").alias("a"), F.col("__n.e").alias("b"), F.col("t").alias("start"),
         (F.col("__n.t") - F.col("t")).alias("seconds"),
     )
-    seg = pairs.join(F.broadcast(lookup), on=["a", "b"], how="inner")
-    seg = scan(seg, ["run_id"], "start", ["seq"], width=width, sums={"__cum": "seconds"})
+    seg = pairs.join(F.broadcast(lookup), on=["a", "b"], how="inner").withColumn("sub", F.lit(0))
+    if stamps is not None:
+        final = (F.col("phase") == "training") & F.col("b").isin("metrics", "timeout")
+        arr = F.filter(F.array(*[F.struct(F.lit(ph).alias("phase"), F.col(k).cast("double").alias("seconds"), F.lit(i).alias("sub"))
+                                 for i, (ph, k) in enumerate(STAMP_PHASES)]), lambda x: F.coalesce(x["seconds"], F.lit(0.0)) != 0)
+        st = stamps.select("run_id", arr.alias("__st")).filter(F.size("__st") > 0)
+        j = seg.join(st, "run_id", "left")
+        keep = j.filter(~final | F.col("__st").isNull()).drop("__st")
+        split = j.filter(final & F.col("__st").isNotNull()).select("a", "b", "run_id", "seq", "start", F.explode("__st").alias("x")).select(
+            "a", "b", "run_id", "seq", "start", F.col("x.seconds").alias("seconds"), F.col("x.phase").alias("phase"), F.col("x.sub").alias("sub"))
+        seg = keep.unionByName(split)
+    seg = scan(seg, ["run_id"], "start", ["seq", "sub"], width=width, sums={"__cum": "seconds"})
     return seg.select("run_id", "seq", "phase", "start", "seconds", (F.col("__cum") - F.col("seconds")).alias("offset_s"))
 
 

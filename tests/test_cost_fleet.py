@@ -76,3 +76,18 @@ def test_health_and_sticky_death(spark):
     assert h[(0, 1.0)] and not h[(1, 1.0)]
     st = {r.t: (r.state, r.transition) for r in FL.sticky_states(obs).filter(F.col("node") == 0).collect()}
     assert st == {1.0: ("live", "new"), 2.0: ("dead", "dead"), 3.0: ("dead", None)}
+
+
+def test_mark_timeline_with_stamps(spark):
+    from skiff.operators import profiles as P
+
+    marks = spark.createDataFrame(
+        [("r", "launch", 0.0, 0), ("r", "train_start", 100.0, 1), ("r", "kill", 200.0, 2), ("r", "relaunch", 230.0, 3),
+         ("r", "train_start", 300.0, 4), ("r", "metrics", 500.0, 5), ("r", "unknown", 600.0, 6)],
+        "run_id string, event string, t double, seq long")
+    seg = [(r.phase, r.seconds, r.offset_s) for r in P.mark_segments(marks).orderBy("start").collect()]
+    assert seg == [("provisioning", 100.0, 0.0), ("training", 100.0, 100.0), ("downtime", 30.0, 200.0),
+                   ("preemption_recovery", 70.0, 230.0), ("training", 200.0, 300.0)]
+    stamps = spark.createDataFrame([("r", 150.0, 20.0, 30.0, None)], "run_id string, train_s double, save_s double, eval_s double, sample_s double")
+    seg2 = [(r.phase, r.seconds) for r in P.mark_segments(marks, stamps).orderBy("start", "offset_s").collect()]
+    assert seg2[-3:] == [("training", 150.0), ("final_saves", 20.0), ("evaluation", 30.0)]
