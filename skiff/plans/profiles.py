@@ -372,3 +372,20 @@ lab AS (SELECT run_id, t, event_id, node,
                WHEN list_contains(members, node) THEN 'train' ELSE 'prov' END AS label FROM oc)
 SELECT run_id, t, event_id, node, label,
        lag(label) OVER (PARTITION BY run_id, node ORDER BY t, event_id) = 'train' AND label = 'down' AS kill FROM lab"""
+
+
+def q_tick_payload(spark, sf):
+    from skiff.plans.telemetry import q_run_series
+
+    return P.tick_payload(q_run_series(spark, sf))
+
+
+QUERIES["prof_tick_payload"] = q_tick_payload
+
+from skiff.plans.telemetry import ORACLE as _TEL_ORACLE  # noqa: E402
+
+ORACLE["prof_tick_payload"] = (
+    "WITH series AS (" + _TEL_ORACLE["telemetry_run_series"] + ")\n"
+    "SELECT run_id, time, current_step AS train_step, durable_step, steps_at_risk, train_loss, tokens_b, nodes_training,\n"
+    "       below_full_world, nodes_lost, replacements, goodput, whole_group_restarts, ms_per_step, usd, usd_per_1k FROM series"
+)

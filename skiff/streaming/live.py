@@ -237,11 +237,17 @@ def spot_stream(spark: SparkSession, root: str, schema: T.StructType) -> DataFra
 
 
 def hourly_best(sps: DataFrame, threshold: float, watermark: str = "2 hours") -> DataFrame:
-    """ST-12: best score per tick inside rolling one-hour windows and the
-    share of ticks at or above the threshold."""
+    """ST-12: rolling one-hour odds of the ticks: a tick is good when any
+    acceptable pool scored at or above the threshold (its best does), so one
+    windowed aggregation over tick-id sets (a few ticks per hour) suffices."""
     s = event_time(sps, "t").withWatermark("event_time", watermark)
-    best = s.groupBy(F.window("event_time", "1 hour").alias("w"), "tick_id").agg(F.max("score").alias("best"))
-    return best.groupBy("w").agg(F.count(F.lit(1)).alias("ticks"), F.avg((F.col("best") >= threshold).cast("double")).alias("p_good"))
+    g = s.groupBy(F.window("event_time", "1 hour").alias("w")).agg(
+        F.collect_set("tick_id").alias("__all"),
+        F.collect_set(F.when(F.col("score") >= threshold, F.col("tick_id"))).alias("__good"),
+        F.max("score").alias("max_best"),
+    )
+    return g.select(F.unix_seconds(F.col("w.start")).alias("hour_start"), F.size("__all").alias("ticks"),
+                    (F.size("__good") / F.size("__all")).alias("p_good"), "max_best")
 
 
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
