@@ -133,19 +133,24 @@ def restore_point(listing: DataFrame, ranks: DataFrame) -> DataFrame:
     """AG-51: every rank offers its newest step over its local tier and the
     durable tier; the group takes the minimum; each rank then loads it from
     the cheapest tier that holds it (local, else durable); none anywhere ->
-    fresh; held by no tier of that rank -> error."""
-    ck = parse_listing(listing)
-    local = ck.filter(F.col("tier") == "local")
-    durable = ck.filter(F.col("tier") == "durable")
-    best_local = local.groupBy("run_id", "rank").agg(F.max("step").alias("__bl"))
-    best_durable = durable.groupBy("run_id").agg(F.max("step").alias("__bd"))
-    r = ranks.join(best_local, on=["run_id", "rank"], how="left").join(best_durable, on="run_id", how="left")
+    fresh; held by no tier of that rank -> error.
+
+    One aggregate of the listing gives the newest step per (run, rank, tier);
+    the group step (one row per run) then selects only the objects at that
+    step, so the listing is never de-duplicated or shuffled whole twice."""
+    ck = parse_listing(listing).select("run_id", "tier", F.coalesce(F.col("rank"), F.lit(-1)).alias("__rk"), "step")
+    best = ck.groupBy("run_id", "tier", "__rk").agg(F.max("step").alias("__best"))
+    bl = best.filter(F.col("tier") == "local").select("run_id", F.col("__rk").alias("rank"), F.col("__best").alias("__bl"))
+    bd = best.filter(F.col("tier") == "durable").groupBy("run_id").agg(F.max("__best").alias("__bd"))
+    r = ranks.join(bl, on=["run_id", "rank"], how="left").join(bd, on="run_id", how="left")
     r = r.withColumn("best", F.greatest(F.coalesce("__bl", F.lit(-1)), F.coalesce("__bd", F.lit(-1))))
     grp = r.groupBy("run_id").agg(F.min("best").alias("group_step"))
-    r = r.join(grp, on="run_id")
-    has_local = local.select("run_id", "rank", F.col("step").alias("group_step"), F.lit(True).alias("__hl")).distinct()
-    has_durable = durable.select("run_id", F.col("step").alias("group_step"), F.lit(True).alias("__hd")).distinct()
-    r = r.join(has_local, on=["run_id", "rank", "group_step"], how="left").join(has_durable, on=["run_id", "group_step"], how="left")
+    at = ck.join(grp, on="run_id").filter(F.col("step") == F.col("group_step"))
+    held = at.groupBy("run_id", "__rk").agg(F.max((F.col("tier") == "local").cast("int")).alias("__l"),
+                                            F.max((F.col("tier") == "durable").cast("int")).alias("__d"))
+    hl = held.filter(F.col("__l") == 1).select("run_id", F.col("__rk").alias("rank"), F.lit(True).alias("__hl"))
+    hd = held.filter(F.col("__d") == 1).groupBy("run_id").agg(F.lit(True).alias("__hd"))
+    r = r.join(grp, on="run_id").join(hl, on=["run_id", "rank"], how="left").join(hd, on="run_id", how="left")
     tier = (
         F.when(F.col("group_step") < 0, F.lit("fresh"))
         .when(F.col("__hl"), F.lit("local"))
