@@ -198,16 +198,23 @@ def sizing(steps: DataFrame, vals: DataFrame, cap_s: int) -> DataFrame:
     )
 
 
-def stall_cycles(steps: DataFrame, width: float = 1e6) -> DataFrame:
-    """FLT-08 + WN-20: per run, steps slower than 1.8 x the median ms are
-    stalls (the first step excluded); stalls at most 5 step indices apart
-    form one checkpoint cycle.  One row per cycle with its start index and
-    excess seconds over the median."""
+def _indexed_with_median(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Step samples numbered per run in time order, and each run's true
+    median step time."""
     s = steps.withColumn("__one", F.lit(1))
-    s = scan(s, ["run_id"], "t", ["event_id"], width=86400.0, sums={"idx": "__one"})
+    s = scan(s, ["run_id"], "t", ["event_id"], width=86400.0, sums={"idx": "__one"}).drop("__one")
     med = kth_values(s, ["run_id"], "ms", {"lo": lower_median(), "hi": upper_median()}).select(
         "run_id", ((F.col("lo") + F.col("hi")) / 2).alias("med")
     )
+    return s, med
+
+
+def stall_cycles(steps: DataFrame, width: float = 1e6, indexed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """FLT-08 + WN-20: per run, steps slower than 1.8 x the median ms are
+    stalls (the first step excluded); stalls at most 5 step indices apart
+    form one checkpoint cycle.  One row per cycle with its start index and
+    excess seconds over the median."""
+    s, med = indexed if indexed is not None else _indexed_with_median(steps)
     st = s.join(med, on="run_id").filter((F.col("ms") > F.col("med") * STALL_FACTOR) & (F.col("idx") > 1))
     st = st.withColumn("__i", F.col("idx").cast("double"))
     st = scan(st, ["run_id"], "__i", width=width, prevs={"__pi": F.col("idx")})
@@ -224,18 +231,14 @@ def clean_projection(steps: DataFrame, budget: DataFrame) -> DataFrame:
     steps), warm-up excess of the first step, checkpoint-cycle excess
     amortised over the mean cycle period; steps by that model and naively,
     their mean and spread."""
-    s = steps.withColumn("__one", F.lit(1))
-    s = scan(s, ["run_id"], "t", ["event_id"], width=86400.0, sums={"idx": "__one"})
-    med = kth_values(s, ["run_id"], "ms", {"lo": lower_median(), "hi": upper_median()}).select(
-        "run_id", ((F.col("lo") + F.col("hi")) / 2).alias("med")
-    )
+    s, med = _indexed_with_median(steps)
     j = s.join(med, on="run_id")
     base = j.groupBy("run_id").agg(
         (F.avg(F.when(F.col("ms") <= F.col("med") * STALL_FACTOR, F.col("ms"))) / 1000.0).alias("steady_s"),
         ((F.min_by("ms", "idx") - F.first("med")) / 1000.0).alias("warmup_s"),
         F.count(F.lit(1)).alias("n"), (F.sum("ms") / 1000.0).alias("sum_s"), F.first("med").alias("med"),
     )
-    cyc = stall_cycles(steps)
+    cyc = stall_cycles(steps, indexed=(s, med))
     cw = cyc.withColumn("__c", F.col("cycle").cast("double"))
     cw = scan(cw, ["run_id"], "__c", width=1e6, prevs={"__ps": F.col("start_idx")})
     per = cw.groupBy("run_id").agg(
