@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,12 +46,17 @@ def get_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the cluster names none (unit tests, a laptop) do we pick a
-    fresh folder of our own.  Lineage is cut with ``checkpoint()`` (reliable,
-    survives executor loss), never ``localCheckpoint()``.
+    Only a one-process session (``local[...]``: unit tests, a laptop) that names
+    none gets a fresh folder of its own; on a cluster such a folder would not be
+    shared, so the setting is required there.  Lineage is cut with
+    ``checkpoint()`` (reliable, survives executor loss), never
+    ``localCheckpoint()``.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         path = tempfile.mkdtemp(prefix="skiff-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext
