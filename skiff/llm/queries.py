@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skiff.llm import host_rules, quality_fm, token_counts
+from skiff.llm import host_rules, packing, quality_fm, token_counts
 from skiff.llm.common import remainder
 
 
@@ -23,11 +23,15 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = quality_fm.train(docs, table(spark, sf_dir, "labels"))
     return quality_fm.score(docs, machine).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op5_host_rules, op8_quality_fm)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op5_host_rules, op6_best_fit_packing, op8_quality_fm)}
 ORACLE = {"op5_host_rules": host_rules.oracle_sql()}
