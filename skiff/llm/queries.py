@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skiff.llm import host_rules, packing, quality_fm, token_counts
+from skiff.llm import chat, host_rules, packing, quality_fm, token_counts
 from skiff.llm.common import remainder
 
 
@@ -33,5 +33,14 @@ def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score(docs, machine).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op5_host_rules, op6_best_fit_packing, op8_quality_fm)}
-ORACLE = {"op5_host_rules": host_rules.oracle_sql()}
+#: The contract's own conversation, of control strings only.
+CONTROL_TURNS = "SELECT * FROM (VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]')) AS v(conv_id, turn, role, text)"
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(CONTROL_TURNS))
+    return chat.digests(chat.format_conversations(turns))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op5_host_rules, op6_best_fit_packing, op8_quality_fm, op9_chat_format)}
+ORACLE = {"op5_host_rules": host_rules.oracle_sql(), "op9_chat_format": chat.oracle_sql(CONTROL_TURNS.replace("L,", ","))}
