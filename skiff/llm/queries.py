@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skiff.llm import chat, host_rules, packing, quality_fm, token_counts, warc
+from skiff.llm import chat, decontaminate, host_rules, packing, quality_fm, token_counts, warc
 from skiff.llm.common import remainder, shared_folder
 
 
@@ -25,6 +25,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tiles")
+
+
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = host_rules.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -49,5 +53,5 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_warc, op5_host_rules, op6_best_fit_packing, op8_quality_fm, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_warc, op4_decontamination, op5_host_rules, op6_best_fit_packing, op8_quality_fm, op9_chat_format)}
 ORACLE = {"op3_warc": warc.oracle_sql(), "op5_host_rules": host_rules.oracle_sql(), "op9_chat_format": chat.oracle_sql(CONTROL_TURNS.replace("L,", ","))}

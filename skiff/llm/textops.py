@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4 << 20
 _WS = np.zeros(256, bool)
 _WS[[0x20, 9, 10, 11, 12, 13]] = True
+#: White space and all other ASCII that is neither letter nor digit.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -56,8 +58,9 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 class Texts:
     """Bytes of a column of strings with their word boundaries."""
 
-    def __init__(self, column: pa.Array, lower: str = ""):
-        """``lower``: "" keeps the bytes, "ascii" lowers A-Z, "unicode" lowers all letters."""
+    def __init__(self, column: pa.Array, lower: str = "", between: np.ndarray = _WS):
+        """``lower``: "" keeps the bytes, "ascii" lowers A-Z, "unicode" lowers all letters;
+        ``between``: the bytes that part words, white space or ``PUNCTUATION`` too."""
         column = pc.fill_null(column, "")
         if lower == "unicode":
             column = pc.utf8_lower(column)
@@ -71,7 +74,7 @@ class Texts:
         self.off = raw - raw[0]
         if lower == "ascii":
             self.b = _LOWER[self.b]
-        ws = _WS[self.b]
+        ws = between[self.b]
         n = len(self.b)
         first = np.zeros(n + 1, bool)  # a text begins here
         first[self.off] = True
