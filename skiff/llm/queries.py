@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skiff.llm import chat, decontaminate, host_rules, packing, quality_fm, token_counts, warc
+from skiff.llm import chat, decontaminate, host_rules, packing, quality_fm, secrets, token_counts, warc
 from skiff.llm.common import remainder, shared_folder
 
 
@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scanner() -> secrets.Scanner:
+    return secrets.train(secrets.labelled_findings(), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), scanner())
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -53,5 +61,5 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_warc, op4_decontamination, op5_host_rules, op6_best_fit_packing, op8_quality_fm, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_warc, op4_decontamination, op5_host_rules, op6_best_fit_packing, op8_quality_fm, op9_chat_format)}
 ORACLE = {"op3_warc": warc.oracle_sql(), "op5_host_rules": host_rules.oracle_sql(), "op9_chat_format": chat.oracle_sql(CONTROL_TURNS.replace("L,", ","))}
