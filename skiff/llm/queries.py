@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skiff.llm import chat, decontaminate, host_rules, packing, quality_fm, secrets, token_counts, warc
+from skiff.llm import chat, decontaminate, host_rules, jaccard_join, packing, quality_fm, secrets, token_counts, warc
 from skiff.llm.common import remainder, shared_folder
 
 
@@ -61,5 +61,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_warc, op4_decontamination, op5_host_rules, op6_best_fit_packing, op8_quality_fm, op9_chat_format)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_similar(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_warc, op4_decontamination, op5_host_rules, op6_best_fit_packing, op8_quality_fm, op9_chat_format, op10_jaccard_join)}
 ORACLE = {"op3_warc": warc.oracle_sql(), "op5_host_rules": host_rules.oracle_sql(), "op9_chat_format": chat.oracle_sql(CONTROL_TURNS.replace("L,", ","))}
