@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skiff.llm import chat, decontaminate, host_rules, jaccard_join, packing, quality_fm, secrets, token_counts, warc
+from skiff.llm import chat, decontaminate, host_rules, jaccard_join, ngram_lm, packing, quality_fm, secrets, token_counts, warc
 from skiff.llm.common import remainder, shared_folder
 
 
@@ -46,6 +46,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ngram_lm.train(docs, remainder("doc_id", 7) != 2)
+    return ngram_lm.score(docs, model).select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = quality_fm.train(docs, table(spark, sf_dir, "labels"))
@@ -65,5 +71,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_similar(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_warc, op4_decontamination, op5_host_rules, op6_best_fit_packing, op8_quality_fm, op9_chat_format, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_warc, op4_decontamination, op5_host_rules, op6_best_fit_packing, op7_trie_lm, op8_quality_fm, op9_chat_format, op10_jaccard_join)}
 ORACLE = {"op3_warc": warc.oracle_sql(), "op5_host_rules": host_rules.oracle_sql(), "op9_chat_format": chat.oracle_sql(CONTROL_TURNS.replace("L,", ","))}
