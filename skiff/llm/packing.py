@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from skiff.llm.common import kept, narrow
 from skiff.llm.textops import slices
 
-#: Entries of each cache (about 200 bytes an entry); a full cache starts anew.
-CACHE = 800_000
+#: Entries of the word cache (about 200 bytes an entry); a full cache starts anew.
+CACHE = 1_600_000
 #: Texts made only of these have known letters, digits, case and normal form; others go whole through the library.
 _PLAIN = r"\t\n\r -~À-ÖØ-öø-įı-ž‘’“”–—…•€«»¿¡§©®°"
 _ODD = re.compile(f"[^{_PLAIN}]|<\\|")
@@ -45,13 +45,25 @@ _ODD = re.compile(f"[^{_PLAIN}]|<\\|")
 _WORD = re.compile(r"[a-zß-öø-ž]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-zß-öø-ž0-9]+")
 
 
+class Known(dict):
+    """Ids by word; what is asked for and missing is listed in ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        self.new.append(word)
+        return b""
+
+
 class WordIds:
     """Ids of the texts by a ``tokenizers`` file whose words end in ``</w>``.
 
     White space parts words, so a text's ids are those of its stretches without
-    white space.  Words are encoded by the library once per worker; two bounded
-    caches keep the ids of words and stretches.  Texts with characters outside
-    the plain alphabet, or with special strings, are encoded whole."""
+    white space, and theirs those of their words.  The library encodes each new
+    word once per worker; a bounded cache keeps the ids of words and stretches.
+    Texts with characters outside the plain alphabet, or with special strings,
+    are encoded whole."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -59,48 +71,37 @@ class WordIds:
         self.library = Tokenizer.from_file(file)
         self.last = np.zeros(self.library.get_vocab_size(), bool)
         self.last[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def learn(self, chunks: list[str]) -> None:
-        """Ids of new stretches without white space, by way of their words."""
-        split = [_WORD.findall(c) for c in chunks]
-        if len(self.words) >= CACHE:
-            self.words.clear()
-        new = list({w for ws in split for w in ws if w not in self.words})
+        self.known = Known()
+
+    def learn(self, stretches: set[str]) -> None:
+        known = self.known
+        split = {s: _WORD.findall(s) for s in stretches if not s.isalpha()}
+        new = [s for s in stretches if s not in split]
+        new += {w for ws in split.values() for w in ws if w not in known and w not in stretches or w in split}
         if new:
-            ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-            end = np.flatnonzero(self.last[ids]) + 1
-            if len(end) != len(new):
+            ids = self.library.encode(" ".join(new), add_special_tokens=False).ids
+            raw, at, n = np.array(ids, "<u4").tobytes(), 0, 0
+            for e in (np.flatnonzero(self.last[ids]) * 4 + 4).tolist():
+                known[new[n]] = raw[at:e]
+                at, n = e, n + 1
+            if n != len(new) or at != len(raw):
                 raise ValueError("the tokenizer file splits words in another way")
-            raw, at = ids.tobytes(), 0
-            for w, e in zip(new, (end * 4).tolist()):
-                self.words[w] = raw[at:e]
-                at = e
-        for c, ws in zip(chunks, split):
-            self.chunks[c] = b"".join(map(self.words.__getitem__, ws))
-
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        chunks = self.chunks
-        if len(chunks) >= CACHE:
-            chunks.clear()
-        out: list = [None] * len(texts)
-        late = []
-        for k, t in enumerate(texts):
-            if _ODD.search(t):
-                out[k] = np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            own = t.lower().split()
-            try:
-                out[k] = b"".join(map(chunks.__getitem__, own))
-            except KeyError:
-                late.append((k, own))
-        if late:
-            self.learn(list({c for _, own in late for c in own if c not in chunks}))
-        for k, own in late:
-            out[k] = b"".join(map(chunks.__getitem__, own))
-        return iter(out)
+        for s, ws in split.items():
+            known[s] = b"".join([known[w] for w in ws])
+
+    def text(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of a text."""
+        if _ODD.search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        own, known = text.lower().split(), self.known
+        if len(known) >= CACHE:
+            known.clear()
+        ids = b"".join(map(known.__getitem__, own))
+        if known.new:
+            self.learn(set(known.new))
+            known.new.clear()
+            ids = b"".join(map(known.__getitem__, own))
+        return ids
 
 
 @lru_cache(maxsize=2)
@@ -120,8 +121,8 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: i
         for batch in batches:
             for rows in slices(batch, "text", 1 << 20):
                 which, piece, start, length, crc = [], [], [], [], []
-                for k, raw in enumerate(ids.texts(rows.column("text").to_pylist())):
-                    raw += end
+                for k, text in enumerate(rows.column("text").to_pylist()):
+                    raw = ids.text(text) + end
                     for j, at in enumerate(range(0, len(raw), 4 * capacity)):
                         own = raw[at : at + 4 * capacity]
                         which.append(k)
