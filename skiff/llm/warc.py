@@ -6,7 +6,9 @@ archives go through its commit protocol to any file system, and a lost task
 leaves nothing behind.  Of records with equal payloads of at least
 ``revisit_bytes`` the one with the largest id is written whole as ``response``;
 the others become ``revisit`` records that name it.  Which payloads repeat is
-found on (digest, size) counts alone; payloads aren't shuffled for that.
+found on (digest, size) counts alone.  The repeated ones are counted: up to
+``BROADCAST_ROWS`` of them (about 100 bytes each) are broadcast, and payloads
+move nowhere; more are joined by a shuffle.
 
 Reading (``spark.read.format("warc")``): files are listed and planned into
 partitions of about ``split_bytes`` on the driver; equality, IN and null
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull
 
-from skiff.llm.common import narrow
+from skiff.llm.common import kept, narrow
 
 CRLF = "\r\n"
 #: Fixed names of the format; the payload's size is an extension field, as a revisit has no payload to count.
@@ -43,6 +45,7 @@ VERSION = "WARC/1.1"
 HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:page:"
+BROADCAST_ROWS = 200_000
 #: Columns of the data source and the header field of each.
 FIELDS = {
     "record_type": "warc-type",
@@ -61,7 +64,9 @@ def with_revisits(rows: DataFrame, revisit_bytes: int = 1000) -> DataFrame:
     raw = F.col("payload").cast("binary")
     rows = rows.withColumn("payload", F.coalesce(F.col("payload"), F.lit(""))).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1(raw)})
     again = rows.filter(F.col("payload_bytes") >= revisit_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("id").alias("whole"), F.count("*").alias("n")).filter("n > 1 and whole is not null").drop("n")
-    out = rows.join(again, ["payload_digest", "payload_bytes"], "left")
+    again = kept(again, "repeated")
+    few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    out = rows.join(F.broadcast(again) if few else again, ["payload_digest", "payload_bytes"], "left")
     revisit = F.col("whole").isNotNull() & ~F.col("id").eqNullSafe(F.col("whole"))
     return out.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("whole"))}).drop("whole")
 
