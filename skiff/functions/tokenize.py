@@ -1,9 +1,9 @@
 """Tokenizers for the corpus pipeline (CP-02, CP-13, UDF-02).
 
 * ``char_vocab`` / ``char_ids`` — character-level vocabulary (sorted distinct
-  characters -> ids, end-of-text = vocabulary size) entirely in Spark
-  expressions: the vocabulary is bounded by Unicode (< 1.2 M entries) and is
-  handed to every task as one map value through a scalar subquery.
+  characters -> ids, end-of-text = vocabulary size): the vocabulary is bounded
+  by Unicode (< 1.2 M entries) and broadcast as a table by code point, through
+  which whole Arrow batches are encoded.
 * ``byte_ids`` — UTF-8 bytes (end-of-text 256) as an Arrow-batched pandas UDF.
 * ``bpe_ids`` — any BPE encoder with ``encode_ordinary`` (tiktoken), built
   once per Python worker from a user-supplied ranks file, through
@@ -12,11 +12,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,40 +32,71 @@ def chars(text: Column) -> Column:
 
 def char_vocab(docs: DataFrame, text: str = "text") -> DataFrame:
     """CP-13: ``(ch, code, id)`` for every distinct character, ids in code
-    point order.  The global order runs over the distinct characters only."""
+    point order.  The global order runs over the distinct characters only
+    (at most every code point, 1.1 M rows)."""
     # distinct characters per document first: the explode then carries only
     # a few hundred rows per document instead of every character
     d = docs.select(F.explode(F.array_distinct(chars(F.col(text)))).alias("ch")).distinct()
     d = d.withColumn("code", F.ascii("ch"))
-    # the sorted code list is one bounded value (at most every code point)
-    codes = d.agg(F.array_sort(F.collect_list("code"))).scalar()
-    return d.withColumn("id", (F.array_position(codes, F.col("code")) - 1).cast("int"))
+    return d.withColumn("id", (F.row_number().over(Window.orderBy("code")) - 1).cast("int"))
+
+
+def _vocab_codes(vocab: DataFrame) -> np.ndarray:
+    """Code point of each id; Unicode bounds it to 4.5 MB."""
+    got = vocab.select("code", "id").toArrow()
+    codes = np.zeros(got.num_rows, np.uint32)
+    codes[got["id"].to_numpy()] = got["code"].to_numpy()
+    return codes
 
 
 def char_ids(docs: DataFrame, vocab: DataFrame, text: str = "text", out: str = "ids") -> DataFrame:
     """CP-02 with the character vocabulary: ids per document plus end-of-text
     (= vocabulary size); ``unknown`` counts characters outside the vocabulary
-    (the reference raises on them; callers filter or fail on it)."""
-    vmap = vocab.agg(F.map_from_entries(F.collect_list(F.struct("ch", "id")))).scalar()
-    vsize = vocab.agg(F.count(F.lit(1)).cast("int")).scalar()
-    # the map is projected once as a column: subqueries may not sit inside
-    # the lambda of a higher-order function
-    d = docs.withColumn("__vmap", vmap)
-    d = d.withColumn("__raw", F.transform(chars(F.col(text)), lambda c: F.element_at(F.col("__vmap"), c)))
-    return d.select(
-        *[c for c in docs.columns if c != text],
-        F.concat(F.filter("__raw", lambda x: x.isNotNull()), F.array(vsize)).alias(out),
-        F.size(F.filter("__raw", lambda x: x.isNull())).alias("unknown"),
-    ).withColumn("len", F.size(out))
+    (the reference raises on them; callers filter or fail on it).  Null texts
+    are end-of-text alone.
+
+    An Arrow batch is one array of code points, encoded by a table indexed by
+    code point: the time per character doesn't depend on the vocabulary."""
+    codes = _vocab_codes(vocab)
+    shared = docs.sparkSession.sparkContext.broadcast(codes)
+    keep = [c for c in docs.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.full(0x110000, -1, np.int32)
+        table[shared.value] = np.arange(len(shared.value), dtype=np.int32)
+        for batch in batches:
+            col = pc.fill_null(batch.column(text), "")
+            n = pc.utf8_length(col).to_numpy().astype(np.int64)
+            points = np.frombuffer("".join(col.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+            ids = table[points]
+            doc = np.repeat(np.arange(len(n)), n)
+            known = ids >= 0
+            size = np.bincount(doc[known], minlength=len(n)) + 1
+            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            values = np.full(offsets[-1], len(shared.value), np.int32)
+            body = np.ones(len(values), bool)
+            body[offsets[1:] - 1] = False
+            values[body] = ids[known]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            yield pa.record_batch([*(batch.column(c) for c in keep), lists, pa.array((n - size + 1).astype(np.int32)), pa.array(size.astype(np.int32))], names=[*keep, out, "unknown", "len"])
+
+    schema = T.StructType([docs.schema[c] for c in keep] + [
+        T.StructField(out, T.ArrayType(T.IntegerType())), T.StructField("unknown", T.IntegerType()), T.StructField("len", T.IntegerType())
+    ])
+    return docs.mapInArrow(run, schema)
 
 
 def decode_chars(df: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "text") -> DataFrame:
     """CP-13 decode: ids -> text; ids outside the vocabulary (such as the
     end-of-text id) are dropped."""
-    imap = vocab.agg(F.map_from_entries(F.collect_list(F.struct("id", "ch")))).scalar()
-    d = df.withColumn("__imap", imap)
-    text = F.array_join(F.filter(F.transform(ids, lambda i: F.element_at(F.col("__imap"), i)), lambda c: c.isNotNull()), "")
-    return d.withColumn(out, text).drop("__imap")
+    shared = df.sparkSession.sparkContext.broadcast(_vocab_codes(vocab))
+
+    @F.pandas_udf(T.StringType())
+    def decode(col: pd.Series) -> pd.Series:
+        codes = shared.value
+        return col.map(lambda x: None if x is None else codes[x[(x >= 0) & (x < len(codes))]].tobytes().decode("utf-32-le", "surrogatepass"))
+
+    return df.withColumn(out, decode(F.col(ids)))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skiff.functions.percentile import kth_values
@@ -43,28 +43,20 @@ def holdout_split(docs: DataFrame, val_fraction: float = VAL_FRACTION, seed: int
     """CP-01: exactly ``ceil(n * val_fraction)`` documents go to ``val`` — the
     ones with the smallest ``(key, doc_id)`` — the rest to ``train``.
 
-    Works on the ids only: the cut-off key is found with the exact two-pass
-    selection (no global sort, no ``limit`` of millions of rows into one
-    task), the validation ids (a ``val_fraction`` share) are written once,
-    and documents are marked by a join on them; only ids sharing the cut-off
-    key are ranked (a handful at most)."""
-    from pyspark.sql import Window
-
-    from skiff.operators.scan import materialize
-
-    ids = docs.select("doc_id").withColumn("__h", split_key(F.col("doc_id"), seed)).withColumn("__g", F.lit(0))
-    ids = materialize(ids)
-    k_of = lambda n: F.ceil(n * F.lit(val_fraction))
-    cut = materialize(kth_values(ids, ["__g"], "__h", {"cut": k_of}).select("__g", "n", "cut"))
-    j = ids.join(F.broadcast(cut), on="__g")  # one row
-    below = j.filter(F.col("__h") < F.col("cut"))
-    nb = below.groupBy("__g").agg(F.count(F.lit(1)).alias("__nb"))
-    ties = j.filter(F.col("__h") == F.col("cut")).join(nb, on="__g", how="left")
-    ties = ties.withColumn("__r", F.row_number().over(Window.partitionBy("__h").orderBy("doc_id")))
-    ties = ties.filter(F.col("__r") <= F.ceil(F.col("n") * F.lit(val_fraction)) - F.coalesce(F.col("__nb"), F.lit(0)))
-    val_ids = below.select("doc_id").unionByName(ties.select("doc_id")).withColumn("__val", F.lit(True))
-    out = docs.join(val_ids, on="doc_id", how="left")
-    return out.withColumn("split", F.when(F.col("__val"), F.lit("val")).otherwise(F.lit("train"))).drop("__val")
+    A document's side depends on its own ``(key, doc_id)`` and one cut value, so
+    marking is a projection: the cut-off key is found on the ids with the
+    exact two-pass selection (no global sort), the last id at that key among
+    the few that share it, and both enter as scalars.  Texts aren't moved."""
+    ids = docs.select("doc_id").withColumn("__h", split_key(F.col("doc_id"), seed))
+    quota = F.ceil(F.count(F.lit(1)) * F.lit(val_fraction))
+    cut = kth_values(ids, [], "__h", {"cut": lambda n: F.ceil(n * F.lit(val_fraction))}).select(F.col("cut").cast("long")).scalar()
+    need = ids.agg((quota - F.count_if(F.col("__h") < cut)).alias("need")).scalar()
+    # ids that share the cut-off key (a 52-bit hash): a handful at most
+    tied = ids.filter(F.col("__h") == cut).withColumn("__r", F.row_number().over(Window.orderBy("doc_id")))
+    last = tied.filter(F.col("__r") == need).agg(F.max("doc_id")).scalar()
+    h = split_key(F.col("doc_id"), seed)
+    val = (h < cut) | ((h == cut) & (F.col("doc_id") <= last))
+    return docs.withColumn("split", F.when(val, F.lit("val")).otherwise(F.lit("train")))
 
 
 def prefix_offsets(tokens: DataFrame, keys: list[str], order: str = "doc_id", length: str = "len", width: float = 100_000.0) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skiff.functions.tokenize import char_ids, char_vocab
 from skiff.operators import corpus as C
-from skiff.operators.scan import materialize
+from skiff.session import scratch_path
 from skiff.sources.tables import table
 
 BLOCK = 1024        # context length of the evaluation windows
@@ -20,25 +22,27 @@ def _docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text")
 
 
+def _encoded(spark, sf):
+    docs = _docs(spark, sf)
+    return char_ids(C.holdout_split(docs), char_vocab(docs))
+
+
 def _tokens(spark, sf):
     """Tokenized documents with their split, written once to the shared
-    checkpoint folder (the token cache every later stage reads)."""
-    docs = _docs(spark, sf)
-    split = C.holdout_split(docs)
-    vocab = materialize(char_vocab(docs))
-    return materialize(char_ids(split, vocab))
+    checkpoint folder as Parquet (the token cache every later stage reads;
+    stages that need lengths read that column alone)."""
+    path = f"{scratch_path(spark, 'tokens')}-{uuid.uuid4().hex}"
+    _encoded(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _lengths(spark, sf):
-    """``(doc_id, split, len)`` without encoding: with the vocabulary built
-    from the same documents no character is unknown, so the token count is
-    the character count plus end-of-text (checked by corpus_token_checksum)."""
-    docs = table(spark, sf, "documents").select("doc_id", (F.length("text") + 1).cast("int").alias("len"))
-    return materialize(C.holdout_split(docs))
+    """``(doc_id, split, len)`` of the token cache."""
+    return _tokens(spark, sf).select("doc_id", "split", "len")
 
 
 def _offsets(spark, sf):
-    return materialize(C.prefix_offsets(_lengths(spark, sf), ["split"]))
+    return C.prefix_offsets(_lengths(spark, sf), ["split"])
 
 
 def _packed(spark, sf):
@@ -62,7 +66,7 @@ def q_vocab(spark, sf):
 
 
 def q_checksum(spark, sf):
-    t = _tokens(spark, sf)
+    t = _encoded(spark, sf)
     return t.groupBy("split").agg(
         F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("id_sum"),
         F.max(F.array_max("ids")).alias("max_id"),
