@@ -31,28 +31,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: checkpoint ``df`` into the shared checkpoint folder
-    (``spark.checkpoint.dir``) and continue from the written copy.  Reliable
-    checkpoints survive executor loss (never ``localCheckpoint``).  Measured
-    against a written parquet table and against persist-then-checkpoint on
-    sf0.1: the plain checkpoint was the fastest of the three."""
-    from skiff.session import checkpoint_dir
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` hash-partitioned by ``keys``, so that several branches read one exchange.
 
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-# a two-level scan reads its input twice (rows and per-bucket partials);
-# chaining scans doubles the plan at every level, so once an input carries
-# more than this many scans it is materialised first (bounded plan size)
-MAX_NESTED_SCANS = 2
-
-
-def _has_scan(df: DataFrame) -> bool:
-    plan = df._jdf.queryExecution().logical().toString()
-    # every scan projects its bucket column once in its input projection
-    return plan.count(f"AS {_B}") > MAX_NESTED_SCANS
+    Spark reuses an exchange only where the branches ask it for the same
+    columns, and would prune each branch's columns below it.  The filter reads
+    all columns, and as it isn't deterministic it stays above the exchange; it
+    holds for every row."""
+    every = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return df.repartition(*keys).filter(F.rand(0) * F.lit(0.5) <= F.when(every == 0, F.lit(0.5)).otherwise(F.lit(0.75)))
 
 
 def scan(
@@ -81,14 +68,12 @@ def scan(
     order = [F.col(time)] + [F.col(c) for c in tiebreak]
     ostruct = F.struct(*order)
 
-    # materialise the expressions once so both levels read the same values
-    if _has_scan(df):
-        df = materialize(df)
     exprs = {_B: F.floor(F.col(time) / F.lit(float(width))).cast("long")}
     for prefix, spec in (("__sc_s_", sums), ("__sc_x_", maxes), ("__sc_m_", mins), ("__sc_l_", lasts), ("__sc_p_", prevs), ("__sc_n_", nexts)):
         for name, expr in spec.items():
             exprs[prefix + name] = _col(expr)
-    base = df.withColumns(exprs)
+    # both levels read one exchange, so chained scans don't compute their input twice
+    base = dealt(df.withColumns(exprs), [*keys, _B])
 
     w_in = Window.partitionBy(*keys, _B).orderBy(*order)
     w_run = w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)
