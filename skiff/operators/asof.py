@@ -28,15 +28,19 @@ def asof_join(
     prefix: str = "",
     right_first: bool = True,
     left_tiebreak: Sequence[str] = (),
+    right_tiebreak: Sequence[str] = (),
     width: float = 3600.0,
     strict: bool = False,
 ) -> DataFrame:
     """For each left row, the latest right row with ``right_t <= left_t``
     (``<`` when ``strict``) and equal keys; ``right_cols`` are added with
-    ``prefix`` (null when there is none)."""
+    ``prefix`` (null when there is none).  Of right rows at one time the last
+    in ``right_tiebreak`` order wins; rows equal in that too are ordered by
+    ``right_cols``, so the winner never depends on the order of arrival."""
     keys = list(keys)
     rstruct = F.struct(*[F.col(c).alias(c) for c in right_cols], F.col(right_t).alias("__rt"))
-    r = right.select(*keys, F.col(right_t).alias("__t"), rstruct.alias("__r"))
+    tie = F.struct(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(right_tiebreak)], rstruct.alias("__r"))
+    r = right.select(*keys, F.col(right_t).alias("__t"), rstruct.alias("__r"), tie.alias("__tie"))
     src_right = 0 if (right_first and not strict) else 2
     r = r.withColumn("__src", F.lit(src_right))
     lcols = left.columns
@@ -46,7 +50,7 @@ def asof_join(
             raise ValueError(f"tie-break column {c!r} is a join key")
         r = r.withColumn(c, F.lit(None).cast(left.schema[c].dataType))
     u = lt.unionByName(r, allowMissingColumns=True)
-    s = scan(u, keys, "__t", ["__src", *left_tiebreak], width=width, lasts={"__m": F.col("__r")})
+    s = scan(u, keys, "__t", ["__src", *left_tiebreak, "__tie"], width=width, lasts={"__m": F.col("__r")})
     out = s.filter(F.col("__src") == 1)
     sel = [F.col(c) for c in lcols] + [F.col("__m")[c].alias(prefix + c) for c in right_cols]
     return out.select(*sel)

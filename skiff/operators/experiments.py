@@ -339,15 +339,18 @@ def kill_drift(planned: DataFrame, fired: DataFrame, tolerance_s: float = 90.0)
     )
 
 
-def sample_grid(samples: DataFrame) -> DataFrame:
+def sample_grid(samples: DataFrame, max_prompts: int = 100_000) -> DataFrame:
     """JN-18: every prompt x run x step side by side; a missing completion
-    stays visible as null.  The prompt list is the evaluation set (small
-    and fixed) and enters each run as one array value, so the grid is built
-    by ``explode`` rather than a cross join."""
+    stays visible as null, and every first sample (``sample_index`` 0) of a
+    cell stays a row of its own under its ``sample_id``.  The prompt list is
+    the evaluation set and enters each (run, step) as one array value, so the
+    grid is built by ``explode`` rather than a cross join; more than
+    ``max_prompts`` prompts are refused, as they aren't an evaluation set."""
     prompts = samples.agg(F.array_sort(F.collect_set("prompt"))).scalar()
+    bounded = F.when(F.size("__p") <= max_prompts, F.col("__p")).otherwise(F.raise_error(F.lit(f"more than {max_prompts} prompts")))
     steps = samples.select("run_id", "step").distinct().withColumn("__p", prompts)
-    grid = steps.select("run_id", "step", F.explode("__p").alias("prompt"))
-    first = samples.filter(F.col("sample_index") == 0).groupBy("run_id", "step", "prompt").agg(F.first("completion").alias("completion"))
+    grid = steps.select("run_id", "step", F.explode(bounded).alias("prompt"))
+    first = samples.filter(F.col("sample_index") == 0).select("run_id", "step", "prompt", "sample_id", "completion")
     return grid.join(first, ["run_id", "step", "prompt"], "left")
 
 

@@ -201,9 +201,9 @@ def threshold_marks(kills: DataFrame, ticks: DataFrame, width: float = 86400.0)
     full = ticks.groupBy("run_id").agg(F.max(F.size("members")).alias("__full"))
     tk = ticks.select("run_id", "t", "event_id", "ckpt_step", F.size("members").alias("world"))
     base = asof_join(kills.select("run_id", "kill_t", "kill_id"), tk, ["run_id"], "kill_t", "t", ["ckpt_step"], prefix="base_",
-                     left_tiebreak=["kill_id"], width=width)
+                     left_tiebreak=["kill_id"], right_tiebreak=["event_id"], width=width)
     cyc = asof_join(tk, base.select("run_id", "kill_t", "kill_id", "base_ckpt_step"), ["run_id"], "t", "kill_t",
-                    ["kill_t", "kill_id", "base_ckpt_step"], prefix="k_", left_tiebreak=["event_id"], width=width, strict=True)
+                    ["kill_t", "kill_id", "base_ckpt_step"], prefix="k_", left_tiebreak=["event_id"], right_tiebreak=["kill_id"], width=width, strict=True)
     cyc = cyc.filter(F.col("k_kill_id").isNotNull()).join(full, "run_id")
     g = cyc.groupBy("run_id", F.col("k_kill_id").alias("kill_id"), F.col("k_kill_t").alias("kill_t")).agg(
         F.min(F.when(F.col("ckpt_step") > F.coalesce(F.col("k_base_ckpt_step"), F.lit(-1)), F.col("t"))).alias("shrink_resume_t"),
@@ -222,10 +222,10 @@ def restart_labels(obs: DataFrame, timeline: DataFrame, ticks: DataFrame, width:
         "run_id", F.col("t").alias("change_t"), F.col("event_id").alias("change_id"),
         F.array_intersect("__pm", "members").alias("survivors"))
     ck = ticks.select("run_id", "t", "event_id", "ckpt_step")
-    base = asof_join(ch, ck, ["run_id"], "change_t", "t", ["ckpt_step"], prefix="at_", left_tiebreak=["change_id"], width=width)
+    base = asof_join(ch, ck, ["run_id"], "change_t", "t", ["ckpt_step"], prefix="at_", left_tiebreak=["change_id"], right_tiebreak=["event_id"], width=width)
     o = obs.join(ck.select("run_id", "event_id", "ckpt_step"), ["run_id", "event_id"])
     o = asof_join(o, base.select("run_id", "change_t", "change_id", "survivors", "at_ckpt_step"), ["run_id"], "t", "change_t",
-                  ["change_t", "survivors", "at_ckpt_step"], prefix="c_", left_tiebreak=["event_id", "node"], width=width)
+                  ["change_t", "survivors", "at_ckpt_step"], prefix="c_", left_tiebreak=["event_id", "node"], right_tiebreak=["change_id"], width=width)
     restarting = (
         F.coalesce(F.array_contains("c_survivors", F.col("node")), F.lit(False))
         & ~(F.col("ckpt_step") > F.coalesce(F.col("c_at_ckpt_step"), F.lit(-1)))

@@ -9,7 +9,7 @@ times, standing in for the reference's stable sort.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skiff.operators.asof import asof_join
@@ -305,11 +305,13 @@ def kill_pairs(terminations: DataFrame) -> DataFrame:
     return terminations.groupBy("run_id", "node", "instance_id").agg(F.min("pos").alias("pos"))
 
 
-def kill_times(terminations: DataFrame, kills: DataFrame, width: float = 1e9) -> DataFrame:
+def kill_times(terminations: DataFrame, kills: DataFrame) -> DataFrame:
     """JN-09: zip distinct kill pairs (log order) with kill timestamps (time
-    order) by ordinal; the shorter side truncates."""
-    pairs = kill_pairs(terminations).withColumn("__one", F.lit(1))
-    pairs = scan(pairs, ["run_id"], "pos", ["instance_id"], width=width, sums={"ordinal": "__one"}).drop("__one")
+    order) by ordinal; the shorter side truncates.  ``pos`` may be any
+    orderable value, such as the log reader's (file, block, line); a run's
+    distinct pairs are its machines, so they are ranked in one window."""
+    order = Window.partitionBy("run_id").orderBy("pos", "node", "instance_id")
+    pairs = kill_pairs(terminations).withColumn("ordinal", F.row_number().over(order).cast("long"))
     k = kills.withColumn("__one", F.lit(1))
     k = scan(k, ["run_id"], "ts", ["event_id"], width=86400.0, sums={"ordinal": "__one"}).drop("__one")
     return pairs.join(k.select("run_id", "ordinal", "ts"), on=["run_id", "ordinal"]).select("run_id", "ordinal", "node", "instance_id", "ts")
@@ -405,8 +407,8 @@ def occupancy(timeline: DataFrame, ticks: DataFrame, ledger: DataFrame, target:
     times = base.select("run_id", "t").unionByName(prov.select("run_id", F.col("a").alias("t"))).unionByName(
         chg.join(t_first, "run_id").filter(F.col("t") >= F.col("__tf")).select("run_id", "t")).distinct()
     grid = times.select("run_id", "t", F.explode(slots).alias("slot"))
-    g = asof_join(grid, base, ["run_id", "slot"], "t", "t", ["state", "__ord"], prefix="b_", width=width)
-    g = asof_join(g, allpolls.select("run_id", "t", "boxed"), ["run_id"], "t", "t", ["boxed"], prefix="p_", left_tiebreak=["slot"], width=width)
+    g = asof_join(grid, base, ["run_id", "slot"], "t", "t", ["state"], prefix="b_", right_tiebreak=["__ord"], width=width)
+    g = asof_join(g, allpolls, ["run_id"], "t", "t", ["boxed"], prefix="p_", left_tiebreak=["slot"], right_tiebreak=["event_id"], width=width)
     g = asof_join(g, prov.select("run_id", "slot", "a", "b"), ["run_id", "slot"], "t", "a", ["b"], prefix="w_", left_tiebreak=[], width=width)
     st = F.coalesce(F.col("b_state"), F.lit("down"))
     inwin = F.col("w_b").isNotNull() & (F.col("t") < F.col("w_b"))

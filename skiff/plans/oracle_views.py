@@ -58,7 +58,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
              {_TYPE} AS instance_type,
              k % 3 <> 0 AS capacity_available,
              CASE WHEN k % 3 <> 0 THEN '' ELSE 'InsufficientInstanceCapacity' END AS error_code
-           FROM ev WHERE event_id % 7 = 3 AND event_type <> 'purchase'""",
+           FROM ev WHERE event_type <> 'purchase'""",
     ),
     "price": (
         [],
@@ -202,7 +202,7 @@ VIEWS.update({
              {_MEMBERS.format(e='epoch', r='run_no')} AS members,
              coalesce(list_min({_MEMBERS.format(e='epoch', r='run_no')}), 0) AS master
            FROM (SELECT DISTINCT user_id % 12 AS run_no, CAST(event_id // 500 AS INTEGER) AS epoch
-                 FROM ev WHERE event_type = 'purchase') d WHERE epoch % 7 <> 3""",
+                 FROM ev WHERE event_type = 'purchase') d""",
     ),
     "terminations": (
         ["ev"],

@@ -286,9 +286,10 @@ def q_sample_grid(spark, sf):
         (F.col("turn") / 2).cast("long").alias("step"),
         F.concat(F.lit("p"), (F.col("conv_id") % 5).cast("string")).alias("prompt"),
         (F.col("turn") % 2).cast("int").alias("sample_index"),
+        F.col("conv_id").alias("sample_id"),
         F.col("text").alias("completion"),
     )
-    return sample_grid(c).select("run_id", "step", "prompt", F.length("completion").alias("completion_chars"))
+    return sample_grid(c).select("run_id", "step", "prompt", "sample_id", F.md5("completion").alias("completion_md5"), F.length("completion").alias("completion_chars"))
 
 
 QUERIES.update({
@@ -311,10 +312,11 @@ SELECT bytes,
 FROM (SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, greatest(1.0, sum(octet_length(encode(text))) / 1e9) AS h FROM documents) x"""
 ORACLE["exp_sample_grid"] = """
 WITH c AS (SELECT 'run-' || CAST(conv_id % 12 AS VARCHAR) AS run_id, CAST(turn // 2 AS BIGINT) AS step, 'p' || CAST(conv_id % 5 AS VARCHAR) AS prompt,
-                  CAST(turn % 2 AS INTEGER) AS sample_index, text AS completion FROM conversations),
+                  CAST(turn % 2 AS INTEGER) AS sample_index, conv_id AS sample_id, text AS completion FROM conversations),
 g AS (SELECT s.run_id, s.step, p.prompt FROM (SELECT DISTINCT run_id, step FROM c) s, (SELECT DISTINCT prompt FROM c) p),
-f AS (SELECT run_id, step, prompt, first(completion) AS completion FROM c WHERE sample_index = 0 GROUP BY 1, 2, 3)
-SELECT g.run_id, g.step, g.prompt, length(f.completion) AS completion_chars FROM g LEFT JOIN f USING (run_id, step, prompt)"""
+f AS (SELECT run_id, step, prompt, sample_id, completion FROM c WHERE sample_index = 0)
+SELECT g.run_id, g.step, g.prompt, f.sample_id, md5(f.completion) AS completion_md5, length(f.completion) AS completion_chars
+FROM g LEFT JOIN f USING (run_id, step, prompt)"""
 
 from skiff.plans.serving import _SAMPLES as _SERVING_SAMPLES  # noqa: E402
 

@@ -120,8 +120,8 @@ def az_map_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probe_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Launch probes (ground truth): events with ``event_id % 7 = 3``."""
-    ev = events_base(spark, sf_dir).filter((F.col("event_id") % 7 == 3) & (F.col("event_type") != "purchase"))
+    """Launch probes (ground truth): all events but purchases."""
+    ev = events_base(spark, sf_dir).filter(F.col("event_type") != "purchase")
     az_idx = F.col("user_id") % 6
     ok = F.col("k") % 3 != 0
     return ev.select(
@@ -373,11 +373,10 @@ def tick_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decision-log ``published epoch`` lines: one per (run, epoch) seen in
-    the ticks, except epochs with ``epoch % 7 = 3`` (never logged)."""
+    the ticks."""
     ev = events_base(spark, sf_dir).filter(F.col("event_type") == "purchase")
     run_no = F.col("user_id") % 12
     d = ev.select(run_no.alias("run_no"), F.expr("CAST(event_id div 500 AS INT)").alias("epoch")).distinct()
-    d = d.filter(F.col("epoch") % 7 != 3)
     members = _members(F.col("epoch"), F.col("run_no"))
     return d.select(
         _run_id(F.col("run_no")).alias("run_id"),
