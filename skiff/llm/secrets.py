@@ -266,8 +266,8 @@ def redact(docs: DataFrame, scanner: Scanner, limit: float = LIMIT, mark: str =
                 out += [t[at:a], mark]
                 at = b
             texts[row] = "".join(out) + t[at:]
-        part = part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, part.column("text").type))
-        return part.set_column(part.schema.get_field_index("changed"), "changed", pa.array([r in by_row for r in range(part.num_rows)]))
+        new = {"text": pa.array(texts, part.column("text").type), "changed": pa.array([r in by_row for r in range(part.num_rows)])}
+        return pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in part.schema.names], schema=part.schema)
 
     out = _over(rows, scanner, rows.schema, emit)
     back = []

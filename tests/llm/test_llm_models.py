@@ -160,4 +160,6 @@ def test_secrets_held_out_and_redacted(spark):
     assert secrets.redact(docs, scanner).columns == docs.columns and len(red) == len(rows)
     assert red[1, "src0"].text == 'é token = "[SECRET]" thing of' and red[1, "src0"].n_chars == len(red[1, "src0"].text)
     assert red[2, "src0"].n_chars == 30 and red[3, None].text is None and red[1, None].text == "x api_key=[SECRET] y api_key=[SECRET]"
+    mixed = spark.range(4000).selectExpr("id as doc_id", f"if(id % 1999 = 1998, 'token = \"{key}\"', repeat('plain words ', 300)) as text", "'s' as source", "3600L as n_chars").coalesce(1)
+    assert secrets.redact(mixed, scanner).filter("text like '%[SECRET]%'").count() == 2  # slices without and with secrets in one task
     assert secrets.scan(docs.limit(0), scanner).count() == 0
