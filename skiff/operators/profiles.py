@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skiff.operators.asof import asof_join
+from skiff.operators.runs import in_gap
 from skiff.operators.scan import scan
 
 # Fixed values of the reference's profile: consecutive (from, to) marks ->
@@ -239,23 +240,25 @@ def restart_labels(obs: DataFrame, timeline: DataFrame, ticks: DataFrame, width:
     return o.select("run_id", "t", "event_id", "node", "label", ((F.col("__pl") == "train") & (F.col("label") == "down")).alias("kill"))
 
 
-def data_checks(kills: DataFrame, timeline: DataFrame, gaps: DataFrame, steps: DataFrame, max_outages: int = 12) -> DataFrame:
+def data_checks(kills: DataFrame, timeline: DataFrame, gaps: DataFrame, steps: DataFrame, restarts: DataFrame, max_outages: int = 12) -> DataFrame:
     """AG-56: the data checks that judge a run, one row per (run, check):
     kills fired, epochs re-formed, no whole-group restart, outage bands as
-    expected, epochs never go back, steps advance during an outage."""
+    expected, epochs never go back, steps advance during an outage.
+    ``restarts`` are the decision log's whole-group restarts; outages of a run
+    don't overlap, so a step is inside one by an as-of look-up, not a pairing."""
     k = kills.groupBy("run_id").agg(F.count(F.lit(1)).alias("kills"))
     e = scan(timeline, ["run_id"], "t", ["event_id"], width=86400.0, prevs={"__pe": F.col("epoch")})
     e = e.groupBy("run_id").agg(F.count(F.lit(1)).alias("epochs"),
                                 F.coalesce(F.bool_and(F.col("__pe").isNull() | (F.col("epoch") >= F.col("__pe"))), F.lit(True)).alias("monotone"))
     g = gaps.groupBy("run_id").agg(F.count(F.lit(1)).alias("outages"))
-    inside = steps.join(gaps, "run_id").filter((F.col("t") > F.col("start")) & (F.col("t") < F.col("end")))
-    adv = inside.groupBy("run_id").agg(F.count(F.lit(1)).alias("steps_in_outage"))
-    runs = steps.select("run_id").distinct()
-    j = runs.join(k, "run_id", "left").join(e, "run_id", "left").join(g, "run_id", "left").join(adv, "run_id", "left")
+    placed = in_gap(steps.select("run_id", "t", "step"), gaps, tiebreak=("step",))
+    runs = placed.groupBy("run_id").agg(F.count_if(F.col("supervisor_up") == 0).alias("steps_in_outage"))
+    w = restarts.groupBy("run_id").agg(F.count(F.lit(1)).alias("restarts"))
+    j = runs.join(k, "run_id", "left").join(e, "run_id", "left").join(g, "run_id", "left").join(w, "run_id", "left")
     checks = F.array(
         F.struct(F.lit("kills_fired").alias("check"), (F.coalesce(F.col("kills"), F.lit(0)) > 0).alias("passed")),
         F.struct(F.lit("epochs_reformed").alias("check"), (F.coalesce(F.col("epochs"), F.lit(0)) > 1).alias("passed")),
-        F.struct(F.lit("no_whole_group_restart").alias("check"), F.lit(True).alias("passed")),
+        F.struct(F.lit("no_whole_group_restart").alias("check"), F.col("restarts").isNull().alias("passed")),
         F.struct(F.lit("outage_bands").alias("check"), (F.coalesce(F.col("outages"), F.lit(0)) <= max_outages).alias("passed")),
         F.struct(F.lit("epochs_monotone").alias("check"), F.coalesce(F.col("monotone"), F.lit(True)).alias("passed")),
         F.struct(F.lit("steps_during_outage").alias("check"),

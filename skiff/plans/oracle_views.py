@@ -204,6 +204,10 @@ VIEWS.update({
            FROM (SELECT DISTINCT user_id % 12 AS run_no, CAST(event_id // 500 AS INTEGER) AS epoch
                  FROM ev WHERE event_type = 'purchase') d""",
     ),
+    "restart_log": (
+        ["ev"],
+        "SELECT 'run-' || CAST(user_id % 12 AS VARCHAR) AS run_id, t FROM ev WHERE event_type = 'error' AND user_id % 36 < 3 AND k >= 50",
+    ),
     "terminations": (
         ["ev"],
         f"""SELECT 'run-' || CAST(user_id % 12 AS VARCHAR) AS run_id, event_id AS pos, {_NODE} AS node,

@@ -76,7 +76,7 @@ def q_restart_labels(spark, sf):
 
 def q_data_checks(spark, sf):
     kills = D.lifecycle_records(spark, sf).filter(F.col("state") == "killed")
-    return P.data_checks(kills, _timeline(spark, sf), R.outages(D.tick_docs(spark, sf)), D.step_records(spark, sf))
+    return P.data_checks(kills, _timeline(spark, sf), R.outages(D.tick_docs(spark, sf)), D.step_records(spark, sf), D.restart_log(spark, sf))
 
 
 def q_window_rates(spark, sf):
@@ -339,7 +339,7 @@ SELECT cyc.run_id, kill_id, kill_t,
        min(t) FILTER (WHERE world >= fw.full) AS full_world_t
 FROM cyc JOIN fw USING (run_id) GROUP BY cyc.run_id, kill_id, kill_t""".replace("WITH k AS", ", k AS"), "lifecycle", "ticks")
 
-ORACLE["prof_data_checks"] = _ctes("lifecycle", "ticks", "epoch_log", "steps", extra=(_TLX,)) + """
+ORACLE["prof_data_checks"] = _ctes("lifecycle", "ticks", "epoch_log", "steps", "restart_log", extra=(_TLX,)) + """
 , tt AS (SELECT run_id, t, lead(t) OVER (PARTITION BY run_id ORDER BY t, event_id) AS b FROM ticks),
 gp AS (SELECT run_id, t AS start, b AS "end", b - t AS gap_s FROM tt WHERE b IS NOT NULL),
 med AS (SELECT run_id, count(*) AS n, list_sort(list(gap_s))[count(*) // 2 + 1] AS median_gap FROM gp GROUP BY 1),
@@ -355,7 +355,7 @@ j AS (SELECT r.run_id, coalesce(kills, 0) AS kills, coalesce(epochs, 0) AS epoch
       FROM (SELECT DISTINCT run_id FROM steps) r LEFT JOIN k USING (run_id) LEFT JOIN e USING (run_id) LEFT JOIN g USING (run_id) LEFT JOIN adv USING (run_id))
 SELECT run_id, 'kills_fired' AS "check", kills > 0 AS passed FROM j
 UNION ALL SELECT run_id, 'epochs_reformed', epochs > 1 FROM j
-UNION ALL SELECT run_id, 'no_whole_group_restart', true FROM j
+UNION ALL SELECT run_id, 'no_whole_group_restart', run_id NOT IN (SELECT run_id FROM restart_log) FROM j
 UNION ALL SELECT run_id, 'outage_bands', outages <= 12 FROM j
 UNION ALL SELECT run_id, 'epochs_monotone', coalesce(monotone, true) FROM j
 UNION ALL SELECT run_id, 'steps_during_outage', outages = 0 OR sio > 0 FROM j"""
