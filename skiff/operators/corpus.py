@@ -95,11 +95,11 @@ def pack(offsets: DataFrame, split: str = "split", max_chunks: int = WRITE_CHUNK
 
 
 def write_packed(docs: DataFrame, path: str, split: str = "split") -> None:
-    """SNK-03: token shards range-partitioned by chunk, sorted inside, one
-    folder per split and chunk; the caller writes the manifest last (its
-    presence is the visibility point)."""
+    """SNK-03: token shards range-partitioned by chunk and offset, sorted
+    inside, one folder per split and chunk; a large chunk is several part
+    files, written by several tasks.  ``publish`` writes the manifest last."""
     (
-        docs.repartitionByRange(F.col(split), F.col("chunk_id"))
+        docs.repartitionByRange(F.col(split), F.col("chunk_id"), F.col("tok_offset"))
         .sortWithinPartitions(split, "chunk_id", "tok_offset")
         .write.mode("overwrite")
         .partitionBy(split, "chunk_id")
@@ -107,6 +107,19 @@ def write_packed(docs: DataFrame, path: str, split: str = "split") -> None:
     )
 
 
+def publish(docs: DataFrame, manifest: DataFrame, path: str, split: str = "split") -> DataFrame:
+    """SNK-03: write the shards, read them back, refuse short, overlong or
+    unfit output (``enforce`` fails the job), and only then write the manifest,
+    whose presence makes the corpus visible.  Returns the checked guards."""
+    spark = docs.sparkSession
+    write_packed(docs, f"{path}/shards", split)
+    written = spark.read.parquet(f"{path}/shards")
+    checked = enforce(guards(written, manifest, split))
+    checked.write.mode("overwrite").parquet(f"{path}/guards")
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/guards")
+
+
 def capped(offsets: DataFrame, cap: int, val_fraction: float = VAL_FRACTION) -> DataFrame:
     """CP-03 + CP-04: the stream of documents in order stops at ``cap``
     tokens (the last document is cut); the first ``max(1, int(N x f))``

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["market", "serving", "telemetry", "corpus", "experiments", "fleet", "profiles"]
+_MODULES = ["market", "serving", "telemetry", "corpus", "experiments", "fleet", "profiles", "files"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}

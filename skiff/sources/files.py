@@ -147,10 +147,14 @@ def event_lines(lines: DataFrame) -> DataFrame:
 
 
 def decision_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """SRC-06: supervisor ``run.log`` -> ``epochs(run_id, epoch, members,
-    master)`` (first publication of each epoch) and ``terminations(run_id,
-    pos, node, instance_id)`` (log order)."""
-    d = _lines(spark, path).withColumn("run_id", _run_of(F.col("file_path")))
+    """SRC-06: supervisor ``run.log`` files -> see ``decision_lines``."""
+    return decision_lines(_lines(spark, path).withColumn("run_id", _run_of(F.col("file_path"))))
+
+
+def decision_lines(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines of decision logs -> ``epochs(run_id, epoch, members, master)``
+    (first publication of each epoch) and ``terminations(run_id, pos, node,
+    instance_id)`` (log order)."""
     pos = F.struct("file_path", "block_start", "seq")
     ep = d.filter(F.col("line").rlike(EPOCH_RE)).select(
         "run_id", pos.alias("pos"),
@@ -294,11 +298,20 @@ def spot_records(spark: SparkSession, root: str, since_t: float | None = None) -
     epoch in the file name (a predicate on ``_metadata.file_name``, before
     any row is parsed), rows at or after the cutoff are kept, and cut or
     corrupt lines are dropped."""
-    d = spark.read.schema(SPOT_SCHEMA).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").json(root)
-    shard_epoch = F.nullif(F.regexp_extract(F.col("_metadata.file_name"), r"^([0-9.]+)-[^/]*\.jsonl$", 1), F.lit("")).cast("double")
-    d = d.withColumn("shard_epoch", shard_epoch).filter(F.col("shard_epoch").isNotNull())
+    d = spark.read.option("recursiveFileLookup", "true").text(root)
+    return spot_lines(d.select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file_name")), since_t)
+
+
+def spot_lines(lines: DataFrame, since_t: float | None = None) -> DataFrame:
+    """Records of spot shards from their lines (``line``, ``file_name``): the
+    shard's name decides before a line is parsed."""
+    shard_epoch = F.nullif(F.regexp_extract("file_name", r"^([0-9.]+)-[^/]*\.jsonl$", 1), F.lit("")).cast("double")
+    d = lines.withColumn("shard_epoch", shard_epoch).filter(F.col("shard_epoch").isNotNull())
+    if since_t is not None:
+        d = d.filter(F.col("shard_epoch") >= since_t)
+    d = d.select(F.from_json("line", SPOT_SCHEMA, {"mode": "PERMISSIVE"}).alias("r"), "shard_epoch").select("r.*", "shard_epoch")
     if since_t is not None:
-        d = d.filter((F.col("shard_epoch") >= since_t) & (F.col("t") >= since_t))
+        d = d.filter(F.col("t") >= since_t)
     return d.filter(F.col("_corrupt_record").isNull() & F.col("type").isNotNull()).drop("_corrupt_record")
 
 
@@ -358,7 +371,11 @@ HEARTBEAT_SCHEMA = T.StructType([
 def heartbeats(spark: SparkSession, path: str) -> DataFrame:
     """SRC-14: worker heartbeat documents; torn documents skipped; unknown
     fields kept as a string map."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("doc"))
+    return heartbeat_docs(spark.read.text(path, wholetext=True).select(F.col("value").alias("doc")))
+
+
+def heartbeat_docs(raw: DataFrame) -> DataFrame:
+    """Heartbeats from documents (column ``doc``)."""
     parsed = raw.select(F.from_json("doc", HEARTBEAT_SCHEMA, {"mode": "PERMISSIVE"}).alias("h"),
                         F.from_json("doc", T.MapType(T.StringType(), T.StringType())).alias("all"))
     known = [f.name for f in HEARTBEAT_SCHEMA.fields if f.name != "_corrupt_record"]
@@ -370,7 +387,12 @@ def heartbeats(spark: SparkSession, path: str) -> DataFrame:
 def metric_samples(spark: SparkSession, path: str, metric: str) -> DataFrame:
     """SRC-15: Prometheus exposition text -> ``(worker_id, value)`` summed
     per worker for one counter family."""
-    d = spark.read.text(path).filter(F.col("value").startswith(metric + "{"))
+    return exposition_lines(spark.read.text(path), metric)
+
+
+def exposition_lines(lines: DataFrame, metric: str) -> DataFrame:
+    """Per-worker sums of one counter family from exposition lines (``value``)."""
+    d = lines.filter(F.col("value").startswith(metric + "{"))
     labels = F.regexp_extract("value", r"\{([^}]*)\}", 1)
     lab_map = F.str_to_map(F.regexp_replace(labels, '"', ""), F.lit(","), F.lit("="))
     val = F.regexp_extract("value", r"\}\s+([0-9.eE+-]+)", 1).cast("double")
@@ -405,9 +427,13 @@ def discover_runs(status: DataFrame, listing: DataFrame, now: float, heartbeat_t
 
 
 def tail_lines(lines: DataFrame, n: int) -> DataFrame:
-    """TK-03: the last ``n`` lines of each log file, in order (a window per
-    file: one file is one writer's output)."""
+    """TK-03: the last ``n`` lines of each log file.  The last ``n`` of each
+    input partition's share come first (a window per file and partition), so
+    the second window sees at most ``n`` lines per file and partition however
+    long a file is."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("file_path").orderBy(F.desc("block_start"), F.desc("seq"))
-    return lines.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")
+    by = [F.desc("block_start"), F.desc("seq")]
+    d = lines.withColumn("__p", F.spark_partition_id())
+    d = d.withColumn("__r", F.row_number().over(Window.partitionBy("file_path", "__p").orderBy(*by))).filter(F.col("__r") <= n)
+    return d.withColumn("__r", F.row_number().over(Window.partitionBy("file_path").orderBy(*by))).filter(F.col("__r") <= n).drop("__r", "__p")
