@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from skiff.operators.fleet import DEAD_STATES
 from skiff.session import checkpoint_dir
 
 
@@ -32,6 +33,11 @@ def event_time(df: DataFrame, seconds: str, out: str = "event_time") -> DataFram
     return df.withColumn(out, F.timestamp_seconds(F.col(seconds)))
 
 
+def _expire_at(state: GroupState, seconds: float) -> None:
+    """Set the event-time timer; one that the watermark has passed already fires next."""
+    state.setTimeoutTimestamp(max(int(seconds * 1000), state.getCurrentWatermarkMs() + 1))
+
+
 # ----------------------------------------------------------------- ST-01 --
 
 LIVENESS_OUT = "worker_id string, change string, at double"
@@ -56,7 +62,7 @@ def liveness(heartbeats: DataFrame, ttl_seconds: float = 15.0, watermark: str =
         newest = max(float(p["last_seen"].max()) for p in pdfs)
         last = newest if last is None else max(last, newest)
         state.update((last, True))
-        state.setTimeoutTimestamp(int((last + ttl_seconds) * 1000))
+        _expire_at(state, last + ttl_seconds)
         if not live:
             yield pd.DataFrame({"worker_id": [wid], "change": ["up"], "at": [newest]})
 
@@ -75,8 +81,11 @@ def dedup_ticks(ticks: DataFrame, watermark: str = "2 hours") -> DataFrame:
 
 def dedup_steps(steps: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """ST-09: re-read logs ingested idempotently: the first observation of
-    ``(run, node, attempt, step)`` wins inside the watermark."""
-    s = steps.withColumn("event_time", F.current_timestamp()) if "event_time" not in steps.columns else steps
+    ``(run, node, attempt, step)`` wins inside the watermark, on the line's own
+    clock (``event_time``, or seconds in ``t``)."""
+    if "event_time" not in steps.columns and "t" not in steps.columns:
+        raise ValueError("steps need the producer's clock: event_time or t")
+    s = steps if "event_time" in steps.columns else event_time(steps, "t")
     return s.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["run_id", "node", "attempt", "step"])
 
 
@@ -134,7 +143,7 @@ def counter_deltas(samples: DataFrame, watermark: str = "10 minutes", idle: floa
                 out.append((wid, r.ts, 0, 0, 0.0, 0.0))
             prev = (float(r.ts), int(r.requests), int(r.completion_tokens), float(r.generate_seconds), bool(r.ok))
         state.update(prev)
-        state.setTimeoutTimestamp(int((prev[0] + idle) * 1000))
+        _expire_at(state, prev[0] + idle)
         yield pd.DataFrame(out, columns=["worker_id", "ts", "d_requests", "d_tokens", "d_gen", "dt"])
 
     return s.groupBy("worker_id").applyInPandasWithState(step, DELTA_OUT, DELTA_STATE, "append", GroupStateTimeout.EventTimeTimeout)
@@ -159,51 +168,57 @@ def latest_gauges(samples: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- ST-08 --
 
 NODE_OUT = "run_id string, node int, attempt int, t double, state string, transition string"
-NODE_STATE = "dead boolean"
+NODE_STATE = "dead boolean, last double"
 
 
-def node_states(obs: DataFrame, watermark: str = "1 hour") -> DataFrame:
+def node_states(obs: DataFrame, watermark: str = "1 hour", idle: float = 86_400.0) -> DataFrame:
     """ST-08: incremental node state per (run, node, attempt): dead is
-    sticky; ``new`` on first sight, ``dead`` once."""
+    sticky; ``new`` on first sight, ``dead`` once.  A node's state is dropped
+    after ``idle`` seconds of event time without an observation."""
     o = event_time(obs, "t").withWatermark("event_time", watermark)
-    dead_states = {"shutting-down", "terminated", "stopping", "stopped"}
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         run_id, node, attempt = key
-        rows = pd.concat(list(pdfs)).sort_values("t")
-        first = not state.exists
-        dead = state.get[0] if state.exists else False
-        out = []
-        for r in rows.itertuples(index=False):
-            tr = None
-            if first:
-                tr, first = "new", False
-            if not dead and r.aws_state in dead_states:
-                dead, tr = True, "dead"
-            out.append((run_id, int(node), int(attempt), float(r.t), "dead" if dead else "live", tr))
-        state.update((dead,))
-        yield pd.DataFrame(out, columns=["run_id", "node", "attempt", "t", "state", "transition"])
-
-    return o.groupBy("run_id", "node", "attempt").applyInPandasWithState(step, NODE_OUT, NODE_STATE, "append", GroupStateTimeout.NoTimeout)
+        rows = pd.concat(list(pdfs)).sort_values("t", kind="stable")
+        was_dead, last = state.get if state.exists else (False, float("-inf"))
+        dead = rows["aws_state"].isin(DEAD_STATES).cummax() | was_dead
+        change = pd.Series([None] * len(rows), index=rows.index, dtype=object)
+        if not state.exists:
+            change.iloc[0] = "new"
+        fell = dead & ~dead.shift(fill_value=was_dead)
+        change[fell] = "dead"
+        last = max(last, float(rows["t"].iloc[-1]))
+        state.update((bool(dead.iloc[-1]), last))
+        _expire_at(state, last + idle)
+        yield pd.DataFrame({"run_id": run_id, "node": int(node), "attempt": int(attempt), "t": rows["t"].astype(float), "state": dead.map({True: "dead", False: "live"}), "transition": change})
+
+    return o.groupBy("run_id", "node", "attempt").applyInPandasWithState(step, NODE_OUT, NODE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ------------------------------------------------------------ ST-10 / 11 --
 
 ALARM_OUT = "run_id string, t double, alarm string"
-ALARM_STATE = "ckpt long, changed double, epoch int, epochs_without int, done boolean"
+ALARM_STATE = "ckpt long, changed double, epoch int, epochs_without int, done boolean, last double"
 
 
-def stall_alarms(ticks: DataFrame, recovery_timeout_s: float, max_epochs: int = 6, watermark: str = "1 hour") -> DataFrame:
+def stall_alarms(ticks: DataFrame, recovery_timeout_s: float, max_epochs: int = 6, watermark: str = "1 hour", idle: float = 86_400.0) -> DataFrame:
     """ST-10 + ST-11: per run, a stall alarm when the durable step has not
     advanced for ``recovery_timeout_s`` (the clock restarts on every new
-    epoch), a flap alarm after ``max_epochs`` epochs without progress; the
-    run's state ends when it reports done."""
+    epoch), a flap alarm after ``max_epochs`` epochs without progress.  A run
+    that reports done raises none any more; its state, like that of a silent
+    run, is dropped after ``idle`` seconds of event time."""
     t = event_time(ticks, "t").withWatermark("event_time", watermark)
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         run_id = key[0]
         rows = pd.concat(list(pdfs)).sort_values("t")
-        ckpt, changed, epoch, without, done = state.get if state.exists else (-1, None, None, 0, False)
+        ckpt, changed, epoch, without, done, last = state.get if state.exists else (-1, None, None, 0, False, float("-inf"))
         out = []
         for r in rows.itertuples(index=False):
             if done:
@@ -220,10 +235,12 @@ def stall_alarms(ticks: DataFrame, recovery_timeout_s: float, max_epochs: int =
             elif without >= max_epochs:
                 out.append((run_id, float(r.t), "flap"))
             done = bool(r.done)
-        state.update((ckpt, changed, epoch, without, done))
+        last = max(last, float(rows["t"].iloc[-1]))
+        state.update((ckpt, changed, epoch, without, done, last))
+        _expire_at(state, last + idle)
         yield pd.DataFrame(out, columns=["run_id", "t", "alarm"])
 
-    return t.groupBy("run_id").applyInPandasWithState(step, ALARM_OUT, ALARM_STATE, "append", GroupStateTimeout.NoTimeout)
+    return t.groupBy("run_id").applyInPandasWithState(step, ALARM_OUT, ALARM_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ------------------------------------------------------------ ST-12 / 13 --
@@ -236,6 +253,15 @@ def spot_stream(spark: SparkSession, root: str, schema: T.StructType) -> DataFra
     return d.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
+def append_stream(records: DataFrame, root: str, name: str, seconds: str = "t"):
+    """ST-12: records appended to shards by UTC date as they arrive; the file
+    sink's own log makes each batch appear once, also after a restart.  Drains
+    what is there and returns the query."""
+    dated = records.withColumn("date", F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd"))
+    writer = dated.writeStream.partitionBy("date").format("parquet").option("path", root)
+    return writer.option("checkpointLocation", checkpoint_location(records.sparkSession, name)).trigger(availableNow=True).start()
+
+
 def hourly_best(sps: DataFrame, threshold: float, watermark: str = "2 hours") -> DataFrame:
     """ST-12: rolling one-hour odds of the ticks: a tick is good when any
     acceptable pool scored at or above the threshold (its best does), so one
@@ -253,16 +279,18 @@ def hourly_best(sps: DataFrame, threshold: float, watermark: str = "2 hours") ->
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
     """SRC-19: new bytes of growing logs as a file stream.  A file source
     reads each finished file once, so producers roll their logs (one file
-    per segment); offsets live in the stream checkpoint."""
+    per segment); offsets live in the stream checkpoint.  ``event_time`` is the
+    line's clock, or for older lines the time the segment was written."""
     from skiff.sources import files as S
 
     d = spark.readStream.text(path).select(
         F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_modification_time").alias("written"),
     )
     d = d.withColumn("run_id", F.regexp_extract("file_path", r"runs/([^/]+)/", 1)).withColumn(
         "node", F.regexp_extract("file_name", S.NODE_RE, 1).cast("int")).withColumn(
         "attempt", F.coalesce(F.nullif(F.regexp_extract("file_name", S.NODE_RE, 2), F.lit("")).cast("int"), F.lit(0)))
     m = d.filter(F.col("line").rlike(S.STEP_RE_OLD))
-    return m.select("run_id", "node", "attempt",
+    clock = F.timestamp_seconds(F.nullif(F.regexp_extract("line", r", t ([0-9.]+)", 1), F.lit("")).cast("double"))
+    return m.select("run_id", "node", "attempt", F.coalesce(clock, F.col("written")).alias("event_time"),
                     *S._extract("line", S.STEP_RE_OLD, {"step": (1, "long"), "loss": (2, "double"), "ms": (3, "int"), "tok_s": (4, "int"), "ws": (5, "int")}))
