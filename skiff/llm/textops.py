@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _WS = np.zeros(256, bool)
 _WS[[0x20, 9, 10, 11, 12, 13]] = True
 #: White space and all other ASCII that is neither letter nor digit.
@@ -53,6 +53,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         end = max(at + 1, int(np.searchsorted(total, base + most, "right")))
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # else a worker keeps the most that any batch needed
 
 
 class Texts:

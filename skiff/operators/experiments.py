@@ -225,12 +225,15 @@ def stall_cycles(steps: DataFrame, width: float = 1e6, indexed: tuple[DataFrame,
     )
 
 
-def clean_projection(steps: DataFrame, budget: DataFrame) -> DataFrame:
+def clean_projection(steps: DataFrame, budget: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """AG-48: extrapolate a clean run to another run's trained seconds
     (``budget(run_id, budget_s)``): steady step time (mean of non-stall
     steps), warm-up excess of the first step, checkpoint-cycle excess
     amortised over the mean cycle period; steps by that model and naively,
-    their mean and spread."""
+    their mean and spread.  ``facts(run_id, fixed_s, overhead_s, nodes,
+    hourly_usd)`` of the clean run (seconds outside training, seconds a machine
+    bills beyond the run's clock, machines, rate) add the projected wall time,
+    machine seconds and dollars."""
     s, med = _indexed_with_median(steps)
     j = s.join(med, on="run_id")
     base = j.groupBy("run_id").agg(
@@ -250,11 +253,16 @@ def clean_projection(steps: DataFrame, budget: DataFrame) -> DataFrame:
     out = out.withColumn("amortised_s", amort)
     model = (F.col("budget_s") - F.col("warmup_s")) / F.col("amortised_s")
     naive = F.col("budget_s") * (F.col("n") / F.col("sum_s"))
-    return out.select(
+    cols = [
         "run_id", "budget_s", "steady_s", "warmup_s", "cycle_excess_s", "cycle_period_steps", "amortised_s",
         model.alias("steps_model"), naive.alias("steps_naive"), ((model + naive) / 2).alias("steps"),
         (F.abs(model - naive) / model * 100).alias("spread_pct"),
-    )
+    ]
+    if facts is None:
+        return out.select(*cols)
+    wall = F.col("fixed_s") + F.col("budget_s")
+    machine = F.col("nodes") * (wall + F.col("overhead_s"))
+    return out.join(facts, "run_id", "left").select(*cols, "fixed_s", wall.alias("wall_s"), machine.alias("instance_s"), (machine * F.col("hourly_usd") / 3600).alias("usd"))
 
 
 def by_world(steps: DataFrame) -> DataFrame:
@@ -314,11 +322,11 @@ def recipe_guard(profiles: DataFrame, pair: str, recipe_cols: list[str]) -> Data
 
 def ab_compare(clean: DataFrame, fail: DataFrame, key: str, metrics: list[str], kills: Column | None = None) -> DataFrame:
     """JN-17 + AG-49: clean projection vs failure run per metric: delta and
-    percent, and the delta per kill."""
+    percent, and the delta per kill and per kill event (kills at one time)."""
     rows = None
     for m in metrics:
         c = clean.select(key, F.lit(m).alias("metric"), F.col(m).cast("double").alias("clean"))
-        e = fail.select(key, F.lit(m).alias("metric"), F.col(m).cast("double").alias("failure"), F.col("kills"))
+        e = fail.select(key, F.lit(m).alias("metric"), F.col(m).cast("double").alias("failure"), F.col("kills"), F.col("events"))
         r = c.join(e, on=[key, "metric"])
         rows = r if rows is None else rows.unionByName(r)
     d = F.col("failure") - F.col("clean")
@@ -326,6 +334,7 @@ def ab_compare(clean: DataFrame, fail: DataFrame, key: str, metrics: list[str],
         key, "metric", "clean", "failure", d.alias("delta"),
         F.when(F.col("clean") != 0, d / F.col("clean") * 100).alias("delta_pct"),
         F.when(F.col("kills") > 0, d / F.col("kills")).alias("per_kill"),
+        F.when(F.col("events") > 0, d / F.col("events")).alias("per_event"),
     )
 
 
@@ -361,11 +370,13 @@ def comparison_rows(summary: DataFrame, phases: DataFrame, cost: DataFrame) -> D
     return summary.join(wide, "run_id", "left").join(cost, "run_id", "left")
 
 
-def recovery_rounds(kills: DataFrame, epochs: DataFrame, full_world: int, width: float = 86400.0) -> DataFrame:
+def recovery_rounds(kills: DataFrame, epochs: DataFrame, full_world: int, ticks: DataFrame | None = None, width: float = 86400.0) -> DataFrame:
     """AG-53: kill rounds (kills sharing one time) with nodes lost, the first
     shrunken epoch after the round (detection, with its world size) and the
     first epoch back at the full world (kill -> full world), each only
-    before the next round.  Forward as-of joins on negated time: no pairs."""
+    before the next round; with ``ticks`` also the smallest world and the gain
+    of the durable step within the round.  Forward as-of joins on negated
+    time, and epochs and ticks attached to the latest kill: no pairs."""
     from skiff.operators.asof import asof_join
 
     rounds = kills.groupBy("run_id", F.col("t").alias("kill_t")).agg(F.count(F.lit(1)).alias("nodes_lost"))
@@ -378,8 +389,16 @@ def recovery_rounds(kills: DataFrame, epochs: DataFrame, full_world: int, width:
     j = asof_join(j, ful, ["run_id"], "__nt", "__nt", ["et"], prefix="f_", strict=True, left_tiebreak=["__id"], width=width)
     before = lambda c: F.when(F.col("next_kill").isNull() | (F.col(c) <= F.col("next_kill")), F.col(c))
     j = j.withColumn("shrink_t", before("s_et")).withColumn("full_t", before("f_et"))
-    return j.select(
+    out = j.select(
         "run_id", "kill_t", "nodes_lost", F.when(F.col("shrink_t").isNotNull(), F.col("s_world")).alias("shrunk_world"),
         (F.col("shrink_t") - F.col("kill_t")).alias("detection_s"), (F.col("full_t") - F.col("kill_t")).alias("kill_to_full_s"),
         (F.col("full_t") - F.col("shrink_t")).alias("degraded_s"),
     )
+    if ticks is None:
+        return out
+    at = rounds.select("run_id", "kill_t")
+    worlds = asof_join(epochs.select("run_id", "t", "event_id", F.size("members").alias("world")), at, ["run_id"], "t", "kill_t", ["kill_t"], prefix="k_", strict=True, left_tiebreak=["event_id"], width=width)
+    worlds = worlds.filter(F.col("k_kill_t").isNotNull() & (F.col("world") < full_world)).groupBy("run_id", F.col("k_kill_t").alias("kill_t")).agg(F.min("world").alias("smallest_world"))
+    durable = asof_join(ticks.select("run_id", "t", "event_id", "ckpt_step"), at, ["run_id"], "t", "kill_t", ["kill_t"], prefix="k_", strict=True, left_tiebreak=["event_id"], width=width)
+    durable = durable.filter(F.col("k_kill_t").isNotNull()).groupBy("run_id", F.col("k_kill_t").alias("kill_t")).agg((F.max("ckpt_step") - F.min("ckpt_step")).alias("ckpt_gain"))
+    return out.join(worlds, ["run_id", "kill_t"], "left").join(durable, ["run_id", "kill_t"], "left")

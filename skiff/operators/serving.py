@@ -343,7 +343,8 @@ def flatten_metrics(rates: DataFrame, samples: DataFrame) -> DataFrame:
 
 def fleet_gauges(samples: DataFrame) -> DataFrame:
     """AG-32/33: per scrape: live workers, workers reporting a queue, max /
-    avg / total queue over healthy workers, in-flight total; empty reads 0."""
+    avg / total queue over healthy workers, in-flight total, and the fleet's
+    decode rate (sum of the live workers' tokens per second); empty reads 0."""
     ok = F.col("ok")
     q = F.greatest(F.col("in_flight") - 1, F.lit(0))
     return samples.groupBy("fleet", "ts").agg(
@@ -353,6 +354,7 @@ def fleet_gauges(samples: DataFrame) -> DataFrame:
         F.coalesce(F.avg(F.when(ok, q)), F.lit(0.0)).alias("avg_queue"),
         F.coalesce(F.sum(F.when(ok, q)), F.lit(0)).cast("long").alias("queued_total"),
         F.coalesce(F.sum(F.when(ok, F.col("in_flight"))), F.lit(0)).cast("long").alias("in_flight_total"),
+        F.coalesce(F.sum(F.when(ok & (F.col("generate_seconds") > 0), F.col("completion_tokens") / F.col("generate_seconds"))), F.lit(0.0)).alias("tokens_per_second"),
     )
 
 

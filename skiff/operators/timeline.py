@@ -330,7 +330,9 @@ def generation_spans(rows: DataFrame, width: float = 1e6) -> DataFrame:
     start = F.greatest(F.col("start0"), F.coalesce(F.col("__prev_end"), F.col("start0")))
     end = F.greatest(start, F.col("end0"), F.coalesce(F.col("__prev_end"), start))
     name = F.concat(F.lit("node"), F.col("slot").cast("string"), F.when(F.col("gen") > 0, F.concat(F.lit("-r"), F.col("gen").cast("string"))).otherwise(F.lit("")))
-    return g.select("run_id", "slot", "gen", name.alias("name"), start.alias("start"), end.alias("end"))
+    # TK-05: display order of a run's rows, slot by slot (a run has few generations)
+    row = F.row_number().over(Window.partitionBy("run_id").orderBy("slot", "gen"))
+    return g.select("run_id", "slot", "gen", name.alias("name"), start.alias("start"), end.alias("end"), row.alias("row"))
 
 
 # ---------------------------------------------------------------- occupancy --

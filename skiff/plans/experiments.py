@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skiff.operators import experiments as X
 from skiff.operators import timeline as T
+from skiff.plans.telemetry import AS_OF
 from skiff.plans.oracle_views import with_views
 from skiff.sources import driver as D
 
@@ -97,18 +98,31 @@ def _budget(spark, sf):
 
 
 def q_projection(spark, sf):
-    return X.clean_projection(_steps(spark, sf), _budget(spark, sf))
+    return X.clean_projection(_steps(spark, sf), _budget(spark, sf), _facts(spark, sf))
+
+
+def _facts(spark, sf):
+    """Cost facts of a run from its ledger: its machines, the first one's rate,
+    the mean seconds billed beyond the run's training, and a fixed share outside it."""
+    led = D.instance_ledger(spark, sf)
+    billed = F.coalesce(F.col("stopped_at"), F.lit(AS_OF)) - F.col("started_at")
+    f = led.groupBy("run_id").agg(F.count(F.lit(1)).alias("nodes"), F.avg(billed).alias("billed"), F.min_by("hourly_usd", F.struct("started_at", "instance_id")).alias("hourly_usd"))
+    t = _steps(spark, sf).groupBy("run_id").agg((F.sum("ms") / 1000.0).alias("trained"))
+    return f.join(t, "run_id").select("run_id", (F.col("nodes") * 10.0).alias("fixed_s"), (F.col("billed") - F.col("trained")).alias("overhead_s"), "nodes", "hourly_usd")
 
 
 def q_ab(spark, sf):
-    proj = q_projection(spark, sf).select(F.col("run_id").alias("clean_run"), "steps", F.col("budget_s").alias("trained_s"))
+    proj = q_projection(spark, sf).select(F.col("run_id").alias("clean_run"), "steps", F.col("budget_s").alias("trained_s"), "wall_s", "usd")
     s = _steps(spark, sf)
     no = F.substring_index("run_id", "-", -1).cast("int")
-    kills = D.lifecycle_records(spark, sf).filter(F.col("state") == "killed").groupBy("run_id").agg(F.count(F.lit(1)).alias("kills"))
+    kills = D.lifecycle_records(spark, sf).filter(F.col("state") == "killed").groupBy("run_id").agg(F.count(F.lit(1)).alias("kills"), F.countDistinct(F.floor(F.col("ts") / 3600)).alias("events"))
+    cost = _facts(spark, sf).select("run_id", "fixed_s", (F.col("nodes") * F.col("overhead_s")).alias("extra"), "nodes", "hourly_usd")
     fail = s.groupBy("run_id").agg(F.max("step").cast("double").alias("steps"), (F.sum("ms") / 1000.0).alias("trained_s"))
-    fail = fail.join(kills, on="run_id", how="left").filter(no % 2 == 1)
+    fail = fail.join(kills, on="run_id", how="left").join(cost, "run_id", "left").filter(no % 2 == 1)
+    fail = fail.withColumn("wall_s", F.col("fixed_s") + F.col("trained_s"))
+    fail = fail.withColumn("usd", (F.col("nodes") * F.col("wall_s") + F.col("extra")) * F.col("hourly_usd") / 3600)
     fail = fail.withColumn("clean_run", F.concat(F.lit("run-"), (F.substring_index("run_id", "-", -1).cast("int") - 1).cast("string")))
-    return X.ab_compare(proj, fail.drop("run_id"), "clean_run", ["steps", "trained_s"])
+    return X.ab_compare(proj, fail.drop("run_id"), "clean_run", ["steps", "trained_s", "wall_s", "usd"])
 
 
 def q_by_world(spark, sf):
@@ -225,7 +239,12 @@ proj AS (SELECT run_id, budget_s, steady_s, warmup_s, cycle_excess_s, cycle_peri
            (budget_s - warmup_s) / amortised_s AS steps_model, budget_s * (n / sum_s) AS steps_naive,
            ((budget_s - warmup_s) / amortised_s + budget_s * (n / sum_s)) / 2 AS steps,
            abs((budget_s - warmup_s) / amortised_s - budget_s * (n / sum_s)) / ((budget_s - warmup_s) / amortised_s) * 100 AS spread_pct
-         FROM pj)"""
+         FROM pj),
+facts AS (SELECT l.run_id, n * 10.0::DOUBLE AS fixed_s, billed - trained AS overhead_s, n AS nodes, rate AS hourly_usd
+          FROM (SELECT run_id, count(*) AS n, avg(coalesce(stopped_at, {AS_OF}) - started_at) AS billed, first(hourly_usd ORDER BY started_at, instance_id) AS rate FROM ledger GROUP BY 1) l
+          JOIN (SELECT run_id, sum(ms) / 1000.0 AS trained FROM steps GROUP BY 1) USING (run_id)),
+full_proj AS (SELECT p.*, fixed_s, fixed_s + budget_s AS wall_s, nodes * (fixed_s + budget_s + overhead_s) AS instance_s, nodes * (fixed_s + budget_s + overhead_s) * hourly_usd / 3600 AS usd
+              FROM proj p LEFT JOIN facts USING (run_id))"""
 
 ORACLE = {
     "exp_time_to_target": _ctes("steps", "evals", extra=(_VALS, _TTT)) + "SELECT * FROM ttt",
@@ -278,18 +297,23 @@ ORACLE = {
           f2 AS (SELECT run_id, n, b, (sy - b * sx) / n AS a FROM f)
           SELECT f2.run_id, f2.n, f2.a, f2.b, max(abs(tl.loss - (f2.a + f2.b * tl.lx))) AS max_resid FROM f2 JOIN tl USING (run_id) GROUP BY ALL""",
     "exp_stall_cycles": _ctes("steps", extra=(_MED, _IDX, _CYC)) + "SELECT * FROM cyc",
-    "exp_clean_projection": _ctes("steps", extra=(_MED, _IDX, _CYC, _PROJ)) + "SELECT * FROM proj",
-    "exp_ab_compare": _ctes("steps", "lifecycle", extra=(_MED, _IDX, _CYC, _PROJ))
+    "exp_clean_projection": _ctes("steps", "ledger", extra=(_MED, _IDX, _CYC, _PROJ)) + "SELECT * FROM full_proj",
+    "exp_ab_compare": _ctes("steps", "lifecycle", "ledger", extra=(_MED, _IDX, _CYC, _PROJ))
     + """, fl AS (SELECT 'run-' || CAST(CAST(split_part(s.run_id, '-', 2) AS INTEGER) - 1 AS VARCHAR) AS clean_run,
-                       CAST(max(step) AS DOUBLE) AS steps, sum(ms) / 1000.0 AS trained_s, any_value(k.kills) AS kills
-                FROM steps s LEFT JOIN (SELECT run_id, count(*) AS kills FROM lifecycle WHERE state = 'killed' GROUP BY 1) k USING (run_id)
+                       CAST(max(step) AS DOUBLE) AS steps, sum(ms) / 1000.0 AS trained_s, any_value(k.kills) AS kills, any_value(k.events) AS events,
+                       any_value(c.fixed_s) + sum(ms) / 1000.0 AS wall_s,
+                       any_value(c.nodes) * (any_value(c.fixed_s) + sum(ms) / 1000.0 + any_value(c.overhead_s)) * any_value(c.hourly_usd) / 3600 AS usd
+                FROM steps s LEFT JOIN (SELECT run_id, count(*) AS kills, count(DISTINCT floor(ts / 3600)) AS events FROM lifecycle WHERE state = 'killed' GROUP BY 1) k USING (run_id)
+                LEFT JOIN facts c USING (run_id)
                 WHERE CAST(split_part(s.run_id, '-', 2) AS INTEGER) % 2 = 1 GROUP BY s.run_id),
-          rows_ AS (SELECT p.run_id AS clean_run, 'steps' AS metric, p.steps AS clean, f.steps AS failure, f.kills FROM proj p JOIN fl f ON f.clean_run = p.run_id
+          rows_ AS (SELECT p.run_id AS clean_run, 'steps' AS metric, p.steps AS clean, f.steps AS failure, f.kills, f.events FROM proj p JOIN fl f ON f.clean_run = p.run_id
                     UNION ALL
-                    SELECT p.run_id, 'trained_s', p.budget_s, f.trained_s, f.kills FROM proj p JOIN fl f ON f.clean_run = p.run_id)
+                    SELECT p.run_id, 'trained_s', p.budget_s, f.trained_s, f.kills, f.events FROM proj p JOIN fl f ON f.clean_run = p.run_id
+                    UNION ALL SELECT p.run_id, 'wall_s', p.wall_s, f.wall_s, f.kills, f.events FROM full_proj p JOIN fl f ON f.clean_run = p.run_id
+                    UNION ALL SELECT p.run_id, 'usd', p.usd, f.usd, f.kills, f.events FROM full_proj p JOIN fl f ON f.clean_run = p.run_id)
           SELECT clean_run, metric, clean, failure, failure - clean AS delta,
                  CASE WHEN clean <> 0 THEN (failure - clean) / clean * 100 END AS delta_pct,
-                 CASE WHEN kills > 0 THEN (failure - clean) / kills END AS per_kill FROM rows_""",
+                 CASE WHEN kills > 0 THEN (failure - clean) / kills END AS per_kill, CASE WHEN events > 0 THEN (failure - clean) / events END AS per_event FROM rows_""",
     "exp_by_world": _ctes("steps")
     + """, w AS (SELECT run_id, ws, count(*) AS steps, median(ms) AS median_ms FROM steps WHERE ws IS NOT NULL AND ws > 0 GROUP BY 1, 2)
           SELECT w.*, t.top / median_ms AS rate_vs_full FROM w JOIN (SELECT run_id, first(median_ms ORDER BY ws DESC) AS top FROM w GROUP BY 1) t USING (run_id)""",

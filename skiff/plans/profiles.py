@@ -159,7 +159,7 @@ def q_recovery_rounds(spark, sf):
     from skiff.operators.experiments import recovery_rounds
 
     kills = D.lifecycle_records(spark, sf).filter(F.col("state") == "killed").select("run_id", F.col("ts").alias("t"))
-    return recovery_rounds(kills, _timeline(spark, sf), full_world=8)
+    return recovery_rounds(kills, _timeline(spark, sf), full_world=8, ticks=D.tick_docs(spark, sf))
 
 
 QUERIES["prof_recovery_rounds"] = q_recovery_rounds
@@ -232,8 +232,12 @@ x AS (SELECT r.*,
       FROM r),
 y AS (SELECT *, CASE WHEN next_kill IS NULL OR s_et <= next_kill THEN s_et END AS shrink_t,
                 CASE WHEN next_kill IS NULL OR f_et <= next_kill THEN f_et END AS full_t FROM x)
-SELECT run_id, kill_t, nodes_lost, CASE WHEN shrink_t IS NOT NULL THEN s_world END AS shrunk_world,
-       shrink_t - kill_t AS detection_s, full_t - kill_t AS kill_to_full_s, full_t - shrink_t AS degraded_s FROM y"""
+, e AS (SELECT r.run_id, r.kill_t, min(len(tl.members)) AS smallest_world FROM r JOIN tl ON tl.run_id = r.run_id AND tl.t > r.kill_t AND (r.next_kill IS NULL OR tl.t <= r.next_kill)
+      WHERE len(tl.members) < 8 GROUP BY 1, 2),
+d AS (SELECT r.run_id, r.kill_t, max(ckpt_step) - min(ckpt_step) AS ckpt_gain FROM r JOIN ticks k ON k.run_id = r.run_id AND k.t > r.kill_t AND (r.next_kill IS NULL OR k.t <= r.next_kill) GROUP BY 1, 2)
+SELECT y.run_id, y.kill_t, nodes_lost, CASE WHEN shrink_t IS NOT NULL THEN s_world END AS shrunk_world,
+       shrink_t - y.kill_t AS detection_s, full_t - y.kill_t AS kill_to_full_s, full_t - shrink_t AS degraded_s, smallest_world, ckpt_gain
+FROM y LEFT JOIN e ON e.run_id = y.run_id AND e.kill_t = y.kill_t LEFT JOIN d ON d.run_id = y.run_id AND d.kill_t = y.kill_t"""
 
 
 # ------------------------------------------------- small report operators --
@@ -391,3 +395,34 @@ ORACLE["prof_tick_payload"] = (
     "SELECT run_id, time, current_step AS train_step, durable_step, steps_at_risk, train_loss, tokens_b, nodes_training,\n"
     "       below_full_world, nodes_lost, replacements, goodput, whole_group_restarts, ms_per_step, usd, usd_per_1k FROM series"
 )
+
+
+# ------------------------------------------- predicate and trainer stamps --
+
+def q_predicate_best(spark, sf):
+    """UDF-01: odds of a user's own scenario, passed as a column predicate."""
+    from skiff.operators import market as M
+
+    mine = F.col("instance_type").isin("g5.xlarge", "g6.xlarge") & (F.col("region") != "region-1") & (F.col("capacity") == 8)
+    return M.odds(M.per_tick_best(D.sps_records(spark, sf), predicate=mine, by=["single_az"]), 7.0, by=["single_az"])
+
+
+def q_stamped_segments(spark, sf):
+    """WN-13: undisturbed runs (launch, training start, end), the even ones with the trainer's stamps."""
+    marks = D.mark_records(spark, sf).filter(F.col("event").isin("launch", "train_start", "metrics"))
+    no = F.substring_index("run_id", "-", -1).cast("int")
+    stamps = marks.select("run_id").distinct().filter(no % 2 == 0).select(
+        "run_id", (no + 100.5).alias("train_s"), F.lit(10.0).alias("save_s"), F.lit(0.0).alias("eval_s"), (no * 1.0 + 2).alias("sample_s"))
+    return P.mark_segments(marks, stamps)
+
+
+QUERIES |= {"market_predicate_best": q_predicate_best, "prof_stamped_segments": q_stamped_segments}
+ORACLE["market_predicate_best"] = with_views("""SELECT single_az, count(*) AS ticks, avg((best >= 7)::INT) AS p_good, avg(best) AS mean_best, max(best) AS max_best FROM (
+    SELECT single_az, tick_id, max(score)::DOUBLE AS best FROM sps WHERE instance_type IN ('g5.xlarge', 'g6.xlarge') AND region <> 'region-1' AND capacity = 8 GROUP BY 1, 2) GROUP BY 1""", "sps")
+ORACLE["prof_stamped_segments"] = _ctes("marks") + """
+, m AS (SELECT run_id, split_part(run_id, '-', 2)::INT AS no, min(t) FILTER (event = 'launch') AS a, min(t) FILTER (event = 'train_start') AS b, max(t) FILTER (event = 'metrics') AS c FROM marks GROUP BY 1),
+s AS (SELECT run_id, -2::BIGINT AS seq, 'provisioning' AS phase, a AS start, b - a AS seconds, 0 AS sub FROM m
+      UNION ALL SELECT run_id, -1, 'training', b, CASE WHEN no % 2 = 0 THEN no + 100.5 ELSE c - b END, 0 FROM m
+      UNION ALL SELECT run_id, -1, 'final_saves', b, 10.0, 1 FROM m WHERE no % 2 = 0
+      UNION ALL SELECT run_id, -1, 'sampling', b, no + 2.0, 3 FROM m WHERE no % 2 = 0)
+SELECT run_id, seq, phase, start, seconds, sum(seconds) OVER (PARTITION BY run_id ORDER BY start, seq, sub ROWS UNBOUNDED PRECEDING) - seconds AS offset_s FROM s"""

@@ -272,15 +272,14 @@ ORACLE = {
          UNION ALL SELECT ts, 'workers/' || worker_id || '/rps', rps FROM j WHERE ok
          UNION ALL SELECT ts, 'workers/' || worker_id || '/tok_s', tok_s FROM j WHERE ok
          UNION ALL SELECT ts, 'workers/' || worker_id || '/util', util FROM j WHERE ok""",
-    "serving_fleet_gauges": with_views(
-        """SELECT fleet, ts, count(*) FILTER (WHERE ok) AS live_workers, count(*) FILTER (WHERE ok) AS reporting,
+    "serving_fleet_gauges": _ctes("scrape", extra=(_SAMPLES,))
+    + """SELECT fleet, ts, count(*) FILTER (WHERE ok) AS live_workers, count(*) FILTER (WHERE ok) AS reporting,
                   coalesce(max(greatest(in_flight - 1, 0)) FILTER (WHERE ok), 0) AS max_queue,
                   coalesce(avg(greatest(in_flight - 1, 0)) FILTER (WHERE ok), 0.0) AS avg_queue,
                   CAST(coalesce(sum(greatest(in_flight - 1, 0)) FILTER (WHERE ok), 0) AS BIGINT) AS queued_total,
-                  CAST(coalesce(sum(in_flight) FILTER (WHERE ok), 0) AS BIGINT) AS in_flight_total
-           FROM scrape GROUP BY fleet, ts""",
-        "scrape",
-    ),
+                  CAST(coalesce(sum(in_flight) FILTER (WHERE ok), 0) AS BIGINT) AS in_flight_total,
+                  coalesce(sum(completion_tokens / generate_seconds) FILTER (WHERE ok AND generate_seconds > 0), 0.0) AS tokens_per_second
+           FROM samples GROUP BY fleet, ts""",
     "serving_worker_gauges": _ctes("scrape", extra=(_SAMPLES,))
     + """SELECT fleet, ts, worker_id, coalesce(completion_tokens / nullif(generate_seconds, 0), 0.0) AS tokens_per_second,
               greatest(in_flight - 1, 0) AS queued FROM samples""",

@@ -439,7 +439,8 @@ ORACLE["telemetry_generation_spans"] = _ctes("rank_lines", "steps", extra=(_RANK
 g2 AS (SELECT *, max(end0) OVER (PARTITION BY run_id, slot ORDER BY gen ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end FROM g)
 SELECT run_id, slot, gen, 'node' || CAST(slot AS VARCHAR) || CASE WHEN gen > 0 THEN '-r' || CAST(gen AS VARCHAR) ELSE '' END AS name,
        greatest(start0, coalesce(prev_end, start0)) AS start,
-       greatest(greatest(start0, coalesce(prev_end, start0)), end0, coalesce(prev_end, start0)) AS "end"
+       greatest(greatest(start0, coalesce(prev_end, start0)), end0, coalesce(prev_end, start0)) AS "end",
+       row_number() OVER (PARTITION BY run_id ORDER BY slot, gen) AS row
 FROM g2"""
 
 
