@@ -42,6 +42,22 @@ def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(*keys).filter(F.rand(0) * F.lit(0.5) <= F.when(every == 0, F.lit(0.5)).otherwise(F.lit(0.75)))
 
 
+#: A scan's plan holds its input twice, though one exchange runs; the planner's
+#: work doubles with every chained scan.  An input whose plan has more leaves than
+#: this is written with ``checkpoint()`` to the shared folder first.
+MOST_LEAVES = 12
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, from a written copy if its plan has grown too large to plan on."""
+    if df._jdf.queryExecution().analyzed().collectLeaves().size() <= MOST_LEAVES:
+        return df
+    from skiff.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -73,6 +89,7 @@ def scan(
         for name, expr in spec.items():
             exprs[prefix + name] = _col(expr)
     # both levels read one exchange, so chained scans don't compute their input twice
+    df = settled(df)
     base = dealt(df.withColumns(exprs), [*keys, _B])
 
     w_in = Window.partitionBy(*keys, _B).orderBy(*order)

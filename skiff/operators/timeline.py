@@ -341,35 +341,43 @@ PROV_SCHEMA = "run_id string, slot int, a double, b double"
 BILLABLE = ["pending", "running"]
 
 
-def assign_replacements(downs: DataFrame, starts: DataFrame, lead_s: float = 180.0, pre_epoch_s: float = 60.0) -> DataFrame:
+def assign_replacements(downs: DataFrame, starts: DataFrame, lead_s: float = 180.0, pre_epoch_s: float = 60.0, width: float = 86400.0) -> DataFrame:
     """JN-11: give each down period of a slot the first unused machine that
     started in ``[t_out - 180 s, t_in)``, slots in ascending order, only
-    machines started after the first epoch - 60 s.  The assignment is
-    greedy and order-dependent, so it runs per run with ``applyInPandas``
-    (one run's down periods and machine starts: small, bounded groups)."""
-    d = downs.select("run_id", "slot", "t_out", "t_in", "first_epoch", F.lit(None).cast("double").alias("started_at"))
-    s = starts.select("run_id", F.lit(None).cast("int").alias("slot"), F.lit(None).cast("double").alias("t_out"),
-                      F.lit(None).cast("double").alias("t_in"), F.lit(None).cast("double").alias("first_epoch"), "started_at")
-    u = d.unionByName(s)
+    machines started after the first epoch - 60 s.
+
+    The assignment is greedy and order-dependent, but only periods whose
+    windows overlap can want the same machine: a run's windows are cut into
+    clusters where none reaches over, machines go to the cluster they started
+    in, and each cluster is a group of its own, not the run."""
+    d = downs.withColumns({"__a": F.col("t_out") - lead_s, "__b": F.coalesce(F.col("t_in"), F.lit(1e18))})
+    d = scan(d, ["run_id"], "__a", ["slot"], width=width, maxes={"__reach": F.col("__b")})
+    d = scan(d, ["run_id"], "__a", ["slot"], width=width, prevs={"__before": F.col("__reach")})
+    d = d.withColumn("__new", F.when(F.col("__before").isNull() | (F.col("__a") >= F.col("__before")), 1).otherwise(0))
+    d = scan(d, ["run_id"], "__a", ["slot"], width=width, sums={"cluster": "__new"})
+    reach = d.groupBy("run_id", "cluster").agg(F.min("__a").alias("from"), F.max("__b").alias("until"))
+    m = asof_join(starts.select("run_id", "started_at"), reach, ["run_id"], "started_at", "from", ["cluster", "until"], prefix="c_", width=width)
+    m = m.filter(F.col("started_at") < F.col("c_until"))
+    none = F.lit(None).cast("double")
+    u = d.select("run_id", "cluster", "slot", "t_out", "t_in", "first_epoch", none.alias("started_at")).unionByName(
+        m.select("run_id", F.col("c_cluster").alias("cluster"), F.lit(None).cast("int").alias("slot"), none.alias("t_out"), none.alias("t_in"), none.alias("first_epoch"), "started_at"))
 
     def greedy(pdf):
+        import bisect
+
         import pandas as pd
 
-        run_id = pdf["run_id"].iloc[0]
         dn = pdf[pdf["slot"].notna()].sort_values(["slot", "t_out"])
-        st = sorted(pdf["started_at"].dropna().tolist())
-        run_start = (dn["first_epoch"].min() - pre_epoch_s) if len(dn) else 0.0
-        used, out = set(), []
+        free = sorted(x for x in pdf["started_at"].dropna() if len(dn) and x > dn["first_epoch"].min() - pre_epoch_s)
+        out = []
         for r in dn.itertuples(index=False):
             t_in = r.t_in if pd.notna(r.t_in) else float("inf")
-            for k, x in enumerate(st):
-                if k not in used and r.t_out - lead_s <= x < t_in and x > run_start:
-                    used.add(k)
-                    out.append((run_id, int(r.slot), max(x, r.t_out), t_in))
-                    break
+            k = bisect.bisect_left(free, r.t_out - lead_s)
+            if k < len(free) and free[k] < t_in:
+                out.append((r.run_id, int(r.slot), max(free.pop(k), r.t_out), t_in))
         return pd.DataFrame(out, columns=["run_id", "slot", "a", "b"])
 
-    return u.groupBy("run_id").applyInPandas(greedy, PROV_SCHEMA)
+    return u.groupBy("run_id", "cluster").applyInPandas(greedy, PROV_SCHEMA)
 
 
 def occupancy(timeline: DataFrame, ticks: DataFrame, ledger: DataFrame, target: int, width: float = 86400.0) -> DataFrame:

@@ -31,8 +31,9 @@ def run_series_table(step_rows: DataFrame, boot_rows: DataFrame, live_rows: Data
 
 
 def write_run_series(series: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """SNK-01: one folder per run, sorted by time inside."""
-    (series.repartition("run_id").sortWithinPartitions("run_id", "time")
+    """SNK-01: one folder per run; ranges of (run, time) go to several tasks, so
+    a long run is several part files, each sorted and in order of time."""
+    (series.repartitionByRange("run_id", "time").sortWithinPartitions("run_id", "time")
      .write.mode("overwrite").partitionBy("run_id").format(fmt).option("header", "true").save(path))
 
 
