@@ -32,6 +32,7 @@ HEADLINE = [
     "telemetry_outages",
     "corpus_manifest",
     "corpus_eval_windows",
+    "corpus_token_checksum",
     "exp_throughput",
     "exp_clean_projection",
     "fleet_restore_point",

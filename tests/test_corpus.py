@@ -1,5 +1,8 @@
 """Corpus preparation: split sizes, contiguous packing, windows, tokenizers."""
 
+import os
+import pytest
+
 import base64
 import math
 
@@ -84,3 +87,56 @@ def test_byte_and_bpe_tokenizers(spark, tmpdir_path):
             fh.write(base64.b64encode(bytes([i])) + b" " + str(i).encode() + b"\n")
     t = bpe_ids(docs, lambda: tiktoken_from_ranks(ranks)).collect()[0]
     assert list(t.ids) == list("hi é".encode()) + [256]
+
+
+def _packed(spark, n=40):
+    rows = [(i, "train" if i % 4 else "val", [i % 7] * (i % 5 + 1), i % 5 + 1) for i in range(n)]
+    tokens = spark.createDataFrame(rows, "doc_id long, split string, ids array<int>, len int")
+    return C.pack(C.prefix_offsets(tokens, ["split"]), max_chunks=3)
+
+
+def test_publish_writes_the_manifest_last(spark, tmpdir_path):
+    docs, manifest = _packed(spark)
+    got = {r.split: r for r in C.publish(docs, manifest, tmpdir_path + "/good").collect()}
+    assert set(got) == {"train", "val"} and all(r.ok and r.written == r.expected for r in got.values())
+    shards = spark.read.parquet(tmpdir_path + "/good/shards")
+    assert shards.count() == 40 and spark.read.parquet(tmpdir_path + "/good/manifest").count() == 6
+    for split in ("train", "val"):  # a chunk's documents are contiguous
+        ends = {}
+        for r in shards.filter(F.col("split") == split).orderBy("tok_offset").collect():
+            assert r.tok_offset == ends.get("at", 0) and r.chunk_id >= ends.get("chunk", 0)
+            ends = {"at": r.tok_offset + r.len, "chunk": r.chunk_id}
+
+
+def test_publish_refuses_short_output(spark, tmpdir_path):
+    docs, manifest = _packed(spark)
+    with pytest.raises(Exception, match="corpus guard failed"):
+        C.publish(docs.filter("doc_id <> 7"), manifest, tmpdir_path + "/short")
+    assert not os.path.exists(tmpdir_path + "/short/manifest")
+
+
+def test_encoding_time_does_not_grow_with_the_vocabulary(spark):
+    import time
+
+    texts = spark.range(2000).selectExpr("id as doc_id", "repeat('abcdefghij', 100) as text").cache()
+    texts.count()
+    took = []
+    for size in (20, 4000):
+        vocab = spark.range(size).selectExpr("char(97 + cast(id as int)) as ch", "cast(97 + id as int) as code", "cast(id as int) as id")
+        char_ids(texts, vocab).agg(F.sum("len")).collect()
+        t = time.time()
+        char_ids(texts, vocab).agg(F.sum("len")).collect()
+        took.append(time.time() - t)
+    assert took[1] < 4 * took[0] + 1
+
+
+def test_sample_grid_keeps_all_rows_in_any_order(spark):
+    from skiff.operators.experiments import sample_grid
+
+    rows = [("r1", 1, "p", 0, 1, "a"), ("r1", 1, "p", 0, 2, "b"), ("r1", 1, "q", 1, 3, "second"), ("r2", 5, "q", 0, 4, "c")]
+    want = sorted([("r1", 1, "p", 1, "a"), ("r1", 1, "p", 2, "b"), ("r1", 1, "q", None, None), ("r2", 5, "p", None, None), ("r2", 5, "q", 4, "c")], key=str)
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "run_id string, step long, prompt string, sample_index int, sample_id long, completion string").repartition(3)
+        assert sorted((tuple(r) for r in sample_grid(df).collect()), key=str) == want
+    with pytest.raises(Exception, match="more than 1 prompts"):
+        sample_grid(df, max_prompts=1).collect()

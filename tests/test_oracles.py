@@ -12,7 +12,8 @@ from skiff.sources.tables import DRIVER_TABLES
 SF = "/root/testdata/sf0.001"
 NAMES = ["market_scenarios", "market_availability", "serving_test_totals", "serving_saturation",
          "telemetry_world_spans", "telemetry_cost_curve", "corpus_manifest", "exp_throughput",
-         "fleet_restore_point", "prof_mark_segments"]
+         "fleet_restore_point", "prof_mark_segments", "exp_sample_grid", "prof_data_checks", "files_step_lines",
+         "files_decision_epochs", "files_status_ticks", "files_profiles", "files_spot_records", "files_snapshot", "files_published"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
