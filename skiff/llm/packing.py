@@ -25,7 +25,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +33,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skiff.llm.common import kept, narrow
-from skiff.llm.textops import slices
+from skiff.llm.textops import held, slices
 
 #: Entries of the word cache (about 200 bytes an entry); a full cache starts anew.
-CACHE = 1_600_000
+CACHE = 1_200_000
 #: Texts made only of these have known letters, digits, case and normal form; others go whole through the library.
 _PLAIN = r"\t\n\r -~À-ÖØ-öø-įı-ž‘’“”–—…•€«»¿¡§©®°"
 _ODD = re.compile(f"[^{_PLAIN}]|<\\|")
@@ -104,22 +103,17 @@ class WordIds:
         return ids
 
 
-@lru_cache(maxsize=2)
-def encoder(file: str) -> WordIds:
-    return WordIds(file)
-
-
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, and its input
     partition ``part`` with its ``place`` among that partition's pieces of its length."""
-    end = int(end_id).to_bytes(4, "little")
+    end, key = int(end_id).to_bytes(4, "little"), f"ids {tokenizer_file}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(tokenizer_file)
+        ids = held(key, lambda: WordIds(tokenizer_file))
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for rows in slices(batch, "text", 1 << 20):
+            for rows in slices(batch, "text", 1 << 20, key):
                 which, piece, start, length, crc = [], [], [], [], []
                 for k, text in enumerate(rows.column("text").to_pylist()):
                     raw = ids.text(text) + end

@@ -11,7 +11,7 @@ texts are empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in consecutive slices of about ``most`` bytes of ``column``; no slice is empty."""
+#: One object of the operator at work, kept between the tasks of a Python worker.
+_held: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """The object made for ``key``; that of another key is let go."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, key: str = "") -> Iterator[pa.RecordBatch]:
+    """The batch in consecutive slices of about ``most`` bytes of ``column``; no slice is empty.
+    A worker that turns to an operator of another ``key`` lets the held object go."""
+    if key not in _held:
+        _held.clear()
     if not batch.num_rows:
         return
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -22,7 +22,6 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skiff.llm.common import narrow
-from skiff.llm.textops import slices
+from skiff.llm.textops import held, slices
 
 MARK = "▁"
 #: Entries of each cache (about 100 bytes an entry); a full cache starts anew.
@@ -140,20 +139,16 @@ class PieceRanks:
 _WORDS = re.compile(" +[^ ]*|[^ ]+")
 
 
-@lru_cache(maxsize=2)
-def ranks(model_file: str) -> PieceRanks:
-    return PieceRanks(model_file)
-
-
 def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` (more than ``limit`` tokens).
 
     ``model_file`` is a path that every executor can open."""
+    key = f"ranks {model_file}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = ranks(model_file)
+        pieces = held(key, lambda: PieceRanks(model_file))
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", key=key):
                 n = [pieces.text(t) for t in part.column("text").to_pylist()]
                 yield pa.record_batch([part.column("id"), pc.cast(pc.binary_length(part.column("text")), pa.int64()), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 

@@ -180,6 +180,14 @@ def q_load_points(spark, sf):
     return R.load_points(spark, path).select("label", "workers", "rps", "requests", "p99_ms", "offered_rps", "failed")
 
 
+def q_router_points(spark, sf):
+    ev = D.events_base(spark, sf)
+    doc = F.to_json(F.struct(F.col("event_id").cast("double").alias("rps"), (F.col("k") % 5).cast("double").alias("duration_s"), (F.col("user_id") * 4).alias("succeeded"),
+                             F.when(F.col("k") % 3 == 0, F.lit(0)).otherwise(F.col("k")).alias("failed"), (F.col("k") % 2).alias("dropped"), (F.col("k") + 0.5).alias("p50_ms"), (F.col("k") * 2.0).alias("p99_ms")))
+    name = F.concat(F.when(F.col("k") % 4 == 0, F.lit("python-")).otherwise(F.lit("go-")), "event_id", F.when(F.col("k") % 7 == 0, F.lit(".txt")).otherwise(F.lit(".json")))
+    return R.router_points(ev.select(name.alias("file_name"), F.when(F.col("event_id") % 11 == 0, F.substring(doc, 1, 6)).otherwise(doc).alias("doc")), "go")
+
+
 def q_heartbeats(spark, sf):
     s = table(spark, sf, "supplier")
     doc = F.concat(F.lit('{"worker_id": "w'), "s_suppkey", F.lit('", "market": "spot", "requests_served": '), "s_suppkey", F.lit(', "last_seen": 12.5, "zone": "z'), "s_nationkey", F.lit('"}'))
@@ -272,6 +280,7 @@ QUERIES = {
     "files_spot_records": q_spot_records,
     "files_advisor": q_advisor,
     "files_load_points": q_load_points,
+    "files_router_points": q_router_points,
     "files_heartbeats": q_heartbeats,
     "files_metric_samples": q_metric_samples,
     "files_tail": q_tail,
@@ -332,6 +341,8 @@ ORACLE = {
     "files_load_points": _ev("""SELECT coalesce(CASE WHEN k % 2 = 0 THEN 'l' || event_id END, 'rps' || offered_rps || '-n' || workers) AS label, workers, rps, user_id AS requests, k + 0.5::DOUBLE AS p99_ms, offered_rps, 0 AS failed
         FROM (SELECT *, coalesce(CASE WHEN k % 5 <> 0 THEN k % 8 END, 1) AS workers, CASE WHEN k % 4 <> 0 THEN k ELSE 0 END::DOUBLE AS rps,
                      coalesce(CASE WHEN k % 3 = 0 THEN k END, CASE WHEN k % 4 <> 0 THEN k ELSE 0 END)::DOUBLE AS offered_rps FROM ev WHERE event_id % 7 <> 0 AND k % 9 <> 0)"""),
+    "files_router_points": _ev("""SELECT event_id::DOUBLE AS offered, user_id * 4 / (CASE WHEN k % 5 = 0 THEN 1 ELSE k % 5 END)::DOUBLE AS achieved, k + 0.5::DOUBLE AS p50, k * 2.0::DOUBLE AS p99,
+        CASE WHEN k % 3 = 0 THEN 0 ELSE k END AS errors, k % 2 AS dropped, k % 3 = 0 AND k % 2 = 0 AS clean FROM ev WHERE k % 4 <> 0 AND k % 7 <> 0 AND event_id % 11 <> 0"""),
     "files_heartbeats": "SELECT 'w' || s_suppkey AS worker_id, 'spot' AS market, s_suppkey AS requests_served, 12.5::DOUBLE AS last_seen, 'z' || s_nationkey AS zone, 1 AS others FROM supplier WHERE s_suppkey % 4 <> 0",
     "files_metric_samples": _ev("SELECT 'w' || user_id AS worker_id, sum(k)::BIGINT AS value FROM ev WHERE k % 5 <> 0 GROUP BY 1"),
     "files_tail": _ev("""SELECT file_path, 'e' || event_id AS line FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY event_id DESC) AS r FROM (

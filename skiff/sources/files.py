@@ -361,6 +361,21 @@ def load_points(spark: SparkSession, manifests: str) -> DataFrame:
     return out.withColumn("label", label).drop("__o", "__l")
 
 
+def router_points(reports: DataFrame, prefix: str) -> DataFrame:
+    """SRC-13: router comparison reports ``<prefix>-<rps>.json`` (columns
+    ``file_name``, ``doc``): offered and achieved rate, latencies, and whether
+    nothing failed or was dropped; other files and torn documents are skipped."""
+    name = F.col("file_name")
+    d = reports.filter(name.startswith(prefix + "-") & name.endswith(".json"))
+    d = d.select(F.from_json("doc", T.StructType([T.StructField(n, T.StringType()) for n, _ in REPORT_FIELDS])).alias("r")).filter(F.col("r.rps").isNotNull())
+    v = {n: F.col(f"r.{n}").cast(typ) for n, typ in REPORT_FIELDS}
+    seconds = F.when(F.coalesce(v["duration_s"], F.lit(0.0)) == 0, F.lit(1.0)).otherwise(v["duration_s"])
+    return d.select(
+        v["rps"].alias("offered"), (v["succeeded"] / seconds).alias("achieved"), v["p50_ms"].alias("p50"), v["p99_ms"].alias("p99"),
+        v["failed"].alias("errors"), v["dropped"].alias("dropped"), ((v["failed"] == 0) & (v["dropped"] == 0)).alias("clean"),
+    )
+
+
 HEARTBEAT_SCHEMA = T.StructType([
     T.StructField("worker_id", T.StringType()), T.StructField("addr", T.StringType()), T.StructField("model", T.StringType()),
     T.StructField("market", T.StringType()), T.StructField("requests_served", T.LongType()), T.StructField("last_seen", T.DoubleType()),
