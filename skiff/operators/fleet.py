@@ -62,27 +62,27 @@ def sticky_states(obs: DataFrame, width: float = 86400.0) -> DataFrame:
 def elect_masters(timeline: DataFrame) -> DataFrame:
     """WN-28: the sticky master over a run's epochs: keep the current master
     while it is a member, else the lowest survivor of the previous epoch,
-    else the lowest member.  Sequential per run, so it folds the run's epoch
-    list (one row per published epoch — small) with ``aggregate``."""
-    ep = timeline.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "epoch", "members"))).alias("eps"))
-    init = F.struct(
-        F.lit(None).cast("int").alias("master"),
-        F.array().cast("array<int>").alias("prev"),
-        F.array().cast("array<struct<t:double,epoch:int,master:int>>").alias("out"),
-    )
-
-    def step(acc, e):
-        mem = F.array_sort(e["members"])
-        keep = acc["master"].isNotNull() & F.array_contains(mem, acc["master"])
-        surv = F.array_intersect(mem, acc["prev"])
-        m = F.when(keep, acc["master"]).when(F.size(surv) > 0, F.array_min(surv)).otherwise(F.array_min(mem))
-        return F.struct(
-            m.alias("master"), mem.alias("prev"),
-            F.concat(acc["out"], F.array(F.struct(e["t"].alias("t"), e["epoch"].alias("epoch"), m.alias("master")))).alias("out"),
-        )
-
-    folded = ep.select("run_id", F.aggregate("eps", init, step).alias("acc"))
-    return folded.select("run_id", F.explode("acc.out").alias("o")).select("run_id", "o.t", "o.epoch", "o.master")
+    else the lowest member.  Each choice needs the one before, so runs are
+    streamed in epoch order; a task holds one batch and the run's last epoch."""
+
+    def run(batches):
+        import pandas as pd
+
+        of, master, prev = None, None, set()
+        for b in batches:
+            masters = []
+            for run_id, members in zip(b["run_id"], b["members"]):
+                if run_id != of:
+                    of, master, prev = run_id, None, set()
+                now = {int(m) for m in members} if members is not None else set()
+                if master not in now:
+                    master = min(now & prev or now, default=None)
+                masters.append(master)
+                prev = now
+            yield pd.DataFrame({"run_id": b["run_id"], "t": b["t"], "epoch": b["epoch"], "master": pd.array(masters, "Int32")})
+
+    rows = timeline.select("run_id", "t", "event_id", "epoch", "members").repartition("run_id").sortWithinPartitions("run_id", "t", "event_id", "epoch")
+    return rows.mapInPandas(run, "run_id string, t double, epoch int, master int")
 
 
 def stall_clock(ticks: DataFrame, timeline: DataFrame, width: float = 86400.0) -> DataFrame:
