@@ -24,10 +24,13 @@ def summary(name: str, plan: str) -> list[str]:
         out.append(f"* ReadSchema `{rs[:160]}`")
     for pf in sorted(set(p for p in pushed if p != "[]")):
         out.append(f"* PushedFilters `{pf[:160]}`")
-    joins = {j: plan.count(j) for j in ("BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin", "CartesianProduct")}
+    # the explain names each operator in the tree and again in the details: count the tree's, and the details' arguments
+    tree, _, details = plan.partition("\n\n\n")
+    joins = {j: len(re.findall(rf"\b{j}\b", tree)) for j in ("BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin", "CartesianProduct")}
     out.append("* joins: " + ", ".join(f"{k} {v}" for k, v in joins.items() if v))
-    out.append(f"* shuffles: {plan.count('hashpartitioning(')} hash, {plan.count('rangepartitioning(')} range, {plan.count('SinglePartition')} single-partition")
-    out.append(f"* window operators: {plan.count('Window ')}; scans of checkpointed data: {plan.count('Scan ExistingRDD')}")
+    kinds = {k: len(re.findall(rf"Arguments: {k}", details)) for k in ("hashpartitioning", "rangepartitioning", "SinglePartition")}
+    out.append("* exchanges before reuse: " + (", ".join(f"{k} {v}" for k, v in kinds.items() if v) or "none"))
+    out.append(f"* window operators: {len(re.findall(r'- Window|- .*: Window|Window \(', tree))}; file scans before reuse: {tree.count('Scan parquet')}; scans of checkpointed data: {tree.count('Scan ExistingRDD')}")
     out.append("")
     return out
 
@@ -39,7 +42,8 @@ def main() -> None:
     spark = get_session(master="local[8]", shuffle_partitions=16)
     spark.sparkContext.setLogLevel("ERROR")
     lines = ["# Physical plans (formatted explain, summarised)", "",
-             f"Generated by `tools/plan_report.py` on `{sf}` (initial adaptive plans).", "",
+             f"Generated by `tools/plan_report.py` on `{sf}` (initial adaptive plans; the branches of a",
+             "scan read one exchange when the plan runs, so exchanges and scans are counted before reuse).", "",
              "Join strategies here are the static choice for the small test files: a side under",
              "`spark.sql.autoBroadcastJoinThreshold` by its estimated size is broadcast, anything",
              "larger is a sort-merge join that AQE may still turn into a broadcast after measuring",
