@@ -180,18 +180,17 @@ class Plan:
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sequence and offset of pieces given their length and rank."""
-        order = np.lexsort((rank, length))
-        first = np.searchsorted(self.length, np.arange(self.length.max(initial=0) + 2))
-        i = np.empty(len(length), np.int64)
-        for s in np.unique(length):  # ascending ranks within a length
-            own = order[np.searchsorted(length[order], s) : np.searchsorted(length[order], s, "right")]
-            i[own] = first[s] + np.searchsorted(self.rank[first[s] : first[s + 1]], rank[own], "right") - 1
+        # a length is below 2^15, a rank below 2^48: both make one ascending key
+        run = (self.length << 48) | self.rank
+        i = np.searchsorted(run, (length << 48) | rank, "right") - 1
         k = rank - self.rank[i]
         return self.bin[i] + k // self.each[i], self.offset[i] + (k % self.each[i]) * length
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     """Best-fit decreasing for ``counts[length]`` pieces of each length."""
+    if capacity >= 1 << 15:
+        raise ValueError("sequences of 2^15 tokens or more")
     tree = Tightest(capacity)
     groups: dict[int, list[tuple[int, int]]] = {}  # remaining capacity: (first bin, bins)
     runs, bins = [], 0

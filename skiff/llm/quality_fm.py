@@ -12,8 +12,8 @@ fixed number, under 2 MB).
 
 Defined cases: null and empty texts have only the constant features and still
 get a score; a null size is counted from the text; labels of one id that
-disagree count by their mean; rows without an id or label don't train; without
-any labelled row every score is 0.5; repeated rows are scored each; extra
+disagree count by their mean; of documents with one id the least text trains;
+rows without an id or label don't train; without any labelled row every score is 0.5; repeated rows are scored each; extra
 columns are ignored.
 """
 
@@ -164,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 8000, folds: int
                 cut = lambda a: pa.array([a[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())  # noqa: E731, B023
                 yield pa.record_batch([part.column("id"), cut(index), cut(value), part.column("label")], names=["id", "index", "value", "label"])
 
-    rows = _inputs(docs, id_column, text_column, size_column).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+    rows = _inputs(docs, id_column, text_column, size_column).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "label").agg(F.min(F.struct("text", "size")).alias("row")).select("id", "row.text", "row.size", "label")
     got = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, index binary, value binary, label double").toArrow()
     got = got.sort_by("id")
     return fit([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y) for i, v, y in zip(got["index"].to_pylist(), got["value"].to_pylist(), got["label"].to_pylist())])
