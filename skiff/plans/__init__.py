@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["market", "serving", "telemetry", "corpus", "experiments", "fleet", "profiles", "files"]
+_MODULES = ["market", "serving", "telemetry", "corpus", "experiments", "fleet", "profiles", "files", "streams"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
