@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from skiff.llm import forest
 from skiff.llm.textops import slices
 
-LIMIT = 0.5
+LIMIT = 0.4
 CONTEXT = 60
 _NAME = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential|apikey|client[_-]?key|bearer)"
 _PATTERNS = {
@@ -145,7 +145,7 @@ def candidates(text: str, path: str = "") -> Iterator[tuple[int, Finding]]:
         yield start, Finding(text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT], path, kind)
 
 
-def labelled_findings(n: int = 3000, seed: int = 5) -> list[Finding]:
+def labelled_findings(n: int = 6000, seed: int = 5) -> list[Finding]:
     """Findings of both labels from stated formats, in contexts of random words."""
     rng = random.Random(seed)
     pick = rng.choice
@@ -155,7 +155,7 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[Finding]:
     word = lambda: "".join(pick(syllables) for _ in range(rng.randint(1, 5)))
     prose = lambda k: " ".join(pick([word(), word().title(), word().upper()]) for _ in range(k))
     names = "token secret password passwd api_key apikey access_key auth_token client_secret db_password private_key TOKEN API_KEY".split()
-    random_value = lambda: pick([lambda: draw("0123456789abcdef", 32, 64), lambda: draw("0123456789ABCDEF", 32, 64), lambda: draw(alnum, 16, 64), lambda: draw(alnum + "+/", 24, 64) + pick(["", "=", "=="]), lambda: draw(alnum + "!#%^&*-_", 10, 24)])()
+    random_value = lambda: pick([lambda: draw("0123456789abcdef", 16, 64), lambda: draw("0123456789ABCDEF", 16, 64), lambda: draw(alnum, 16, 64), lambda: draw(alnum + "+/", 24, 64) + pick(["", "=", "=="]), lambda: draw(alnum + "!#%^&*-_", 10, 24)])()
     prefixed = lambda: pick([lambda: "AKIA" + draw(alnum[26:], 16), lambda: pick(["ghp_", "gho_", "ghs_"]) + draw(alnum, 36), lambda: "sk_live_" + draw(alnum, 24), lambda: "AIza" + draw(alnum + "-_", 35), lambda: "xoxb-" + draw("0123456789", 11) + "-" + draw(alnum, 24), lambda: "npm_" + draw(alnum, 36), lambda: f"eyJ{draw(alnum, 20)}.eyJ{draw(alnum, 40)}.{draw(alnum + '-_', 43)}"])()
     equals = lambda: pick([" = ", "=", ": ", " := ", ":"])
     out = []
@@ -164,7 +164,7 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[Finding]:
         quote = pick(['"', "'", "", '"'])
         path = pick(["", "", f"src/{word()}.py", f"conf/{word()}.yml", "src0", f"{word()}.example.com/{word()}"])
         if rng.random() < 0.5:
-            kind = pick(["assigned"] * 6 + ["prefix"] * 2 + ["key_block"])
+            kind = pick(["assigned"] * 5 + ["prefix"] * 4 + ["key_block"])
             if kind == "assigned":
                 out.append(Finding(random_value() if rng.random() < 0.85 else prefixed(), f"{before} {pick(names)}{equals()}{quote}", f"{quote} {after}", path, kind, 1))
             elif kind == "prefix":
