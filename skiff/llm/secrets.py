@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from skiff.llm import forest
 from skiff.llm.textops import slices
 
-LIMIT = 0.4
+LIMIT = 0.5
 CONTEXT = 60
 _NAME = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential|apikey|client[_-]?key|bearer)"
 _PATTERNS = {
