@@ -84,10 +84,11 @@ def q_manifest(spark, sf):
     return _packed(spark, sf)[1]
 
 
-def q_capped(spark, sf):
+def q_capped(spark, sf, cap=CAP_TOKENS):
+    """CP-03/04: the stream of documents up to ``cap`` tokens (the cap is the operator's feature)."""
     t = _lengths(spark, sf).withColumn("stream", F.lit("all"))
     off = C.prefix_offsets(t, ["stream"])
-    return C.capped(off, CAP_TOKENS)
+    return C.capped(off, cap)
 
 
 def q_eval_windows(spark, sf):

@@ -325,7 +325,7 @@ def advisor_records(doc: DataFrame, types: list[str], tick_id: Column, t: Column
         F.lit("interruption").alias("type"), tick_id.alias("tick_id"), t.alias("t"), "region", "instance_type",
         F.col("v.r").alias("interruption_index"), F.col("v.s").alias("savings_pct"),
     )
-    return recs.join(F.broadcast(ranges), on="interruption_index", how="left").withColumn(
+    return recs.join(ranges, on="interruption_index", how="left").withColumn(
         "interruption_range", F.coalesce(F.col("interruption_range"), F.lit(""))
     )
 

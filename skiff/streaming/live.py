@@ -133,18 +133,15 @@ def counter_deltas(samples: DataFrame, watermark: str = "10 minutes", idle: floa
             state.remove()
             return
         rows = pd.concat(list(pdfs)).sort_values("ts")
-        prev = state.get if state.exists else None
-        out = []
-        for r in rows.itertuples(index=False):
-            if prev is not None and prev[4] and r.ok and r.ts > prev[0]:
-                out.append((wid, r.ts, max(int(r.requests) - prev[1], 0), max(int(r.completion_tokens) - prev[2], 0),
-                            max(float(r.generate_seconds) - prev[3], 0.0), r.ts - prev[0]))
-            else:
-                out.append((wid, r.ts, 0, 0, 0.0, 0.0))
-            prev = (float(r.ts), int(r.requests), int(r.completion_tokens), float(r.generate_seconds), bool(r.ok))
-        state.update(prev)
-        _expire_at(state, prev[0] + idle)
-        yield pd.DataFrame(out, columns=["worker_id", "ts", "d_requests", "d_tokens", "d_gen", "dt"])
+        now = pd.DataFrame({"ts": rows["ts"], "requests": rows["requests"], "tokens": rows["completion_tokens"], "gen": rows["generate_seconds"], "ok": rows["ok"]}).reset_index(drop=True)
+        first = pd.DataFrame([state.get if state.exists else (float("nan"), 0, 0, 0.0, False)], columns=now.columns)
+        prev = pd.concat([first, now.iloc[:-1]], ignore_index=True)
+        good = prev["ok"].astype(bool) & now["ok"].astype(bool) & (now["ts"] > prev["ts"])
+        grown = lambda c: (now[c] - prev[c]).clip(lower=0).where(good, 0)
+        end = now.iloc[-1]
+        state.update((float(end["ts"]), int(end["requests"]), int(end["tokens"]), float(end["gen"]), bool(end["ok"])))
+        _expire_at(state, float(end["ts"]) + idle)
+        yield pd.DataFrame({"worker_id": wid, "ts": now["ts"], "d_requests": grown("requests").astype("int64"), "d_tokens": grown("tokens").astype("int64"), "d_gen": grown("gen").astype(float), "dt": (now["ts"] - prev["ts"]).where(good, 0.0)})
 
     return s.groupBy("worker_id").applyInPandasWithState(step, DELTA_OUT, DELTA_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
