@@ -33,6 +33,21 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit("")).alias(column)
 
 
+#: Rows of an Arrow batch between Spark and Python; with very long texts 10,000 rows
+#: are hundreds of megabytes in an executor, once in the JVM and once in the worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``BATCH_ROWS`` rows."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def narrow(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns: extra ones, whatever their names, never reach the operator."""
+    """Only the named columns: extra ones, whatever their names, never reach the
+    operator; in small Arrow batches."""
+    small_batches(df)
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skiff.llm.common import narrow
+from skiff.llm.common import narrow, small_batches
 from skiff.llm.textops import PUNCTUATION, Texts, slices
 
 MIN_MATCH = 5
@@ -154,7 +154,7 @@ def _over(docs: DataFrame, block: Seeds, threshold: float, schema, emit: Callabl
             for part in slices(batch, "text"):
                 yield emit(part, own, matches(own, bits, part.column("text"), threshold))
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skiff.llm.common import narrow, remainder
+from skiff.llm.common import narrow, remainder, small_batches
 from skiff.llm.host_rules import SYMBOLS, measure
 from skiff.llm.textops import Texts, slices
 
@@ -145,6 +145,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 12, batc
 
 
 def _inputs(docs: DataFrame, id_column: str, text_column: str, size_column: str) -> DataFrame:
+    small_batches(docs)
     size = F.col(f"`{size_column}`") if size_column in docs.columns else F.lit(None)
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"), size.cast("long").alias("size"))
     return rows.withColumn("size", F.coalesce("size", F.length("text").cast("long")))
@@ -182,6 +183,7 @@ def score(docs: DataFrame, machine: Machine, limit: float = 0.3, keep: bool = Fa
                 yield pa.record_batch([*(part.column(c) for c in passed), pa.array(s)], names=[*passed, "score"])
 
     if keep:
+        small_batches(docs)
         named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
         text, size = f"c{docs.columns.index(text_column)}", f"c{docs.columns.index(size_column)}"
         rows = named.withColumns({"text": F.coalesce(text, F.lit("")), "size": F.coalesce(F.col(size).cast("long"), F.length(text).cast("long"), F.lit(0).cast("long"))})

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skiff.llm import forest
+from skiff.llm.common import small_batches
 from skiff.llm.textops import slices
 
 LIMIT = 0.5
@@ -224,7 +225,7 @@ def _over(rows: DataFrame, scanner: Scanner, schema, emit: Callable) -> DataFram
             for part in slices(batch, "text"):
                 yield emit(part, shared.value)
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def _path(docs: DataFrame, path_column: str | None):
