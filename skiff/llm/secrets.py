@@ -15,7 +15,8 @@ placeholders, identifiers, digests in commit or checksum context, paths, names
 and numbers.  The dictionary is the letters-only pieces of a public vocabulary;
 it and the forest are of fixed size, and are all that is broadcast.
 
-Scanning is one pass without a shuffle; a text is scanned whole.  Defined cases:
+Scanning is one pass without a shuffle; a text is scanned whole, and a candidate
+is as long as its pattern goes on (possessive repeats, so time is linear).  Defined cases:
 null and empty texts have no findings; overlapping candidates count once, the
 earliest and longest first; repeated rows are reported each; a null path is an
 empty one; an empty table gives no rows; extra columns are ignored.
@@ -44,10 +45,10 @@ LIMIT = 0.5
 CONTEXT = 60
 _NAME = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential|apikey|client[_-]?key|bearer)"
 _PATTERNS = {
-    "key_block": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{16,20000}?-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
+    "key_block": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{16,}+-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
     "prefix": r"\b(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{22,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[\w-]{35}|glpat-[\w-]{20,}|npm_[A-Za-z0-9]{36}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]+)",
-    "assigned": rf"(?i:\b[\w.-]{{0,40}}{_NAME}[\w.-]{{0,20}}[\"']?\s{{0,4}}(?:=>|:=|=|:)\s{{0,4}}[\"'`]?)(?P<value>[^\s\"'`,;()<>]{{8,300}})",
-    "mixed": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,60}[0-9])(?=[0-9+/_-]{0,60}[A-Za-z])[A-Za-z0-9+/_-]{20,300}={0,2}",
+    "assigned": rf"(?i:\b[\w.-]{{0,40}}{_NAME}[\w.-]{{0,20}}[\"']?\s{{0,4}}(?:=>|:=|=|:)\s{{0,4}}[\"'`]?)(?P<value>[^\s\"'`,;()<>]{{8,}}+)",
+    "mixed": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,60}[0-9])(?=[0-9+/_-]{0,60}[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}",
 }
 _CANDIDATE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in _PATTERNS.items()))
 _MAYBE = r"[0-9]|PRIVATE KEY|(?i:" + _NAME + r")[^\n]{0,24}[=:]"
