@@ -17,8 +17,9 @@ it and the forest are of fixed size, and are all that is broadcast.
 
 Scanning is one pass without a shuffle; a text is scanned whole, and a candidate
 is as long as its pattern goes on (possessive repeats, so time is linear).  Defined cases:
-null and empty texts have no findings; overlapping candidates count once, the
-earliest and longest first; repeated rows are reported each; a null path is an
+null and empty texts have no findings; all candidates are scored, overlapping
+ones too, and kept ones that overlap are one finding, from the first's start to
+the last's end, of the best one's kind and score; repeated rows are reported each; a null path is an
 empty one; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -45,12 +46,15 @@ LIMIT = 0.5
 CONTEXT = 60
 _NAME = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential|apikey|client[_-]?key|bearer)"
 _PATTERNS = {
-    "key_block": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{16,}+-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
+    "key_block": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\\\s]{16,}+-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
     "prefix": r"\b(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{22,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[\w-]{35}|glpat-[\w-]{20,}|npm_[A-Za-z0-9]{36}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]+)",
-    "assigned": rf"(?i:\b[\w.-]{{0,40}}{_NAME}[\w.-]{{0,20}}[\"']?\s{{0,4}}(?:=>|:=|=|:)\s{{0,4}}[\"'`]?)(?P<value>[^\s\"'`,;()<>]{{8,}}+)",
+    "assigned": rf"(?i:\b[\w.-]{{0,40}}{_NAME}[\w.-]{{0,20}}[\"']?\s{{0,4}}(?:=>|:=|=|:)\s{{0,4}}[\"'`]?)",
     "mixed": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,60}[0-9])(?=[0-9+/_-]{0,60}[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}",
 }
-_CANDIDATE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in _PATTERNS.items()))
+_CANDIDATE = {k: re.compile(v) for k, v in _PATTERNS.items()}
+#: What the name and sign of ``assigned`` are followed by.
+_VALUE = re.compile(r"[^\s\"'`,;()<>]++")
+LEAST_VALUE = 8
 _MAYBE = r"[0-9]|PRIVATE KEY|(?i:" + _NAME + r")[^\n]{0,24}[=:]"
 _BENIGN = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxx|test|fake|redacted|todo|sha-?1|sha-?256|md5|checksum|digest|commit|hash|uuid|guid|revision|version|build|etag|integrity|image|cookie_id|serial|isbn|doi")
 _SECRETIVE = re.compile(rf"(?i){_NAME}|login|auth|key\b")
@@ -68,6 +72,7 @@ class Finding:
     path: str
     kind: str
     label: int = 0
+    size: int = 0  # of the whole value, where ``value`` is its head
 
 
 class Words:
@@ -114,10 +119,12 @@ class Words:
 
 
 FEATURES = 28
+#: Characters of a value that its features but the length are taken from.
+HEAD = 400
 
 
 def features(f: Finding, words: Words) -> list[float]:
-    v = f.value[:400]
+    v = f.value[:HEAD]
     n = max(len(v), 1)
     upper, lower, digit = (sum(map(t, v)) / n for t in (str.isupper, str.islower, str.isdigit))
     seen: dict[str, int] = {}
@@ -130,7 +137,7 @@ def features(f: Finding, words: Words) -> list[float]:
     near = f.before[-CONTEXT:] + " " + f.after[:CONTEXT]
     assigned = f.before.rstrip().rstrip("\"'`").rstrip()
     return [
-        len(f.value), math.log2(n), upper, lower, digit, 1 - upper - lower - digit, entropy, entropy / max(math.log2(n), 1), len(seen) / n, turns, steps,
+        f.size or len(f.value), math.log2(n), upper, lower, digit, 1 - upper - lower - digit, entropy, entropy / max(math.log2(n), 1), len(seen) / n, turns, steps,
         words.transition(v), words.coverage(v),
         bool(_HEX.fullmatch(v)), v.isdigit(), bool(_UUID.search(v)), bool(_BLANK.search(v)), bool(_BENIGN.search(v)),
         assigned.endswith(("=", ":", "=>")), f.before.endswith(('"', "'", "`")), f.kind == "prefix", f.kind == "key_block", f.kind == "assigned",
@@ -138,13 +145,29 @@ def features(f: Finding, words: Words) -> list[float]:
     ]
 
 
+def _spans(text: str) -> dict[tuple[int, int], str]:
+    """Kind by (start, end) of all candidates, overlapping ones too; each pattern is searched for over the whole text."""
+    out: dict[tuple[int, int], str] = {}
+    for kind in ("key_block", "prefix"):
+        for m in _CANDIDATE[kind].finditer(text):
+            out.setdefault(m.span(), kind)
+    end = 0
+    for m in _CANDIDATE["assigned"].finditer(text):
+        start = m.end()
+        if start >= end:  # else the name stands within an assigned value, and its own ends there too
+            v = _VALUE.match(text, start)
+            end = v.end() if v else start
+        if end - start >= LEAST_VALUE:
+            out.setdefault((start, end), "assigned")
+    for m in _CANDIDATE["mixed"].finditer(text):
+        out.setdefault(m.span(), "mixed")
+    return out
+
+
 def candidates(text: str, path: str = "") -> Iterator[tuple[int, Finding]]:
-    """Place and finding of each candidate in a text."""
-    for m in _CANDIDATE.finditer(text):
-        value = m["value"]
-        start, end = m.span("value") if value is not None else m.span()
-        kind = m.lastgroup if value is None else "assigned"
-        yield start, Finding(text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT], path, kind)
+    """Place and finding of each candidate in a text; of a long value the finding holds the head."""
+    for (start, end), kind in sorted(_spans(text).items()):
+        yield start, Finding(text[start : min(end, start + HEAD)], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT], path, kind, size=end - start)
 
 
 def labelled_findings(n: int = 6000, seed: int = 5) -> list[Finding]:
@@ -210,12 +233,31 @@ def train(findings: list[Finding], vocabulary_file: str, **settings) -> Scanner:
     return Scanner(forest.grow(x, np.array([f.label for f in findings], np.float64), **settings), words)
 
 
-def _found(scanner: Scanner, part: pa.RecordBatch, limit: float) -> list[tuple[int, int, Finding, float]]:
-    """(row, place, finding, score) of what the forest keeps in a slice."""
+@dataclass
+class Secret:
+    row: int
+    start: int
+    end: int
+    kind: str
+    score: float
+
+
+def _found(scanner: Scanner, part: pa.RecordBatch, limit: float) -> list[Secret]:
+    """What the forest keeps in a slice, overlapping candidates merged, by row and place."""
     rows = np.flatnonzero(pc.fill_null(pc.match_substring_regex(part.column("text"), _MAYBE), False).to_numpy(zero_copy_only=False))
     got = [(int(r), at, f) for r in rows for at, f in candidates(part.column("text")[r].as_py(), part.column("path")[r].as_py() or "")]
-    s = scanner.scores([g[2] for g in got])
-    return [(*g, float(p)) for g, p in zip(got, s) if p >= limit]
+    out: list[Secret] = []
+    for (row, at, f), score in zip(got, scanner.scores([g[2] for g in got])):
+        if score < limit:
+            continue
+        last = out[-1] if out else None
+        if last and last.row == row and at < last.end:
+            last.end = max(last.end, at + f.size)
+            if score > last.score:
+                last.kind, last.score = f.kind, float(score)
+        else:
+            out.append(Secret(row, at, at + f.size, f.kind, float(score)))
+    return out
 
 
 def _over(rows: DataFrame, scanner: Scanner, schema, emit: Callable) -> DataFrame:
@@ -239,9 +281,10 @@ def scan(docs: DataFrame, scanner: Scanner, limit: float = LIMIT, id_column: str
 
     def emit(part: pa.RecordBatch, own: Scanner) -> pa.RecordBatch:
         got = _found(own, part, limit)
+        texts = {r: part.column("text")[r].as_py() for r in {g.row for g in got}}
         column = lambda of, kind: pa.array([of(g) for g in got], kind)
         return pa.record_batch(
-            [part.column("id").take(column(lambda g: g[0], pa.int64())), column(lambda g: g[1], pa.int64()), column(lambda g: len(g[2].value), pa.int64()), column(lambda g: g[2].kind, pa.string()), column(lambda g: g[3], pa.float64()), column(lambda g: g[2].value, pa.string())],
+            [part.column("id").take(column(lambda g: g.row, pa.int64())), column(lambda g: g.start, pa.int64()), column(lambda g: g.end - g.start, pa.int64()), column(lambda g: g.kind, pa.string()), column(lambda g: g.score, pa.float64()), column(lambda g: texts[g.row][g.start : g.end], pa.string())],
             names=["id", "start", "length", "kind", "score", "value"],
         )
 
@@ -257,8 +300,8 @@ def redact(docs: DataFrame, scanner: Scanner, limit: float = LIMIT, mark: str =
 
     def emit(part: pa.RecordBatch, own: Scanner) -> pa.RecordBatch:
         by_row: dict[int, list] = {}
-        for row, at, f, _ in _found(own, part, limit):
-            by_row.setdefault(row, []).append((at, at + len(f.value)))
+        for s in _found(own, part, limit):
+            by_row.setdefault(s.row, []).append((s.start, s.end))
         if not by_row:
             return part
         texts = part.column("text").to_pylist()
