@@ -36,8 +36,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from skiff.llm.common import kept, narrow
+from skiff.llm.common import kept, narrow, small_batches
 from skiff.llm.components import components
 from skiff.llm.textops import Texts, mix, slices
 
@@ -245,8 +246,8 @@ def _with_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def join_similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document: id, class_id, n_links, n_copies."""
+def _classes(docs: DataFrame, threshold: float, words: int, recall: float, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """The documents' signatures, and per key: least id (null if all are), n_copies, root of its class, links."""
     depth = prefix_length(threshold, recall=recall)
     signed = kept(signatures(docs, depth, words, id_column, text_column), "signatures")
     distinct = signed.filter(F.size("prefix") > 0).groupBy("key").agg(F.min("id").alias("id"), F.any_value("sig").alias("sig"), F.any_value("prefix").alias("prefix"))
@@ -268,13 +269,46 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     links = checked.groupBy("key").agg(F.sum("links").alias("links"))
     classes = components(checked.filter("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b"))).toDF("key", "root")
     sets = signed.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n_copies")).join(classes, "key", "left").join(links, "key", "left")
-    sets = sets.withColumn("root", F.coalesce("root", "key"))
+    return signed, sets.withColumn("root", F.coalesce("root", "key"))
+
+
+def join_similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per document: id, class_id, n_links, n_copies."""
+    signed, sets = _classes(docs, threshold, words, recall, id_column, text_column)
     named = sets.groupBy("root").agg(F.min("least").alias("class_id"))
     by_key = sets.join(named, "root").select("key", "class_id", F.coalesce("links", F.lit(0)).alias("n_links"), "n_copies")
     return signed.select("id", "key").join(by_key, "key").select(F.col("id").alias(id_column), "class_id", "n_links", "n_copies")
 
 
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", **settings) -> DataFrame:
-    """The documents, all their columns, without those whose class has a smaller id."""
-    gone = join_similar(docs, id_column=id_column, **settings).filter(F.col(id_column) != F.col("class_id")).select(id_column).distinct()
-    return docs.join(gone, id_column, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def _with_keys(rows: DataFrame, words: int) -> DataFrame:
+    """The rows, which have a column ``text``, with the ``key`` of their shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.append_column("key", set_keys(*shingle_sets(pc.fill_null(part.column("text"), ""), words)))
+
+    return small_batches(rows).mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("key", T.BinaryType())]))
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One document, all its columns, of each class: that of least id (nulls last) and, of
+    this id's texts, least key; among repeated rows of both, that of least columns."""
+    signed, sets = _classes(docs, threshold, words, recall, id_column, text_column)
+    least = sets.groupBy("root").agg(F.min(F.struct(F.isnull("least").alias("none"), F.col("least"), F.col("key"))).alias("first"), F.sum("n_copies").alias("rows"))
+    first = sets.select("key", "root").join(least.filter("rows > 1"), "root").select("key", F.col("first.least").alias("first_id"), F.col("first.key").alias("first_key"))
+    rows = signed.groupBy("id", "key").agg(F.count("*").alias("n")).join(first, "key")
+    rows = rows.select(F.col("id").alias("of_id"), F.col("key").alias("of_key"), "n", (F.col("key").eqNullSafe(F.col("first_key")) & F.col("id").eqNullSafe(F.col("first_id"))).alias("stays"))
+    rows = kept(rows.filter("not stays or n > 1"), "class-rows")
+    c = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    named = docs.toDF(*c.values()).withColumn("text", F.col(c[text_column])).drop(c[text_column])
+    keyed = _with_keys(named, words)
+    same = F.col(c[id_column]).eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))
+    out = keyed.join(rows, same, "left_anti").drop("key")
+    repeated = rows.filter("stays")
+    if not repeated.isEmpty():
+        order = [f.name for f in keyed.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+        row = F.struct(*named.columns)
+        again = keyed.join(repeated, same, "left_semi").groupBy(c[id_column], "key").agg(F.min_by(row, F.struct(*order)).alias("row"))
+        out = out.unionByName(again.select("row.*"))
+    return out.select(*[F.col("text" if name == text_column else c[name]).alias(name) for name in docs.columns])

@@ -71,6 +71,22 @@ def test_join_equals_all_pairs(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == {c for i, c, _, _ in brute_force([r for r in rows if r[0] > 3])}
 
 
+def test_one_of_each_with_repeated_rows_and_nulls(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    long = lambda: " ".join(word() for _ in range(80))
+    a, b, c, d, e, f = (long() for _ in range(6))
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a), (1, a), (1, a), (2, near), (2, b), (None, c), (None, c), (None, d), (4, d), (None, a), (5, e), (6, e), (6, e), (7, f), (8, None), (8, None), (None, "")]
+    df = spark.createDataFrame([(i, t, {"k": n}, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, extra map<string, int>, key int").repartition(5)
+    kept = jaccard_join.one_of_each(df)
+    assert kept.schema == df.schema
+    got = kept.collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter([(1, a), (2, b), (None, c), (4, d), (5, e), (7, f), (8, None)])
+    assert all(r.extra == {"k": r.key} and rows[r.key] == (r.doc_id, r.text) for r in got)
+    assert jaccard_join.one_of_each(df.limit(0)).count() == 0
+
+
 def test_recall_sets_the_prefix():
     assert jaccard_join.prefix_length(0.8, recall=0.5) == jaccard_join.DEPTH
     k = jaccard_join.prefix_length(0.8)
