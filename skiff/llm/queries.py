@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skiff.llm import chat, decontaminate, host_rules, jaccard_join, ngram_lm, packing, quality_fm, secrets, token_counts, warc
+from skiff.llm import chat, decontaminate, hard_negatives, host_rules, jaccard_join, ngram_lm, packing, periodic_runs, quality_fm, secrets, segment_search, token_counts, warc
 from skiff.llm.common import remainder, shared_folder
 
 
@@ -71,5 +71,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_similar(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_warc, op4_decontamination, op5_host_rules, op6_best_fit_packing, op7_trie_lm, op8_quality_fm, op9_chat_format, op10_jaccard_join)}
-ORACLE = {"op3_warc": warc.oracle_sql(), "op5_host_rules": host_rules.oracle_sql(), "op9_chat_format": chat.oracle_sql(CONTROL_TURNS.replace("L,", ","))}
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.rewritten(table(spark, sf_dir, "documents"))))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", noisy), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_warc, op4_decontamination, op5_host_rules, op6_best_fit_packing, op7_trie_lm, op8_quality_fm, op9_chat_format, op10_jaccard_join, op11_topk_search, op12_periodic_runs, op13_hard_negatives)}
+ORACLE = {"op3_warc": warc.oracle_sql(), "op5_host_rules": host_rules.oracle_sql(), "op11_topk_search": segment_search.oracle_sql(), "op13_hard_negatives": hard_negatives.oracle_sql(), "op9_chat_format": chat.oracle_sql(CONTROL_TURNS.replace("L,", ","))}
