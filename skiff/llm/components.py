@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skiff.llm.common import kept
+from skiff.llm.common import dropped, kept
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = large.filter("a <> b").distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.col("b").alias("x"), "m").filter("x <> m").unionAll(lower.select(F.col("a").alias("x"), "m"))
-        now = kept(small.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        now, old = kept(small.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "edges"), now
+        dropped(old)
         after = _print(now)
         if after == seen:
             break

@@ -87,6 +87,54 @@ def test_one_of_each_with_repeated_rows_and_nulls(spark):
     assert jaccard_join.one_of_each(df.limit(0)).count() == 0
 
 
+def test_join_equals_all_pairs_with_null_ids_and_many_sizes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)  # bands of sizes, each of several blocks
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    base = [word() for _ in range(260)]
+    texts = [" ".join(base[:n]) for n in range(40, 260, 2) for _ in range(1 + n % 3)]
+    texts += [" ".join(base[:n] + [word()]) for n in range(4, 60)]  # sizes from one shingle on
+    texts += [" ".join(base[9:n]) for n in range(10, 40)]
+    rng.shuffle(texts)
+    rows = [(i if rng.random() < 0.5 else None, t) for i, t in enumerate(texts)]
+    got = jaccard_join.join_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    named = [(i, t) for i, (_, t) in enumerate(rows)]
+    want = {i: (c, n, k) for i, c, n, k in brute_force(named)}
+    ids = collections.defaultdict(list)  # of a class, by the brute force's own number for it
+    for (real, _), (i, _) in zip(rows, named):
+        if real is not None:
+            ids[want[i][0]].append(real)
+    expected = collections.Counter((real, min(ids[want[i][0]], default=None), *want[i][1:]) for (real, _), (i, _) in zip(rows, named))
+    assert collections.Counter(tuple(r) for r in got) == expected
+
+
+def test_a_text_of_a_null_id_is_linked_to_its_near_copy(spark):
+    words = [f"w{i}" for i in range(80)]
+    near = " ".join([*words[:-1], "other"])
+    df = spark.createDataFrame([(1, " ".join(words)), (None, near), (7, "something else")], "doc_id long, text string")
+    assert {tuple(r) for r in jaccard_join.join_similar(df).collect()} == {(1, 1, 1, 1), (None, 1, 1, 1), (7, 7, 0, 1)}
+    assert {r.doc_id for r in jaccard_join.one_of_each(df).collect()} == {1, 7}
+
+
+def test_a_chain_of_texts_is_one_class_of_few_links(spark):
+    n = 5000
+    words = [f"w{i}" for i in range(3 * n + 60)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 60])) for i in range(n)]  # 53 of 59 shingles with the next, 50 of 62 with the one after
+    got = jaccard_join.join_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(i, 0, min(i, 2) + min(n - 1 - i, 2)) for i in range(n)}
+
+
+def test_needed_prefixes_follow_the_sizes():
+    def plain(n):
+        of = [(b / (n + m - b)) for m in range(1, 3 * n + 3) for b in range(0, min(n, m) + 1) if 5 * b >= 4 * (n + m - b) and not (b == n == m)]
+        return min(of, default=2.0)
+
+    for n in range(1, 40):
+        assert jaccard_join.least_similarity(n, 0.8) == pytest.approx(plain(n))
+    need = jaccard_join.needs(0.8)
+    assert (need[:4] == jaccard_join.DEPTH + 1).all() and need[7] == 4 and need[4] == need[-1] == jaccard_join.prefix_length(0.8)
+
+
 def test_recall_sets_the_prefix():
     assert jaccard_join.prefix_length(0.8, recall=0.5) == jaccard_join.DEPTH
     k = jaccard_join.prefix_length(0.8)
@@ -166,7 +214,7 @@ def test_queries_match_their_sql(spark):
     from tools.check_oracle import _digest
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in ORACLE.items():
         df = QUERIES[name](spark, SF)
