@@ -306,12 +306,12 @@ def _verified(threshold: float):
     return run
 
 
-def _sets(rows: DataFrame, words: int) -> DataFrame:
-    """(key, set) of the rows' texts (one column, ``text``)."""
+def _sets(rows: DataFrame, words: int, bloom: Bloom) -> DataFrame:
+    """(key, set) of the texts of rows (hash, text) whose hash may be among ``bloom``'s keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch.filter(pa.array(bloom.has(batch.column("hash").to_numpy()))), "text"):
                 value, first = shingle_sets(part.column("text"), words)
                 own = pa.array([value[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())
                 yield pa.record_batch([set_keys(value, first), own], names=["key", "set"])
@@ -349,8 +349,8 @@ def _classes(docs: DataFrame, threshold: float, words: int, recall: float, id_co
     candidates = kept(candidates.join(reps.select("key", "id", "size"), "key"), "candidates")
     dropped(reps)
     bloom = Bloom(candidates.select(_id_hash("id").alias("hash")))
-    texts = narrow(docs, id_column, text_column).toDF("id", "text").filter(bloom.maybe(_id_hash("id"))).select("text")
-    own = _sets(texts, words).join(places(candidates, threshold), "key")
+    texts = narrow(docs, id_column, text_column).toDF("id", "text").select(_id_hash("id").alias("hash"), "text")
+    own = _sets(texts, words, bloom).join(places(candidates, threshold), "key")
     blocks = in_blocks(own, "n").select("root", "band", "low", "high", "block", "guest", "key", "set")
     checked = blocks.repartition("root", "band", "low", "high").sortWithinPartitions("root", "band", "low", "high", "key").mapInArrow(_verified(threshold), "key binary, root binary, links long")
     checked = kept(checked, "verified")
@@ -368,15 +368,17 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     return signed.join(by_key, "key").select(F.col("id").alias(id_column), "class_id", "n_links", "n_copies")
 
 
-def _with_keys(rows: DataFrame, words: int) -> DataFrame:
-    """The rows, which have a column ``text``, with the ``key`` of their shingles."""
+def _with_keys(rows: DataFrame, hash: Column, words: int, bloom: Bloom) -> DataFrame:
+    """Those of the rows, which have a column ``text``, whose ``hash`` may be among ``bloom``'s keys, with the ``key`` of their shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            own = batch.filter(pa.array(bloom.has(batch.column(batch.num_columns - 1).to_numpy())))
+            for part in slices(own.select(range(own.num_columns - 1)), "text"):
                 yield part.append_column("key", set_keys(*shingle_sets(pc.fill_null(part.column("text"), ""), words)))
 
-    return small_batches(rows).mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("key", T.BinaryType())]))
+    schema = T.StructType([*rows.schema.fields, T.StructField("key", T.BinaryType())])
+    return small_batches(rows).withColumn("hash", hash).mapInArrow(run, schema)
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -392,8 +394,8 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORD
     named = docs.toDF(*c.values()).withColumn("text", F.col(c[text_column])).drop(c[text_column])
     # only rows whose id is among those need their key again
     gone = Bloom(rows.select(_id_hash("of_id").alias("hash")))
-    asked, others = (named.filter(x) for x in (gone.maybe(_id_hash(c[id_column])), ~gone.maybe(_id_hash(c[id_column]))))
-    keyed = _with_keys(asked, words)
+    others = named.filter(~gone.maybe(_id_hash(c[id_column])))
+    keyed = _with_keys(named, _id_hash(c[id_column]), words, gone)
     same = F.col(c[id_column]).eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))
     out = others.unionByName(keyed.join(rows, same, "left_anti").drop("key"))
     repeated = rows.filter("stays")
