@@ -16,7 +16,8 @@ all documents meet all blocks and nothing is shuffled.
 
 Defined cases: null and empty texts match nothing; an item of fewer than
 ``min_match`` words has no seed and contaminates nothing; repeated documents or
-items give one row each; an empty benchmark or corpus gives no rows; ties
+items give one row each, null ids too; a pair of texts of few words many times over
+takes memory in the sum of its lengths; an empty benchmark or corpus gives no rows; ties
 between tiles go to the earliest place in the item, then in the document; extra
 columns are ignored.
 """
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skiff.llm.common import narrow, small_batches
-from skiff.llm.textops import PUNCTUATION, Texts, slices
+from skiff.llm.textops import PUNCTUATION, Texts, mix, slices
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
@@ -46,7 +47,7 @@ _BITS = 22
 class Seeds:
     """One block of the benchmark: its items' words, and all windows sorted by hash."""
 
-    ids: list
+    ids: pa.Array
     words: np.ndarray
     at: np.ndarray
     seed: np.ndarray
@@ -60,7 +61,7 @@ class Seeds:
         return bits
 
 
-def seeds(ids: list, texts: pa.Array, k: int) -> Seeds:
+def seeds(ids: pa.Array, texts: pa.Array, k: int) -> Seeds:
     x = Texts(texts, "unicode", PUNCTUATION)
     h = x.hashes()
     w, inside = x.windows(h, k)
@@ -105,33 +106,153 @@ def tile(hits: np.ndarray, k: int, n_item: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _prefixes(words: np.ndarray) -> np.ndarray:
+    """Running Karp-Rabin hashes of a word sequence: the hash of each beginning of it."""
+    out = np.zeros(len(words) + 1, np.uint64)
+    # in doublings: h(a + b) = h(a) * base^len(b) + h(b)
+    out[1:] = words
+    step = 1
+    while step < len(words):
+        out[1 + step :] += out[1:-step] * _power(step)
+        step *= 2
+    return out
+
+
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(_BASE, n, 1 << 64))
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _rolled(prefix: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every window of ``n`` words."""
+    return mix(prefix[n:] - prefix[:-n] * _power(n))
+
+
+def _free(taken: np.ndarray, n: int) -> np.ndarray:
+    """Whether each window of ``n`` places has no taken one."""
+    c = np.zeros(len(taken) + 1, np.int64)
+    np.cumsum(taken, out=c[1:])
+    return c[n:] == c[:-n]
+
+
+def tile_long(item: np.ndarray, doc: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """The tiles of ``tile``, from the two word sequences and in memory of their lengths:
+    the longest length at which free windows of both have equal running hashes is found by
+    halving, its matches are marked in order of their place in the item, and so on down to ``k``."""
+    sides = _prefixes(item), _prefixes(doc)
+    in_item, in_doc = np.zeros(len(item), bool), np.zeros(len(doc), bool)
+    out = []
+
+    def shared(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the item's windows, and the free places of item and document whose hashes meet."""
+        a, b = (_rolled(p, n) for p in sides)
+        i, d = np.flatnonzero(_free(in_item, n)), np.flatnonzero(_free(in_doc, n))
+        return a, i[np.isin(a[i], b[d])], d
+
+    most = min(len(item), len(doc))
+    while most >= k:
+        if not len(shared(k)[1]):
+            break
+        low, high = k, most
+        while low < high:
+            half = (low + high + 1) // 2
+            low, high = (half, high) if len(shared(half)[1]) else (low, half - 1)
+        a, places, d = shared(low)
+        b = _rolled(sides[1], low)[d]
+        order = np.lexsort((d, b))
+        d, b = d[order], b[order]
+        first = np.searchsorted(b, a[places])
+        spot: dict[int, int] = {}  # of each hash, the first document place that may still be free
+        for i, f in zip(places.tolist(), first.tolist()):
+            if in_item[i : i + low].any():
+                continue
+            j = spot.get(f, f)
+            while j < len(b) and b[j] == a[i] and in_doc[d[j] : d[j] + low].any():
+                j += 1
+            spot[f] = j
+            if j < len(b) and b[j] == a[i]:
+                at = int(d[j])
+                out.append((i, at, low))
+                in_item[i : i + low] = True
+                in_doc[at : at + low] = True
+        most = low - 1
+    return out
+
+
+#: Seed hits of a slice that are listed at once; a document with more is matched by ``tile_long``.
+HITS = 1 << 20
+
+
 def matches(block: Seeds, bits: np.ndarray, texts: pa.Array, threshold: float) -> Iterator[tuple[int, int, int, int, list[tuple[int, int, int]]]]:
     """(row, item, its words, covered words, tiles) of each contaminated pair."""
     x = Texts(texts, "unicode", PUNCTUATION)
-    w, inside = x.windows(x.hashes(), block.k)
+    h = x.hashes()
+    w, inside = x.windows(h, block.k)
     at = np.flatnonzero(bits[(w & np.uint64((1 << _BITS) - 1)).astype(np.int64)] & inside)
     lo, hi = np.searchsorted(block.seed, w[at], "left"), np.searchsorted(block.seed, w[at], "right")
     n = hi - lo
     at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-    if not len(at):
-        return
+    doc = x.doc[at]
+    cut = np.flatnonzero(np.diff(doc, prepend=-1, append=-1))  # first hit of each document, and the end
+    hits = np.concatenate([[0], np.cumsum(n)])
+    a = 0
+    while a + 1 < len(cut):
+        if hits[cut[a + 1]] - hits[cut[a]] > HITS:
+            own = slice(cut[a], cut[a + 1])
+            yield from _heavy(block, h[x.at[doc[cut[a]]] : x.at[doc[cut[a]] + 1]], int(doc[cut[a]]), lo[own], n[own], threshold)
+            a += 1
+            continue
+        b = a + 1
+        while b + 1 < len(cut) and hits[cut[b + 1]] - hits[cut[a]] <= HITS:
+            b += 1
+        own = slice(cut[a], cut[b])
+        yield from _listed(block, doc[own], at[own] - x.at[doc[own]], lo[own], n[own], threshold)
+        a = b
+
+
+def _reach(places: np.ndarray, k: int, words: int) -> int:
+    """Words of the item in any seed hit: no tiling covers more."""
+    edge = np.zeros(words + 1, np.int64)
+    np.add.at(edge, places, 1)
+    np.add.at(edge, places + k, -1)
+    return np.count_nonzero(np.cumsum(edge)[:words])
+
+
+def _listed(block: Seeds, doc: np.ndarray, spot: np.ndarray, lo: np.ndarray, n: np.ndarray, threshold: float) -> Iterator[tuple]:
+    """Documents whose hits are listed: each (place in document, place in item) of equal windows."""
     where = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    row, item = np.repeat(x.doc[at], n), block.item[where]
-    spot = np.repeat(at - x.at[x.doc[at]], n)
+    row, item, spot = np.repeat(doc, n), block.item[where], np.repeat(spot, n)
     order = np.lexsort((spot, item, row))
     row, item, pairs = row[order], item[order], np.stack([spot, block.place[where]], axis=1)[order]
     cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])]))
     for a, b in zip(cut, [*cut[1:], len(row)]):
         words = int(block.at[item[a] + 1] - block.at[item[a]])
-        reach = np.zeros(words + 1, np.int64)  # words of the item in any seed hit: no tiling covers more
-        np.add.at(reach, pairs[a:b, 1], 1)
-        np.add.at(reach, pairs[a:b, 1] + block.k, -1)
-        if np.count_nonzero(np.cumsum(reach)[:words]) < threshold * words:
-            continue
-        tiles = tile(pairs[a:b], block.k, words)
-        covered = sum(t[2] for t in tiles)
-        if covered >= threshold * words:
-            yield int(row[a]), int(item[a]), words, covered, tiles
+        if _reach(pairs[a:b, 1], block.k, words) >= threshold * words:
+            tiles = tile(pairs[a:b], block.k, words)
+            covered = sum(t[2] for t in tiles)
+            if covered >= threshold * words:
+                yield int(row[a]), int(item[a]), words, covered, tiles
+
+
+def _heavy(block: Seeds, doc: np.ndarray, row: int, lo: np.ndarray, n: np.ndarray, threshold: float) -> Iterator[tuple]:
+    """A document whose windows repeat so often that its hits would grow as a product of lengths:
+    each different window is looked up once, and items that it may cover are tiled by running hashes."""
+    lo, first = np.unique(lo, return_index=True)
+    n = n[first]
+    where = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    item, place = block.item[where], block.place[where]
+    order = np.argsort(item, kind="stable")
+    item, place = item[order], place[order]
+    cut = np.flatnonzero(np.diff(item, prepend=-1, append=-1))
+    for a, b in zip(cut[:-1], cut[1:]):
+        start, end = (int(v) for v in block.at[item[a] : item[a] + 2])
+        if _reach(place[a:b], block.k, end - start) >= threshold * (end - start):
+            tiles = tile_long(block.words[start:end], doc, block.k)
+            covered = sum(t[2] for t in tiles)
+            if covered >= threshold * (end - start):
+                yield row, int(item[a]), end - start, covered, tiles
 
 
 def blocks(benchmark: DataFrame, k: int, block_bytes: int, id_column: str, text_column: str) -> Iterator[Seeds]:
@@ -141,7 +262,7 @@ def blocks(benchmark: DataFrame, k: int, block_bytes: int, id_column: str, text_
     for b in range(n if total else 0):
         own = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b).toArrow().combine_chunks()
         if own.num_rows:
-            yield seeds(own["id"].to_pylist(), pa.concat_arrays(own["text"].chunks), k)
+            yield seeds(pa.concat_arrays(own["id"].chunks), pa.concat_arrays(own["text"].chunks), k)
 
 
 def _over(docs: DataFrame, block: Seeds, threshold: float, schema, emit: Callable) -> DataFrame:
@@ -170,7 +291,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
         return pa.record_batch(
             [
                 part.column("id").take(pa.array([g[0] for g in got], pa.int64())),
-                pa.array([block.ids[g[1]] for g in got], _arrow(kinds[1])),
+                block.ids.take(pa.array([g[1] for g in got], pa.int64())),
                 pa.array([g[2] for g in got], pa.int64()),
                 pa.array([g[3] for g in got], pa.int64()),
                 pa.array([g[3] / g[2] for g in got], pa.float64()),
@@ -188,10 +309,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
     return out.withColumnsRenamed({"id": id_column, "item": item_column})
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """The documents (all their columns) that no benchmark item contaminates; blocks filter one after another."""
     out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

@@ -1,6 +1,6 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A text that could hold a secret (a digit, a private-key header) is searched for
+A text that could hold a secret (a digit, a header, a known prefix, a name and a sign) is searched for
 candidates: values assigned to secret-like names, tokens with known prefixes,
 key blocks, and long mixed tokens.  Each candidate becomes ``FEATURES`` numbers:
 length, character classes, entropy, how likely its character transitions are in
@@ -16,7 +16,8 @@ and numbers.  The dictionary is the letters-only pieces of a public vocabulary;
 it and the forest are of fixed size, and are all that is broadcast.
 
 Scanning is one pass without a shuffle; a text is scanned whole, and a candidate
-is as long as its pattern goes on (possessive repeats, so time is linear).  Defined cases:
+is as long as its pattern goes on (possessive repeats, so time is linear); long values are
+judged as a whole and by overlapping windows.  Defined cases (null ids are ids like any other):
 null and empty texts have no findings; all candidates are scored, overlapping
 ones too, and kept ones that overlap are one finding, from the first's start to
 the last's end, of the best one's kind and score; repeated rows are reported each; a null path is an
@@ -49,13 +50,15 @@ _PATTERNS = {
     "key_block": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\\\s]{16,}+-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
     "prefix": r"\b(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{22,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[\w-]{35}|glpat-[\w-]{20,}|npm_[A-Za-z0-9]{36}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]+)",
     "assigned": rf"(?i:\b[\w.-]{{0,40}}{_NAME}[\w.-]{{0,20}}[\"']?\s{{0,4}}(?:=>|:=|=|:)\s{{0,4}}[\"'`]?)",
-    "mixed": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,60}[0-9])(?=[0-9+/_-]{0,60}[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}",
+    "mixed": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}",
 }
 _CANDIDATE = {k: re.compile(v) for k, v in _PATTERNS.items()}
 #: What the name and sign of ``assigned`` are followed by.
 _VALUE = re.compile(r"[^\s\"'`,;()<>]++")
 LEAST_VALUE = 8
-_MAYBE = r"[0-9]|PRIVATE KEY|(?i:" + _NAME + r")[^\n]{0,24}[=:]"
+#: What a text has that holds any candidate: a digit, a header, a known prefix, or a name and a sign.
+_MAYBE = r"[0-9]|PRIVATE KEY|AKIA|ASIA|gh[pousr]_|github_pat_|xox[abprs]-|[sr]k_(?:live|test)_|AIza|glpat-|npm_|eyJ|(?i:" + _NAME + r")(?s:.{0,25})[=:]"
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 _BENIGN = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxx|test|fake|redacted|todo|sha-?1|sha-?256|md5|checksum|digest|commit|hash|uuid|guid|revision|version|build|etag|integrity|image|cookie_id|serial|isbn|doi")
 _SECRETIVE = re.compile(rf"(?i){_NAME}|login|auth|key\b")
 _HEX = re.compile(r"[0-9a-fA-F]+")
@@ -72,7 +75,7 @@ class Finding:
     path: str
     kind: str
     label: int = 0
-    size: int = 0  # of the whole value, where ``value`` is its head
+    size: int = 0  # of the whole value or window, where ``value`` is its head
 
 
 class Words:
@@ -119,8 +122,9 @@ class Words:
 
 
 FEATURES = 28
-#: Characters of a value that its features but the length are taken from.
-HEAD = 400
+#: Characters of a value that its features as a whole, but the length, are taken from; values
+#: of more than ``LONG`` are judged by all their windows too.
+HEAD, LONG, WINDOW, STRIDE = 400, 128, 64, 32
 
 
 def features(f: Finding, words: Words) -> list[float]:
@@ -160,14 +164,28 @@ def _spans(text: str) -> dict[tuple[int, int], str]:
         if end - start >= LEAST_VALUE:
             out.setdefault((start, end), "assigned")
     for m in _CANDIDATE["mixed"].finditer(text):
-        out.setdefault(m.span(), "mixed")
+        if _DIGIT.search(text, *m.span()) and _LETTER.search(text, *m.span()):
+            out.setdefault(m.span(), "mixed")
     return out
 
 
-def candidates(text: str, path: str = "") -> Iterator[tuple[int, Finding]]:
-    """Place and finding of each candidate in a text; of a long value the finding holds the head."""
-    for (start, end), kind in sorted(_spans(text).items()):
-        yield start, Finding(text[start : min(end, start + HEAD)], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT], path, kind, size=end - start)
+def windows(size: int) -> Iterator[tuple[int, int]]:
+    """Overlapping windows over the whole of a long value; the last one ends with it."""
+    for at in range(0, size - WINDOW + STRIDE, STRIDE):
+        yield min(at, size - WINDOW), min(at + WINDOW, size)
+
+
+def candidates(text: str, path: str = "") -> list[tuple[int, Finding]]:
+    """Place and finding of each candidate in a text, by place.  A value of more than ``LONG``
+    characters is a candidate as a whole, by its head, and so is each window of it, in the
+    whole value's context: a key behind a long path isn't judged by the path."""
+    out = []
+    for (start, end), kind in _spans(text).items():
+        before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+        out.append((start, Finding(text[start : min(end, start + HEAD)], before, after, path, kind, size=end - start)))
+        if end - start > LONG and kind != "key_block":
+            out += [(start + a, Finding(text[start + a : start + b], before, after, path, kind, size=b - a)) for a, b in windows(end - start)]
+    return sorted(out, key=lambda c: (c[0], c[1].size))
 
 
 def labelled_findings(n: int = 6000, seed: int = 5) -> list[Finding]:

@@ -4,14 +4,16 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from skiff.llm import decontaminate, elias_fano, ngram_lm, quality_fm, secrets
+from skiff.llm import decontaminate, elias_fano, forest, ngram_lm, quality_fm, secrets, textops
 from skiff.llm.textops import Texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -119,7 +121,9 @@ def greedy(doc, item, k):
         covered += n
 
 
-def test_tiling_equals_brute_force(spark):
+@pytest.mark.parametrize("hits", [decontaminate.HITS, 20])
+def test_tiling_equals_brute_force(spark, monkeypatch, hits):
+    monkeypatch.setattr(decontaminate, "HITS", hits)  # 20: nearly all documents by running hashes
     rng = random.Random(5)
     words = lambda n: [rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(n)]
     items = [words(rng.randint(2, 30)) for _ in range(12)]
@@ -145,6 +149,97 @@ def test_tiling_equals_brute_force(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_tiles_by_running_hashes_equal_those_of_listed_hits():
+    rng = np.random.default_rng(8)
+    for n in range(400):
+        letters = int(rng.integers(1, 5))
+        item, doc = (textops.mix(rng.integers(0, letters, rng.integers(1, 60)).astype(np.uint64)) for _ in range(2))
+        k = int(rng.integers(1, 6))
+        hits = np.array([(d, i) for d in range(len(doc) - k + 1) for i in range(len(item) - k + 1) if (doc[d : d + k] == item[i : i + k]).all()], np.int64).reshape(-1, 2)
+        assert decontaminate.tile_long(item, doc, k) == (decontaminate.tile(hits, k, len(item)) if len(hits) else [])
+
+
+def test_repeated_words_take_memory_in_the_sum_of_the_lengths():
+    block = decontaminate.seeds(pa.array([1, 2]), pa.array(["same " * 2000, "a b c d e " * 300]), 5)
+    texts = pa.array(["same " * 20_000, "a b c d e " * 3000 + "same " * 3000, "nothing"])
+    tracemalloc.start()
+    got = [g[:4] for g in decontaminate.matches(block, block.table(), texts, 0.5)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(0, 0, 2000, 2000), (1, 0, 2000, 2000), (1, 1, 1500, 1500)] and peak < 100e6
+
+
+def test_contamination_of_repeated_rows_null_ids_and_other_id_types(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (None, "other words"), (2, None)], "doc_id int, text string")
+    for kind in ("smallint", "date", "decimal(10,2)", "string", "bigint"):
+        value = "date'2020-01-01'" if kind == "date" else f"cast(7 as {kind})"
+        bench = spark.createDataFrame([(text,), (text,)], "text string").selectExpr(f"{value} as item_id", "text").unionAll(spark.sql(f"select cast(null as {kind}) as item_id, '{text}' as text"))
+        got = decontaminate.contaminated(docs, bench)
+        assert got.schema["item_id"].dataType.simpleString() == kind and got.count() == 9 and got.filter("item_id is null").count() == 3
+        assert got.filter("doc_id is null and covered_words = 30").count() == 3
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).orderBy(F.col("doc_id").asc_nulls_first()).collect()] == [None, 2]
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def test_secrets_of_odd_shapes_are_found(spark):
+    rng = random.Random(4)
+    draw = lambda n, of=LETTERS + LETTERS.upper(): "".join(rng.choice(of) for _ in range(n))
+    scanner = secrets.train(secrets.labelled_findings(), public_tokenizers.path("word_bpe_49k.json"))
+    slack, late, key = "xoxb-" + draw(30), draw(70) + draw(60, LETTERS + "0123456789"), draw(60, LETTERS.upper() + LETTERS + "0123456789")
+    path = "/".join("".join(rng.choice("an er on the in re st ti es".split()) for _ in range(3)) for _ in range(130))[:720]
+    texts = [f"use the key {slack} now", f"see {late} there", f"token={path}/1{key}", f"see https://{path}/2/{path} end", f'token = \n"{draw(40)}"', "gh" + draw(10)]
+    docs = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    red = {r.doc_id: r.text for r in secrets.redact(docs, scanner).collect()}
+    assert red[None] == "use the key [SECRET] now" and red[1] == "see [SECRET] there" and red[4] == 'token = \n"[SECRET]"'
+    assert red[2].endswith("[SECRET]") and red[2].startswith(f"token={path[:600]}") and key[8:] not in red[2]
+    assert red[3] == texts[3] and red[5] == texts[5]
+
+
+def test_candidates_equal_a_scan_by_character():
+    """Mixed tokens and assigned values found without regular expressions."""
+    rng = random.Random(6)
+    token = LETTERS + LETTERS.upper() + "0123456789+/_-"
+    names = ["token", "api_key", "PASSWORD", "my.client-secret", "tokens", "word"]
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            run = "".join(rng.choice(rng.choice([LETTERS, "0123456789", token])) for _ in range(rng.choice([3, 19, 20, 33, 150])))
+            parts += [rng.choice(["", rng.choice(names) + rng.choice(["=", ": ", ' := "', "' => `", " "])]), run, rng.choice(["", "=", "===", " ", ", ", "é", '"'])]
+        text = "".join(parts)
+        mixed, i = set(), 0
+        while i < len(text):
+            j = i
+            while j < len(text) and text[j] in token:
+                j += 1
+            if j - i >= 20 and (i == 0 or text[i - 1] != "="):
+                end = j + min(2, len(text[j:]) - len(text[j:].lstrip("=")))
+                if any(c.isdigit() for c in text[i:end]) and any(c.isalpha() for c in text[i:end]):
+                    mixed.add((i, end))
+            i = max(j, i + 1)
+        got = secrets._spans(text)
+        assert mixed <= set(got) and {s for s, kind in got.items() if kind == "mixed"} <= mixed
+        for (a, b), kind in got.items():
+            if kind == "assigned":
+                head = text[:a].rstrip("\"'`").rstrip()
+                assert head[-1] in "=:>" and b - a >= 8 and not set(text[a:b]) & set(" \"'`,;()<>") and (b == len(text) or text[b] in " \"'`,;()<>")
+
+
+def test_forest_scores_equal_a_walk_down_each_tree():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 6)).astype(np.float32)
+    trees = forest.grow(x, (x[:, 0] + x[:, 1] > 0).astype(float), trees=7, depth=5)
+
+    def walk(t, row, node=0):
+        f = trees.feature[t, node]
+        return trees.value[t, node] if f < 0 else walk(t, row, 2 * node + (1 if row[f] <= trees.cut[t, node] else 2))
+
+    plain = [np.mean([walk(t, row) for t in range(7)]) for row in x]
+    assert np.allclose(trees.score(x), plain) and ((trees.score(x) > 0.5) == (x[:, 0] + x[:, 1] > 0)).mean() > 0.9
+
+
 def test_secrets_held_out_and_redacted(spark):
     scanner = secrets.train(secrets.labelled_findings(), public_tokenizers.path("word_bpe_49k.json"))
     other = secrets.labelled_findings(2000, seed=77)
