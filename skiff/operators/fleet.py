@@ -59,30 +59,72 @@ def sticky_states(obs: DataFrame, width: float = 86400.0) -> DataFrame:
     return s.select("run_id", "node", "attempt", "t", "event_id", state.alias("state"), event.alias("transition"))
 
 
-def elect_masters(timeline: DataFrame) -> DataFrame:
+def _handed_on(epochs: list[tuple[set[int], set[int]]]) -> tuple[dict[int, int | None], int | None]:
+    """What a stretch of epochs (members, members of the epoch before) makes of the
+    master that comes in: the master after it by each member of the first epoch, and
+    by anyone else.  Epochs are composed last to first: a member stays what it is
+    while it is one, and otherwise turns into that epoch's choice."""
+    after: dict[int, int | None] = {}
+    other: int | None = None
+    for k, (now, before) in enumerate(reversed(epochs)):
+        chosen = min(now & before or now, default=None)
+        out = (lambda m: m) if k == 0 else (lambda m, a=after, o=other: a.get(m, o))
+        after, other = {m: out(m) for m in now}, out(chosen)
+    return after, other
+
+
+def elect_masters(timeline: DataFrame, width: float = 86400.0) -> DataFrame:
     """WN-28: the sticky master over a run's epochs: keep the current master
     while it is a member, else the lowest survivor of the previous epoch,
-    else the lowest member.  Each choice needs the one before, so runs are
-    streamed in epoch order; a task holds one batch and the run's last epoch."""
-
-    def run(batches):
-        import pandas as pd
-
-        of, master, prev = None, None, set()
+    else the lowest member.
+
+    Each choice needs the one before, but a stretch of epochs is a map from the
+    master that comes in to the one that goes out, of as many entries as its first
+    epoch has members.  Maps of all (run, bucket of ``width`` seconds) are made at
+    once, composed along a run's buckets (a row a bucket), and with the master that
+    comes in known every bucket's epochs are walked at once too."""
+    import pandas as pd
+
+    keys = ["run_id", "__b"]
+    rows = timeline.select("run_id", "t", "event_id", "epoch", F.coalesce("members", F.array().cast("array<int>")).cast("array<int>").alias("members"))
+    rows = scan(rows, ["run_id"], "t", ["event_id", "epoch"], width=width, prevs={"before": F.col("members")})
+    rows = rows.withColumn("__b", F.floor(F.col("t") / width).cast("long"))
+
+    def epochs(part: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[set[int], set[int]]]]:
+        part = part.sort_values(["t", "event_id", "epoch"], kind="stable")
+        of = lambda v: set() if v is None else {int(m) for m in v}
+        return part, [(of(n), of(p)) for n, p in zip(part["members"], part["before"])]
+
+    def mapped(part: pd.DataFrame) -> pd.DataFrame:
+        part, own = epochs(part)
+        after, other = _handed_on(own)
+        first = part.iloc[0]
+        return pd.DataFrame({"run_id": [first["run_id"]], "__b": [first["__b"]], "given": [list(after)], "taken": [list(after.values())], "other": pd.array([other], "Int32")})
+
+    def along(batches):
+        of, master = None, None
         for b in batches:
-            masters = []
-            for run_id, members in zip(b["run_id"], b["members"]):
+            incoming = []
+            for run_id, given, taken, other in zip(b["run_id"], b["given"], b["taken"], b["other"]):
                 if run_id != of:
-                    of, master, prev = run_id, None, set()
-                now = {int(m) for m in members} if members is not None else set()
-                if master not in now:
-                    master = min(now & prev or now, default=None)
-                masters.append(master)
-                prev = now
-            yield pd.DataFrame({"run_id": b["run_id"], "t": b["t"], "epoch": b["epoch"], "master": pd.array(masters, "Int32")})
-
-    rows = timeline.select("run_id", "t", "event_id", "epoch", "members").repartition("run_id").sortWithinPartitions("run_id", "t", "event_id", "epoch")
-    return rows.mapInPandas(run, "run_id string, t double, epoch int, master int")
+                    of, master = run_id, None
+                incoming.append(master)
+                master = dict(zip(given, taken)).get(master, None if pd.isna(other) else int(other))
+            yield pd.DataFrame({"run_id": b["run_id"], "__b": b["__b"], "incoming": pd.array(incoming, "Int32")})
+
+    def walked(part: pd.DataFrame) -> pd.DataFrame:
+        part, own = epochs(part)
+        master = part["incoming"].iloc[0]
+        master, masters = None if pd.isna(master) else int(master), []
+        for now, before in own:
+            if master not in now:
+                master = min(now & before or now, default=None)
+            masters.append(master)
+        return pd.DataFrame({"run_id": part["run_id"], "t": part["t"], "epoch": part["epoch"], "master": pd.array(masters, "Int32")})
+
+    maps = rows.groupBy(*keys).applyInPandas(mapped, "run_id string, __b long, given array<int>, taken array<int>, other int")
+    incoming = maps.repartition("run_id").sortWithinPartitions(*keys).mapInPandas(along, "run_id string, __b long, incoming int")
+    return rows.join(incoming, keys).groupBy(*keys).applyInPandas(walked, "run_id string, t double, epoch int, master int")
 
 
 def stall_clock(ticks: DataFrame, timeline: DataFrame, width: float = 86400.0) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skiff.functions.percentile import median
-from skiff.operators.scan import flag_runs
+from skiff.operators.scan import flag_runs, scan
 
 POOL = ["region", "az_id", "instance_type"]
 
@@ -265,27 +265,46 @@ def az_names(az_map: DataFrame) -> DataFrame:
     )
 
 
-def band_join(
+def near_max(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
     window_s: float,
+    id_column: str,
+    value: str,
     left_t: str = "t",
     right_t: str = "t",
+    fine: int = 64,
 ) -> DataFrame:
-    """Tolerance join: pairs with equal ``keys`` and ``|t_l - t_r| <= window_s``.
-
-    An equi-join on ``(keys, floor(t / window))`` where the left side is
-    replicated into the neighbouring buckets (3 copies) and the residual
-    distance is checked exactly, so no key ever becomes one giant partition
-    and no all-pairs product is formed."""
+    """Tolerance look-up: per left row (``id_column``) the greatest ``value`` among the
+    right rows of equal ``keys`` with ``|t_l - t_r| <= window_s``; left rows
+    without any are left out.
+
+    Time is cut into blocks of ``window_s``.  The window of a left row at ``t`` is
+    the end of the block before its own from ``t - window_s`` on, its own block and
+    the beginning of the next up to ``t + window_s``: one suffix maximum and two
+    prefix maxima of blocks.  A left row therefore becomes three marks among the
+    right rows, and two scans inside (keys, block) give them their maxima; no pair
+    of a left and a right row is formed.  The scans bucket a block once more, in
+    ``fine`` parts, so a dense block isn't one task."""
     w = float(window_s)
-    lb = left.withColumn("__lb", F.floor(F.col(left_t) / w).cast("long"))
-    lb = lb.withColumn("__jb", F.explode(F.array(F.col("__lb") - 1, F.col("__lb"), F.col("__lb") + 1)))
-    rb = right.withColumn("__jb", F.floor(F.col(right_t) / w).cast("long"))
-    cond = [lb[k] == rb[k] for k in keys] + [lb["__jb"] == rb["__jb"]]
-    j = lb.join(rb, on=cond, how="inner")
-    return j.filter(F.abs(lb[left_t] - rb[right_t]) <= w)
+    block = F.floor(F.col(left_t) / w).cast("long")
+    value_type = right.schema[value].dataType
+
+    def marks(at, own, order: int) -> DataFrame:
+        return left.select(*keys, F.col(id_column).alias("__id"), own.cast("long").alias("__blk"), at.cast("double").alias("__t"), F.lit(order).alias("__o"), F.lit(None).cast(value_type).alias("__v"))
+
+    rows = right.select(*keys, F.lit(None).cast(left.schema[id_column].dataType).alias("__id"), F.floor(F.col(right_t) / w).cast("long").alias("__blk"), F.col(right_t).cast("double").alias("__t"), F.lit(0).alias("__o"), F.col(value).alias("__v"))
+    t = F.col(left_t)
+    # at equal times rows come first: the window is closed at both ends
+    ahead = rows.unionByName(marks((block + 1) * w, block, 1)).unionByName(marks(t + w, block + 1, 1))
+    behind = rows.withColumn("__t", -F.col("__t")).unionByName(marks(w - t, block - 1, 1))
+    found = None
+    for side in (ahead, behind):
+        s = scan(side, [*keys, "__blk"], "__t", ["__o"], width=w / fine, maxes={"__m": "__v"})
+        s = s.filter("__o = 1 AND __m IS NOT NULL").select(F.col("__id").alias(id_column), F.col("__m").alias(value))
+        found = s if found is None else found.unionByName(s)
+    return found.groupBy(id_column).agg(F.max(value).alias(value))
 
 
 def calibration(sps: DataFrame, probes: DataFrame, az_map: DataFrame, window_s: float = 900.0) -> DataFrame:
@@ -311,12 +330,8 @@ def calibration(sps: DataFrame, probes: DataFrame, az_map: DataFrame, window_s:
         F.col("region").alias("s_region"), F.col("instance_type").alias("s_type"),
         F.coalesce(F.col("az"), F.lit("?")).alias("s_az"),
     )
-    near = band_join(p.select("event_id", "t", "s_region", "s_type"), scored, ["s_region", "s_type"], window_s, "t", "s_t")
-    region_score = near.groupBy("event_id").agg(F.max("score").alias("region_score"))
-    az_near = band_join(
-        p.select("event_id", "t", "s_region", "s_type", "s_az"), az_scored, ["s_region", "s_type", "s_az"], window_s, "t", "s_t"
-    )
-    az_score = az_near.groupBy("event_id").agg(F.max("score").alias("az_score"))
+    region_score = near_max(p, scored, ["s_region", "s_type"], window_s, "event_id", "score", "t", "s_t").withColumnRenamed("score", "region_score")
+    az_score = near_max(p, az_scored, ["s_region", "s_type", "s_az"], window_s, "event_id", "score", "t", "s_t").withColumnRenamed("score", "az_score")
     return (
         p.join(region_score, on="event_id", how="left")
         .join(az_score, on="event_id", how="left")
