@@ -88,7 +88,26 @@ def q_appended(spark, sf):
     return spark.read.parquet(root).groupBy(F.col("date").cast("string").alias("date"), "region").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 
 
+def q_log_tail(spark, sf):
+    """Step lines followed through three batches of writing; the query is stopped and restarted between them."""
+    from skiff.plans import files as P
+    from skiff.sources import files as R
+
+    logs, out, log = _new(spark, "logs"), _new(spark, "stream-out"), _new(spark, "stream-log")
+    lines = P._lines(spark, sf, P._STEP).select(F.concat_ws("|", "run_id", "node", "attempt", "line").alias("value"), F.col("seq"))
+    types = D.events_base(spark, sf).select(F.col("event_id").alias("seq"), "event_type")
+    lines = lines.join(types, "seq")
+    for some in ("event_type = 'view'", "event_type = 'click'", "event_type NOT IN ('view', 'click')"):
+        lines.filter(some).select("value").write.mode("append").text(logs)
+        tail = L.log_tail(spark, logs).withColumn("p", F.split("line", r"\|", 4))
+        tail = tail.select(F.col("p")[0].alias("run_id"), F.col("p")[1].cast("int").alias("node"), F.col("p")[2].cast("int").alias("attempt"), F.col("p")[3].alias("line"), "file_path", F.lit(0).alias("block_start"), F.col("position").alias("seq"))
+        steps = R.step_lines(tail)
+        steps.writeStream.option("checkpointLocation", log).trigger(availableNow=True).format("parquet").option("path", out).start().awaitTermination()
+    return spark.read.schema(steps.schema).parquet(out).select("run_id", "node", "attempt", "step", F.round("loss", 4).alias("loss"), "ms", "tok_s", "ws", "t")
+
+
 QUERIES = {
+    "stream_log_tail": q_log_tail,
     "stream_tick_dedup": q_dedup,
     "stream_tick_sessions": q_sessions,
     "stream_per_second": q_per_second,
@@ -100,7 +119,11 @@ QUERIES = {
     "stream_appended": q_appended,
 }
 
+_EVENT_KEY = "'run-' || user_id % 12 AS run_id, (user_id // 12) % 8 AS node, user_id // 96 AS attempt"
+
 ORACLE = {
+    "stream_log_tail": with_views(f"""SELECT {_EVENT_KEY}, event_id AS step, round((k // 10) + (k % 10) / 10.0 + (user_id % 1000) / 10000.0, 4) AS loss, k + 5 AS ms, user_id + 1 AS tok_s, k % 8 + 1 AS ws,
+        (t_us // 1000000) + 0.5::DOUBLE AS t FROM ev""", "ev"),
     "stream_tick_dedup": with_views("SELECT DISTINCT run_id, floor(t / 600) AS updated_at FROM ticks", "ticks"),
     "stream_tick_sessions": with_views("""SELECT run_id, (min(s) * 1000000)::BIGINT AS start_us, (max(s) * 1000000)::BIGINT + 1200000000 AS end_us, count(*) AS ticks FROM (
         SELECT *, sum((p IS NULL OR s - p >= 1200)::INT) OVER (PARTITION BY run_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM (

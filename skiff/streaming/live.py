@@ -273,21 +273,25 @@ def hourly_best(sps: DataFrame, threshold: float, watermark: str = "2 hours") ->
                     (F.size("__good") / F.size("__all")).alias("p_good"), "max_best")
 
 
+def log_tail(spark: SparkSession, path: str, **options) -> DataFrame:
+    """SRC-19: the new lines (file_path, position, line, written) of growing logs, see ``sources/tail.py``."""
+    from skiff.sources.tail import LogTail
+
+    spark.dataSource.register(LogTail)
+    return spark.readStream.format("log_tail").options(path=path, **options).load()
+
+
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-19: new bytes of growing logs as a file stream.  A file source
-    reads each finished file once, so producers roll their logs (one file
-    per segment); offsets live in the stream checkpoint.  ``event_time`` is the
-    line's clock, or for older lines the time the segment was written."""
+    """SRC-19: step lines of growing boot logs, each new line once.  ``event_time`` is the
+    line's clock, or for older lines the time the file was last written to."""
     from skiff.sources import files as S
 
-    d = spark.readStream.text(path).select(
-        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_modification_time").alias("written"),
-    )
+    d = log_tail(spark, path)
+    name = F.element_at(F.split("file_path", "/"), -1)
     d = d.withColumn("run_id", F.regexp_extract("file_path", r"runs/([^/]+)/", 1)).withColumn(
-        "node", F.regexp_extract("file_name", S.NODE_RE, 1).cast("int")).withColumn(
-        "attempt", F.coalesce(F.nullif(F.regexp_extract("file_name", S.NODE_RE, 2), F.lit("")).cast("int"), F.lit(0)))
+        "node", F.regexp_extract(name, S.NODE_RE, 1).cast("int")).withColumn(
+        "attempt", F.coalesce(F.nullif(F.regexp_extract(name, S.NODE_RE, 2), F.lit("")).cast("int"), F.lit(0)))
     m = d.filter(F.col("line").rlike(S.STEP_RE_OLD))
     clock = F.timestamp_seconds(F.nullif(F.regexp_extract("line", r", t ([0-9.]+)", 1), F.lit("")).cast("double"))
-    return m.select("run_id", "node", "attempt", F.coalesce(clock, F.col("written")).alias("event_time"),
+    return m.select("run_id", "node", "attempt", F.coalesce(clock, F.timestamp_seconds("written")).alias("event_time"),
                     *S._extract("line", S.STEP_RE_OLD, {"step": (1, "long"), "loss": (2, "double"), "ms": (3, "int"), "tok_s": (4, "int"), "ws": (5, "int")}))
