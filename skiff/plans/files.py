@@ -104,7 +104,9 @@ def q_status_ticks(spark, sf):
 
 def q_merged_ticks(spark, sf):
     t = D.tick_docs(spark, sf).select("run_id", F.floor("t").alias("updated_at"), "t", "ckpt_step", "event_id")
-    both = R.merge_ticks(t.filter("event_id % 3 = 0").drop("event_id"), t.filter("event_id % 2 = 0").withColumn("t", F.col("t") + 0.5).drop("event_id"))
+    # a third of the ticks is only in the durable objects, a third only polled, the others are both
+    durable, polled = t.filter("event_id % 3 <> 1"), t.filter("event_id % 3 <> 0").withColumn("t", F.col("t") + 0.5)
+    both = R.merge_ticks(durable.drop("event_id"), polled.drop("event_id"))
     return both.select("run_id", "updated_at", "t", "ckpt_step")
 
 
@@ -118,9 +120,14 @@ def q_run_facts(spark, sf):
     return R.run_facts(lines).select("run_id", "N_LAYER", "N_HEAD", "N_EMBD", "params_m", "params_exact", "model")
 
 
+#: Entries of a nested document that the queries below write.
+DOC_EVENTS = 500
+
+
 def q_profiles(spark, sf):
-    """SNK-05 writes one document per run, SRC-09 reads them back."""
-    ev = D.events_base(spark, sf).selectExpr(f"{_RUN} as run_id", "event_id", "event_type", "t", "k", "user_id")
+    """SNK-05 writes one document per run, SRC-09 reads them back; a run has up to ``DOC_EVENTS``
+    events, so documents grow in number with the table, not in size."""
+    ev = D.events_base(spark, sf).selectExpr(f"concat('run-', event_id div {DOC_EVENTS}) as run_id", "event_id", "event_type", "t", "k", "user_id")
     runs = ev.select("run_id").distinct().withColumn("kind", F.lit("spot"))
     seg = ev.filter("event_type = 'view'").selectExpr("run_id", "t as start", "concat('p', k % 5) as phase", "cast(k as double) as seconds")
     events = ev.filter("event_type = 'click'").selectExpr("run_id", "event_type as event", "t as t_wall", "t as t_rel")
@@ -136,7 +143,8 @@ def q_profiles(spark, sf):
 
 
 def q_text_samples(spark, sf):
-    c = table(spark, sf, "conversations").filter("turn % 2 = 1").selectExpr("concat('run-', conv_id % 12) as run_id", "conv_id % 4 as step", "conv_id", "turn", "text")
+    # a document per (run, step) of up to 50 conversations
+    c = table(spark, sf, "conversations").selectExpr("concat('run-', conv_id div 200) as run_id", "conv_id % 4 as step", "conv_id", "turn", "text")
     s = F.struct(F.concat(F.lit("p"), F.col("conv_id")).alias("prompt"), F.col("turn").cast("int").alias("sample_index"), F.col("text").alias("completion"))
     docs = c.groupBy("run_id", "step").agg(F.collect_list(s).alias("samples"))
     path = _new(spark, "samples")
@@ -159,13 +167,13 @@ SINCE = 1_704_240_000.0  # 2024-01-03
 
 
 def q_advisor(spark, sf):
-    """One advisor document with the orders' customers as machine types per region."""
-    o = table(spark, sf, "orders").selectExpr("concat('region-', o_custkey % 3) as region", "concat('m', o_custkey) as type", "cast(o_custkey % 5 as int) as r", "cast(o_custkey % 90 as int) as s").distinct()
+    """Advisor documents, one a region, with the orders' customers as machine types; a region has
+    up to 500 types, and records are taken of all types that the orders name."""
+    o = table(spark, sf, "orders").selectExpr("concat('region-', o_custkey div 500) as region", "concat('m', o_custkey) as type", "cast(o_custkey % 5 as int) as r", "cast(o_custkey % 90 as int) as s").distinct()
     by = o.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("type", F.struct("r", "s").alias("v")))).alias("types"))
-    by = by.select("region", F.create_map(F.lit("Linux"), "types", F.lit("Windows"), "types").alias("os"))
     ranges = F.array(*[F.struct(F.lit(i).alias("index"), F.lit(f"{5 * i}%").alias("label")) for i in range(4)])
-    doc = by.agg(F.map_from_entries(F.collect_list(F.struct("region", "os"))).alias("spot_advisor")).withColumn("ranges", ranges)
-    types = [f"m{i}" for i in range(0, 500)]
+    doc = by.select(F.create_map("region", F.create_map(F.lit("Linux"), "types", F.lit("Windows"), "types")).alias("spot_advisor"), ranges.alias("ranges"))
+    types = o.select(F.col("type").alias("instance_type"))
     return R.advisor_records(doc, types, F.lit("t0"), F.lit(1.0)).select("region", "instance_type", "interruption_index", "interruption_range", "savings_pct")
 
 
@@ -174,7 +182,7 @@ def q_load_points(spark, sf):
     report = F.when(F.col("k") % 9 != 0, F.struct(F.when(F.col("k") % 4 != 0, F.col("k").cast("string")).alias("rps"), F.col("user_id").cast("string").alias("requests"), F.concat(F.col("k"), F.lit(".5")).alias("p99_ms")))
     point = F.struct(F.when(F.col("k") % 2 == 0, F.concat(F.lit("l"), "event_id")).alias("label"), F.when(F.col("k") % 3 == 0, F.col("k").cast("double")).alias("offered_rps"),
                      F.when(F.col("k") % 5 != 0, F.col("k") % 8).alias("workers"), (F.col("event_id") % 7 == 0).alias("warmup"), report.alias("report"))
-    docs = ev.groupBy((F.col("event_id") % 40).alias("m")).agg(F.collect_list(point).alias("points"))
+    docs = ev.groupBy(F.expr(f"event_id div {DOC_EVENTS}").alias("m")).agg(F.collect_list(point).alias("points"))
     path = _new(spark, "manifests")
     docs.select(F.to_json(F.struct(F.lit("sweep").alias("kind"), "points")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return R.load_points(spark, path).select("label", "workers", "rps", "requests", "p99_ms", "offered_rps", "failed")
@@ -323,8 +331,8 @@ ORACLE = {
     "files_status_ticks": with_views("SELECT run_id, t, updated_at, epoch, len(members) AS members, ckpt_step, done FROM ticks WHERE event_id % 5 <> 0", "ticks"),
     "files_merged_ticks": with_views("""SELECT run_id, updated_at, t, ckpt_step FROM (
         SELECT *, row_number() OVER (PARTITION BY run_id, updated_at ORDER BY src, t) AS r FROM (
-            SELECT run_id, floor(t)::BIGINT AS updated_at, t, ckpt_step, 0 AS src FROM ticks WHERE event_id % 3 = 0
-            UNION ALL SELECT run_id, floor(t)::BIGINT, t + 0.5, ckpt_step, 1 FROM ticks WHERE event_id % 2 = 0)) WHERE r = 1""", "ticks"),
+            SELECT run_id, floor(t)::BIGINT AS updated_at, t, ckpt_step, 0 AS src FROM ticks WHERE event_id % 3 <> 1
+            UNION ALL SELECT run_id, floor(t)::BIGINT, t + 0.5, ckpt_step, 1 FROM ticks WHERE event_id % 3 <> 0)) WHERE r = 1""", "ticks"),
     "files_run_facts": _ev(f"""SELECT run_id, min_by(k % 7 + 1, event_id) FILTER (k % 5 = 0) || '' AS N_LAYER, min_by(k % 3 + 1, event_id) FILTER (k % 5 = 0) || '' AS N_HEAD,
         min_by(k * 64, event_id) FILTER (k % 5 = 1) || '' AS N_EMBD, min_by(k, event_id) FILTER (k % 5 = 2) || '.5' AS params_m,
         min_by(1000000 + k * 1000, event_id) FILTER (k % 5 = 3) + min_by(k * 1000 + user_id % 1000, event_id) FILTER (k % 5 = 4) AS params_exact,
@@ -332,12 +340,12 @@ ORACLE = {
         FROM (SELECT *, {_R} FROM ev) GROUP BY run_id"""),
     "files_profiles": _ev(f"""SELECT run_id, 'spot' AS kind, count(*) FILTER (event_type = 'view') AS segments, sum(k) FILTER (event_type = 'view')::DOUBLE AS seconds, count(*) FILTER (event_type = 'click') AS events,
         count(*) FILTER (event_type = 'signup') AS samples, sum(k) FILTER (event_type = 'signup') / 4.0 AS loss, max_by(event_id, t) FILTER (event_type = 'signup') AS last_step, sum(k) FILTER (event_type = 'error') / 8.0 AS val_loss
-        FROM (SELECT *, {_R} FROM ev) GROUP BY run_id"""),
-    "files_text_samples": "SELECT 'run-' || conv_id % 12 AS run_id, conv_id % 4 AS step, 'p' || conv_id AS prompt, turn AS sample_index, md5(text) AS completion_md5 FROM conversations WHERE turn % 2 = 1",
+        FROM (SELECT *, 'run-' || event_id // {DOC_EVENTS} AS run_id FROM ev) GROUP BY run_id"""),
+    "files_text_samples": "SELECT 'run-' || conv_id // 200 AS run_id, conv_id % 4 AS step, 'p' || conv_id AS prompt, turn AS sample_index, md5(text) AS completion_md5 FROM conversations",
     "files_spot_records": with_views(f"""SELECT type, tick_id || '' AS tick_id, t, region, az_id, instance_type, capacity, single_az, scope, score, floor(t / 3600) * 3600.0::DOUBLE AS shard_epoch
         FROM sps WHERE score <> 1 AND floor(t) % 5 <> 0 AND floor(t / 3600) * 3600 >= {SINCE} AND t >= {SINCE}""", "sps"),
-    "files_advisor": """SELECT DISTINCT 'region-' || o_custkey % 3 AS region, 'm' || o_custkey AS instance_type, o_custkey % 5 AS interruption_index,
-        CASE WHEN o_custkey % 5 < 4 THEN 5 * (o_custkey % 5) || '%' ELSE '' END AS interruption_range, o_custkey % 90 AS savings_pct FROM orders WHERE o_custkey < 500""",
+    "files_advisor": """SELECT DISTINCT 'region-' || o_custkey // 500 AS region, 'm' || o_custkey AS instance_type, o_custkey % 5 AS interruption_index,
+        CASE WHEN o_custkey % 5 < 4 THEN 5 * (o_custkey % 5) || '%' ELSE '' END AS interruption_range, o_custkey % 90 AS savings_pct FROM orders""",
     "files_load_points": _ev("""SELECT coalesce(CASE WHEN k % 2 = 0 THEN 'l' || event_id END, 'rps' || offered_rps || '-n' || workers) AS label, workers, rps, user_id AS requests, k + 0.5::DOUBLE AS p99_ms, offered_rps, 0 AS failed
         FROM (SELECT *, coalesce(CASE WHEN k % 5 <> 0 THEN k % 8 END, 1) AS workers, CASE WHEN k % 4 <> 0 THEN k ELSE 0 END::DOUBLE AS rps,
                      coalesce(CASE WHEN k % 3 = 0 THEN k END, CASE WHEN k % 4 <> 0 THEN k ELSE 0 END)::DOUBLE AS offered_rps FROM ev WHERE event_id % 7 <> 0 AND k % 9 <> 0)"""),

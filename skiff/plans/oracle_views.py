@@ -206,7 +206,7 @@ VIEWS.update({
     ),
     "restart_log": (
         ["ev"],
-        "SELECT 'run-' || CAST(user_id % 12 AS VARCHAR) AS run_id, t FROM ev WHERE event_type = 'error' AND user_id % 36 < 3 AND k >= 50",
+        "SELECT 'run-' || CAST(user_id % 12 AS VARCHAR) AS run_id, t FROM ev WHERE event_type = 'error'",
     ),
     "terminations": (
         ["ev"],

@@ -315,13 +315,15 @@ def spot_lines(lines: DataFrame, since_t: float | None = None) -> DataFrame:
     return d.filter(F.col("_corrupt_record").isNull() & F.col("type").isNotNull()).drop("_corrupt_record")
 
 
-def advisor_records(doc: DataFrame, types: list[str], tick_id: Column, t: Column) -> DataFrame:
+def advisor_records(doc: DataFrame, types: list[str] | DataFrame, tick_id: Column, t: Column) -> DataFrame:
     """SRC-12: flatten ``spot_advisor: region -> os -> type -> {r, s}`` into
-    one record per (region, type) for Linux, labels from ``ranges``."""
-    ranges = doc.select(F.explode("ranges").alias("r")).select(F.col("r.index").alias("interruption_index"), F.col("r.label").alias("interruption_range"))
+    one record per (region, type) for Linux, labels from ``ranges``.  Any number of
+    documents; ``types`` is a short list or a DataFrame with ``instance_type``."""
+    ranges = doc.select(F.explode("ranges").alias("r")).groupBy(F.col("r.index").alias("interruption_index")).agg(F.min("r.label").alias("interruption_range"))
     regions = doc.select(F.explode("spot_advisor").alias("region", "by_os"))
-    types_df = regions.select("region", F.explode(F.col("by_os")["Linux"]).alias("instance_type", "v"))
-    recs = types_df.filter(F.col("instance_type").isin(types)).select(
+    recs = regions.select("region", F.explode(F.col("by_os")["Linux"]).alias("instance_type", "v"))
+    recs = recs.filter(F.col("instance_type").isin(types)) if isinstance(types, list) else recs.join(types, "instance_type", "left_semi")
+    recs = recs.select(
         F.lit("interruption").alias("type"), tick_id.alias("tick_id"), t.alias("t"), "region", "instance_type",
         F.col("v.r").alias("interruption_index"), F.col("v.s").alias("savings_pct"),
     )
