@@ -44,6 +44,37 @@ def _drained(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _phased(build, df: DataFrame, time: str, slices: int = 3) -> DataFrame:
+    """``build`` over the records in order of ``time``: a slice of time is written to the
+    source folder as several files, the query starts, drains it and is stopped, then the
+    next slice comes and it starts again from its checkpoint.  Every slice is a batch,
+    and state passes from one to the next through the restart."""
+    spark = df.sparkSession
+    path, out, log = _new(spark, "stream-in"), _new(spark, "stream-out"), _new(spark, "stream-log")
+    df = _written(df)
+    # a stream's state keeps the number of partitions that it starts with: twice the cores, not more
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    cuts = df.approxQuantile(time, [k / slices for k in range(1, slices)], 0.01)  # bounds of slices, whatever they are
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        own = (F.lit(True) if lo is None else F.col(time) >= lo) & (F.lit(True) if hi is None else F.col(time) < hi)
+        df.filter(own).repartition(4).write.mode("append").parquet(path)
+        stream = build(spark.readStream.schema(df.schema).parquet(path))
+        writer = stream.writeStream.option("checkpointLocation", log).trigger(availableNow=True).format("parquet").option("path", out)
+        spark.conf.set(name, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+        try:
+            writer.start().awaitTermination()
+        finally:
+            spark.conf.set(name, before)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = _new(df.sparkSession, "records")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def q_dedup(spark, sf):
     t = D.tick_docs(spark, sf).select("run_id", F.floor(F.col("t") / 600).cast("double").alias("updated_at"))
     return _drained(L.dedup_ticks(_source(t), ON_TIME), "append").select("run_id", "updated_at")
@@ -61,7 +92,7 @@ def q_per_second(spark, sf):
 
 def q_deltas(spark, sf):
     s = D.scrape_records(spark, sf).select("worker_id", "ts", "ok", F.col("d_requests").alias("requests"), F.col("d_tokens").alias("completion_tokens"), F.col("in_flight").cast("double").alias("generate_seconds"))
-    return _drained(L.counter_deltas(_source(s.coalesce(1)), ON_TIME), "append")
+    return _phased(lambda d: L.counter_deltas(d, ON_TIME), s, "ts")
 
 
 def q_sliding(spark, sf):
@@ -75,7 +106,44 @@ def q_gauges(spark, sf):
 
 def q_nodes(spark, sf):
     o = D.node_observations(spark, sf).select("run_id", "node", "attempt", "t", "aws_state")
-    return _drained(L.node_states(_source(o.coalesce(1)), ON_TIME, idle=3.2e9), "append")
+    return _phased(lambda d: L.node_states(d, ON_TIME, idle=3.2e9), o, "t")
+
+
+#: Seconds of silence after which a worker is down, and of lateness that the watermark waits.
+TTL, LATE = 3600.5, 600
+
+
+def q_liveness(spark, sf):
+    beats = D.events_base(spark, sf).select(F.concat(F.lit("w"), F.col("user_id") % 50).alias("worker_id"), F.when(F.col("event_type") != "error", F.lit("10.0.0.1")).alias("addr"), F.col("t").alias("last_seen"))
+    return _phased(lambda d: L.liveness(d, TTL, f"{LATE} seconds"), beats, "last_seen")
+
+
+STALL_S, EPOCHS = 100_000.0, 2
+
+
+def q_alarms(spark, sf):
+    """Ticks whose durable step advances every 1,300 events; a run is done with its first tick of the greatest value after the tenth epoch."""
+    done = (F.col("k") == 99) & (F.col("epoch") > 10)
+    ticks = D.tick_docs(spark, sf).join(D.events_base(spark, sf).select("event_id", "k"), "event_id")
+    ticks = ticks.select("run_id", "t", "epoch", F.expr("event_id div 1300").alias("ckpt_step"), done.alias("done"))
+    return _phased(lambda d: L.stall_alarms(d, STALL_S, EPOCHS, idle=3.2e9), ticks, "t")
+
+
+def q_step_dedup(spark, sf):
+    """Step lines of which every other slice is read again: all are delivered twice, the second time a second later."""
+    ev = D.events_base(spark, sf).selectExpr("concat('run-', cast(user_id % 12 as string)) as run_id", "cast((user_id div 12) % 8 as int) as node", "cast(user_id div 96 as int) as attempt", "event_id as step", "t")
+    return _phased(lambda d: L.dedup_steps(d, "2 hours"), ev.unionAll(ev.withColumn("t", F.col("t") + 1)), "t").select("run_id", "node", "attempt", "step")
+
+
+def q_spot_lines(spark, sf):
+    """Complete lines of spot shards; those of whole seconds divisible by five are cut."""
+    from skiff.sources.files import SPOT_SCHEMA
+
+    rec = D.sps_records(spark, sf).select(F.lit("sps").alias("type"), "t", "region", "instance_type", "score")
+    doc = F.to_json(F.struct(*rec.columns))
+    path = _new(spark, "spot")
+    rec.select(F.when(F.floor("t") % 5 == 0, F.substring(doc, 1, 25)).otherwise(doc).alias("value")).write.text(path)
+    return _drained(L.spot_stream(spark, path, SPOT_SCHEMA).select(*rec.columns), "append")
 
 
 def q_hourly(spark, sf):
@@ -115,6 +183,10 @@ QUERIES = {
     "stream_sliding_rates": q_sliding,
     "stream_latest_gauges": q_gauges,
     "stream_node_states": q_nodes,
+    "stream_liveness": q_liveness,
+    "stream_alarms": q_alarms,
+    "stream_step_dedup": q_step_dedup,
+    "stream_spot_lines": q_spot_lines,
     "stream_hourly_best": q_hourly,
     "stream_appended": q_appended,
 }
@@ -141,6 +213,20 @@ ORACLE = {
         CASE WHEN dead AND NOT coalesce(was, false) THEN 'dead' WHEN was IS NULL THEN 'new' END AS transition FROM (
         SELECT *, lag(dead) OVER (PARTITION BY run_id, node, attempt ORDER BY t) AS was FROM (
             SELECT *, bool_or(aws_state IN ('shutting-down', 'terminated', 'stopping', 'stopped')) OVER (PARTITION BY run_id, node, attempt ORDER BY t ROWS UNBOUNDED PRECEDING) AS dead FROM node_obs))""", "node_obs"),
+    "stream_liveness": with_views(f"""SELECT worker_id, 'up' AS change, t AS at FROM hb WHERE p IS NULL OR t - p > {TTL}::DOUBLE
+        UNION ALL SELECT worker_id, 'down', p + {TTL}::DOUBLE FROM hb WHERE t - p > {TTL}::DOUBLE
+        UNION ALL SELECT worker_id, 'down', max(t) + {TTL}::DOUBLE FROM hb GROUP BY 1 HAVING max(t) + {TTL}::DOUBLE <= (SELECT max(t) FROM hb) - {LATE}""", "ev").replace("\nSELECT worker_id, 'up'", """,
+        hb AS (SELECT 'w' || user_id % 50 AS worker_id, t, lag(t) OVER (PARTITION BY user_id % 50 ORDER BY t) AS p FROM ev WHERE event_type <> 'error')\nSELECT worker_id, 'up'""", 1),
+    "stream_alarms": with_views(f"""SELECT run_id, t, CASE WHEN t - since > {STALL_S} THEN 'stall' ELSE 'flap' END AS alarm FROM (
+        SELECT *, max(CASE WHEN progress OR moved = 1 OR r = 1 THEN t END) OVER w AS since, e - coalesce(max(CASE WHEN progress THEN e END) OVER w, 0) AS without_progress FROM (
+          SELECT *, sum(moved) OVER w AS e FROM (
+            SELECT *, row_number() OVER w AS r, c > coalesce(max(c) OVER b, -1) AS progress, CASE WHEN epoch <> lag(epoch) OVER w THEN 1 ELSE 0 END AS moved, coalesce(bool_or(fin) OVER b, false) AS over_before FROM (
+              SELECT run_id, t, epoch, event_id // 1300 AS c, k = 99 AND epoch > 10 AS fin FROM ticks)
+            WINDOW w AS (PARTITION BY run_id ORDER BY t), b AS (PARTITION BY run_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+          WINDOW w AS (PARTITION BY run_id ORDER BY t))
+        WINDOW w AS (PARTITION BY run_id ORDER BY t)) WHERE NOT over_before AND (t - since > {STALL_S} OR without_progress >= {EPOCHS})""", "ticks"),
+    "stream_step_dedup": with_views(f"SELECT {_EVENT_KEY}, event_id AS step FROM ev", "ev"),
+    "stream_spot_lines": with_views("SELECT 'sps' AS type, t, region, instance_type, score FROM sps WHERE floor(t) % 5 <> 0", "sps"),
     "stream_hourly_best": with_views("""SELECT floor(t / 3600)::BIGINT * 3600 AS hour_start, count(DISTINCT tick_id) AS ticks, count(DISTINCT CASE WHEN score >= 7 THEN tick_id END) / count(DISTINCT tick_id)::DOUBLE AS p_good, max(score) AS max_best
         FROM sps GROUP BY 1""", "sps"),
     "stream_appended": with_views("SELECT strftime(make_timestamp((t * 1000000)::BIGINT), '%Y-%m-%d') AS date, region, count(*) AS n, sum(score)::BIGINT AS score FROM sps GROUP BY 1, 2", "sps"),

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from skiff.operators.fleet import DEAD_STATES
 from skiff.session import checkpoint_dir
@@ -38,35 +39,79 @@ def _expire_at(state: GroupState, seconds: float) -> None:
     state.setTimeoutTimestamp(max(int(seconds * 1000), state.getCurrentWatermarkMs() + 1))
 
 
+def _with_timers(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+    """``processor`` over the rows of each ``key``: typed state and event-time timers.  Such
+    state lives in RocksDB, on the executors' disks with change logs in the checkpoint, so a
+    million keys don't fill a heap; the store is set for queries that start from now on
+    (a running query keeps the store its checkpoint names)."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return df.groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")
+
+
+class _Timed(StatefulProcessor):
+    """One value of state and at most one pending timer a key."""
+
+    STATE = ""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.STATE)
+
+    def close(self) -> None:
+        pass
+
+    def wake(self, seconds: float, timers) -> None:
+        """Moves the timer to just after ``seconds`` of event time; one that the watermark has passed fires next."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(max(int(seconds * 1000) + 1, timers.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield from ()
+
+
 # ----------------------------------------------------------------- ST-01 --
 
 LIVENESS_OUT = "worker_id string, change string, at double"
-LIVENESS_STATE = "last_seen double, live boolean"
 
 
-def liveness(heartbeats: DataFrame, ttl_seconds: float = 15.0, watermark: str = "1 minute") -> DataFrame:
-    """ST-01: a worker is live while its newest heartbeat (with an address)
-    is at most ``ttl`` old; emits ``up`` when it (re)appears and ``down``
-    when the event-time timer at ``last_seen + ttl`` fires."""
-    hb = event_time(heartbeats.filter(F.col("addr").isNotNull() & (F.col("addr") != "")), "last_seen")
-    hb = hb.withWatermark("event_time", watermark)
+class _Liveness(_Timed):
+    STATE = "last double"
 
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        wid = key[0]
-        if state.hasTimedOut:
-            last, _ = state.get
-            state.remove()
-            yield pd.DataFrame({"worker_id": [wid], "change": ["down"], "at": [last + ttl_seconds]})
-            return
-        last, live = state.get if state.exists else (None, False)
-        newest = max(float(p["last_seen"].max()) for p in pdfs)
-        last = newest if last is None else max(last, newest)
-        state.update((last, True))
-        _expire_at(state, last + ttl_seconds)
-        if not live:
-            yield pd.DataFrame({"worker_id": [wid], "change": ["up"], "at": [newest]})
+    def __init__(self, ttl: float):
+        self.ttl = ttl
 
-    return hb.groupBy("worker_id").applyInPandasWithState(step, LIVENESS_OUT, LIVENESS_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seen = pd.concat([r["last_seen"] for r in rows]).astype(float).sort_values(ignore_index=True)
+        last = self.state.get()[0] if self.state.exists() else None
+        before = seen.shift(fill_value=float("nan") if last is None else last)
+        if last is not None:  # beats older than the newest one say nothing new
+            seen, before = seen.clip(lower=last), before.clip(lower=last)
+        silent = seen - before > self.ttl
+        fresh = silent | before.isna()
+        down = pd.DataFrame({"change": "down", "at": before[silent] + self.ttl})
+        up = pd.DataFrame({"change": "up", "at": seen[fresh]})
+        self.state.update((float(seen.iloc[-1]),))
+        self.wake(float(seen.iloc[-1]) + self.ttl, timerValues)
+        out = pd.concat([down, up]).sort_values("at", kind="stable")
+        if len(out):
+            out.insert(0, "worker_id", key[0])
+            yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = self.state.get()[0] + self.ttl
+        self.state.clear()
+        yield pd.DataFrame({"worker_id": [key[0]], "change": ["down"], "at": [at]})
+
+
+def liveness(heartbeats: DataFrame, ttl_seconds: float = 15.0, watermark: str = "1 minute") -> DataFrame:
+    """ST-01: a worker is live while its newest heartbeat (with an address) is at
+    most ``ttl`` old; ``up`` when it appears or is back after a longer silence,
+    ``down`` at ``last_seen + ttl`` when the next beat comes later than that, or the
+    watermark passes it.  The rows are the same however beats are cut into batches."""
+    hb = event_time(heartbeats.filter(F.col("addr").isNotNull() & (F.col("addr") != "")), "last_seen")
+    return _with_timers(hb.withWatermark("event_time", watermark), "worker_id", _Liveness(ttl_seconds), LIVENESS_OUT)
 
 
 # ------------------------------------------------------------ ST-02 / 09 --
@@ -198,7 +243,35 @@ def node_states(obs: DataFrame, watermark: str = "1 hour", idle: float = 86_400.
 # ------------------------------------------------------------ ST-10 / 11 --
 
 ALARM_OUT = "run_id string, t double, alarm string"
-ALARM_STATE = "ckpt long, changed double, epoch int, epochs_without int, done boolean, last double"
+
+
+class _Alarms(_Timed):
+    STATE = "ckpt long, changed double, epoch int, without int, done boolean, last double"
+
+    def __init__(self, timeout: float, max_epochs: int, idle: float):
+        self.timeout, self.max_epochs, self.idle = timeout, max_epochs, idle
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        r = pd.concat(list(rows)).sort_values("t", kind="stable", ignore_index=True)
+        t, epoch = r["t"].astype(float), r["epoch"].astype(int)
+        known = self.state.exists()
+        ckpt, changed, was, without, done, last = self.state.get() if known else (-1, float(t[0]), int(epoch[0]), 0, False, float("-inf"))
+        best = r["ckpt_step"].astype("int64").cummax().clip(lower=ckpt)
+        progress = best > best.shift(fill_value=ckpt)
+        moved = epoch != epoch.shift(fill_value=was)
+        epochs = without + moved.astype(int).cumsum()
+        since = t.where(progress | moved).ffill().fillna(changed)  # when the clock last started
+        without_now = epochs - epochs.where(progress).ffill().fillna(0).astype(int)
+        over = r["done"].astype(bool).cummax() | done
+        open_ = ~over.shift(fill_value=done)  # the row that reports done is still judged
+        stall = open_ & (t - since > self.timeout)
+        flap = open_ & ~stall & (without_now >= self.max_epochs)
+        last = max(last, float(t.iloc[-1]))
+        self.state.update((int(best.iloc[-1]), float(since.iloc[-1]), int(epoch.iloc[-1]), int(without_now.iloc[-1]), bool(over.iloc[-1]), last))
+        self.wake(last + self.idle, timerValues)
+        raised = stall | flap
+        if raised.any():
+            yield pd.DataFrame({"run_id": key[0], "t": t[raised], "alarm": stall[raised].map({True: "stall", False: "flap"})})
 
 
 def stall_alarms(ticks: DataFrame, recovery_timeout_s: float, max_epochs: int = 6, watermark: str = "1 hour", idle: float = 86_400.0) -> DataFrame:
@@ -206,38 +279,9 @@ def stall_alarms(ticks: DataFrame, recovery_timeout_s: float, max_epochs: int =
     advanced for ``recovery_timeout_s`` (the clock restarts on every new
     epoch), a flap alarm after ``max_epochs`` epochs without progress.  A run
     that reports done raises none any more; its state, like that of a silent
-    run, is dropped after ``idle`` seconds of event time."""
+    run, is dropped by a timer after ``idle`` seconds of event time."""
     t = event_time(ticks, "t").withWatermark("event_time", watermark)
-
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        run_id = key[0]
-        rows = pd.concat(list(pdfs)).sort_values("t")
-        ckpt, changed, epoch, without, done, last = state.get if state.exists else (-1, None, None, 0, False, float("-inf"))
-        out = []
-        for r in rows.itertuples(index=False):
-            if done:
-                break
-            if changed is None:
-                changed = float(r.t)
-            if epoch is not None and int(r.epoch) != epoch:
-                changed, without = float(r.t), without + 1
-            epoch = int(r.epoch)
-            if int(r.ckpt_step) > ckpt:
-                ckpt, changed, without = int(r.ckpt_step), float(r.t), 0
-            if float(r.t) - changed > recovery_timeout_s:
-                out.append((run_id, float(r.t), "stall"))
-            elif without >= max_epochs:
-                out.append((run_id, float(r.t), "flap"))
-            done = bool(r.done)
-        last = max(last, float(rows["t"].iloc[-1]))
-        state.update((ckpt, changed, epoch, without, done, last))
-        _expire_at(state, last + idle)
-        yield pd.DataFrame(out, columns=["run_id", "t", "alarm"])
-
-    return t.groupBy("run_id").applyInPandasWithState(step, ALARM_OUT, ALARM_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return _with_timers(t, "run_id", _Alarms(recovery_timeout_s, max_epochs, idle), ALARM_OUT)
 
 
 # ------------------------------------------------------------ ST-12 / 13 --
