@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skiff.functions.percentile import kth_values
 from skiff.operators.asof import asof_join
 from skiff.operators.scan import scan
+from skiff.sources.tail import _store
+from skiff.sources.token_files import NAME as TOKEN_FILE
+from skiff.sources.token_files import PIECE_TOKENS, TokenFiles
 
 # Fixed values of the reference's recipe.
 VAL_FRACTION = 0.0005
@@ -120,6 +123,69 @@ def publish(docs: DataFrame, manifest: DataFrame, path: str, split: str = "split
     return spark.read.parquet(f"{path}/guards")
 
 
+def pieces(packed: DataFrame, manifest: DataFrame, split: str = "split", piece_tokens: int = PIECE_TOKENS) -> DataFrame:
+    """Documents of ``pack`` with the ``piece`` of their chunk in which they begin. The
+    manifest has at most ``WRITE_CHUNKS`` rows a split."""
+    start = manifest.select(split, "chunk_id", F.col("tok_offset").alias("__start"))
+    d = packed.join(F.broadcast(start), on=[split, "chunk_id"])
+    return d.withColumn("piece", F.floor((F.col("tok_offset") - F.col("__start")) / piece_tokens).cast("int")).drop("__start")
+
+
+def durable_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The whole piece files below ``path`` by name and size, contents unread: ``split,
+    chunk_id, piece, tok_offset, tokens, crc32``. Files of another size than their name
+    says (a torn write) are no pieces. ``path`` must exist."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bin").load(path).select("path", "length")
+
+    def part(k: int) -> Column:
+        return F.regexp_extract("path", TOKEN_FILE, k)
+
+    named = files.select(
+        part(1).alias("split"), part(2).cast("int").alias("chunk_id"), part(3).cast("int").alias("piece"),
+        part(4).cast("long").alias("tok_offset"), part(5).cast("long").alias("tokens"), part(6).alias("crc32"), "length",
+    )
+    return named.filter((F.col("split") != "") & (F.col("length") == F.col("tokens") * BYTES_PER_TOKEN)).drop("length")
+
+
+def publish_pieces(docs: DataFrame, path: str, piece_tokens: int = PIECE_TOKENS, max_chunks: int = WRITE_CHUNKS) -> DataFrame:
+    """SNK-03 / CP-06: ``(doc_id, split, len, ids)`` as packed token files below ``path``,
+    writing only pieces that aren't there yet, and the manifest last.
+
+    The header (totals of the splits, chunks, piece size, a digest of the documents' ids
+    and lengths) names the folder: a run over another corpus begins anew, one over the
+    same finds the pieces of a run that was ended. A piece counts as there when its file
+    has the place and number of tokens that the plan gives it; the ids of the others are
+    fetched by their documents, sorted and written, each piece by one task. Then every
+    piece of the plan must be there once, else the job fails and no manifest appears.
+    Plans are on ``(doc_id, split, len)``; ids are read by the last job only, so ``docs``
+    should be a written table. Ids of documents must be unique; pieces of empty documents
+    alone have no file and no row. Returns the manifest:
+    a row per piece, with its checksum and the header."""
+    spark = docs.sparkSession
+    packed, manifest = pack(prefix_offsets(docs.select("doc_id", "split", "len"), ["split"]), "split", max_chunks)
+    plan = pieces(packed, manifest, "split", piece_tokens)
+    header = docs.agg(F.count(F.lit(1)), F.sum("len"), F.bit_xor(F.xxhash64("doc_id", "split", "len"))).first()
+    name = f"{path}/corpus-{piece_tokens}-{max_chunks}-{header[0]}-{header[1] or 0}-{(header[2] or 0) & (1 << 64) - 1:016x}"
+    spark.dataSource.register(TokenFiles)
+
+    want = plan.groupBy("split", "chunk_id", "piece").agg(
+        F.min("tok_offset").alias("tok_offset"), F.sum("len").cast("long").alias("tokens"), F.count(F.lit(1)).alias("docs")
+    ).filter("tokens > 0")
+    same = ["split", "chunk_id", "piece", "tok_offset", "tokens"]
+    store, top = _store(name)
+    store.create_dir(top, recursive=True)
+    todo = want.join(durable_pieces(spark, name), on=same, how="left_anti").select("split", "chunk_id", "piece")
+    rows = plan.select("doc_id", "split", "chunk_id", "piece", "tok_offset").join(todo, on=["split", "chunk_id", "piece"], how="left_semi")
+    rows = rows.join(docs.select("doc_id", "ids"), on="doc_id").select("split", "chunk_id", "piece", "tok_offset", "ids")
+    keys = ["split", "chunk_id", "piece"]
+    rows.repartition(*keys).sortWithinPartitions(*keys, "tok_offset", F.size("ids")).write.format("token_files").mode("append").save(name)
+
+    there = want.join(durable_pieces(spark, name), on=same, how="left")
+    whole = F.when(F.col("crc32").isNotNull(), F.col("crc32")).otherwise(F.raise_error(F.concat(F.lit("missing piece of split "), F.col("split"))))
+    there.withColumn("crc32", whole).withColumn("folder", F.lit(name)).write.mode("overwrite").parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
+
+
 def capped(offsets: DataFrame, cap: int, val_fraction: float = VAL_FRACTION) -> DataFrame:
     """CP-03 + CP-04: the stream of documents in order stops at ``cap``
     tokens (the last document is cut); the first ``max(1, int(N x f))``

@@ -16,6 +16,8 @@ EVAL_BATCH = 12
 CAP_TOKENS = 1_000_000
 BASE_SEED = 1337
 DATASET = "driver-corpus"
+PIECE_TOKENS = 4096  # a chunk of the small tables has several pieces
+PLACES = 1009
 
 
 def _docs(spark, sf):
@@ -138,7 +140,35 @@ def q_resume(spark, sf):
     return C.resume_plan(manifest, durable).select("split", "chunk_id", "docs", "tokens", "tok_offset")
 
 
+def _sums(blocks):
+    """Tokens, sum of ids and sum of ids by place (modulo a prime) of every piece of a split."""
+    tok = blocks.select("split", "chunk_id", "piece", F.posexplode("ids").alias("k", "id"), "start")
+    place = (F.col("start") + F.col("k")) % PLACES + 1
+    return tok.groupBy("split", "chunk_id", "piece").agg(
+        F.count(F.lit(1)).alias("tokens"), F.sum("id").cast("long").alias("id_sum"), F.sum(F.col("id") * place).cast("long").alias("place_sum")
+    )
+
+
+def _token_files(spark, sf):
+    """Where the packed token files of all documents are."""
+    path = f"{scratch_path(spark, 'token-files')}-{uuid.uuid4().hex}"
+    return C.publish_pieces(_tokens(spark, sf).select("doc_id", "split", "len", "ids"), path, PIECE_TOKENS)
+
+
+def q_token_files(spark, sf):
+    """SNK-03, SRC-17: the corpus written as packed token files and read back by blocks."""
+    folder = _token_files(spark, sf).first()["folder"]
+    return _sums(spark.read.format("token_files").load(folder))
+
+
+def q_token_pieces(spark, sf):
+    """CP-06: the manifest of the packed token files."""
+    return _token_files(spark, sf).select("split", "chunk_id", "piece", "tok_offset", "tokens", "docs")
+
+
 QUERIES = {
+    "corpus_token_files": q_token_files,
+    "corpus_token_pieces": q_token_pieces,
     "corpus_split": q_split,
     "corpus_split_counts": q_split_counts,
     "corpus_vocab": q_vocab,
@@ -250,3 +280,16 @@ ORACLE["corpus_token_checksum"] = _q(
               CAST(sum(len) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS unknown
        FROM tok JOIN cs USING (doc_id) GROUP BY split"""
 )
+_PIECES = f""", pc AS (SELECT split, chunk_id, CAST((tok_offset - min(tok_offset) OVER (PARTITION BY split, chunk_id)) // {PIECE_TOKENS} AS INTEGER) AS piece,
+                doc_id, len, tok_offset FROM ch)"""
+ORACLE["corpus_token_pieces"] = _q(
+    _PIECES + """ SELECT split, chunk_id, piece, min(tok_offset) AS tok_offset, CAST(sum(len) AS BIGINT) AS tokens, count(*) AS docs FROM pc GROUP BY ALL HAVING sum(len) > 0"""
+)
+ORACLE["corpus_token_files"] = _q(
+    _PIECES + f""", cp AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS k FROM documents WHERE length(text) > 0),
+       ids AS (SELECT doc_id, k, v.id FROM cp JOIN v ON v.code = unicode(cp.c)
+               UNION ALL SELECT doc_id, len - 1, (SELECT vsize FROM vs) FROM tok)
+       SELECT split, chunk_id, piece, count(*) AS tokens, CAST(sum(id) AS BIGINT) AS id_sum,
+              CAST(sum(id * ((tok_offset + k) % {PLACES} + 1)) AS BIGINT) AS place_sum
+       FROM ids JOIN pc USING (doc_id) GROUP BY ALL"""
+)
