@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skiff.functions.percentile import nearest_rank, percentiles
 from skiff.plans.oracle_views import with_views
 from skiff.session import scratch_path
 from skiff.sources import driver as D
@@ -87,7 +88,13 @@ def q_sessions(spark, sf):
 
 def q_per_second(spark, sf):
     r = D.request_records(spark, sf).select("test_id", "sent_at", "failed", "latency_ms")
-    return _drained(L.per_second_stream(_source(r)), "complete").drop("p99_ms_approx")
+    sketch = _drained(L.latency_sketch(_source(r)), "complete").withColumn("second", F.unix_seconds(F.col("w.start")))
+    rows = L.from_sketch(sketch, ["test_id", "second"]).withColumnRenamed("p_ms_approx", "p99_ms_approx")
+    # its bound, against the exact percentile of the batch table
+    exact = percentiles(r.filter(~F.col("failed")).withColumn("second", F.floor("sent_at").cast("long")), ["test_id", "second"], "latency_ms", {"exact": nearest_rank(99.0)})
+    exact = exact.select("test_id", "second", "exact")
+    off = F.abs(F.col("p99_ms_approx") - F.coalesce("exact", F.lit(0.0)))
+    return rows.join(exact, ["test_id", "second"], "left").withColumn("p99_within", off <= L.SKETCH_ERROR * F.abs(F.coalesce("exact", F.lit(0.0))) + 1e-9).drop("exact")
 
 
 def q_deltas(spark, sf):
@@ -200,8 +207,13 @@ ORACLE = {
     "stream_tick_sessions": with_views("""SELECT run_id, (min(s) * 1000000)::BIGINT AS start_us, (max(s) * 1000000)::BIGINT + 1200000000 AS end_us, count(*) AS ticks FROM (
         SELECT *, sum((p IS NULL OR s - p >= 1200)::INT) OVER (PARTITION BY run_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM (
             SELECT run_id, floor(t) AS s, lag(floor(t)) OVER (PARTITION BY run_id ORDER BY t) AS p FROM ticks)) GROUP BY run_id, g""", "ticks"),
-    "stream_per_second": with_views("""SELECT test_id, floor(sent_at)::BIGINT AS second, count(*) AS sent, count(*) FILTER (NOT failed) AS ok, count(*) FILTER (failed) AS errors,
-        coalesce(avg(latency_ms) FILTER (NOT failed), 0.0) AS mean_ms FROM req GROUP BY 1, 2""", "req"),
+    "stream_per_second": with_views("""SELECT s.*, coalesce(q.p99, 0.0) AS p99_ms_approx, true AS p99_within FROM (
+          SELECT test_id, floor(sent_at)::BIGINT AS second, count(*) AS sent, count(latency_ms) FILTER (NOT failed) AS ok, count(*) FILTER (failed) AS errors,
+            coalesce(avg(latency_ms) FILTER (NOT failed), 0.0) AS mean_ms FROM req GROUP BY 1, 2) s
+        LEFT JOIN (SELECT test_id, second, CASE WHEN latency_ms > 0 THEN 2 * pow(1.01::DOUBLE / 0.99, ceil(ln(latency_ms) / ln(1.01::DOUBLE / 0.99))) / (1.01::DOUBLE / 0.99 + 1) ELSE 0.0 END AS p99 FROM (
+            SELECT test_id, floor(sent_at)::BIGINT AS second, latency_ms, row_number() OVER w AS r, count(*) OVER (PARTITION BY test_id, floor(sent_at)) AS n
+            FROM req WHERE NOT failed AND latency_ms IS NOT NULL WINDOW w AS (PARTITION BY test_id, floor(sent_at) ORDER BY latency_ms))
+          WHERE r = ceil(0.99::DOUBLE * n)) q USING (test_id, second)""", "req"),
     "stream_counter_deltas": with_views("""SELECT worker_id, ts, CASE WHEN g THEN greatest(d_requests - pr, 0) ELSE 0 END AS d_requests, CASE WHEN g THEN greatest(d_tokens - pt, 0) ELSE 0 END AS d_tokens,
         CASE WHEN g THEN greatest(in_flight - pg, 0) ELSE 0 END::DOUBLE AS d_gen, CASE WHEN g THEN ts - pts ELSE 0 END::DOUBLE AS dt FROM (
         SELECT *, coalesce(lag(ok) OVER w, false) AND ok AS g, lag(d_requests) OVER w AS pr, lag(d_tokens) OVER w AS pt, lag(in_flight) OVER w AS pg, lag(ts) OVER w AS pts
