@@ -59,6 +59,12 @@ def q_leaderboard(spark, sf):
     return M.leaderboard(_records(spark, sf), 8)
 
 
+def q_envelopes(spark, sf):
+    """PRJ-01: every score record in its envelope."""
+    r = D.sps_records(spark, sf).select("region", "az_id", "instance_type", "score", F.col("tick_id").alias("tick"), F.col("t").alias("at"))
+    return M.record_envelope(r, "sps", F.col("tick"), F.col("at")).drop("at", "tick")
+
+
 def q_coverage(spark, sf):
     recs = (
         _records(spark, sf)
@@ -89,6 +95,7 @@ def q_home_az(spark, sf):
 
 
 QUERIES = {
+    "market_envelopes": q_envelopes,
     "market_scenarios": q_scenarios,
     "market_hourly_odds": q_hourly,
     "market_dow_hour_odds": q_dow_hour,
@@ -308,3 +315,8 @@ ORACLE = {
     "market_verdict": _ctes("sps") + _scenarios_sql() + _VERDICT,
     "market_home_az": with_views(f"SELECT {_home_az_sql(8)} AS az_id", "sps"),
 }
+ORACLE["market_envelopes"] = with_views(
+    """SELECT 'sps' AS type, tick_id, strftime(make_timestamp(CAST(floor(t) AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts, round(t, 3) AS t,
+         region, az_id, instance_type, score FROM sps""",
+    "sps",
+)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skiff.functions.percentile import kth_values, rank_rule
 from skiff.operators import serving as S
 from skiff.plans.oracle_views import with_views
 from skiff.sources import driver as D
@@ -33,6 +34,15 @@ def q_per_second(spark, sf):
     return S.per_second(_req(spark, sf))
 
 
+RULES = {"nearest_rank": (50.0, 99.0), "rounded_index": (50.0, 99.0), "upper_median": (50.0,), "lower_median": (50.0,)}
+
+
+def q_rank_rules(spark, sf):
+    """UDF-05: the latencies of every test under each percentile flavour by name."""
+    spec = {f"{name}_{p:.0f}": rank_rule(name, p) for name, ps in RULES.items() for p in ps}
+    return kth_values(_req(spark, sf).filter(~F.col("failed")), ["test_id"], "latency_ms", spec)
+
+
 def q_totals(spark, sf):
     return S.test_totals(_req(spark, sf))
 
@@ -102,6 +112,7 @@ def q_recovery(spark, sf):
 
 
 QUERIES = {
+    "serving_rank_rules": q_rank_rules,
     "serving_per_second": q_per_second,
     "serving_test_totals": q_totals,
     "serving_unloaded": q_unloaded,
@@ -311,3 +322,10 @@ ORACLE = {
                  coalesce(failed = 0 AND recovery_s IS NOT NULL AND recovery_s <= {KILL_TTL + 10}, false) AS passed
           FROM tot LEFT JOIN base USING (test_id) LEFT JOIN rec USING (test_id)""",
 }
+ORACLE["serving_rank_rules"] = with_views(
+    """SELECT test_id, len(x) AS n, x[ceil(0.5::DOUBLE * len(x))::BIGINT] AS nearest_rank_50, x[ceil(0.99::DOUBLE * len(x))::BIGINT] AS nearest_rank_99,
+         x[round_even(0.5::DOUBLE * (len(x) - 1), 0)::BIGINT + 1] AS rounded_index_50, x[round_even(0.99::DOUBLE * (len(x) - 1), 0)::BIGINT + 1] AS rounded_index_99,
+         x[len(x) // 2 + 1] AS upper_median_50, x[(len(x) - 1) // 2 + 1] AS lower_median_50
+       FROM (SELECT test_id, list_sort(list(latency_ms)) AS x FROM req WHERE NOT failed GROUP BY 1)""",
+    "req",
+)

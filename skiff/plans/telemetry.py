@@ -9,6 +9,7 @@ from skiff.operators import timeline as T
 from skiff.operators.asof import nearest
 from skiff.functions.numeric import round_half_up_sql as _r
 from skiff.plans.oracle_views import with_views
+from skiff.sinks.writers import TS_COLUMNS, run_series_table
 from skiff.sources import driver as D
 
 AS_OF = 1_706_745_600.0  # 2024-02-01: "now" for every run of the driver data
@@ -123,6 +124,11 @@ def q_boot_rows(spark, sf):
     return R.boot_rows(ticks, D.step_records(spark, sf), changes, D.instance_ledger(spark, sf), R.outages(ticks), TARGET)
 
 
+def q_series_table(spark, sf):
+    """SET-01: boot rows and step rows as one table."""
+    return run_series_table(q_run_series(spark, sf), q_boot_rows(spark, sf))
+
+
 def q_eval_points(spark, sf):
     return R.eval_points(D.eval_records(spark, sf), D.step_records(spark, sf))
 
@@ -142,6 +148,7 @@ def q_generation_spans(spark, sf):
 
 
 QUERIES = {
+    "telemetry_series_table": q_series_table,
     "telemetry_node_spans": q_node_spans,
     "telemetry_wasted": q_wasted,
     "telemetry_world_spans": q_world_spans,
@@ -450,3 +457,7 @@ def q_occupancy(spark, sf):
 
 
 QUERIES["telemetry_occupancy"] = q_occupancy
+ORACLE["telemetry_series_table"] = (
+    f"SELECT run_id, {', '.join(TS_COLUMNS)} FROM ({ORACLE['telemetry_run_series']}) s\n"
+    f"UNION ALL SELECT run_id, {', '.join(TS_COLUMNS)} FROM ({ORACLE['telemetry_boot_rows']}) b"
+)
