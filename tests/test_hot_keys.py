@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from skiff.functions import percentile
 from skiff.operators import fleet, market
 
 
@@ -67,3 +68,59 @@ def test_masters_of_a_long_run_equal_the_sequential_rule(spark):
         assert got == sorted(expected, key=lambda r: (r[0], r[2]))
     assert fleet.elect_masters(df.limit(0)).count() == 0
     assert fleet.elect_masters(df, 20.0).select(F.countDistinct("run_id")).first()[0] == 3
+
+
+def test_order_statistics_of_values_that_lie_close(spark):
+    """A million distinct values within 0.1 % fill one bucket; two more levels leave few to the last scan."""
+    n = 1_000_000
+    near = spark.range(n).select(F.lit("a").alias("k"), (1000.0 + F.col("id") / F.lit(float(n))).alias("v"))
+    rest = [("b", v) for v in (5.0, 5.0, -3.0, 0.0, 1e300, -1e300, 5.0)] + [("b", None), ("c", 7.0), ("d", None)]
+    df = near.unionAll(spark.createDataFrame(rest, "k string, v double"))
+    spec = {"p1": percentile.nearest_rank(1), "mid": percentile.upper_median(), "p99": percentile.rounded_index(99), "over": lambda c: c + 1}
+    out = percentile.kth_values(df, ["k"], "v", spec, levels=3)
+    got = {r.k: r for r in out.collect()}
+    values = {"a": [1000.0 + i / float(n) for i in range(n)], "b": sorted(v for k, v in rest if k == "b" and v is not None), "c": [7.0]}
+    assert set(got) == set(values)
+    for k, x in values.items():
+        m = len(x)
+        assert (got[k].n, got[k].p1, got[k].mid, got[k].p99, got[k].over) == (m, x[max(1, -(-m // 100)) - 1], x[m // 2], x[round(0.99 * (m - 1))], None)
+    # the last windows sort the parts of one bucket or what is left of it, not a million values
+    plan = out._jdf.queryExecution()
+    out.collect()
+    sizes = sorted_rows(plan.executedPlan())
+    assert sizes and max(sizes) <= 3 * 4096 + 100
+    flat = percentile.kth_values(df, ["k"], "v", spec)
+    plan = flat._jdf.queryExecution()
+    flat.collect()
+    assert max(sorted_rows(plan.executedPlan())) >= n
+    same = percentile.kth_values(df.filter("k <> 'a'"), ["k"], "v", spec)
+    assert {tuple(r) for r in same.collect()} == {tuple(r) for k, r in got.items() if k != "a"}
+
+
+def below(node):
+    """The plans under one of an executed plan."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return [node.executedPlan()]
+    if "QueryStage" in name:
+        return [node.plan()]
+    if name == "ReusedExchange":
+        return [node.child()]
+    return [node.children().apply(i) for i in range(node.children().size())]
+
+
+def sorted_rows(node):
+    """Rows that the exchanges (or counting nodes) under the windows of an executed plan passed on."""
+    out = []
+    if node.nodeName() == "Window":
+        at = node
+        while at is not None:
+            metrics = at.metrics()
+            counted = [m for m in ("shuffleRecordsWritten", "numOutputRows") if metrics.contains(m)]
+            if counted:
+                out.append(metrics.apply(counted[0]).value())
+                break
+            at = next(iter(below(at)), None)
+    for child in below(node):
+        out += sorted_rows(child)
+    return out
