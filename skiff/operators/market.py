@@ -362,7 +362,7 @@ def price_summary(prices: DataFrame, top: int = 12) -> DataFrame:
     stats = p.groupBy(*keys).agg(
         F.min("price_usd").alias("min_usd"), F.max("price_usd").alias("max_usd"), F.count(F.lit(1)).alias("samples")
     )
-    med = median(p, keys, "price_usd", out="median_usd").drop("n")
+    med = median(p, keys, "price_usd", out="median_usd", levels=2).drop("n")
     return (
         stats.join(med, on=keys, how="inner")
         .select(*keys, "median_usd", "min_usd", "max_usd", "samples")
