@@ -363,10 +363,11 @@ def sample_grid(samples: DataFrame, max_prompts: int = 100_000) -> DataFrame:
     return grid.join(first, ["run_id", "step", "prompt"], "left")
 
 
-def comparison_rows(summary: DataFrame, phases: DataFrame, cost: DataFrame) -> DataFrame:
+def comparison_rows(summary: DataFrame, phases: DataFrame, cost: DataFrame, names: list[str] | None = None) -> DataFrame:
     """AG-52: the comparison table: summary facts, seconds per phase (one
-    column per phase) and dollars, one row per run."""
-    wide = phases.groupBy("run_id").pivot("phase").agg(F.first("seconds"))
+    column per phase) and dollars, one row per run. ``names`` are the phases
+    that become columns; without them a job looks them up first."""
+    wide = phases.groupBy("run_id").pivot("phase", names).agg(F.first("seconds"))
     return summary.join(wide, "run_id", "left").join(cost, "run_id", "left")
 
 

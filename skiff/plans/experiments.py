@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skiff.operators import experiments as X
+from skiff.operators import runs as R
 from skiff.operators import timeline as T
 from skiff.plans.telemetry import AS_OF
 from skiff.plans.oracle_views import with_views
@@ -133,6 +134,16 @@ def q_transitions(spark, sf):
     return X.world_transitions(_steps(spark, sf))
 
 
+PHASES = [*sorted(set(T.STATE_LABEL.values())), "wasted", "total"]
+
+
+def q_comparison(spark, sf):
+    """AG-52: steps, seconds per phase and dollars of every run."""
+    summary = _steps(spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("lines"), F.max("step").alias("last_step"))
+    phases = q_durations(spark, sf).withColumnRenamed("label", "phase")
+    return X.comparison_rows(summary, phases, R.cost_totals(D.instance_ledger(spark, sf), AS_OF), PHASES)
+
+
 def q_utilisation(spark, sf):
     return X.utilisation(_steps(spark, sf))
 
@@ -161,6 +172,7 @@ def q_kill_drift(spark, sf):
 
 
 QUERIES = {
+    "exp_comparison_rows": q_comparison,
     "exp_time_to_target": q_ttt,
     "exp_throughput": q_throughput,
     "exp_speedup_target": q_speedup_target,
@@ -345,3 +357,9 @@ ORACLE["exp_phase_durations"] = (
     "SELECT run_id, label, sum(duration) AS seconds FROM spans GROUP BY 1, 2\n"
     "UNION ALL SELECT run_id, 'total', sum(duration) FROM spans GROUP BY 1"
 )
+ORACLE["exp_comparison_rows"] = _ctes("steps") + (
+    "SELECT * FROM (SELECT run_id, count(*) AS lines, max(step) AS last_step FROM steps GROUP BY 1) s\n"
+    "LEFT JOIN (SELECT run_id, " + ", ".join(f"max(seconds) FILTER (label = '{p}') AS {p}" for p in PHASES)
+    + " FROM (" + ORACLE["exp_phase_durations"] + ") d GROUP BY 1) p USING (run_id)\n"
+    "LEFT JOIN (" + _TEL["telemetry_cost_totals"] + ") c USING (run_id)"
+)
