@@ -337,47 +337,98 @@ def generation_spans(rows: DataFrame, width: float = 1e6) -> DataFrame:
 
 # ---------------------------------------------------------------- occupancy --
 
-PROV_SCHEMA = "run_id string, slot int, a double, b double"
 BILLABLE = ["pending", "running"]
+_FAR = 1 << 40
+
+
+def _through(q: Column, f: Column, l: Column) -> Column:
+    """Next free place after a period that may take places ``[f, l)``, when ``q`` (at most
+    ``l``) is the next free place before it."""
+    return F.greatest(f + 1, F.least(q + 1, l))
+
+
+def _first_fit(periods: DataFrame, free: DataFrame, width: float) -> DataFrame:
+    """Each slot by itself: its periods in time order take the first machine in
+    ``[from, until)`` that no earlier period of the slot took.
+
+    Machines are numbered by start, so a period may take the places ``[f, l)``, and the
+    next free place runs through ``max(f + 1, min(q + 1, l))``. Such maps compose to one
+    of their kind, ``max(low, min(q + n, high))``: a bucket of periods is one map, the maps
+    of a slot's buckets give each bucket its incoming place, and buckets are folded apart."""
+    key = ["run_id", "slot"]
+    marks = periods.select(*key, F.col("from").alias("t"), F.lit(0).alias("kind"), "pos").unionByName(
+        periods.select(*key, F.col("until").alias("t"), F.lit(1).alias("kind"), "pos")).unionByName(
+        free.select(*key, F.col("started_at").alias("t"), F.lit(2).alias("kind"), F.col("copy").alias("pos")))
+    # bounds sort before a machine of their time, so they count the machines that start earlier
+    marks = scan(marks, key, "t", ["kind", "pos"], width=width, sums={"n": F.when(F.col("kind") == 2, 1).otherwise(0).cast("long")})
+    p = marks.filter("kind < 2").groupBy(*key, "pos").agg(
+        F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("f"), F.max(F.when(F.col("kind") == 1, F.col("n"))).alias("l"),
+        F.max(F.when(F.col("kind") == 0, F.col("t"))).alias("from"))
+    p = p.filter(F.col("f") < F.col("l")).withColumn("bucket", F.floor(F.col("from") / F.lit(width)).cast("long"))
+    b = p.groupBy(*key, "bucket").agg(F.array_sort(F.collect_list(F.struct("pos", "f", "l"))).alias("rows")).checkpoint()
+    start = F.struct(F.lit(-_FAR).cast("long").alias("low"), F.lit(_FAR).cast("long").alias("high"))
+    whole = F.aggregate("rows", start, lambda acc, x: F.struct(
+        _through(acc["low"], x["f"], x["l"]).alias("low"), _through(acc["high"], x["f"], x["l"]).alias("high")))
+    maps = b.select(*key, "bucket", F.size("rows").cast("long").alias("n"), whole.alias("m")).groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct("bucket", "n", F.col("m.low").alias("low"), F.col("m.high").alias("high")))).alias("maps"))
+    into = "array<struct<bucket:bigint,q:bigint>>"
+    begin = F.struct(F.lit(0).cast("long").alias("q"), F.array().cast(into).alias("out"))
+    carried = F.aggregate("maps", begin, lambda acc, x: F.struct(
+        F.greatest(x["low"], F.least(acc["q"] + x["n"], x["high"])).alias("q"),
+        F.concat(acc["out"], F.array(F.struct(x["bucket"].alias("bucket"), acc["q"].alias("q")))).alias("out")), lambda acc: acc["out"])
+    maps = maps.select(*key, F.inline(carried))
+    chosen = "array<struct<pos:bigint,place:bigint>>"
+    enter = F.struct(F.col("q"), F.array().cast(chosen).alias("out"))
+
+    def choose(acc, x):
+        at = F.greatest(x["f"], acc["q"])
+        pick = F.struct(x["pos"].alias("pos"), F.when(at < x["l"], at).alias("place"))
+        return F.struct(_through(acc["q"], x["f"], x["l"]).alias("q"), F.concat(acc["out"], F.array(pick)).alias("out"))
+
+    picks = b.join(maps, [*key, "bucket"]).select(*key, F.inline(F.aggregate("rows", enter, choose, lambda acc: acc["out"])))
+    machines = marks.filter("kind = 2").select(*key, (F.col("n") - 1).alias("place"), F.col("t").alias("started_at"), F.col("pos").alias("copy"))
+    return picks.filter("place IS NOT NULL").join(machines, [*key, "place"]).select(*key, F.col("pos"), "started_at", "copy")
 
 
 def assign_replacements(downs: DataFrame, starts: DataFrame, lead_s: float = 180.0, pre_epoch_s: float = 60.0, width: float = 86400.0) -> DataFrame:
     """JN-11: give each down period of a slot the first unused machine that
     started in ``[t_out - 180 s, t_in)``, slots in ascending order, only
-    machines started after the first epoch - 60 s.
-
-    The assignment is greedy and order-dependent, but only periods whose
-    windows overlap can want the same machine: a run's windows are cut into
-    clusters where none reaches over, machines go to the cluster they started
-    in, and each cluster is a group of its own, not the run."""
-    d = downs.withColumns({"__a": F.col("t_out") - lead_s, "__b": F.coalesce(F.col("t_in"), F.lit(1e18))})
-    d = scan(d, ["run_id"], "__a", ["slot"], width=width, maxes={"__reach": F.col("__b")})
-    d = scan(d, ["run_id"], "__a", ["slot"], width=width, prevs={"__before": F.col("__reach")})
-    d = d.withColumn("__new", F.when(F.col("__before").isNull() | (F.col("__a") >= F.col("__before")), 1).otherwise(0))
-    d = scan(d, ["run_id"], "__a", ["slot"], width=width, sums={"cluster": "__new"})
-    reach = d.groupBy("run_id", "cluster").agg(F.min("__a").alias("from"), F.max("__b").alias("until"))
-    m = asof_join(starts.select("run_id", "started_at"), reach, ["run_id"], "started_at", "from", ["cluster", "until"], prefix="c_", width=width)
-    m = m.filter(F.col("started_at") < F.col("c_until"))
-    none = F.lit(None).cast("double")
-    u = d.select("run_id", "cluster", "slot", "t_out", "t_in", "first_epoch", none.alias("started_at")).unionByName(
-        m.select("run_id", F.col("c_cluster").alias("cluster"), F.lit(None).cast("int").alias("slot"), none.alias("t_out"), none.alias("t_in"), none.alias("first_epoch"), "started_at"))
-
-    def greedy(pdf):
-        import bisect
-
-        import pandas as pd
-
-        dn = pdf[pdf["slot"].notna()].sort_values(["slot", "t_out"])
-        free = sorted(x for x in pdf["started_at"].dropna() if len(dn) and x > dn["first_epoch"].min() - pre_epoch_s)
-        out = []
-        for r in dn.itertuples(index=False):
-            t_in = r.t_in if pd.notna(r.t_in) else float("inf")
-            k = bisect.bisect_left(free, r.t_out - lead_s)
-            if k < len(free) and free[k] < t_in:
-                out.append((r.run_id, int(r.slot), max(free.pop(k), r.t_out), t_in))
-        return pd.DataFrame(out, columns=["run_id", "slot", "a", "b"])
-
-    return u.groupBy("run_id", "cluster").applyInPandas(greedy, PROV_SCHEMA)
+    machines started after the first epoch - 60 s (after 0 in a run without epochs).
+    Periods of one slot don't overlap; an open one (null ``t_in``) is its last.
+
+    Rounds instead of a walk: every slot fits its periods into the machines that no lower
+    slot holds, then each machine belongs to the lowest slot that took it. Slot 0 is final
+    after the first round, slot n after n more at the latest; most runs have few slots that
+    want one machine, so two or three rounds settle them. A round is a few jobs, run while
+    the query is built, and its result (a row for each period that is served) is
+    checkpointed. No run, slot or open period is one task's work."""
+    from skiff.session import checkpoint_dir
+
+    checkpoint_dir(downs.sparkSession)
+    key = ["run_id", "slot"]
+    d = downs.select(*key, "t_out", "t_in", "first_epoch", (F.col("t_out") - lead_s).alias("from"), F.coalesce("t_in", F.lit(1e18)).alias("until"))
+    d = scan(d, key, "from", ["until"], width=width, sums={"pos": F.lit(1).cast("long")}).checkpoint()
+    runs = d.groupBy("run_id").agg(F.min("first_epoch").alias("first_epoch"), F.max("slot").alias("last"))
+    m = starts.select("run_id", "started_at").join(runs, "run_id").filter(
+        F.col("started_at") > F.coalesce(F.col("first_epoch") - pre_epoch_s, F.lit(0.0)))
+    m = m.groupBy("run_id", "started_at", "last").agg(F.count(F.lit(1)).alias("n")).select(
+        "run_id", "started_at", "last", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")).checkpoint()
+    machine = ["run_id", "started_at", "copy"]
+    held = None
+    while True:
+        owned = m.withColumn("holder", F.col("last")) if held is None else m.join(held, machine, "left")
+        free = owned.select(*machine, F.explode(F.sequence(F.lit(0), F.least("last", F.coalesce("holder", "last")))).alias("slot"))
+        taken = _first_fit(d, free, width).checkpoint()
+        now = taken.groupBy(*machine).agg(F.min("slot").alias("holder"))
+        if held is None:
+            moved = taken.groupBy(*machine).count().filter("count > 1")
+        else:
+            moved = held.withColumn("n", F.lit(-1)).unionByName(now.withColumn("n", F.lit(1))).groupBy(*machine, "holder").agg(F.sum("n").alias("n")).filter("n <> 0")
+        if moved.isEmpty():
+            break
+        held = now
+    return d.join(taken, [*key, "pos"]).select(
+        *key, F.greatest("started_at", "t_out").alias("a"), F.coalesce("t_in", F.lit(float("inf"))).alias("b"))
 
 
 def occupancy(timeline: DataFrame, ticks: DataFrame, ledger: DataFrame, target: int, width: float = 86400.0) -> DataFrame:
@@ -387,8 +438,8 @@ def occupancy(timeline: DataFrame, ticks: DataFrame, ledger: DataFrame, target:
     billable boxes changed; a down slot with a billable box or inside a
     replacement window reads provisioning; unchanged rows are dropped."""
     slots = F.sequence(F.lit(0), F.lit(target - 1))
-    base = timeline.select("run_id", "t", F.explode(slots).alias("slot"), "members", "master").select(
-        "run_id", "t", "slot",
+    base = timeline.select("run_id", "t", "event_id", F.explode(slots).alias("slot"), "members", "master").select(
+        "run_id", "t", "event_id", "slot",
         F.when(F.array_contains("members", F.col("slot")), F.when(F.col("slot") == F.col("master"), F.lit("leader")).otherwise(F.lit("training")))
         .otherwise(F.lit("down")).alias("state"), F.lit(1).alias("__ord"))
     first_ep = timeline.groupBy("run_id").agg(F.min("t").alias("first_epoch"))
@@ -400,15 +451,15 @@ def occupancy(timeline: DataFrame, ticks: DataFrame, ledger: DataFrame, target:
     boot_t = ticks.groupBy("run_id").agg(F.min_by(F.struct("t", "event_id"), F.struct("t", "event_id")).alias("b")).select("run_id", "b.t", "b.event_id")
     boot = boot_t.join(allpolls, ["run_id", "t", "event_id"]).join(first_ep, "run_id", "left").filter(
         F.col("first_epoch").isNull() | (F.col("t") < F.col("first_epoch")))
-    boot = boot.select("run_id", "t", F.explode(slots).alias("slot"), "boxed").select(
-        "run_id", "t", "slot", F.when(F.array_contains("boxed", F.col("slot")), F.lit("provisioning")).otherwise(F.lit("down")).alias("state"),
+    boot = boot.select("run_id", "t", "event_id", F.explode(slots).alias("slot"), "boxed").select(
+        "run_id", "t", "event_id", "slot", F.when(F.array_contains("boxed", F.col("slot")), F.lit("provisioning")).otherwise(F.lit("down")).alias("state"),
         F.lit(0).alias("__ord"))
     base = boot.unionByName(base)
     # down periods per slot: islands of consecutive base rows in state down
-    isl = islands(base.withColumn("__down", F.col("state") == "down"), ["run_id", "slot"], "t", ["__down"], ["__ord"], width=width, out="__i")
-    isl = scan(isl, ["run_id", "slot"], "t", ["__ord"], width=width, nexts={"__nt": F.col("t")})
+    isl = islands(base.withColumn("__down", F.col("state") == "down"), ["run_id", "slot"], "t", ["__down"], ["__ord", "event_id"], width=width, out="__i")
+    isl = scan(isl, ["run_id", "slot"], "t", ["__ord", "event_id"], width=width, nexts={"__nt": F.col("t")})
     downs = isl.filter("__down").groupBy("run_id", "slot", "__i").agg(
-        F.min("t").alias("t_out"), F.max_by("__nt", F.struct("t", "__ord")).alias("t_in")).join(first_ep, "run_id", "left")
+        F.min("t").alias("t_out"), F.max_by("__nt", F.struct("t", "__ord", "event_id")).alias("t_in")).join(first_ep, "run_id", "left")
     prov = assign_replacements(downs, ledger.select("run_id", "started_at"))
     # transition times
     chg = scan(allpolls, ["run_id"], "t", ["event_id"], width=width, prevs={"__pb": F.col("boxed")})
@@ -417,7 +468,7 @@ def occupancy(timeline: DataFrame, ticks: DataFrame, ledger: DataFrame, target:
     times = base.select("run_id", "t").unionByName(prov.select("run_id", F.col("a").alias("t"))).unionByName(
         chg.join(t_first, "run_id").filter(F.col("t") >= F.col("__tf")).select("run_id", "t")).distinct()
     grid = times.select("run_id", "t", F.explode(slots).alias("slot"))
-    g = asof_join(grid, base, ["run_id", "slot"], "t", "t", ["state"], prefix="b_", right_tiebreak=["__ord"], width=width)
+    g = asof_join(grid, base, ["run_id", "slot"], "t", "t", ["state"], prefix="b_", right_tiebreak=["__ord", "event_id"], width=width)
     g = asof_join(g, allpolls, ["run_id"], "t", "t", ["boxed"], prefix="p_", left_tiebreak=["slot"], right_tiebreak=["event_id"], width=width)
     g = asof_join(g, prov.select("run_id", "slot", "a", "b"), ["run_id", "slot"], "t", "a", ["b"], prefix="w_", left_tiebreak=[], width=width)
     st = F.coalesce(F.col("b_state"), F.lit("down"))

@@ -457,6 +457,48 @@ def q_occupancy(spark, sf):
 
 
 QUERIES["telemetry_occupancy"] = q_occupancy
+
+# the recursion walks a run's down periods, slots ascending, and keeps the machines it used
+_OCC = f"""box AS (SELECT k.run_id, k.t, k.event_id, coalesce(b.boxed, []::INTEGER[]) AS boxed FROM ticks k LEFT JOIN
+         (SELECT run_id, t, list_sort(list(DISTINCT CAST(node AS INTEGER))) AS boxed FROM tick_nodes
+          WHERE aws_state IN ('pending', 'running') GROUP BY ALL) b USING (run_id, t)),
+ep AS (SELECT run_id, min(t) AS first_epoch FROM tl GROUP BY 1),
+boot AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY t, event_id) AS rn FROM box)
+         LEFT JOIN ep USING (run_id) WHERE rn = 1 AND (first_epoch IS NULL OR t < first_epoch)),
+base AS (SELECT run_id, t, event_id, s.slot, CASE WHEN list_contains(boxed, s.slot) THEN 'provisioning' ELSE 'down' END AS state
+         FROM boot, (SELECT CAST(i AS INTEGER) AS slot FROM range(0, {TARGET}) r(i)) s
+         UNION ALL SELECT run_id, t, event_id, s.slot, CASE WHEN NOT list_contains(members, s.slot) THEN 'down'
+                          WHEN s.slot = master THEN 'leader' ELSE 'training' END
+         FROM tl, (SELECT CAST(i AS INTEGER) AS slot FROM range(0, {TARGET}) r(i)) s),
+base1 AS (SELECT *, lead(t) OVER w AS nt, sum(CASE WHEN state = 'down' THEN 0 ELSE 1 END) OVER w AS ups FROM base
+          WINDOW w AS (PARTITION BY run_id, slot ORDER BY t, event_id)),
+per AS (SELECT run_id, slot, min(t) AS t_out, last(nt ORDER BY t, event_id) AS t_in FROM base1 WHERE state = 'down' GROUP BY run_id, slot, ups),
+per1 AS (SELECT per.*, row_number() OVER (PARTITION BY run_id ORDER BY slot, t_out) AS n, first_epoch FROM per LEFT JOIN ep USING (run_id)),
+mach AS (SELECT run_id, started_at, row_number() OVER (PARTITION BY run_id ORDER BY started_at, instance_id) AS k FROM ledger),
+cand AS (SELECT p.run_id, p.n, list(m.k ORDER BY m.k) FILTER (m.k IS NOT NULL) AS ks FROM per1 p LEFT JOIN mach m ON m.run_id = p.run_id
+         AND m.started_at >= p.t_out - 180 AND m.started_at < coalesce(p.t_in, 1e18) AND m.started_at > coalesce(p.first_epoch - 60, 0) GROUP BY ALL),
+walk AS (SELECT run_id, CAST(0 AS BIGINT) AS n, []::BIGINT[] AS used, CAST(NULL AS BIGINT) AS pick FROM (SELECT DISTINCT run_id FROM cand)
+         UNION ALL SELECT run_id, n, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick FROM
+           (SELECT w.run_id, c.n, w.used, list_filter(c.ks, lambda x: NOT list_contains(w.used, x))[1] AS pick
+            FROM walk w JOIN cand c ON c.run_id = w.run_id AND c.n = w.n + 1)),
+prov AS (SELECT p.run_id, p.slot, greatest(m.started_at, p.t_out) AS a, coalesce(p.t_in, 'infinity'::DOUBLE) AS b
+         FROM walk w JOIN per1 p ON p.run_id = w.run_id AND p.n = w.n JOIN mach m ON m.run_id = w.run_id AND m.k = w.pick),
+moved AS (SELECT run_id, t FROM (SELECT run_id, t, boxed, lag(boxed) OVER (PARTITION BY run_id ORDER BY t, event_id) AS pb FROM box)
+          JOIN (SELECT run_id, min(t) AS tf FROM base GROUP BY 1) USING (run_id) WHERE pb IS NOT NULL AND pb <> boxed AND t >= tf),
+tms AS (SELECT run_id, t FROM base UNION SELECT run_id, a FROM prov UNION SELECT run_id, t FROM moved),
+lastbase AS (SELECT run_id, slot, t, last(state ORDER BY event_id) AS state FROM base GROUP BY ALL),
+lastbox AS (SELECT run_id, t, last(boxed ORDER BY event_id) AS boxed FROM box GROUP BY ALL),
+grid AS (SELECT run_id, t, CAST(i AS INTEGER) AS slot FROM tms, range(0, {TARGET}) r(i)),
+g1 AS (SELECT g.run_id, g.slot, g.t, b.state FROM grid g ASOF LEFT JOIN lastbase b ON b.run_id = g.run_id AND b.slot = g.slot AND g.t >= b.t),
+g2 AS (SELECT g.*, x.boxed FROM g1 g ASOF LEFT JOIN lastbox x ON x.run_id = g.run_id AND g.t >= x.t),
+g3 AS (SELECT g.*, EXISTS (SELECT 1 FROM prov v WHERE v.run_id = g.run_id AND v.slot = g.slot AND v.a <= g.t AND g.t < v.b) AS inside FROM g2 g),
+seen AS (SELECT run_id, t, list(CASE WHEN coalesce(state, 'down') = 'down' AND (inside OR coalesce(list_contains(boxed, slot), false)) THEN 'provisioning'
+                                ELSE coalesce(state, 'down') END ORDER BY slot) AS slots FROM g3 GROUP BY ALL),
+kept AS (SELECT *, lag(slots) OVER (PARTITION BY run_id ORDER BY t) AS ps FROM seen)"""
+ORACLE["telemetry_occupancy"] = "WITH RECURSIVE" + _ctes("ticks", "tick_nodes", "epoch_log", "ledger", extra=(_TL, _OCC)).removeprefix("WITH") + (
+    "SELECT run_id, CAST(floor(t * 1000) AS BIGINT) AS time, " + ", ".join(f"slots[{i + 1}] AS slot{i}" for i in range(TARGET))
+    + " FROM kept WHERE ps IS NULL OR ps <> slots"
+)
 ORACLE["telemetry_series_table"] = (
     f"SELECT run_id, {', '.join(TS_COLUMNS)} FROM ({ORACLE['telemetry_run_series']}) s\n"
     f"UNION ALL SELECT run_id, {', '.join(TS_COLUMNS)} FROM ({ORACLE['telemetry_boot_rows']}) b"

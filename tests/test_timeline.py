@@ -123,3 +123,56 @@ def test_occupancy_grid_with_replacement(spark):
         (500000, "leader", "training", "provisioning"), (510000, "leader", "training", "down"),
         (650000, "leader", "training", "provisioning"), (700000, "leader", "provisioning", "provisioning"), (900000, "leader", "training", "training"),
     ]
+
+
+def _walk(downs, starts, lead=180.0, pre=60.0):
+    """First fit one period after the other: slots ascending, each slot in time order."""
+    out = []
+    for run in {d[0] for d in downs}:
+        mine = [d for d in downs if d[0] == run]
+        firsts = [d[4] for d in mine if d[4] is not None]
+        after = min(firsts) - pre if firsts else 0.0
+        free = sorted(s for r, s in starts if r == run and s > after)
+        for _, slot, t_out, t_in, _ in sorted(mine, key=lambda d: (d[1], d[2])):
+            until = float("inf") if t_in is None else t_in
+            fits = [s for s in free if t_out - lead <= s < until]
+            if fits:
+                free.remove(fits[0])
+                out.append((run, slot, max(fits[0], t_out), until))
+    return sorted(out)
+
+
+def _replaced(spark, downs, starts, **kw):
+    d = spark.createDataFrame(downs, "run_id string, slot int, t_out double, t_in double, first_epoch double").repartition(3)
+    s = spark.createDataFrame(starts, "run_id string, started_at double").repartition(3)
+    return sorted(tuple(r) for r in T.assign_replacements(d, s, **kw).select("run_id", "slot", "a", "b").collect())
+
+
+def test_replacements_equal_a_walk_over_periods(spark):
+    """Slots that flap within the lead time, machines that are scarce, equal starts, starts on
+    a bound, open periods, a run without epochs, cut into short and long buckets."""
+    import random
+
+    rng = random.Random(7)
+    downs, starts = [], []
+    for r in range(12):
+        run, first = f"r{r}", None if r == 0 else 100.0
+        for slot in range(rng.randint(1, 5)):
+            t = rng.randint(0, 20) * 20.0
+            for _ in range(rng.randint(1, 25)):
+                back = t + rng.randint(1, 12) * 20.0
+                open_end = rng.random() < 0.05
+                downs.append((run, slot, t, None if open_end else back, first))
+                if open_end:
+                    break
+                t = back + rng.randint(0, 10) * 20.0
+        starts += [(run, rng.randint(0, 300) * 20.0) for _ in range(rng.choice([0, 5, 20, 60, 150]))]
+    want = _walk(downs, starts)
+    assert len(want) > 100
+    assert _replaced(spark, downs, starts, width=300.0) == want
+    assert _replaced(spark, downs, starts) == want
+
+
+def test_replacements_of_empty_tables(spark):
+    assert _replaced(spark, [], [("r", 5.0)]) == []
+    assert _replaced(spark, [("r", 0, 1.0, None, 0.0)], []) == []
