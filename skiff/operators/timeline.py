@@ -398,8 +398,9 @@ def assign_replacements(downs: DataFrame, starts: DataFrame, lead_s: float = 180
 
     Rounds instead of a walk: every slot fits its periods into the machines that no lower
     slot holds, then each machine belongs to the lowest slot that took it. Slot 0 is final
-    after the first round, slot n after n more at the latest; most runs have few slots that
-    want one machine, so two or three rounds settle them. A round is a few jobs, run while
+    after the first round, slot n after n more at the latest, and a round that moves nothing
+    is the last: two or three where few slots want one machine, slots + 1 where all are down
+    at once and want the same ones. A round is a few jobs, run while
     the query is built, and its result (a row for each period that is served) is
     checkpointed. No run, slot or open period is one task's work."""
     from skiff.session import checkpoint_dir

@@ -107,6 +107,12 @@ def q_sliding(spark, sf):
     return _drained(L.sliding_rates(_source(d), "1 hour", "20 minutes"), "complete")
 
 
+def q_rates(spark, sf):
+    """Counters that start again with every thousandth event, in windows of a day."""
+    c = D.events_base(spark, sf).select(F.concat(F.lit("w"), F.col("user_id") % 50).alias("worker_id"), F.col("t").alias("ts"), (F.col("event_id") % 1000).alias("requests"))
+    return _phased(lambda d: L.extrapolated_rates(d, ["worker_id"], "requests", "24 hours", "6 hours", f"{LATE} seconds"), c, "ts")
+
+
 def q_gauges(spark, sf):
     return _drained(L.latest_gauges(_source(D.scrape_records(spark, sf).select("worker_id", "ts", "ok", "in_flight"))), "complete")
 
@@ -188,6 +194,7 @@ QUERIES = {
     "stream_per_second": q_per_second,
     "stream_counter_deltas": q_deltas,
     "stream_sliding_rates": q_sliding,
+    "stream_extrapolated_rates": q_rates,
     "stream_latest_gauges": q_gauges,
     "stream_node_states": q_nodes,
     "stream_liveness": q_liveness,
@@ -220,6 +227,17 @@ ORACLE = {
         FROM scrape WINDOW w AS (PARTITION BY worker_id ORDER BY ts))""", "scrape"),
     "stream_sliding_rates": with_views("""SELECT worker_id, start, sum(k)::BIGINT AS increase, sum(k) / 3600.0::DOUBLE AS rate FROM (
         SELECT 'w' || user_id % 10 AS worker_id, k, unnest([t_us // 1200000000 * 1200, t_us // 1200000000 * 1200 - 1200, t_us // 1200000000 * 1200 - 2400]) AS start FROM ev) GROUP BY 1, 2""", "ev"),
+    "stream_extrapolated_rates": with_views(f"""SELECT worker_id, start, n AS samples, up * x / between AS increase, up * x / between / 86400 AS rate FROM (
+        SELECT *, between + CASE WHEN up > 0 AND v0 >= 0 THEN least(before, between * v0 / up) ELSE before END + after AS x FROM (
+          SELECT *, CASE WHEN t0 - start >= 1.1::DOUBLE * mean THEN mean / 2 ELSE t0 - start END AS before,
+            CASE WHEN start + 86400 - t1 >= 1.1::DOUBLE * mean THEN mean / 2 ELSE start + 86400 - t1 END AS after FROM (
+            SELECT worker_id, start, count(*) AS n, min(ts) AS t0, max(ts) AS t1, max(ts) - min(ts) AS between, (max(ts) - min(ts)) / (count(*) - 1) AS mean,
+              first(v ORDER BY ts) AS v0, coalesce(sum(CASE WHEN p IS NULL THEN 0 WHEN v < p THEN v ELSE v - p END), 0)::DOUBLE AS up FROM (
+              SELECT *, lag(v) OVER (PARTITION BY worker_id, start ORDER BY ts) AS p FROM (
+                SELECT worker_id, ts, max(v) AS v, unnest([floor(ts / 21600) * 21600 - 21600 * i for i in range(4)])::BIGINT AS start FROM (
+                  SELECT 'w' || user_id % 50 AS worker_id, t AS ts, (event_id % 1000)::DOUBLE AS v FROM ev) GROUP BY worker_id, ts))
+            GROUP BY worker_id, start HAVING count(*) > 1)))
+        WHERE start + 86400 <= (SELECT max(t) FROM ev) - {LATE}""", "ev"),
     "stream_latest_gauges": with_views("SELECT worker_id, ts, greatest(in_flight - 1, 0) AS queued FROM (SELECT *, row_number() OVER (PARTITION BY worker_id ORDER BY ts DESC) AS r FROM scrape) WHERE r = 1 AND ok", "scrape"),
     "stream_node_states": with_views("""SELECT run_id, node, attempt, t, CASE WHEN dead THEN 'dead' ELSE 'live' END AS state,
         CASE WHEN dead AND NOT coalesce(was, false) THEN 'dead' WHEN was IS NULL THEN 'new' END AS transition FROM (

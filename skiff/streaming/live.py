@@ -231,13 +231,60 @@ def counter_deltas(samples: DataFrame, watermark: str = "10 minutes", idle: floa
 
 def sliding_rates(deltas: DataFrame, duration: str = "1 minute", slide: str = "20 seconds", watermark: str = "2 minutes") -> DataFrame:
     """ST-05: ``rate``/``increase`` over sliding windows from per-series
-    deltas (no range extrapolation, unlike PromQL)."""
+    deltas, as they are; ``extrapolated_rates`` draws them out to the window's ends."""
     d = event_time(deltas, "ts").withWatermark("event_time", watermark)
     secs = F.unix_seconds(F.col("w.end")) - F.unix_seconds(F.col("w.start"))
     g = d.groupBy("worker_id", F.window("event_time", duration, slide).alias("w")).agg(F.sum("d_requests").alias("increase"))
     return g.select("worker_id", F.unix_seconds(F.col("w.start")).alias("start"), "increase", (F.col("increase") / secs).alias("rate"))
 
 
+def extrapolated_rates(
+    samples: DataFrame, keys: list[str], value: str, duration: str = "1 minute", slide: str = "20 seconds", watermark: str = "2 minutes", time: str = "ts"
+) -> DataFrame:
+    """ST-05: rates of counters over sliding windows ``[start, end)``, drawn out to the ends of
+    the window as the dashboards' ``rate`` does.
+
+    The increase sums the steps between neighbouring samples; a step down is a reset, after
+    which the counter ran from zero.  An end of the window that lies less than 1.1 mean
+    intervals from its nearest sample is reached, a farther one by half an interval, and at
+    the start a counter isn't drawn below zero.  ``increase`` and ``rate`` are of the whole
+    window; one of fewer than two samples has no row.  Nulls are no samples; of a series'
+    samples of one time the greatest counts.
+
+    Two chained aggregations (append): a pane of ``slide`` becomes its ends, count and
+    increase, which windows put together, so a sample is held once, however many windows
+    take it.  ``duration`` is a multiple of ``slide``.  For streams and tables."""
+    span = samples.sparkSession.sql(f"SELECT cast(INTERVAL {duration} AS INTERVAL DAY TO SECOND) AS d, cast(INTERVAL {slide} AS INTERVAL DAY TO SECOND) AS s").first()
+    if span.d % span.s:
+        raise ValueError(f"{duration} is no multiple of {slide}")
+    s = samples.select(*keys, F.col(time).cast("double").alias("__t"), F.col(value).cast("double").alias("__v")).dropna(subset=["__t", "__v"])
+    s = event_time(s, "__t", "__at").withWatermark("__at", watermark)
+    panes = s.groupBy(*keys, F.window("__at", slide).alias("w")).agg(F.array_sort(F.collect_set(F.struct(F.col("__t").alias("t"), F.col("__v").alias("v")))).alias("__s"))
+    last = F.size("__s") - 1
+    panes = panes.withColumn("__s", F.filter("__s", lambda x, i: (i == last) | (F.get("__s", i + 1)["t"] != x["t"])))
+    # first sample, last sample, number and increase between them
+    one = F.transform("__s", lambda x: F.struct(x["t"].alias("t0"), x["v"].alias("v0"), x["t"].alias("t1"), x["v"].alias("v1"), F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("up")))
+
+    def put(a, b):
+        step = F.when(b["v0"] < a["v1"], b["v0"]).otherwise(b["v0"] - a["v1"])
+        return F.struct(a["t0"].alias("t0"), a["v0"].alias("v0"), b["t1"].alias("t1"), b["v1"].alias("v1"), (a["n"] + b["n"]).alias("n"), (a["up"] + step + b["up"]).alias("up"))
+
+    def together(parts):
+        return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.get(parts, F.lit(0)), put)
+
+    panes = panes.select(*keys, "w", together(one).alias("__p"))
+    g = panes.groupBy(*keys, F.window(F.window_time("w"), duration, slide).alias("w")).agg(F.array_sort(F.collect_list("__p")).alias("__p"))
+    g = g.select(*keys, F.unix_seconds(F.col("w.start")).alias("start"), F.unix_seconds(F.col("w.end")).alias("end"), together(F.col("__p")).alias("p")).select(*keys, "start", "end", "p.*")
+    g = g.filter("n > 1")
+    between = F.col("t1") - F.col("t0")
+    mean = between / (F.col("n") - 1)
+    reach = lambda gap: F.when(gap >= 1.1 * mean, mean / 2).otherwise(gap)
+    before = reach(F.col("t0") - F.col("start"))
+    before = F.when((F.col("up") > 0) & (F.col("v0") >= 0), F.least(before, between * F.col("v0") / F.col("up"))).otherwise(before)
+    increase = F.col("up") * (between + before + reach(F.col("end") - F.col("t1"))) / between
+    return g.select(*keys, "start", F.col("n").alias("samples"), increase.alias("increase"), (increase / (F.col("end") - F.col("start"))).alias("rate"))
+
+
 def latest_gauges(samples: DataFrame) -> DataFrame:
     """ST-06: latest gauge per worker (complete mode); failed workers drop
     out instead of freezing at their last value."""
