@@ -57,6 +57,16 @@ def char_ids(docs: DataFrame, vocab: DataFrame, text: str = "text", out: str = "
 
     An Arrow batch is one array of code points, encoded by a table indexed by
     code point: the time per character doesn't depend on the vocabulary."""
+    return _char_encoded(docs, vocab, text, out)
+
+
+def char_lengths(docs: DataFrame, vocab: DataFrame, text: str = "text") -> DataFrame:
+    """``unknown`` and ``len`` of ``char_ids`` alone, for plans that don't read the ids: they
+    are neither formed nor handed back."""
+    return _char_encoded(docs, vocab, text, None)
+
+
+def _char_encoded(docs: DataFrame, vocab: DataFrame, text: str, out: str | None) -> DataFrame:
     codes = _vocab_codes(vocab)
     shared = docs.sparkSession.sparkContext.broadcast(codes)
     keep = [c for c in docs.columns if c != text]
@@ -69,20 +79,24 @@ def char_ids(docs: DataFrame, vocab: DataFrame, text: str = "text", out: str = "
             n = pc.utf8_length(col).to_numpy().astype(np.int64)
             points = np.frombuffer("".join(col.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
             ids = table[points]
-            doc = np.repeat(np.arange(len(n)), n)
+            ends = np.cumsum(n)
             known = ids >= 0
-            size = np.bincount(doc[known], minlength=len(n)) + 1
-            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            values = np.full(offsets[-1], len(shared.value), np.int32)
-            body = np.ones(len(values), bool)
-            body[offsets[1:] - 1] = False
-            values[body] = ids[known]
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.record_batch([*(batch.column(c) for c in keep), lists, pa.array((n - size + 1).astype(np.int32)), pa.array(size.astype(np.int32))], names=[*keep, out, "unknown", "len"])
-
-    schema = T.StructType([docs.schema[c] for c in keep] + [
-        T.StructField(out, T.ArrayType(T.IntegerType())), T.StructField("unknown", T.IntegerType()), T.StructField("len", T.IntegerType())
-    ])
+            size = np.diff(np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], ends])]) + 1
+            cols = [*(batch.column(c) for c in keep)]
+            if out is not None:
+                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                values = np.full(offsets[-1], len(shared.value), np.int32)
+                body = np.ones(len(values), bool)
+                body[offsets[1:] - 1] = False
+                values[body] = ids[known]
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
+            yield pa.record_batch([*cols, pa.array((n - size + 1).astype(np.int32)), pa.array(size.astype(np.int32))], names=names)
+
+    made = [T.StructField("unknown", T.IntegerType()), T.StructField("len", T.IntegerType())]
+    if out is not None:
+        made.insert(0, T.StructField(out, T.ArrayType(T.IntegerType())))
+    schema = T.StructType([docs.schema[c] for c in keep] + made)
+    names = schema.names
     return docs.mapInArrow(run, schema)
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from skiff.functions.tokenize import char_ids, char_vocab
+from skiff.functions.tokenize import char_ids, char_lengths, char_vocab
 from skiff.operators import corpus as C
 from skiff.session import scratch_path
 from skiff.sources.tables import table
@@ -31,16 +31,19 @@ def _encoded(spark, sf):
 
 def _tokens(spark, sf):
     """Tokenized documents with their split, written once to the shared
-    checkpoint folder as Parquet (the token cache every later stage reads;
-    stages that need lengths read that column alone)."""
+    checkpoint folder as Parquet (the token cache of stages that read ids)."""
     path = f"{scratch_path(spark, 'tokens')}-{uuid.uuid4().hex}"
     _encoded(spark, sf).write.parquet(path)
     return spark.read.parquet(path)
 
 
 def _lengths(spark, sf):
-    """``(doc_id, split, len)`` of the token cache."""
-    return _tokens(spark, sf).select("doc_id", "split", "len")
+    """``(doc_id, split, len)`` of the tokenized documents, written once likewise: plans read
+    them several times, and texts once."""
+    docs = _docs(spark, sf)
+    path = f"{scratch_path(spark, 'lengths')}-{uuid.uuid4().hex}"
+    char_lengths(C.holdout_split(docs), char_vocab(docs)).select("doc_id", "split", "len").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _offsets(spark, sf):
