@@ -167,14 +167,15 @@ SINCE = 1_704_240_000.0  # 2024-01-03
 
 
 def q_advisor(spark, sf):
-    """Advisor documents, one a region, with the orders' customers as machine types; a region has
-    up to 500 types, and records are taken of all types that the orders name."""
+    """Advisor documents as text, one a region, with the orders' customers as machine types; a
+    region has up to 500 types, and records are taken of all types that the orders name."""
     o = table(spark, sf, "orders").selectExpr("concat('region-', o_custkey div 500) as region", "concat('m', o_custkey) as type", "cast(o_custkey % 5 as int) as r", "cast(o_custkey % 90 as int) as s").distinct()
     by = o.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("type", F.struct("r", "s").alias("v")))).alias("types"))
     ranges = F.array(*[F.struct(F.lit(i).alias("index"), F.lit(f"{5 * i}%").alias("label")) for i in range(4)])
     doc = by.select(F.create_map("region", F.create_map(F.lit("Linux"), "types", F.lit("Windows"), "types")).alias("spot_advisor"), ranges.alias("ranges"))
     types = o.select(F.col("type").alias("instance_type"))
-    return R.advisor_records(doc, types, F.lit("t0"), F.lit(1.0)).select("region", "instance_type", "interruption_index", "interruption_range", "savings_pct")
+    lines = doc.select(F.to_json(F.struct("ranges", "spot_advisor")).alias("line"))
+    return R.advisor_documents(lines, types, F.lit("t0"), F.lit(1.0)).select("region", "instance_type", "interruption_index", "interruption_range", "savings_pct")
 
 
 def q_load_points(spark, sf):

@@ -315,21 +315,44 @@ def spot_lines(lines: DataFrame, since_t: float | None = None) -> DataFrame:
     return d.filter(F.col("_corrupt_record").isNull() & F.col("type").isNotNull()).drop("_corrupt_record")
 
 
+def _advised(recs: DataFrame, types: list[str] | DataFrame, tick_id: Column, t: Column) -> DataFrame:
+    """Records of the wanted types from ``(region, instance_type, r, s, ranges)``; the label is
+    that of the document's own ``ranges`` (the last of an index), "" without one."""
+    recs = recs.filter(F.col("instance_type").isin(types)) if isinstance(types, list) else recs.join(types, "instance_type", "left_semi")
+    label = F.try_element_at(F.filter("ranges", lambda x: x["index"] == F.col("r")), F.lit(-1))["label"]
+    return recs.select(
+        F.lit("interruption").alias("type"), tick_id.alias("tick_id"), t.alias("t"), "region", "instance_type",
+        F.col("r").alias("interruption_index"), F.col("s").alias("savings_pct"), F.coalesce(label, F.lit("")).alias("interruption_range"),
+    )
+
+
 def advisor_records(doc: DataFrame, types: list[str] | DataFrame, tick_id: Column, t: Column) -> DataFrame:
     """SRC-12: flatten ``spot_advisor: region -> os -> type -> {r, s}`` into
     one record per (region, type) for Linux, labels from ``ranges``.  Any number of
     documents; ``types`` is a short list or a DataFrame with ``instance_type``."""
-    ranges = doc.select(F.explode("ranges").alias("r")).groupBy(F.col("r.index").alias("interruption_index")).agg(F.min("r.label").alias("interruption_range"))
-    regions = doc.select(F.explode("spot_advisor").alias("region", "by_os"))
-    recs = regions.select("region", F.explode(F.col("by_os")["Linux"]).alias("instance_type", "v"))
-    recs = recs.filter(F.col("instance_type").isin(types)) if isinstance(types, list) else recs.join(types, "instance_type", "left_semi")
-    recs = recs.select(
-        F.lit("interruption").alias("type"), tick_id.alias("tick_id"), t.alias("t"), "region", "instance_type",
-        F.col("v.r").alias("interruption_index"), F.col("v.s").alias("savings_pct"),
-    )
-    return recs.join(ranges, on="interruption_index", how="left").withColumn(
-        "interruption_range", F.coalesce(F.col("interruption_range"), F.lit(""))
+    regions = doc.select("*", F.explode("spot_advisor").alias("region", "__by_os"))
+    recs = regions.select("*", F.explode(F.col("__by_os")["Linux"]).alias("instance_type", "__v"))
+    return _advised(recs.withColumns({"r": F.col("__v.r"), "s": F.col("__v.s")}), types, tick_id, t)
+
+
+def advisor_documents(lines: DataFrame, types: list[str] | DataFrame, tick_id: Column, t: Column, doc: str = "line") -> DataFrame:
+    """SRC-12 from the documents' text, one a row: parsed once into a variant, whose regions
+    and types are then rows (``variant_explode``), so no schema names them and no map of a
+    region is built.  Rows carry the wanted fields only; a document that isn't JSON (null,
+    empty, torn) and a region without Linux have none.  Other columns of ``lines`` may make
+    up ``tick_id`` and ``t``."""
+    tvf = lines.sparkSession.tvf
+    d = lines.select("*", F.try_parse_json(doc).alias("__d")).select(
+        tick_id.alias("__id"), t.alias("__t"),
+        F.try_variant_get("__d", "$.ranges", "array<struct<index:int,label:string>>").alias("ranges"),
+        F.try_variant_get("__d", "$.spot_advisor", "variant").alias("__s"),
     )
+    r = d.lateralJoin(tvf.variant_explode(F.col("__s").outer()))
+    r = r.select("__id", "__t", "ranges", F.col("key").alias("region"), F.try_variant_get("value", "$.Linux", "variant").alias("__s"))
+    r = r.lateralJoin(tvf.variant_explode(F.col("__s").outer()))
+    r = r.select("__id", "__t", "ranges", "region", F.col("key").alias("instance_type"),
+                 F.try_variant_get("value", "$.r", "int").alias("r"), F.try_variant_get("value", "$.s", "int").alias("s"))
+    return _advised(r.filter(F.col("instance_type").isNotNull()), types, F.col("__id"), F.col("__t"))
 
 
 REPORT_FIELDS = [

@@ -46,6 +46,27 @@ def test_profiles_samples_advisor_discover(spark, tmpdir_path):
     assert d == [(0, "status", True), (1, "listing", True)]
 
 
+def test_advisor_documents_as_variants(spark):
+    """Labels of the document's own ranges, other systems, torn and empty documents, missing numbers."""
+    one = {"ranges": [{"index": 0, "label": "<5%"}, {"index": 1, "label": "5-10%"}, {"index": 1, "label": "5-9%"}],
+           "spot_advisor": {"eu": {"Linux": {"a.large": {"r": 1, "s": 60}, "b.large": {"r": 0}, "c.large": {"r": 3, "s": 1}}, "Windows": {"a.large": {"r": 0, "s": 9}}},
+                            "us": {"Windows": {"a.large": {"r": 0, "s": 8}}}}}
+    two = {"ranges": [{"index": 1, "label": "other"}, {"index": 2}], "spot_advisor": {"eu": {"Linux": {"a.large": {"r": 1, "s": 5}, "b.large": {"r": 2, "s": 6}}}}}
+    rows = [("t1", json.dumps(one)), ("t2", json.dumps(two)), ("t3", json.dumps(one)[:80]), ("t4", ""), ("t5", None), ("t6", "[]"), ("t7", '{"spot_advisor": null}'), ("t8", '{"spot_advisor": {"x": {"Linux": {"a.large": {"r": 0, "s": 2}}}}}')]
+    lines = spark.createDataFrame(rows, "tick string, line string")
+    types = spark.createDataFrame([("a.large",), ("b.large",), ("c.large",), ("d.large",)], "instance_type string")
+    want = [("t1", "eu", "a.large", 1, 60, "5-9%"), ("t1", "eu", "b.large", 0, None, "<5%"), ("t1", "eu", "c.large", 3, 1, ""),
+            ("t2", "eu", "a.large", 1, 5, "other"), ("t2", "eu", "b.large", 2, 6, ""), ("t8", "x", "a.large", 0, 2, "")]
+    cols = ["tick_id", "region", "instance_type", "interruption_index", "savings_pct", "interruption_range"]
+    got = S.advisor_documents(lines, types, F.col("tick"), F.lit(5.0)).select(*cols)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    some = S.advisor_documents(lines, ["b.large"], F.col("tick"), F.lit(5.0)).select(*cols)
+    assert sorted(tuple(r) for r in some.collect()) == [w for w in want if w[2] == "b.large"]
+    typed = lines.filter("tick IN ('t1', 't2')").select("tick", F.from_json("line", "ranges array<struct<index:int,label:string>>, spot_advisor map<string,map<string,map<string,struct<r:int,s:int>>>>").alias("d")).select("tick", "d.*")
+    assert sorted(tuple(r) for r in S.advisor_records(typed, types, F.col("tick"), F.lit(5.0)).select(*cols).collect()) == want[:5]
+    assert S.advisor_documents(lines.limit(0), types, F.col("tick"), F.lit(5.0)).count() == 0
+
+
 def test_writers_misc(spark, tmpdir_path):
     rec = spark.createDataFrame([("us-east-1", 1_700_000_000.12345)], "region string, t double")
     W.append_shards(rec, f"{tmpdir_path}/shards")
