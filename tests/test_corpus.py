@@ -8,7 +8,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from skiff.functions.tokenize import bpe_ids, byte_ids, char_ids, char_vocab, decode_chars, tiktoken_from_ranks
+from skiff.functions.tokenize import bpe_ids, byte_ids, char_ids, char_lengths, char_vocab, decode_chars, tiktoken_from_ranks
 from skiff.operators import corpus as C
 
 
@@ -140,3 +140,14 @@ def test_sample_grid_keeps_all_rows_in_any_order(spark):
         assert sorted((tuple(r) for r in sample_grid(df).collect()), key=str) == want
     with pytest.raises(Exception, match="more than 1 prompts"):
         sample_grid(df, max_prompts=1).collect()
+
+
+def test_lengths_without_ids(spark):
+    """``len`` and ``unknown`` as ``char_ids`` has them: unknown characters, empty and null texts, an empty table."""
+    vocab = char_vocab(spark.createDataFrame([("abc\u00e9 \U0001f600",)], "text string"))
+    rows = [(1, "abc"), (2, ""), (3, None), (4, "xaxb\U0001f600\u00e9"), (5, "zzz"), (1, "abc"), (6, "ab " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(tuple(r) for r in char_ids(docs, vocab).select("doc_id", "unknown", "len").collect())
+    assert sorted(tuple(r) for r in char_lengths(docs, vocab).collect()) == want
+    assert (4, 2, 5) in want and (3, 0, 1) in want and (5, 3, 1) in want
+    assert char_lengths(docs.limit(0), vocab).count() == 0
