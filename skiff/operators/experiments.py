@@ -242,11 +242,10 @@ def clean_projection(steps: DataFrame, budget: DataFrame, facts: DataFrame | Non
         F.count(F.lit(1)).alias("n"), (F.sum("ms") / 1000.0).alias("sum_s"), F.first("med").alias("med"),
     )
     cyc = stall_cycles(steps, indexed=(s, med))
-    cw = cyc.withColumn("__c", F.col("cycle").cast("double"))
-    cw = scan(cw, ["run_id"], "__c", width=1e6, prevs={"__ps": F.col("start_idx")})
-    per = cw.groupBy("run_id").agg(
+    # the mean distance of neighbouring cycles: the distances add up to last - first
+    per = cyc.groupBy("run_id").agg(
         F.avg("excess_s").alias("cycle_excess_s"),
-        F.avg(F.col("start_idx") - F.col("__ps")).alias("cycle_period_steps"),
+        F.try_divide(F.max("start_idx") - F.min("start_idx"), F.count(F.lit(1)) - 1).alias("cycle_period_steps"),
     )
     out = base.join(per, on="run_id", how="left").join(budget, on="run_id")
     amort = F.col("steady_s") + F.col("cycle_excess_s") / F.col("cycle_period_steps")
