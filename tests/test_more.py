@@ -117,3 +117,21 @@ def test_comparison_rows(spark):
     cost = spark.createDataFrame([("r", 1.5)], "run_id string, usd double")
     row = X.comparison_rows(summary, phases, cost).collect()[0]
     assert (row.steps, row.training, row.downtime, row.usd) == (100, 50.0, 5.0, 1.5)
+
+
+def test_clean_projection_of_many_one_and_no_cycles(spark):
+    """Steps of 100 ms, a warm-up of 900 ms and stalls of 500 ms: cycles that begin at 20, 50 (two
+    stalls four apart) and 90, a run of one cycle, and one without."""
+    stalls = {"many": {20, 50, 54, 90}, "one": {30}, "none": set()}
+    rows = [(r, i, float(i), 900 if i == 1 else 500 if i in at else 100) for r, at in stalls.items() for i in range(1, 101)]
+    steps = spark.createDataFrame(rows, "run_id string, event_id long, t double, ms int").repartition(3)
+    budget = spark.createDataFrame([(r, 100.0) for r in stalls], "run_id string, budget_s double")
+    got = {r.run_id: r for r in X.clean_projection(steps, budget).collect()}
+    for run, excess, period in (("many", 1.6 / 3, 35.0), ("one", 0.4, None), ("none", None, None)):
+        r = got[run]
+        assert r.cycle_period_steps == period and abs(r.steady_s - 0.1) < 1e-9 and abs(r.warmup_s - 0.8) < 1e-9
+        assert (r.cycle_excess_s is None) == (excess is None) and (excess is None or abs(r.cycle_excess_s - excess) < 1e-9)
+    m = got["many"]
+    assert abs(m.steps_model - (100.0 - 0.8) / (0.1 + 1.6 / 3 / 35)) < 1e-6 and got["one"].steps_model is None
+    # 95 steps of 0.1 s, the warm-up and four stalls
+    assert abs(m.steps_naive - 100.0 * 100 / (9.5 + 0.9 + 2.0)) < 1e-6
