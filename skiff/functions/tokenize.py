@@ -3,7 +3,7 @@
 * ``char_vocab`` / ``char_ids`` — character-level vocabulary (sorted distinct
   characters -> ids, end-of-text = vocabulary size): the vocabulary is bounded
   by Unicode (< 1.2 M entries) and broadcast as a table by code point, through
-  which whole Arrow batches are encoded.
+  which Arrow batches are encoded, a megabyte of text at a time.
 * ``byte_ids`` — UTF-8 bytes (end-of-text 256) as an Arrow-batched pandas UDF.
 * ``bpe_ids`` — any BPE encoder with ``encode_ordinary`` (tiktoken), built
   once per Python worker from a user-supplied ranks file, through
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BYTE_EOT = 256
+PART_BYTES = 1 << 20  # text encoded at a time
 
 
 def chars(text: Column) -> Column:
@@ -55,7 +56,7 @@ def char_ids(docs: DataFrame, vocab: DataFrame, text: str = "text", out: str = "
     (the reference raises on them; callers filter or fail on it).  Null texts
     are end-of-text alone.
 
-    An Arrow batch is one array of code points, encoded by a table indexed by
+    A stretch of an Arrow batch is one array of code points, encoded by a table indexed by
     code point: the time per character doesn't depend on the vocabulary."""
     return _char_encoded(docs, vocab, text, out)
 
@@ -66,6 +67,16 @@ def char_lengths(docs: DataFrame, vocab: DataFrame, text: str = "text") -> DataF
     return _char_encoded(docs, vocab, text, None)
 
 
+def _parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """``batch`` in stretches of rows, each of ``PART_BYTES`` of text and one document at most:
+    encoding holds some 30 bytes a character, and a batch of Spark's is up to 64 MB."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64)
+    part = (np.cumsum(size) - size) // PART_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
 def _char_encoded(docs: DataFrame, vocab: DataFrame, text: str, out: str | None) -> DataFrame:
     codes = _vocab_codes(vocab)
     shared = docs.sparkSession.sparkContext.broadcast(codes)
@@ -74,7 +85,7 @@ def _char_encoded(docs: DataFrame, vocab: DataFrame, text: str, out: str | None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.full(0x110000, -1, np.int32)
         table[shared.value] = np.arange(len(shared.value), dtype=np.int32)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, text)):
             col = pc.fill_null(batch.column(text), "")
             n = pc.utf8_length(col).to_numpy().astype(np.int64)
             points = np.frombuffer("".join(col.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)

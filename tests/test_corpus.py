@@ -151,3 +151,33 @@ def test_lengths_without_ids(spark):
     assert sorted(tuple(r) for r in char_lengths(docs, vocab).collect()) == want
     assert (4, 2, 5) in want and (3, 0, 1) in want and (5, 3, 1) in want
     assert char_lengths(docs.limit(0), vocab).count() == 0
+
+
+def test_encoding_holds_a_stretch_of_a_batch(spark, monkeypatch):
+    """Memory to encode a batch doesn't grow with the batch; rows and order are those of the whole."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = ["", None, "a" * 9_000, "bé" * 2_000, "", "a€😀" * 700] * 800
+    docs = spark.createDataFrame([(0, "abé€😀")], "doc_id long, text string")
+    vocab, runs = char_vocab(docs), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(run))
+    char_ids(docs, vocab)
+    char_lengths(docs, vocab)
+    ids = {c: k for k, c in enumerate("abé€😀")}
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    for run in runs:
+        tracemalloc.start()
+        row = 0
+        for part in run(iter([batch])):
+            for k, n in zip(part["doc_id"].to_pylist(), part["len"].to_pylist()):
+                assert k == row and n == len(texts[k] or "") + 1
+                row += 1
+            if "ids" in part.schema.names and part["doc_id"][0].as_py() == 0:
+                assert part["ids"][:6].to_pylist() == [[*(ids[c] for c in t or ""), len(ids)] for t in texts[:6]]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert row == len(texts)
+        assert peak < 100e6  # the whole batch at once: some 350 MB
+    assert [p.num_rows for p in runs[0](iter([batch.slice(0, 0)]))] == [0]
