@@ -31,9 +31,10 @@ def _encoded(spark, sf):
 
 def _tokens(spark, sf):
     """Tokenized documents with their split, written once to the shared
-    checkpoint folder as Parquet (the token cache of stages that read ids)."""
+    checkpoint folder as Parquet (the token cache of stages that read ids), with a
+    number of its own for every ``row``: ids of documents may repeat."""
     path = f"{scratch_path(spark, 'tokens')}-{uuid.uuid4().hex}"
-    _encoded(spark, sf).write.parquet(path)
+    _encoded(spark, sf).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -113,7 +114,7 @@ def q_random_windows(spark, sf):
 
 def q_guards(spark, sf):
     t = _tokens(spark, sf)
-    _, manifest = C.pack(C.prefix_offsets(t.drop("ids"), ["split"]))
+    _, manifest = C.pack(C.prefix_offsets(t.drop("ids", "row"), ["split"]))
     return C.guards(t, manifest)
 
 

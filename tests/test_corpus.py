@@ -181,3 +181,20 @@ def test_encoding_holds_a_stretch_of_a_batch(spark, monkeypatch):
         assert row == len(texts)
         assert peak < 100e6  # the whole batch at once: some 350 MB
     assert [p.num_rows for p in runs[0](iter([batch.slice(0, 0)]))] == [0]
+
+
+def test_published_corpus_scans_no_token_ids(spark, tmpdir_path, monkeypatch):
+    """Offsets are scanned without ids, which come back to their own rows, also where documents' ids repeat."""
+    from skiff.plans import files as P
+
+    docs = [(i % 50, "ab" * (i % 7) + "c") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    scanned, published = [], []
+    offsets, publish = C.prefix_offsets, C.publish
+    monkeypatch.setattr(C, "prefix_offsets", lambda t, *a, **k: scanned.append(t.columns) or offsets(t, *a, **k))
+    monkeypatch.setattr(C, "publish", lambda d, *a, **k: published.append(d) or publish(d, *a, **k))
+    assert P.QUERIES["files_published"](spark, tmpdir_path).filter("ok").count() == 2
+    assert all("ids" not in columns for columns in scanned)
+    rows = published[0].collect()
+    assert sorted((r.doc_id, r.len) for r in rows) == sorted((d, len(t) + 1) for d, t in docs)
+    assert all(len(r.ids) == r.len for r in rows) and "row" not in published[0].columns
