@@ -17,6 +17,7 @@ CHECKPOINT_PREFIX = "ckpt-"
 TMP_SUFFIX = ".tmp"
 HEARTBEAT_TIMEOUT_S = 90.0
 MAX_EPOCHS_WITHOUT_PROGRESS = 6
+GROUP_LIMIT = 1000  # ranks up to here are cut in each task, before rows move (spark.sql.optimizer.windowGroupLimitThreshold)
 
 
 def healthy(registered: str = "registered", aws_state: str = "aws_state", log_age: str = "log_age_s",
@@ -205,19 +206,28 @@ def restore_point(listing: DataFrame, ranks: DataFrame) -> DataFrame:
 def retention(listing: DataFrame, keep: int) -> DataFrame:
     """WN-33: checkpoints to delete per (run, tier, rank): all but the
     ``keep`` newest (by name = by step); ``keep <= 0`` keeps everything.
-    The cut is the exact k-th step, so no per-key sort of the listing."""
+    The first step that goes, found from each task's ``keep + 1`` newest, is one
+    row per key and broadcast: the listing itself is neither sorted nor moved."""
     ck = parse_listing(listing).withColumn("__rk", F.coalesce(F.col("rank"), F.lit(-1)))
     if keep <= 0:
         return ck.limit(0).select("run_id", "tier", "rank", "path", "step")
     keys = ["run_id", "tier", "__rk"]
-    cut = kth_values(ck, keys, "step", {"__cut": lambda n: n - keep}).withColumn("__ndel", F.col("n") - keep)
-    j = ck.join(cut, on=keys)
+    steps = ck.select(*keys, "step").filter(F.col("step").isNotNull())
+    if keep < GROUP_LIMIT:
+        newest = steps.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("step")))).filter(F.col("__r") <= keep + 1)
+        cut = newest.groupBy(*keys).agg(
+            F.max(F.when(F.col("__r") == keep + 1, F.col("step"))).alias("__cut"), F.collect_list("step").alias("__top"))
+        cut = cut.withColumn("__stay", F.size(F.filter("__top", lambda x: x == F.col("__cut"))) - 1).drop("__top")
+    else:
+        cut = kth_values(steps, keys, "step", {"__cut": lambda n: n - keep}).drop("n")
+        above = steps.join(F.broadcast(cut), on=keys).filter(F.col("step") > F.col("__cut")).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        cut = cut.join(above, on=keys, how="left").withColumn("__stay", keep - F.coalesce(F.col("__n"), F.lit(0))).drop("__n")
+    j = ck.join(F.broadcast(cut.filter(F.col("__cut").isNotNull())), on=keys)
     below = j.filter(F.col("step") < F.col("__cut"))
-    # a listing may repeat a name: at the cut step only as many copies go as
-    # the count still requires (a tiny set, ranked by path)
-    nb = below.groupBy(*keys).agg(F.count(F.lit(1)).alias("__nb"))
-    at = j.filter(F.col("step") == F.col("__cut")).join(nb, on=keys, how="left")
-    at = at.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "step").orderBy("path")))
-    at = at.filter(F.col("__r") <= F.col("__ndel") - F.coalesce(F.col("__nb"), F.lit(0)))
+    # a listing may repeat a name: at the cut step as many copies stay as the
+    # newer steps leave room for (a tiny set, ranked by path)
+    at = j.filter(F.col("step") == F.col("__cut"))
+    at = at.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "step").orderBy(F.desc("path"))))
+    at = at.filter(F.col("__r") > F.col("__stay"))
     cols = ["run_id", "tier", "rank", "path", "step"]
     return below.select(*cols).unionByName(at.select(*cols))

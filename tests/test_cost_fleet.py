@@ -91,3 +91,22 @@ def test_mark_timeline_with_stamps(spark):
     stamps = spark.createDataFrame([("r", 150.0, 20.0, 30.0, None)], "run_id string, train_s double, save_s double, eval_s double, sample_s double")
     seg2 = [(r.phase, r.seconds) for r in P.mark_segments(marks, stamps).orderBy("start", "offset_s").collect()]
     assert seg2[-3:] == [("training", 150.0), ("final_saves", 20.0), ("evaluation", 30.0)]
+
+
+def test_retention_moves_no_listing(spark, monkeypatch):
+    """As a sort of each key's names says, repeated names included; only the cuts are joined, by broadcast."""
+    rows = [(f"r{i % 3}", (i % 2) or None, "local" if i % 2 else "durable", f"{'ab'[i % 5 == 0]}/ckpt-{i * 7 % 40:012d}.pt", 1) for i in range(400)]
+    rows += [("few", None, "durable", f"d/ckpt-{s:012d}.pt", 1) for s in (4, 4)]
+    lst = _listing(spark, rows).repartition(5)
+    for keep in (1, 3, 17, 2_000):
+        want = []
+        for key in {r[:3] for r in rows}:
+            names = sorted(((r[3].rpartition("/")[2], r[3]) for r in rows if r[:3] == key), reverse=True)
+            want += [(*key, path) for _, path in names[keep:]]
+        for limit in (1_000, 1):  # by each task's newest, and by selection
+            monkeypatch.setattr(FL, "GROUP_LIMIT", limit)
+            got = [(r.run_id, r.rank, r.tier, r.path) for r in FL.retention(lst, keep).collect()]
+            assert sorted(got, key=str) == sorted(want, key=str)
+    monkeypatch.setattr(FL, "GROUP_LIMIT", 1_000)
+    plan = FL.retention(lst, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "WindowGroupLimit" in plan
