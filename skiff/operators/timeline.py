@@ -9,8 +9,14 @@ times, standing in for the reference's stable sort.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skiff.operators.asof import asof_join
 from skiff.operators.scan import flag_runs, islands, scan, spans
@@ -339,6 +345,7 @@ def generation_spans(rows: DataFrame, width: float = 1e6) -> DataFrame:
 
 BILLABLE = ["pending", "running"]
 _FAR = 1 << 40
+FIT_ROWS = 4096  # periods that one fold goes through
 
 
 def _through(q: Column, f: Column, l: Column) -> Column:
@@ -347,47 +354,61 @@ def _through(q: Column, f: Column, l: Column) -> Column:
     return F.greatest(f + 1, F.least(q + 1, l))
 
 
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The place each period of a bucket takes, from the bucket's incoming place ``q``."""
+    for batch in batches:
+        rows = batch.column("rows")
+        sizes = rows.value_lengths().to_numpy()
+        flat = rows.flatten()
+        first, last = flat.field("f").to_pylist(), flat.field("l").to_pylist()
+        place, at = [-1] * len(first), 0
+        for q, size in zip(batch.column("q").to_pylist(), sizes.tolist()):
+            for i in range(at, at + size):
+                here = max(first[i], q)
+                if here < last[i]:
+                    place[i], q = here, here + 1
+                else:
+                    q = last[i]
+            at += size
+        run = batch.column("run_id").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        out = pa.record_batch([run, flat.field("pos"), pa.array(place, pa.int64())], names=["run_id", "pos", "place"])
+        yield out.filter(pc.greater_equal(out.column("place"), 0))
+
+
 def _first_fit(periods: DataFrame, free: DataFrame, width: float) -> DataFrame:
-    """Each slot by itself: its periods in time order take the first machine in
+    """One slot by itself: its periods in time order take the first machine in
     ``[from, until)`` that no earlier period of the slot took.
 
-    Machines are numbered by start, so a period may take the places ``[f, l)``, and the
+    Machines are numbered by start (``free`` has ``n`` of one start, ``upto`` with all earlier
+    ones), so a period may take the places ``[f, l)``, and the
     next free place runs through ``max(f + 1, min(q + 1, l))``. Such maps compose to one
-    of their kind, ``max(low, min(q + n, high))``: a bucket of periods is one map, the maps
-    of a slot's buckets give each bucket its incoming place, and buckets are folded apart."""
-    key = ["run_id", "slot"]
-    marks = periods.select(*key, F.col("from").alias("t"), F.lit(0).alias("kind"), "pos").unionByName(
-        periods.select(*key, F.col("until").alias("t"), F.lit(1).alias("kind"), "pos")).unionByName(
-        free.select(*key, F.col("started_at").alias("t"), F.lit(2).alias("kind"), F.col("copy").alias("pos")))
-    # bounds sort before a machine of their time, so they count the machines that start earlier
-    marks = scan(marks, key, "t", ["kind", "pos"], width=width, sums={"n": F.when(F.col("kind") == 2, 1).otherwise(0).cast("long")})
-    p = marks.filter("kind < 2").groupBy(*key, "pos").agg(
-        F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("f"), F.max(F.when(F.col("kind") == 1, F.col("n"))).alias("l"),
-        F.max(F.when(F.col("kind") == 0, F.col("t"))).alias("from"))
-    p = p.filter(F.col("f") < F.col("l")).withColumn("bucket", F.floor(F.col("from") / F.lit(width)).cast("long"))
-    b = p.groupBy(*key, "bucket").agg(F.array_sort(F.collect_list(F.struct("pos", "f", "l"))).alias("rows")).checkpoint()
+    of their kind, ``max(low, min(q + n, high))``: a bucket of ``FIT_ROWS`` periods is one map,
+    the maps of a run's buckets give each bucket its incoming place, and buckets are folded apart."""
+    none = F.lit(0).cast("long").alias("n")
+    marks = periods.select("run_id", F.col("from").alias("t"), F.lit(0).alias("kind"), "pos", none).unionByName(
+        periods.select("run_id", F.col("until").alias("t"), F.lit(1).alias("kind"), "pos", none)).unionByName(
+        free.select("run_id", F.col("started_at").alias("t"), F.lit(2).alias("kind"), F.lit(0).cast("long").alias("pos"), "n"))
+    # bounds sort before machines of their time, so they count the machines that start earlier
+    marks = scan(marks, ["run_id"], "t", ["kind", "pos"], width=width, sums={"n": F.col("n")})
+    p = marks.filter("kind < 2").groupBy("run_id", "pos").agg(
+        F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("f"), F.max(F.when(F.col("kind") == 1, F.col("n"))).alias("l"))
+    p = p.filter(F.col("f") < F.col("l")).withColumn("bucket", F.floor(F.col("pos") / F.lit(FIT_ROWS)).cast("long"))
+    b = p.groupBy("run_id", "bucket").agg(F.array_sort(F.collect_list(F.struct("pos", "f", "l"))).alias("rows")).checkpoint()
     start = F.struct(F.lit(-_FAR).cast("long").alias("low"), F.lit(_FAR).cast("long").alias("high"))
     whole = F.aggregate("rows", start, lambda acc, x: F.struct(
         _through(acc["low"], x["f"], x["l"]).alias("low"), _through(acc["high"], x["f"], x["l"]).alias("high")))
-    maps = b.select(*key, "bucket", F.size("rows").cast("long").alias("n"), whole.alias("m")).groupBy(*key).agg(
+    maps = b.select("run_id", "bucket", F.size("rows").cast("long").alias("n"), whole.alias("m")).groupBy("run_id").agg(
         F.array_sort(F.collect_list(F.struct("bucket", "n", F.col("m.low").alias("low"), F.col("m.high").alias("high")))).alias("maps"))
     into = "array<struct<bucket:bigint,q:bigint>>"
     begin = F.struct(F.lit(0).cast("long").alias("q"), F.array().cast(into).alias("out"))
     carried = F.aggregate("maps", begin, lambda acc, x: F.struct(
         F.greatest(x["low"], F.least(acc["q"] + x["n"], x["high"])).alias("q"),
         F.concat(acc["out"], F.array(F.struct(x["bucket"].alias("bucket"), acc["q"].alias("q")))).alias("out")), lambda acc: acc["out"])
-    maps = maps.select(*key, F.inline(carried))
-    chosen = "array<struct<pos:bigint,place:bigint>>"
-    enter = F.struct(F.col("q"), F.array().cast(chosen).alias("out"))
-
-    def choose(acc, x):
-        at = F.greatest(x["f"], acc["q"])
-        pick = F.struct(x["pos"].alias("pos"), F.when(at < x["l"], at).alias("place"))
-        return F.struct(_through(acc["q"], x["f"], x["l"]).alias("q"), F.concat(acc["out"], F.array(pick)).alias("out"))
-
-    picks = b.join(maps, [*key, "bucket"]).select(*key, F.inline(F.aggregate("rows", enter, choose, lambda acc: acc["out"])))
-    machines = marks.filter("kind = 2").select(*key, (F.col("n") - 1).alias("place"), F.col("t").alias("started_at"), F.col("pos").alias("copy"))
-    return picks.filter("place IS NOT NULL").join(machines, [*key, "place"]).select(*key, F.col("pos"), "started_at", "copy")
+    maps = maps.select("run_id", F.inline(carried))
+    schema = T.StructType([b.schema["run_id"], T.StructField("pos", T.LongType()), T.StructField("place", T.LongType())])
+    picks = b.join(maps, ["run_id", "bucket"]).select("run_id", "rows", "q").mapInArrow(_choose, schema)
+    machines = free.select("run_id", (F.col("upto") - F.col("n")).alias("first"), "started_at")
+    return asof_join(picks, machines, ["run_id"], "place", "first", ["started_at"], width=100_000.0).drop("place")
 
 
 def assign_replacements(downs: DataFrame, starts: DataFrame, lead_s: float = 180.0, pre_epoch_s: float = 60.0, width: float = 86400.0) -> DataFrame:
@@ -396,12 +417,10 @@ def assign_replacements(downs: DataFrame, starts: DataFrame, lead_s: float = 180
     machines started after the first epoch - 60 s (after 0 in a run without epochs).
     Periods of one slot don't overlap; an open one (null ``t_in``) is its last.
 
-    Rounds instead of a walk: every slot fits its periods into the machines that no lower
-    slot holds, then each machine belongs to the lowest slot that took it. Slot 0 is final
-    after the first round, slot n after n more at the latest, and a round that moves nothing
-    is the last: two or three where few slots want one machine, slots + 1 where all are down
-    at once and want the same ones. A round is a few jobs, run while
-    the query is built, and its result (a row for each period that is served) is
+    A round per slot instead of a walk: the slot fits its periods into the machines that
+    lower slots left, of all runs at once. Machines that started at one time are one row
+    with their number. A round is a few jobs, run while the query is built, and its results
+    (a row for each period that is served, a row for each start with machines left) are
     checkpointed. No run, slot or open period is one task's work."""
     from skiff.session import checkpoint_dir
 
@@ -409,76 +428,89 @@ def assign_replacements(downs: DataFrame, starts: DataFrame, lead_s: float = 180
     key = ["run_id", "slot"]
     d = downs.select(*key, "t_out", "t_in", "first_epoch", (F.col("t_out") - lead_s).alias("from"), F.coalesce("t_in", F.lit(1e18)).alias("until"))
     d = scan(d, key, "from", ["until"], width=width, sums={"pos": F.lit(1).cast("long")}).checkpoint()
-    runs = d.groupBy("run_id").agg(F.min("first_epoch").alias("first_epoch"), F.max("slot").alias("last"))
+    runs = d.groupBy("run_id").agg(F.min("first_epoch").alias("first_epoch"))
     m = starts.select("run_id", "started_at").join(runs, "run_id").filter(
         F.col("started_at") > F.coalesce(F.col("first_epoch") - pre_epoch_s, F.lit(0.0)))
-    m = m.groupBy("run_id", "started_at", "last").agg(F.count(F.lit(1)).alias("n")).select(
-        "run_id", "started_at", "last", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")).checkpoint()
-    machine = ["run_id", "started_at", "copy"]
-    held = None
-    while True:
-        owned = m.withColumn("holder", F.col("last")) if held is None else m.join(held, machine, "left")
-        free = owned.select(*machine, F.explode(F.sequence(F.lit(0), F.least("last", F.coalesce("holder", "last")))).alias("slot"))
-        taken = _first_fit(d, free, width).checkpoint()
-        now = taken.groupBy(*machine).agg(F.min("slot").alias("holder"))
-        if held is None:
-            moved = taken.groupBy(*machine).count().filter("count > 1")
-        else:
-            moved = held.withColumn("n", F.lit(-1)).unionByName(now.withColumn("n", F.lit(1))).groupBy(*machine, "holder").agg(F.sum("n").alias("n")).filter("n <> 0")
-        if moved.isEmpty():
-            break
-        held = now
-    return d.join(taken, [*key, "pos"]).select(
+    m = m.groupBy("run_id", "started_at").agg(F.count(F.lit(1)).alias("n"))
+    served = d.select(*key, "pos", F.col("from").alias("started_at")).limit(0)
+    for (slot,) in sorted(d.select("slot").distinct().collect()):
+        free = scan(m, ["run_id"], "started_at", width=width, sums={"upto": F.col("n")}).checkpoint()
+        taken = _first_fit(d.filter(F.col("slot") == slot), free, width).checkpoint()
+        served = served.unionByName(taken.withColumn("slot", F.lit(slot).cast(d.schema["slot"].dataType)))
+        gone = taken.groupBy("run_id", "started_at").agg(F.count(F.lit(1)).alias("gone"))
+        m = free.join(gone, ["run_id", "started_at"], "left").select(
+            "run_id", "started_at", (F.col("n") - F.coalesce("gone", F.lit(0))).alias("n")).filter("n > 0")
+    return d.join(served, [*key, "pos"]).select(
         *key, F.greatest("started_at", "t_out").alias("a"), F.coalesce("t_in", F.lit(float("inf"))).alias("b"))
 
 
+STATES = ["down", "provisioning", "training", "leader"]
+_DOWN, _PROVISIONING, _TRAINING, _LEADER = range(4)
+
+
 def occupancy(timeline: DataFrame, ticks: DataFrame, ledger: DataFrame, target: int, width: float = 86400.0) -> DataFrame:
     """WN-26: per-slot state (leader / training / provisioning / down) at every
     transition: epoch boundaries (preceded by the boot row of the first
     poll), starts of replacement windows (JN-11) and polls where the set of
     billable boxes changed; a down slot with a billable box or inside a
-    replacement window reads provisioning; unchanged rows are dropped."""
-    slots = F.sequence(F.lit(0), F.lit(target - 1))
-    base = timeline.select("run_id", "t", "event_id", F.explode(slots).alias("slot"), "members", "master").select(
-        "run_id", "t", "event_id", "slot",
-        F.when(F.array_contains("members", F.col("slot")), F.when(F.col("slot") == F.col("master"), F.lit("leader")).otherwise(F.lit("training")))
-        .otherwise(F.lit("down")).alias("state"), F.lit(1).alias("__ord"))
-    first_ep = timeline.groupBy("run_id").agg(F.min("t").alias("first_epoch"))
-    polls = ticks.select("run_id", "t", "event_id", F.explode("nodes").alias("n")).filter(
-        F.coalesce(F.col("n.aws_state"), F.lit("")).isin(BILLABLE)).groupBy("run_id", "t", "event_id").agg(
-        F.array_sort(F.collect_set(F.col("n.node"))).alias("boxed"))
-    allpolls = ticks.select("run_id", "t", "event_id").join(polls, ["run_id", "t", "event_id"], "left").withColumn(
-        "boxed", F.coalesce(F.col("boxed"), F.array().cast("array<int>")))
-    boot_t = ticks.groupBy("run_id").agg(F.min_by(F.struct("t", "event_id"), F.struct("t", "event_id")).alias("b")).select("run_id", "b.t", "b.event_id")
-    boot = boot_t.join(allpolls, ["run_id", "t", "event_id"]).join(first_ep, "run_id", "left").filter(
+    replacement window reads provisioning; unchanged rows are dropped.
+
+    A row holds all slots of its run as an array of codes; only a slot's changes are rows
+    of their own, to find its down periods."""
+    from skiff.session import checkpoint_dir
+
+    checkpoint_dir(ticks.sparkSession)
+    poll = ["run_id", "t", "event_id"]
+
+    def codes(of) -> Column:
+        return F.array(*[of(F.lit(i)) for i in range(target)])
+
+    epochs = timeline.select(*poll, codes(
+        lambda i: F.when(F.array_contains("members", i), F.when(i == F.col("master"), _LEADER).otherwise(_TRAINING)).otherwise(_DOWN)
+    ).alias("states"), F.lit(1).alias("__ord")).checkpoint()
+    first_ep = epochs.groupBy("run_id").agg(F.min("t").alias("first_epoch"))
+    billable = F.filter("nodes", lambda n: F.coalesce(n["aws_state"], F.lit("")).isin(BILLABLE) & n["node"].isNotNull())
+    # a poll without a number of its own says nothing of boxes
+    boxed = F.when(F.col("event_id").isNotNull(), F.transform(billable, lambda n: n["node"]))
+    polls = ticks.select(*poll, boxed.alias("boxed")).groupBy(*poll).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("boxed")))).alias("boxed")).checkpoint()
+    boot = polls.groupBy("run_id").agg(F.min_by(F.struct("t", "event_id"), F.struct("t", "event_id")).alias("b")).select("run_id", "b.t", "b.event_id")
+    boot = boot.join(polls, poll).join(first_ep, "run_id", "left").filter(
         F.col("first_epoch").isNull() | (F.col("t") < F.col("first_epoch")))
-    boot = boot.select("run_id", "t", "event_id", F.explode(slots).alias("slot"), "boxed").select(
-        "run_id", "t", "event_id", "slot", F.when(F.array_contains("boxed", F.col("slot")), F.lit("provisioning")).otherwise(F.lit("down")).alias("state"),
-        F.lit(0).alias("__ord"))
-    base = boot.unionByName(base)
-    # down periods per slot: islands of consecutive base rows in state down
-    isl = islands(base.withColumn("__down", F.col("state") == "down"), ["run_id", "slot"], "t", ["__down"], ["__ord", "event_id"], width=width, out="__i")
-    isl = scan(isl, ["run_id", "slot"], "t", ["__ord", "event_id"], width=width, nexts={"__nt": F.col("t")})
-    downs = isl.filter("__down").groupBy("run_id", "slot", "__i").agg(
-        F.min("t").alias("t_out"), F.max_by("__nt", F.struct("t", "__ord", "event_id")).alias("t_in")).join(first_ep, "run_id", "left")
+    boot = boot.select(*poll, codes(lambda i: F.when(F.array_contains("boxed", i), _PROVISIONING).otherwise(_DOWN)).alias("states"), F.lit(0).alias("__ord"))
+    base = boot.unionByName(epochs).checkpoint()
+    # down periods per slot: from a change to down up to the change back
+    chg = scan(base, ["run_id"], "t", ["__ord", "event_id"], width=width, prevs={"__prev": F.col("states")})
+    turns = F.filter(F.array(*[
+        F.struct(F.lit(i).alias("slot"), (F.col("states")[i] == _DOWN).alias("out"), F.coalesce(F.col("__prev")[i] == _DOWN, F.lit(False)).alias("was"))
+        for i in range(target)]), lambda x: x["out"] != x["was"])
+    chg = chg.select(*poll, "__ord", F.inline(turns)).drop("was")
+    downs = scan(chg, ["run_id", "slot"], "t", ["__ord", "event_id"], width=width, nexts={"t_in": F.col("t")}).filter("out").select(
+        "run_id", "slot", F.col("t").alias("t_out"), "t_in").join(first_ep, "run_id", "left")
     prov = assign_replacements(downs, ledger.select("run_id", "started_at"))
-    # transition times
-    chg = scan(allpolls, ["run_id"], "t", ["event_id"], width=width, prevs={"__pb": F.col("boxed")})
-    chg = chg.filter(F.col("__pb").isNotNull() & (F.col("__pb") != F.col("boxed"))).select("run_id", "t")
-    t_first = base.groupBy("run_id").agg(F.min("t").alias("__tf"))
-    times = base.select("run_id", "t").unionByName(prov.select("run_id", F.col("a").alias("t"))).unionByName(
-        chg.join(t_first, "run_id").filter(F.col("t") >= F.col("__tf")).select("run_id", "t")).distinct()
-    grid = times.select("run_id", "t", F.explode(slots).alias("slot"))
-    g = asof_join(grid, base, ["run_id", "slot"], "t", "t", ["state"], prefix="b_", right_tiebreak=["__ord", "event_id"], width=width)
-    g = asof_join(g, allpolls, ["run_id"], "t", "t", ["boxed"], prefix="p_", left_tiebreak=["slot"], right_tiebreak=["event_id"], width=width)
-    g = asof_join(g, prov.select("run_id", "slot", "a", "b"), ["run_id", "slot"], "t", "a", ["b"], prefix="w_", left_tiebreak=[], width=width)
-    st = F.coalesce(F.col("b_state"), F.lit("down"))
-    inwin = F.col("w_b").isNotNull() & (F.col("t") < F.col("w_b"))
-    boxed = F.coalesce(F.array_contains("p_boxed", F.col("slot")), F.lit(False))
-    state = F.when((st == "down") & (boxed | inwin), F.lit("provisioning")).otherwise(st)
-    rows = g.withColumn("state", state).groupBy("run_id", "t").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("slot", "state"))), lambda x: x["state"]).alias("slots"))
+    # what is known at a time of a run, and whether it is a time of transition
+    moved = scan(polls, ["run_id"], "t", ["event_id"], width=width, prevs={"__pb": F.col("boxed")}).withColumn(
+        "moved", F.coalesce(F.col("__pb") != F.col("boxed"), F.lit(False)))
+    base = base.select("run_id", "t", F.lit(True).alias("at"), F.struct("__ord", "event_id", "states").alias("base"))
+    moved = moved.select("run_id", "t", "moved", F.struct("event_id", "boxed").alias("poll"))
+    prov = prov.select("run_id", F.col("a").alias("t"), F.lit(True).alias("at"), *[F.when(F.col("slot") == i, F.col("b")).alias(f"until{i}") for i in range(target)])
+    untils = [f"until{i}" for i in range(target)]
+    known = base.unionByName(moved, allowMissingColumns=True).unionByName(prov, allowMissingColumns=True).groupBy("run_id", "t").agg(
+        F.max("at").alias("at"), F.max("moved").alias("moved"), F.max("base")["states"].alias("states"), F.max("poll")["boxed"].alias("boxed"),
+        *[F.max(u).alias(u) for u in untils])
+    g = scan(known, ["run_id"], "t", width=width, lasts={c: F.col(c) for c in ["states", "boxed", *untils]})
+    # polls before a run's first base row are no transitions
+    g = g.filter(F.col("at") | (F.col("moved") & F.col("states").isNotNull()))
+
+    def state(i: int) -> Column:
+        st = F.coalesce(F.col("states")[i], F.lit(_DOWN))
+        boxed = F.coalesce(F.array_contains("boxed", F.lit(i)), F.lit(False))
+        inside = F.coalesce(F.col("t") < F.col(untils[i]), F.lit(False))
+        return F.when((st == _DOWN) & (boxed | inside), _PROVISIONING).otherwise(st)
+
+    rows = g.select("run_id", "t", F.array(*[state(i) for i in range(target)]).alias("slots"))
     rows = scan(rows, ["run_id"], "t", width=width, prevs={"__ps": F.col("slots")})
     rows = rows.filter(F.col("__ps").isNull() | (F.col("__ps") != F.col("slots")))
+    names = F.array(*[F.lit(s) for s in STATES])
     return rows.select("run_id", F.floor(F.col("t") * 1000).cast("long").alias("time"),
-                       *[F.col("slots")[i].alias(f"slot{i}") for i in range(target)])
+                       *[names[F.col("slots")[i]].alias(f"slot{i}") for i in range(target)])

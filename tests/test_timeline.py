@@ -176,3 +176,21 @@ def test_replacements_equal_a_walk_over_periods(spark):
 def test_replacements_of_empty_tables(spark):
     assert _replaced(spark, [], [("r", 5.0)]) == []
     assert _replaced(spark, [("r", 0, 1.0, None, 0.0)], []) == []
+
+
+def test_replacements_in_a_round_per_slot(spark, monkeypatch):
+    """Each slot is fitted once, to rows that count the machines of one start; periods are folded
+    in buckets of rows, whatever their times."""
+    downs = [("r", slot, 1000.0 + 40 * i + slot, 1030.0 + 40 * i + slot, 100.0) for slot in range(2) for i in range(9)]
+    starts = [("r", 1010.0)] * 7 + [("r", 1100.0)] * 2 + [("r", 1310.0)] * 500
+    want = _walk(downs, starts)
+    rounds, fit = [], T._first_fit
+
+    def seen(periods, free, width):
+        rounds.append((sorted({r.slot for r in periods.select("slot").collect()}), free.count()))
+        return fit(periods, free, width)
+
+    monkeypatch.setattr(T, "_first_fit", seen)
+    monkeypatch.setattr(T, "FIT_ROWS", 4)
+    assert _replaced(spark, downs, starts) == want
+    assert [slots for slots, _ in rounds] == [[0], [1]] and all(rows <= 3 for _, rows in rounds)
