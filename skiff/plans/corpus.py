@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skiff.functions.tokenize import char_ids, char_lengths, char_vocab
 from skiff.operators import corpus as C
-from skiff.session import scratch_path
+from skiff.session import arrow_batches, scratch_path
 from skiff.sources.tables import table
 
 BLOCK = 1024        # context length of the evaluation windows
@@ -34,7 +34,8 @@ def _tokens(spark, sf):
     checkpoint folder as Parquet (the token cache of stages that read ids), with a
     number of its own for every ``row``: ids of documents may repeat."""
     path = f"{scratch_path(spark, 'tokens')}-{uuid.uuid4().hex}"
-    _encoded(spark, sf).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    with arrow_batches(spark):
+        _encoded(spark, sf).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
     return spark.read.parquet(path)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -68,3 +70,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+ARROW_BYTES = 4 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int = ARROW_BYTES) -> Iterator[None]:
+    """Jobs run within get Arrow batches of ``most`` bytes, or one row, where rows are long:
+    a Python worker holds two or three at a time, and Spark's own are up to 64 MB each."""
+    before = spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW, before)

@@ -2,13 +2,14 @@
 
 import os
 import time
+import uuid
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from skiff.operators import corpus as C
-from skiff.sources.token_files import TokenFiles
+from skiff.sources.token_files import TokenFiles, TokenWriter
 
 
 def _docs(spark, n=300):
@@ -78,6 +79,40 @@ def test_another_corpus_begins_anew(spark, tmpdir_path):
     assert a != b
 
 
+def test_writer_gets_small_batches(spark, tmpdir_path, monkeypatch):
+    """A worker's memory doesn't depend on how many rows its partition has."""
+    sizes = Path(tmpdir_path) / "sizes"
+    sizes.mkdir()
+    folder = str(sizes)
+
+    class Writer(TokenWriter):
+        def write(self, iterator):
+            def seen():
+                for batch in iterator:
+                    Path(folder, uuid.uuid4().hex).write_text(str(batch.nbytes))
+                    yield batch
+
+            return TokenWriter.write(self, seen())
+
+    class Files(TokenFiles):
+        def writer(self, schema, overwrite):
+            return Writer(self.options)
+
+    n, size = 2000, 4096
+    ids = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: ((F.col("doc_id") * 211 + k * 7) % 65536).cast("int"))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("train").alias("split"), F.lit(size).alias("len"), ids.alias("ids"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    monkeypatch.setattr(C, "TokenFiles", Files)
+    try:
+        man = C.publish_pieces(docs, f"{tmpdir_path}/out", 1 << 20, 2).collect()
+    finally:
+        spark.dataSource.register(TokenFiles)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert sum(m.tokens for m in man) == n * size
+    got = [int(p.read_text()) for p in sizes.iterdir()]
+    assert sum(got) >= 4 * n * size and max(got) < 5 << 20
+
+
 def test_refusals(spark, tmpdir_path):
     spark.dataSource.register(TokenFiles)
 
