@@ -1,15 +1,17 @@
 """Packed token files: round trip, refusals, and a write that is ended half way."""
 
 import os
+import pickle
 import time
 import uuid
+import zlib
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from skiff.operators import corpus as C
-from skiff.sources.token_files import TokenFiles, TokenWriter
+from skiff.sources.token_files import TokenFiles, TokenReader, TokenWriter, piece_name
 
 
 def _docs(spark, n=300):
@@ -113,6 +115,64 @@ def test_writer_gets_small_batches(spark, tmpdir_path, monkeypatch):
     assert sum(got) >= 4 * n * size and max(got) < 5 << 20
 
 
+def _many(top, n, chunks=2):
+    """``n`` pieces of one token each."""
+    for k in range(n):
+        p = Path(top, piece_name("train", k * chunks // n, k % (n // chunks), k, 1, zlib.crc32(k.to_bytes(2, "little"))))
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(k.to_bytes(2, "little"))
+
+
+def test_plan_does_not_grow_with_files(tmpdir_path):
+    sizes = []
+    for n in (3000, 12000):
+        top = f"{tmpdir_path}/{n}"
+        _many(top, n)
+        reader = TokenReader({"path": top})
+        tasks = reader.partitions()
+        sizes.append(sum(len(pickle.dumps(t)) for t in tasks) / len(tasks))
+        assert n // 80 <= len(tasks) <= n // 50
+        got = [(s, i) for t in tasks for b in reader.read(t) for s, ids in zip(b["start"].to_pylist(), b["ids"].to_pylist()) for i in ids]
+        assert sorted(got) == [(k, k) for k in range(n)]
+    assert max(sizes) < 800
+    # small files beside one that is cut, empty ones, and a file that goes when the scan is planned
+    top = Path(tmpdir_path, "mixed")
+    top.mkdir()
+    for k, name in enumerate("abcdef"):
+        (top / f"{name}.bin").write_bytes(bytes(2 * (0, 1, 40, 0, 3, 2)[k]))
+    reader = TokenReader({"path": str(top), "block": "2", "range_bytes": "16"})
+    tasks = reader.partitions()
+    got = [(s, n) for t in tasks for b in reader.read(t) for s, n in zip(b["split"].to_pylist(), (len(i) for i in b["ids"].to_pylist()))]
+    assert {s: sum(n for t, n in got if t == s) for s, _ in got} == {"b": 1, "c": 40, "e": 3, "f": 2}
+    only = TokenReader({"path": str(top), "split": "e"})
+    assert [b["split"].to_pylist() for t in only.partitions() for b in only.read(t)] == [["e"]]
+    (top / "e.bin").write_bytes(bytes(8))
+    with pytest.raises(ValueError, match="changed since"):
+        list(b for t in tasks for b in reader.read(t))
+
+
+def test_pieces_listed_by_tasks(spark, tmpdir_path):
+    """The driver has neither the names of the files nor, in a join, the listing."""
+    _many(f"{tmpdir_path}/many", 500)
+    there = C.durable_pieces(spark, f"{tmpdir_path}/many")
+    assert there.inputFiles() == []
+    assert [r.tok_offset for r in there.orderBy("tok_offset").collect()] == list(range(500))
+    plan = spark.range(10).withColumnRenamed("id", "tok_offset").join(there, on="tok_offset", how="left")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    # files in the split's own folder are pieces too
+    docs = _docs(spark)
+    folder = C.publish_pieces(docs, f"{tmpdir_path}/out", 200, 9).first().folder
+    flat = Path(tmpdir_path, "flat", os.path.basename(folder))
+    for p in map(Path, _files(folder)):
+        to = flat / p.parent.parent.name / p.name
+        to.parent.mkdir(parents=True, exist_ok=True)
+        to.write_bytes(p.read_bytes())
+    before = _files(flat)
+    C.publish_pieces(docs, f"{tmpdir_path}/flat", 200, 9)
+    assert _files(flat) == before
+    assert [i for r in spark.read.format("token_files").option("split", "train").load(str(flat)).orderBy("start").collect() for i in r.ids] == _stream(docs, "train")
+
+
 def test_refusals(spark, tmpdir_path):
     spark.dataSource.register(TokenFiles)
 
